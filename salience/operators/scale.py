@@ -103,15 +103,13 @@ def rank_by_number(df: DataFrame, order: str, index: str = "idx", buckets: int =
     )
 
 
-def _range_number(x: Column, cuts: list[float]) -> Column:
-    """How many cuts lie at or below ``x``, found by halving."""
+def _range_number(x: Column, cuts: list[float], step: int = 32) -> Column:
+    """How many cuts lie at or below ``x``: first among every 32nd cut, then inside that stretch."""
     if not cuts:
         return F.lit(0)
-
-    def halve(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(x < F.lit(cuts[mid]), halve(lo, mid)).otherwise(halve(mid + 1, hi))
-
-    return halve(0, len(cuts))
+    stretches = [cuts[i:i + step] for i in range(0, len(cuts), step)]
+    numbers = lambda v: F.array(*[F.lit(float(c)) for c in v])
+    below = lambda arr: F.size(F.filter(arr, lambda c: c <= x))
+    at = below(numbers([s[0] for s in stretches]))
+    inside = below(F.element_at(F.array(*[numbers(s) for s in stretches]), F.greatest(at, F.lit(1))))
+    return F.when(at > 0, (at - 1) * step + inside).otherwise(F.lit(0))
