@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,23 +26,27 @@ def lcs_length(a, b) -> int:
 
 
 def _covered(ref, cand) -> set[int]:
-    """Positions of ``ref`` on one longest common subsequence with ``cand``."""
-    n, m = len(ref), len(cand)
-    best = [[0] * (m + 1) for _ in range(n + 1)]
-    for i in range(n):
-        up, here = best[i], best[i + 1]
-        for j in range(m):
-            here[j + 1] = up[j] + 1 if ref[i] == cand[j] else max(up[j + 1], here[j])
+    """Positions of ``ref`` on one longest common subsequence with ``cand``.
+
+    Reference tokens the candidate lacks are left out of the table; the walk back would step over them anyway.
+    """
+    number = {t: k for k, t in enumerate(dict.fromkeys(cand))}
+    kept = [i for i, t in enumerate(ref) if t in number]
+    codes = np.array([number[t] for t in cand], dtype=np.int32)
+    best = np.zeros((len(kept) + 1, len(cand) + 1), dtype=np.int32)
+    for k, i in enumerate(kept):
+        step = best[k, :-1] + (codes == number[ref[i]])
+        best[k + 1, 1:] = np.maximum.accumulate(np.maximum(best[k, 1:], step))
     out = set()
-    i, j = n, m
-    while i and j:
-        if ref[i - 1] == cand[j - 1]:
-            i, j = i - 1, j - 1
-            out.add(i)
-        elif best[i][j - 1] > best[i - 1][j]:
+    k, j = len(kept), len(cand)
+    while k and j:
+        if ref[kept[k - 1]] == cand[j - 1]:
+            k, j = k - 1, j - 1
+            out.add(kept[k])
+        elif best[k, j - 1] > best[k - 1, j]:
             j -= 1
         else:
-            i -= 1
+            k -= 1
     return out
 
 
