@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from salience.functions import text as tx
+from salience.functions.moments import correlation
 
 # Lower bounds of the sentence-count bins, and the open upper end.
 LENGTH_EDGES = [1, 11, 21, 31, 41, 51, 71, 1000]
@@ -86,7 +87,7 @@ def length_correlation(rows: DataFrame) -> DataFrame:
     d = F.col("differs").cast("double")
     n = F.col("n_sents").cast("double")
     return rows.agg(
-        tx.r6(F.corr(n, d)).alias("r"), tx.r6(F.avg(F.when(~F.col("differs"), n))).alias("mean_same"),
+        tx.r6(correlation(n, d)).alias("r"), tx.r6(F.avg(F.when(~F.col("differs"), n))).alias("mean_same"),
         tx.r6(F.avg(F.when(F.col("differs"), n))).alias("mean_different"), tx.r6(F.avg(n)).alias("mean_all"))
 
 

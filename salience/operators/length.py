@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from salience.functions.moments import correlation
 from salience.functions.text import percent, r6
 
 Z = 1.96
@@ -141,12 +142,12 @@ def residual_check(raw: DataFrame, standardized: DataFrame) -> DataFrame:
     both = raw.select("dataset", "checkpoint", "ratio", F.col("rate").alias("raw")).join(
         standardized.select("dataset", "checkpoint", F.col("rate").alias("std")), ["dataset", "checkpoint"])
     return both.groupBy("dataset").agg(
-        F.count("*").alias("n"), r6(F.coalesce(F.nanvl(F.corr("ratio", "raw"), F.lit(0.0)), F.lit(0.0))).alias("raw_r"),
-        r6(F.coalesce(F.nanvl(F.corr("ratio", "std"), F.lit(0.0)), F.lit(0.0))).alias("std_r")).filter("n >= 3")
+        F.count("*").alias("n"), r6(F.coalesce(correlation(F.col("ratio"), F.col("raw")), F.lit(0.0))).alias("raw_r"),
+        r6(F.coalesce(correlation(F.col("ratio"), F.col("std")), F.lit(0.0))).alias("std_r")).filter("n >= 3")
 
 
 def judge_agreement(first: DataFrame, second: DataFrame) -> DataFrame:
     """Correlation of two judges' rates over the checkpoints both have."""
     both = first.select("dataset", "checkpoint", F.col("rate").alias("x")).join(
         second.select("dataset", "checkpoint", F.col("rate").alias("y")), ["dataset", "checkpoint"])
-    return both.groupBy("dataset").agg(F.count("*").alias("n"), r6(F.corr("x", "y")).alias("r")).filter("n >= 3")
+    return both.groupBy("dataset").agg(F.count("*").alias("n"), r6(correlation(F.col("x"), F.col("y"))).alias("r")).filter("n >= 3")

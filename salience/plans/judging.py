@@ -328,13 +328,13 @@ def rate_trend(spark, sf):
     return length.trend(stepped(_std(spark, sf)))
 
 
-@query("residual_check", """SELECT dataset, count(*) AS n, round(coalesce(corr(ratio, r.rate), 0), 6) AS raw_r, round(coalesce(corr(ratio, s.rate), 0), 6) AS std_r FROM rr r JOIN std s USING (dataset, checkpoint) GROUP BY dataset HAVING count(*) >= 3""", "rr std", recursive=True)
+@query("residual_check", """SELECT dataset, count(*) AS n, round(coalesce(nullif(corr(ratio, r.rate), 'nan'::DOUBLE), 0), 6) AS raw_r, round(coalesce(nullif(corr(ratio, s.rate), 'nan'::DOUBLE), 0), 6) AS std_r FROM rr r JOIN std s USING (dataset, checkpoint) GROUP BY dataset HAVING count(*) >= 3""", "rr std", recursive=True)
 def residual_check(spark, sf):
     h = hist(spark, sf)
     return length.residual_check(length.raw_rates(h), length.standardized_rates(h, length.quantile_bins(h), LEAST))
 
 
-@query("judge_agreement", """SELECT dataset, count(*) AS n, round(corr(r.rate, d.rate), 6) AS r FROM (SELECT dataset, checkpoint, rate FROM rr WHERE rate IS NOT NULL) r JOIN (
+@query("judge_agreement", """SELECT dataset, count(*) AS n, round(nullif(corr(r.rate, d.rate), 'nan'::DOUBLE), 6) AS r FROM (SELECT dataset, checkpoint, rate FROM rr WHERE rate IS NOT NULL) r JOIN (
   SELECT dataset, checkpoint, avg((winner = 'a')::INT::DOUBLE) AS rate FROM dual WHERE winner <> 'tie' GROUP BY ALL) d USING (dataset, checkpoint) GROUP BY dataset HAVING count(*) >= 3""", "rr dual")
 def judge_agreement(spark, sf):
     known = lambda rows: length.raw_rates(length.histogram(length_pairs(rows))).filter("rate IS NOT NULL")
