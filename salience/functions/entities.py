@@ -67,7 +67,7 @@ def _inside(inner: Column, outer: Column) -> Column:
 
 
 def unsupported(ent: Column, known: Column) -> Column:
-    """Neither the entity's text nor all of its tokens occur among the document's entity texts and tokens."""
+    """Neither the entity's text nor all of its tokens are known words."""
     return ~(F.array_contains(known, ent["text"]) | _inside(ent["tokens"], known))
 
 

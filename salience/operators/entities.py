@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from salience.functions import entities as en
 from salience.functions import text as tx
-from salience.operators.scale import rank_by_digest
+from salience.operators.scale import rank_by_digest, settled
 from salience.schemas import ENTITIES, TOKENS
 
 MODES = ("all", "replace", "remove")
@@ -28,15 +28,16 @@ SMALL_POOL = 1000
 def annotate(pairs: DataFrame) -> DataFrame:
     """Adds ``summary_ents, document_ents``. A document is annotated only when its summary has entities."""
     flat = pairs.withColumn("summary", tx.flatten_lines(F.col("summary"))).withColumn("document", tx.flatten_lines(F.col("document")))
-    some = flat.withColumn("summary_ents", en.spans(F.col("summary"), token_ids=True))
-    return some.withColumn("document_ents", F.when(F.size("summary_ents") > 0, en.spans(F.col("document"))).otherwise(F.array().cast(ENTITIES)))
+    some = settled(flat.withColumn("summary_ents", en.spans(F.col("summary"), token_ids=True)))
+    return settled(some.withColumn("document_ents", F.when(F.size("summary_ents") > 0, en.spans(F.col("document"))).otherwise(F.array().cast(ENTITIES))))
 
 
 def unsupported_ids(rows: DataFrame) -> DataFrame:
     """Positions of unsupported summary entities, last first."""
-    known = rows.withColumn("_known", en.known_words(F.col("document_ents")))
+    # words both sides have: all that the tests below can meet
+    known = settled(rows.withColumn("_known", F.array_intersect(en.known_words(F.col("summary_ents")), en.known_words(F.col("document_ents")))))
     flags = F.transform("summary_ents", lambda e, i: F.when(en.unsupported(e, F.col("_known")), i))
-    return known.withColumn("unsupported", F.reverse(F.filter(flags, lambda i: i.isNotNull()))).drop("_known")
+    return settled(known.withColumn("unsupported", F.reverse(F.filter(flags, lambda i: i.isNotNull()))).drop("_known"))
 
 
 def replaced(rows: DataFrame) -> DataFrame:
@@ -47,7 +48,7 @@ def replaced(rows: DataFrame) -> DataFrame:
     """
     marked = F.transform("summary_ents", lambda e, i: F.struct(
         e.alias("e"), F.when(F.array_contains("unsupported", i), en.first_replacement(e, F.col("document_ents"))["text"]).alias("new")))
-    rows = rows.withColumn("_m", marked)
+    rows = settled(rows.withColumn("_m", marked))
     start = F.struct(F.lit("").alias("text"), F.lit(0).cast("long").alias("at"), F.lit(0).cast("long").alias("shift"), F.array().cast(ENTITIES).alias("ents"))
 
     def step(acc: Column, m: Column) -> Column:
@@ -67,9 +68,9 @@ def replaced(rows: DataFrame) -> DataFrame:
         "idx", t["idx"] + F.aggregate(F.filter("_moves", lambda v: t["i"] > v["last"]), F.lit(0).cast("long"), lambda n, v: n + v["by"])).withField(
         "dep", F.when(F.exists("_moves", lambda v: F.array_contains(v["i"], t["i"])), "fixed").otherwise(t["dep"])))
     open_ids = F.filter("unsupported", lambda i: F.get("_m", i)["new"].isNull())
-    done = rows.withColumn("_f", F.aggregate("_m", start, step)).withColumn("_moves", moves)
-    return done.withColumn("summary_tokens", tokens).withColumn("unsupported", open_ids).withColumn(
-        "summary", F.concat("_f.text", F.substr("summary", (F.col("_f.at") + 1).cast("int")))).withColumn("summary_ents", F.col("_f.ents")).drop("_m", "_f", "_moves")
+    done = settled(rows.withColumn("_f", F.aggregate("_m", start, step)).withColumn("_moves", moves))
+    return settled(done.withColumn("summary_tokens", tokens).withColumn("unsupported", open_ids).withColumn(
+        "summary", F.concat("_f.text", F.substr("summary", (F.col("_f.at") + 1).cast("int")))).withColumn("summary_ents", F.col("_f.ents")).drop("_m", "_f", "_moves"))
 
 
 def removable(tokens, targets) -> list[int]:
@@ -108,10 +109,11 @@ def _removable(tokens: pd.Series, targets: pd.Series) -> pd.Series:
 def removed(rows: DataFrame, lowercase: bool = False) -> DataFrame:
     """Takes the entities still unsupported out of the text, with what depends on them."""
     targets = F.flatten(F.transform("unsupported", lambda k: F.get("summary_ents", k)["i"]))
-    rows = rows.withColumn("_gone", _removable("summary_tokens", targets))
+    rows = settled(rows.withColumn("_targets", targets))
+    rows = settled(rows.withColumn("_gone", _removable("summary_tokens", "_targets")))
     cuts = F.transform(F.filter("summary_tokens", lambda t: F.array_contains("_gone", t["i"])), lambda t: F.struct(
         t["i"].alias("i"), t["idx"].alias("lo"), (t["idx"] + F.length(t["text"]) + F.length(t["whitespace"])).alias("hi")))
-    rows = rows.withColumn("_cuts", F.array_sort(cuts))
+    rows = settled(rows.withColumn("_cuts", F.array_sort(cuts)))
     start = F.struct(F.lit("").alias("text"), F.lit(0).cast("long").alias("at"))
     body = F.aggregate("_cuts", start, lambda acc, c: F.struct(
         F.concat(acc["text"], F.substring(F.col("summary"), (acc["at"] + 1).cast("int"), F.greatest(c["lo"] - acc["at"], F.lit(0)).cast("int"))).alias("text"), c["hi"].alias("at")))
@@ -120,10 +122,10 @@ def removed(rows: DataFrame, lowercase: bool = False) -> DataFrame:
     ents = F.transform(kept, lambda e: e.withField("start_idx", e["start_idx"] - before(F.get(e["i"], F.lit(0)))).withField(
         "end_idx", e["end_idx"] - before(F.get(e["i"], F.lit(0)))))
     tokens = F.transform(F.filter("summary_tokens", lambda t: ~F.array_contains("_gone", t["i"])), lambda t: t.withField("idx", t["idx"] - before(t["i"])))
-    done = rows.withColumn("_b", body).withColumn("_text", F.concat("_b.text", F.substr("summary", (F.col("_b.at") + 1).cast("int"))))
+    done = settled(rows.withColumn("_b", body)).withColumn("_text", F.concat("_b.text", F.substr("summary", (F.col("_b.at") + 1).cast("int"))))
     first_up = F.concat(F.upper(F.left("_text", F.lit(1))), F.substr("_text", F.lit(2)))
     return done.withColumn("summary_ents", ents).withColumn("summary_tokens", tokens).withColumn(
-        "summary", F.col("_text") if lowercase else first_up).drop("_gone", "_cuts", "_b", "_text")
+        "summary", F.col("_text") if lowercase else first_up).drop("_targets", "_gone", "_cuts", "_b", "_text")
 
 
 def corrected(rows: DataFrame, mode: str = "all", lowercase: bool = False) -> DataFrame:
@@ -165,20 +167,21 @@ def _draw(*key) -> Column:
 def _choices(rows: DataFrame, n: int) -> DataFrame:
     """Per negative the entity to perturb, drawn from ``eligible``."""
     pick = lambda r: F.get("eligible", (_draw("ent", F.col("doc_id"), r) % F.size("eligible")).cast("int"))
-    return rows.filter(F.size("eligible") > 0).withColumn("chosen", F.transform(F.sequence(F.lit(0), F.lit(n - 1)), pick))
+    some = settled(rows).filter(F.size("eligible") > 0)
+    return settled(some.withColumn("chosen", F.transform(F.sequence(F.lit(0), F.lit(n - 1)), pick)))
 
 
 def _written(rows: DataFrame, words: Column) -> DataFrame:
     """``doc_id, r, negative`` from one word per negative; when any has none, the document gets none."""
-    made = F.zip_with("chosen", words, lambda e, w: F.when(w.isNotNull(), F.concat(
+    made = F.zip_with("chosen", "_words", lambda e, w: F.when(w.isNotNull(), F.concat(
         F.left("summary", e["start_idx"].cast("int")), w, F.substr("summary", (e["end_idx"] + 1).cast("int")))))
-    full = rows.withColumn("_n", made).filter(F.forall("_n", lambda x: x.isNotNull()))
+    full = settled(settled(rows.withColumn("_words", words)).withColumn("_n", made)).filter(F.forall("_n", lambda x: x.isNotNull()))
     return full.select("doc_id", F.posexplode("_n").alias("r", "negative")).select("doc_id", F.col("r").cast("long").alias("r"), "negative")
 
 
 def factual(rows: DataFrame) -> DataFrame:
     """Adds ``factual``: summary entities the document supports."""
-    return rows.withColumn("factual", F.filter("summary_ents", lambda e: en.supported_by(e, F.col("document_ents"))))
+    return settled(rows.withColumn("factual", F.filter("summary_ents", lambda e: en.supported_by(e, F.col("document_ents")))))
 
 
 def _try_key(r: Column, t) -> Column:
@@ -187,7 +190,7 @@ def _try_key(r: Column, t) -> Column:
 
 def intrinsic_negatives(rows: DataFrame, n: int = 1) -> DataFrame:
     """Negatives whose new word comes from the same document; everything happens in the row."""
-    rows = factual(rows).withColumn("pool", document_dictionary(F.col("document_ents")))
+    rows = settled(factual(rows).withColumn("pool", document_dictionary(F.col("document_ents"))))
     pool = lambda e: F.element_at("pool", en.category(e["ent_type"]))
     rows = rows.withColumn("eligible", F.filter("factual", lambda e: F.exists(pool(e), lambda w: _differs(w, e))))
     rows = _choices(rows, n)
@@ -218,7 +221,7 @@ def extrinsic_negatives(rows: DataFrame, n: int = 1, pool: DataFrame | None = No
     large = words.join(F.broadcast(sizes.filter(F.col("n") > SMALL_POOL).select("category")), "category", "left_semi")
     ranked = rank_by_digest(large.withColumn("h", F.md5("word")), ["category"], "h", "idx", ["word"]).select("category", "idx", "word")
 
-    rows = factual(rows).withColumn("sizes", size_map)
+    rows = settled(factual(rows).withColumn("sizes", size_map))
     named = lambda e: F.exists(F.map_keys("sizes"), lambda k: _differs(k, e))
     rows = rows.withColumn("eligible", F.filter("factual", lambda e: F.map_contains_key("sizes", en.category(e["ent_type"])) & named(e)))
     rows = _choices(rows, n).withColumn("avoid", F.array_distinct(F.flatten(F.transform("document_ents", lambda d: d["tokens"]))))
@@ -226,13 +229,13 @@ def extrinsic_negatives(rows: DataFrame, n: int = 1, pool: DataFrame | None = No
     draws = F.flatten(F.transform("chosen", lambda e, r: F.transform(tries, lambda t: F.struct(
         r.cast("long").alias("r"), t.cast("long").alias("t"), en.category(e["ent_type"]).alias("category"),
         (_draw("word", F.col("doc_id"), r, t) % F.element_at("sizes", en.category(e["ent_type"]))).alias("idx")))))
-    rows = rows.withColumn("draws", draws)
+    rows = settled(rows.withColumn("draws", draws))
     far = (
         rows.select("doc_id", F.explode(F.filter("draws", lambda d: F.element_at("sizes", d["category"]) > SMALL_POOL)).alias("d"))
         .select("doc_id", "d.*").join(ranked, ["category", "idx"])
         .groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct(_try_key(F.col("r"), F.col("t")), F.col("word")))).alias("far"))
     )
-    rows = rows.join(far, "doc_id", "left").withColumn("near", small_map)
+    rows = settled(rows.join(far, "doc_id", "left").withColumn("near", small_map))
 
     def word(e: Column, r: Column) -> Column:
         mine = F.filter("draws", lambda d: d["r"] == r)
@@ -244,13 +247,17 @@ def extrinsic_negatives(rows: DataFrame, n: int = 1, pool: DataFrame | None = No
     return _written(rows, F.transform("chosen", word))
 
 
-def simple_tokens(summary: Column) -> Column:
-    """Blank-separated tokens with a rule-made dependency tree, for tables that come without a parse.
+def with_simple_tokens(rows: DataFrame) -> DataFrame:
+    """Adds ``summary_tokens`` by the rule below."""
+    return settled(settled(rows.withColumn("_w", F.split("summary", " "))).withColumn("summary_tokens", simple_tokens(F.col("_w"))).drop("_w"))
+
+
+def simple_tokens(w: Column) -> Column:
+    """Tokens from a list of words with a rule-made dependency tree, for tables that come without a parse.
 
     Short lower-case words are prepositions of the word before, the word after one is its object, capitalized words
     are compounds and all others objects of the first word, the root.
     """
-    w = F.split(summary, " ")
     prep = lambda k: (k > 0) & F.regexp_like(F.get(w, k), F.lit(r"^\p{Ll}{1,3}$"))
     pobj = lambda k: (k > 0) & ~prep(k) & prep(k - 1)
     link = lambda k: (prep(k) | pobj(k)) & (k < F.size(w))

@@ -10,6 +10,7 @@ from salience.functions import text as tx
 from salience.functions.matching import lcs, line_hits
 from salience.functions.stemming import stemmed
 from salience.functions.tdist import t_p_value
+from salience.operators.scale import settled
 
 ALPHA = 0.05
 DOMINANT = 4
@@ -46,7 +47,7 @@ def paired_scores(preds: DataFrame, use_stems: bool = False) -> DataFrame:
     """``doc_id, dataset, checkpoint, metric, a, b``, all computed in the row of the pair; nothing is shuffled."""
     toks = lambda c: stemmed(tx.tokens(F.col(c))) if use_stems else tx.tokens(F.col(c))
     rows = preds.select("doc_id", "dataset", "checkpoint", toks("reference").alias("r"), toks("summary_a").alias("a"), toks("summary_b").alias("b"))
-    scored = rows.select(
+    scored = settled(rows).select(
         "doc_id", "dataset", "checkpoint",
         *[F.struct(*(overlap_scores(F.col(s), F.col("r"), 1) + overlap_scores(F.col(s), F.col("r"), 2))).alias(f"s_{s}") for s in "ab"])
     each = F.explode(F.array(*[

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from salience.functions import text as tx
 from salience.functions import verdict as vd
+from salience.operators.scale import settled
 
 Z = 1.96
 EXPECTED_OUTPUT_TOKENS = 209
@@ -51,8 +52,8 @@ def one_order(preds: DataFrame, style: Column | None = None, **rule) -> DataFram
     rows = preds.withColumn("a_first", vd.a_in_first_slot(F.col("dataset"), F.col("checkpoint"), F.col("doc_id")))
     a, b = F.col("summary_a"), F.col("summary_b")
     slot_a, slot_b = vd.slot_texts(a, b, F.col("a_first"))
-    said = rows.withColumn("completion", rule_completion(F.col("reference"), slot_a, slot_b, **rule)).withColumn(
-        "prompt", vd.judge_prompt(style if style is not None else F.lit("news"), F.col("reference"), a, b, F.col("a_first")))
+    said = settled(rows.withColumn("completion", rule_completion(F.col("reference"), slot_a, slot_b, **rule)).withColumn(
+        "prompt", vd.judge_prompt(style if style is not None else F.lit("news"), F.col("reference"), a, b, F.col("a_first"))))
     return said.withColumn("raw_result", vd.raw_result(F.col("completion"))).withColumn(
         "winner", vd.winner(F.col("raw_result"), F.col("a_first"))).withColumn("feedback", vd.feedback(F.col("completion")))
 
@@ -61,7 +62,7 @@ def both_orders(preds: DataFrame, style: Column | None = None, **rule) -> DataFr
     """Each pair judged in both orders in one row; a verdict that does not survive the swap is a tie."""
     ref, a, b = F.col("reference"), F.col("summary_a"), F.col("summary_b")
     st = style if style is not None else F.lit("news")
-    said = preds.withColumn("c1", rule_completion(ref, a, b, **rule)).withColumn("c2", rule_completion(ref, b, a, **rule))
+    said = settled(preds.withColumn("c1", rule_completion(ref, a, b, **rule)).withColumn("c2", rule_completion(ref, b, a, **rule)))
     read = said.withColumn("raw_a_as_A", vd.raw_result(F.col("c1"))).withColumn("raw_a_as_B", vd.raw_result(F.col("c2")))
     won = read.withColumn("winner_a_as_A", vd.winner(F.col("raw_a_as_A"), F.lit(True))).withColumn(
         "winner_a_as_B", vd.winner(F.col("raw_a_as_B"), F.lit(False)))

@@ -12,6 +12,16 @@ BUCKET_DIGITS = 3
 BUCKETS = 16 ** BUCKET_DIGITS
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """The same rows with every column computed at this point, once.
+
+    Catalyst writes the expression behind a column into the places that use it, which for array functions may mean
+    once per element, and copies it into filters it pushes down. Columns that come out of a generator are left
+    alone, so each row passes through an array of one struct. Narrow, no shuffle.
+    """
+    return df.select(F.explode_outer(F.array(F.struct(*df.columns))).alias("_row")).select("_row.*")
+
+
 def heavy_keys(per_key: DataFrame, weight: str, most: int) -> Column:
     """True for keys that hold more than ``1/most`` of the summed weight.
 

@@ -45,7 +45,7 @@ def annotated(spark, sf):
 
 
 def parsed(spark, sf):
-    return annotated(spark, sf).withColumn("summary_tokens", ops.simple_tokens(F.col("summary")))
+    return ops.with_simple_tokens(annotated(spark, sf))
 
 
 @query("entity_annotation", """SELECT doc_id, 'summary' AS side, k, text, lo AS start_idx, hi AS end_idx, ent_type FROM sume

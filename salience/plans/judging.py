@@ -251,7 +251,7 @@ part("fold", """SELECT dataset, i, lo, c, c >= 30 AS full, 0 AS made FROM raw_bi
   UNION ALL SELECT b.dataset, b.i, CASE WHEN f.full THEN b.lo ELSE f.lo END, CASE WHEN f.full THEN b.c ELSE f.c + b.c END, CASE WHEN f.full THEN b.c ELSE f.c + b.c END >= 30, f.made + f.full::INT
   FROM fold f JOIN raw_bins b ON b.dataset = f.dataset AND b.i = f.i + 1""", "raw_bins")
 part("bins", """SELECT dataset, j, CASE WHEN j = 0 THEN -1000000000 ELSE lo END AS lo, coalesce(lead(lo) OVER w - 1, 1000000000) AS hi, weight FROM (
-  SELECT dataset, (row_number() OVER (PARTITION BY dataset ORDER BY i) - 1) AS j, lo, c + CASE WHEN row_number() OVER (PARTITION BY dataset ORDER BY i DESC) = 1 THEN rest ELSE 0 END AS weight FROM (
+  SELECT dataset, (row_number() OVER (PARTITION BY dataset ORDER BY i) - 1) AS j, lo, c + CASE WHEN "full" AND row_number() OVER (PARTITION BY dataset ORDER BY i DESC) = 1 THEN rest ELSE 0 END AS weight FROM (
     SELECT f.*, coalesce((SELECT c FROM fold z WHERE z.dataset = f.dataset AND NOT z.full AND z.i = (SELECT max(i) FROM fold y WHERE y.dataset = f.dataset)), 0) AS rest FROM fold f
     WHERE f.full OR (f.i = (SELECT max(i) FROM fold y WHERE y.dataset = f.dataset) AND NOT EXISTS (SELECT 1 FROM fold y WHERE y.dataset = f.dataset AND y.full))))
   WINDOW w AS (PARTITION BY dataset ORDER BY j)""", "fold")
