@@ -43,16 +43,18 @@ def overlap_scores(cand: Column, ref: Column, n: int) -> list[Column]:
     ]
 
 
-def paired_scores(preds: DataFrame, use_stems: bool = False) -> DataFrame:
+def paired_scores(preds: DataFrame, use_stems: bool = False, keep: list[Column] | None = None) -> DataFrame:
     """``doc_id, dataset, checkpoint, metric, a, b``, all computed in the row of the pair; nothing is shuffled."""
+    rest = keep or []
     toks = lambda c: stemmed(tx.tokens(F.col(c))) if use_stems else tx.tokens(F.col(c))
-    rows = preds.select("doc_id", "dataset", "checkpoint", toks("reference").alias("r"), toks("summary_a").alias("a"), toks("summary_b").alias("b"))
+    rows = preds.select("doc_id", "dataset", "checkpoint", toks("reference").alias("r"), toks("summary_a").alias("a"), toks("summary_b").alias("b"), *rest)
+    extra = rows.columns[6:]
     scored = settled(rows).select(
-        "doc_id", "dataset", "checkpoint",
+        "doc_id", "dataset", "checkpoint", *extra,
         *[F.struct(*(overlap_scores(F.col(s), F.col("r"), 1) + overlap_scores(F.col(s), F.col("r"), 2))).alias(f"s_{s}") for s in "ab"])
     each = F.explode(F.array(*[
         F.struct(F.lit(m).alias("metric"), F.col(f"s_a.{m}").alias("a"), F.col(f"s_b.{m}").alias("b")) for m in OVERLAP_METRICS]))
-    return scored.select("doc_id", "dataset", "checkpoint", each.alias("x")).select("doc_id", "dataset", "checkpoint", "x.*")
+    return scored.select("doc_id", "dataset", "checkpoint", *extra, each.alias("x")).select("doc_id", "dataset", "checkpoint", *extra, "x.*")
 
 
 def subsequence_scores(preds: DataFrame, use_stems: bool = True) -> DataFrame:
@@ -141,33 +143,33 @@ def result_matrix(paired: DataFrame, metrics: list[str]) -> DataFrame:
     return long_scores(paired).groupBy("dataset", "checkpoint", "system").pivot("metric", metrics).agg(tx.r6(F.avg("score")))
 
 
-def corpus_metric(paired: DataFrame, lengths: DataFrame, keys: list[str], replicates: int = 64) -> DataFrame:
+def corpus_metric(scores: DataFrame, keys: list[str], replicates: int = 64) -> DataFrame:
     """Mean and bootstrap median of each metric times 100, with the mean generated length.
 
-    A resample gives each document a Poisson(1) weight drawn from a digest of its key, so a replicate is a
-    weighted mean that needs no random state and no resampled copy. Documents are digested once for all metrics,
-    and weighted sums are combined map-side before the few replicate rows travel.
+    ``scores`` holds ``keys, system, metric, doc_id, score, gen_len``. A resample gives each document a Poisson(1)
+    weight drawn from a digest of its key, so a replicate is a weighted mean that needs no random state and no
+    resampled copy. Replicate -1 has weight 1 throughout and yields the plain means in the same pass; only partial sums
+    per replicate leave a task.
     """
-    digits = [tx.hex_number(F.col("_h"), 1 + 4 * i, 4) for i in range(8)]
-
     def weight(u: Column) -> Column:
         out = F.lit(len(POISSON_BOUNDS))
         for k in reversed(range(len(POISSON_BOUNDS))):
             out = F.when(u < POISSON_BOUNDS[k], k).otherwise(out)
         return out
 
-    scores = long_scores(paired)
-    blocks = scores.select(*keys, "system", "metric", "doc_id", "score", F.explode(F.sequence(F.lit(0), F.lit(replicates // 8 - 1))).alias("_k"))
-    drawn = blocks.withColumn("_h", tx.keyed_digest("boot", F.col("doc_id"), F.col("_k"))).select(
-        *keys, "system", "metric", "score", "_k", F.posexplode(F.array(*[weight(d) for d in digits])).alias("_i", "w"))
-    reps = drawn.groupBy(*keys, "system", "metric", (F.col("_k") * 8 + F.col("_i")).alias("rep")).agg(
-        F.sum(F.col("w") * F.col("score")).alias("s"), F.sum("w").alias("n"))
-    mids = reps.filter("n > 0").groupBy(*keys, "system", "metric").agg(F.percentile(F.col("s") / F.col("n"), F.lit(0.5)).alias("mid"))
-    means = scores.groupBy(*keys, "system", "metric").agg(F.avg("score").alias("mean"))
-    sizes = lengths.groupBy(*keys, "system").agg(F.avg("gen_len").alias("gen_len"))
-    out = means.join(mids, [*keys, "system", "metric"], "left").join(sizes, [*keys, "system"], "left")
-    return out.select(*keys, "system", "metric", F.round(F.col("mean") * 100, 4).alias("mean"),
-                      F.round(F.col("mid") * 100, 4).alias("boot_mid"), F.round("gen_len", 4).alias("gen_len"))
+    def draws(h: Column, block: Column) -> Column:
+        return F.array(*[F.struct((block * 8 + i).alias("rep"), weight(tx.hex_number(h, 1 + 4 * i, 4)).alias("w")) for i in range(8)])
+
+    whole = F.array(F.struct(F.lit(-1).alias("rep"), F.lit(1).alias("w")))
+    digests = F.transform(F.sequence(F.lit(0), F.lit(replicates // 8 - 1)), lambda k: tx.keyed_digest("boot", F.col("doc_id"), k))
+    blocks = F.flatten(F.transform(digests, draws))
+    drawn = scores.select(*keys, "system", "metric", "score", "gen_len", F.explode(F.concat(whole, blocks)).alias("d"))
+    reps = drawn.groupBy(*keys, "system", "metric", "d.rep").agg(
+        F.sum(F.col("d.w") * F.col("score")).alias("s"), F.sum("d.w").alias("n"), F.avg("gen_len").alias("len"))
+    of_all, mean = F.col("rep") == -1, F.col("s") / F.nullif("n", F.lit(0))
+    return reps.groupBy(*keys, "system", "metric").agg(
+        F.round(F.max(F.when(of_all, mean)) * 100, 4).alias("mean"), F.round(F.percentile(F.when(~of_all, mean), F.lit(0.5)) * 100, 4).alias("boot_mid"),
+        F.round(F.max(F.when(of_all, F.col("len"))), 4).alias("gen_len"))
 
 
 def widen(base: DataFrame, extra: DataFrame, keys: list[str], guard: str) -> DataFrame:

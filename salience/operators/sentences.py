@@ -14,14 +14,15 @@ from pyspark.sql import Window as W
 from salience.functions import text as tx
 
 
-def placed(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
-    """Text spread over the session's shuffle partitions.
+def placed(docs: DataFrame) -> DataFrame:
+    """Text spread over the session's shuffle partitions by document.
 
-    The number is given, so that adaptive execution does not merge partitions by their bytes: taking text apart
+    Always the same two columns, so that all operators of one query share a single exchange of the text. The number
+    is given, so that adaptive execution does not merge partitions by their bytes: taking text apart
     costs far more time than its size suggests.
     """
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return docs.select("doc_id", "text", *(keep or [])).repartition(n, "doc_id")
+    return docs.select("doc_id", "text").repartition(n, "doc_id")
 
 
 def sentence_rows(docs: DataFrame, extra: list[str] | None = None) -> DataFrame:

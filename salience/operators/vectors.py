@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from salience.functions.text import r6
-from salience.operators.scale import even_join
+from salience.operators.scale import even_join, heavy_keys
 
 TILE = 128
+CUTS = 64
 EPSILON = 1e-8
 SMALLEST_COUNT = 1e-9
 
@@ -79,14 +80,22 @@ def greedy_match(tokens: DataFrame, baseline: float | None = None) -> DataFrame:
 
     Each token takes its best cosine on the other side. Tokens are packed into tiles of at most 128, and one small
     matrix product per pair of tiles yields its row and column maxima, so neither long texts nor a pair with very
-    many tokens gathers in one place, and token pairs never become rows.
+    many tokens gathers in one place, and token pairs never become rows. A pair that holds much of the work is
+    spread over several join keys.
     """
     kept = tokens.filter(~F.col("special"))
     tiles = kept.groupBy("pair_id", "side", F.floor(F.col("pos") / TILE).alias("tile")).agg(
         F.array_sort(F.collect_list(F.struct("pos", as_doubles("v").alias("v")))).alias("t"))
-    side = lambda s, k: tiles.filter(F.col("side") == s).select(
-        "pair_id", F.transform("t", lambda x: x["pos"]).alias(f"{k}_pos"), F.transform("t", lambda x: x["v"]).alias(f"{k}_v"))
-    met = side("cand", "c").join(side("ref", "r"), "pair_id").withColumn("m", _tile_maxima("c_v", "r_v"))
+    # pairs that hold over 1/1000 of all tile products, at most 1000, are cut along the candidate tiles
+    n_tiles = lambda s: F.count_if(F.col("side") == s)
+    per_pair = tiles.select("pair_id", "side").groupBy("pair_id").agg(n_tiles("cand").alias("n"), (n_tiles("cand") * n_tiles("ref")).alias("_w"))
+    big = per_pair.filter(heavy_keys(per_pair, "_w", 1000) & (F.col("n") > 1)).select("pair_id", F.least("n", F.lit(CUTS)).alias("cuts"))
+    cut = tiles.join(F.broadcast(big), "pair_id", "left").withColumn("cuts", F.coalesce("cuts", F.lit(1)))
+    side = lambda s, k, part: cut.filter(F.col("side") == s).select(
+        "pair_id", part.alias("part"), F.transform("t", lambda x: x["pos"]).alias(f"{k}_pos"), F.transform("t", lambda x: x["v"]).alias(f"{k}_v"))
+    cand = side("cand", "c", F.pmod("tile", "cuts"))
+    ref = side("ref", "r", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cuts") - 1)))
+    met = cand.join(ref, ["pair_id", "part"]).withColumn("m", _tile_maxima("c_v", "r_v"))
     best = met.select("pair_id", F.explode(F.concat(
         F.zip_with("c_pos", "m.cand", lambda p, x: F.struct(F.lit("cand").alias("side"), p.alias("pos"), x.alias("x"))),
         F.zip_with("r_pos", "m.ref", lambda p, x: F.struct(F.lit("ref").alias("side"), p.alias("pos"), x.alias("x"))))).alias("b"))

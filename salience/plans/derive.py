@@ -86,7 +86,9 @@ def selections(docs: DataFrame) -> DataFrame:
 def predictions(spark: SparkSession, sf: str, with_text: bool = False) -> DataFrame:
     """One row per document that has words: reference and both systems' summaries."""
     docs = documents(spark, sf)
-    rows = placed(docs, ["lang", "source"]).join(selections(docs), "doc_id").withColumn("sents", tx.sentences(F.col("text")))
+    # the text is shuffled once: this exchange is the one the token counts use, and the labels travel alone
+    labels = docs.select("doc_id", "lang", "source")
+    rows = placed(docs).join(selections(docs), "doc_id").join(labels, "doc_id").withColumn("sents", tx.sentences(F.col("text")))
     pick = lambda sid: F.get("sents", F.col(sid).cast("int"))
     return rows.select(
         "doc_id", F.col("lang").alias("dataset"), F.col("source").alias("checkpoint"),

@@ -195,10 +195,10 @@ def result_matrix(spark, sf):
   JOIN (SELECT dataset, system, avg(len(regexp_extract_all(lower(summary), '[a-z0-9]+'))) AS gen_len FROM sysp GROUP BY ALL) USING (dataset, system)""", "score sysp")
 def corpus_metric(spark, sf):
     p = predictions(spark, sf)
-    lengths = p.unpivot(["doc_id", "dataset"], ["summary_a", "summary_b"], "system", "s").select(
-        "dataset", F.right("system", F.lit(1)).alias("system"), F.size(tx.tokens(F.col("s"))).alias("gen_len"))
-    chosen = evaluate.paired_scores(p).filter(F.col("metric").isin("rouge1", "rouge2"))
-    return evaluate.corpus_metric(chosen, lengths, ["dataset"])
+    size = lambda c: F.size(tx.tokens(F.col(c)))
+    chosen = evaluate.paired_scores(p, keep=[size("summary_a").alias("len_a"), size("summary_b").alias("len_b")]).filter(F.col("metric").isin("rouge1", "rouge2"))
+    each = F.explode(F.array(*[F.struct(F.lit(s).alias("system"), F.col(s).alias("score"), F.col(f"len_{s}").alias("gen_len")) for s in "ab"]))
+    return evaluate.corpus_metric(chosen.select("dataset", "metric", "doc_id", each.alias("x")).select("dataset", "metric", "doc_id", "x.*"), ["dataset"])
 
 
 @query("widened_results", """SELECT p.doc_id, p.dataset, p.checkpoint, p.summary_a, round(s.score, 6) AS f1, s.score IS NOT NULL AS guard_ok FROM pred p

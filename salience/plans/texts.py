@@ -64,12 +64,12 @@ def record_lines(spark, sf):
 
 @query("record_array_source", "SELECT source, count(*) AS n FROM documents GROUP BY source")
 def record_array(spark, sf):
-    # one array per source and bucket, gathered from short records only
+    # one array of at most 1000 records per line, so the file can still be split
     path = scratch_path(spark, "arrays")
-    recs = documents(spark, sf).select("source", F.to_json(F.struct("doc_id", "source")).alias("j"), (F.col("doc_id") % 64).alias("b"))
-    recs.groupBy("source", "b").agg(F.concat(F.lit("["), F.array_join(F.collect_list("j"), ","), F.lit("]")).alias("value")).select(
-        "value").write.option("lineSep", "\n").text(path)
-    return spark.read.schema("doc_id LONG, source STRING").json(path).groupBy("source").agg(F.count("*").alias("n"))
+    recs = documents(spark, sf).select(F.floor(F.col("doc_id") / 1000).alias("k"), F.to_json(F.struct("doc_id", "source")).alias("j"))
+    arrays = recs.groupBy("k").agg(F.concat(F.lit("["), F.array_join(F.collect_list("j"), ","), F.lit("]")).alias("value"))
+    arrays.select("value").write.text(path)
+    return src.read_record_array(spark, path, "doc_id LONG, source STRING", one_per_line=True).groupBy("source").agg(F.count("*").alias("n"))
 
 
 @query("metric_table_round_trip", "SELECT doc_id, sid, score FROM sel_a", "sel_a")

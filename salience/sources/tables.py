@@ -47,9 +47,9 @@ def merge_parts(spark: SparkSession, paths: list[str]) -> DataFrame:
     return spark.read.parquet(*paths)
 
 
-def read_record_array(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A file that holds one JSON array of records. Such a file cannot be split; use JSON lines for large data."""
-    return spark.read.schema(schema).option("multiLine", True).json(path)
+def read_record_array(spark: SparkSession, path: str, schema: str, one_per_line: bool = False) -> DataFrame:
+    """JSON arrays of records: one array per file, or one per line. A file that is one array cannot be split."""
+    return spark.read.schema(schema).option("multiLine", not one_per_line).json(path)
 
 
 def write_records(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
