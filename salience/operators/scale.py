@@ -87,7 +87,8 @@ def smallest_digests(df: DataFrame, groups: list[str], digest: str, n: int,
         .filter(F.col("_before") < n)
         .groupBy(*groups).agg(F.max("_bucket").alias("_last"))
     )
-    near = spread.join(reach, groups).filter(F.col("_bucket") <= F.col("_last")).drop("_bucket", "_last")
+    sizes = counts.groupBy(*groups).agg(F.sum("_n").alias("_size"))
+    near = even_join(spread, reach.join(sizes, groups), groups, "_size").filter(F.col("_bucket") <= F.col("_last")).drop("_bucket", "_last")
     return rank_by_digest(near, groups, digest, "_pick", tie).filter(F.col("_pick") < n).drop("_pick")
 
 

@@ -54,5 +54,9 @@ def token_counts(docs: DataFrame) -> DataFrame:
 
 
 def corpus_counts(docs: DataFrame) -> DataFrame:
-    """``w, c_all``. Counted map-side first; worth writing to a table when several jobs use one corpus."""
-    return placed(docs).select(F.explode(tx.tokens(F.col("text"))).alias("w")).groupBy("w").agg(F.count("*").alias("c_all"))
+    """``w, c_all``. Counted map-side first; worth writing to a table when several jobs use one corpus.
+
+    Joins on ``w`` add a null filter; having it here as well makes all uses in a query the same exchange.
+    """
+    words = placed(docs).select(F.explode(tx.tokens(F.col("text"))).alias("w")).filter(F.col("w").isNotNull())
+    return words.groupBy("w").agg(F.count("*").alias("c_all"))

@@ -10,8 +10,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from salience.functions import text as tx
 from salience.functions.text import r6
-from salience.operators.scale import even_join, heavy_keys
+from salience.operators.scale import even_join, heavy_keys, settled
+from salience.operators.sentences import placed
 
 TILE = 128
 CUTS = 64
@@ -157,3 +159,23 @@ def score_once(rows: DataFrame, column: str, score: Callable[[DataFrame], DataFr
     distinct = distinct_contexts(rows, column)
     results = score(distinct.select("context_hash", "text")).join(distinct.select("context_hash", "copies"), "context_hash")
     return even_join(rows.withColumn("context_hash", F.sha2(F.col(column), 256)), results, ["context_hash"], "copies")
+
+
+def encoded_context_similarity(docs: DataFrame, make_encoder: Callable[[], Callable], batch: int = 64) -> DataFrame:
+    """Cosine of each sentence and its leave-one-out text under any text encoder; a single sentence scores 0.
+
+    For encoders that are no sum over words, the leave-one-out texts have to be written out, one per sentence. Sentence
+    and context are encoded in one job and met again by key.
+    """
+    rows = placed(docs).select("doc_id", tx.sentences(F.col("text")).alias("sents"))
+    each = settled(rows).select("doc_id", "sents", F.posexplode("sents").alias("sid", "sent")).withColumn("sid", F.col("sid").cast("long"))
+    both = F.array(F.struct(F.lit("own").alias("side"), F.col("sent").alias("t")),
+                   F.struct(F.lit("rest").alias("side"), tx.other_sentences(F.col("sents"), F.col("sid")).alias("t")))
+    texts = each.select("doc_id", "sid", F.explode(both).alias("x")).select(
+        F.concat_ws(":", "doc_id", "sid", "x.side").alias("key"), "x.t")
+    part = F.split("key", ":")
+    coded = encode_texts(texts, "key", "t", make_encoder, batch).select(
+        part[0].cast("long").alias("doc_id"), part[1].cast("long").alias("sid"), part[2].alias("side"), "v")
+    of = lambda s: F.max(F.when(F.col("side") == s, F.col("v")))
+    met = coded.groupBy("doc_id", "sid").agg(of("own").alias("a"), of("rest").alias("b"))
+    return met.select("doc_id", "sid", r6(F.coalesce(F.try_divide(dot(F.col("a"), F.col("b")), norm(F.col("a")) * norm(F.col("b"))), F.lit(0.0))).alias("score"))

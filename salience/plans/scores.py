@@ -179,6 +179,11 @@ def encoded_sentences(spark, sf):
     return made.select("id", tx.r6(vectors.norm(F.col("v"))).alias("length"))
 
 
+@query("encoded_context_similarity")
+def encoded_context_similarity(spark, sf):
+    return vectors.encoded_context_similarity(documents(spark, sf), vectors.hashed_bag_encoder)
+
+
 @query("distinct_contexts", "SELECT sha256(text) AS context_hash, any_value(text) AS text, count(*) AS copies FROM documents GROUP BY text")
 def distinct_contexts(spark, sf):
     return vectors.distinct_contexts(documents(spark, sf), "text")

@@ -212,3 +212,41 @@ def test_seeded_subset_is_the_same_for_all_checkpoints(spark):
     df = spark.range(60).select((F.col("id") % 20).alias("doc"), (F.col("id") / 20).cast("int").alias("ckpt"), F.lit("d").alias("ds"))
     got = select.seeded_subset(df, "ds", "doc", 5).groupBy("doc").count().collect()
     assert len(got) == 5 and all(r["count"] == 3 for r in got)
+
+
+def test_context_similarity_by_encoder(docs):
+    """The general encoder job and the shortcut for linear encoders agree on what a sentence shares with the rest."""
+    from salience.operators.vectors import encoded_context_similarity, hashed_bag_encoder
+    encode = hashed_bag_encoder(64)
+    want = {}
+    for d, text in DOCS:
+        s = split(text)
+        for i, x in enumerate(s):
+            a, b = encode([x, " ".join(y for j, y in enumerate(s) if j != i)])
+            want[d, i] = round(float(a @ b), 6)
+    assert collected(encoded_context_similarity(docs, hashed_bag_encoder)) == pytest.approx(want, abs=2e-6)
+    linear = collected(scoring.hashed_context_similarity(docs, 4096))
+    exact = {}
+    for d, text in DOCS:
+        s = split(text)
+        for i, x in enumerate(s):
+            own = collections.Counter(toks(x))
+            rest = collections.Counter(w for j, y in enumerate(s) if j != i for w in toks(y))
+            size = math.sqrt(sum(c * c for c in own.values()) * sum(c * c for c in rest.values()))
+            if own:
+                exact[d, i] = round(sum(c * rest[w] for w, c in own.items()) / size, 6) if size else 0.0
+    assert linear == pytest.approx(exact, abs=2e-6)
+
+
+def test_hot_pairs_are_cut(spark, monkeypatch):
+    """One pair with almost all tokens gives the same result however it is cut."""
+    import numpy as np
+    rng = np.random.default_rng(5)
+    rows = [(1, s, i, False, [float(x) for x in rng.normal(size=3)]) for s in ("cand", "ref") for i in range(40)]
+    rows += [(2, s, 0, False, [1.0, 0.0, 0.0]) for s in ("cand", "ref")]
+    df = spark.createDataFrame(rows, "pair_id LONG, side STRING, pos LONG, special BOOLEAN, v ARRAY<DOUBLE>")
+    want = sorted(map(tuple, vectors.greedy_match(df).collect()))
+    monkeypatch.setattr(vectors, "TILE", 4)
+    for cuts in (1, 3, 64):
+        monkeypatch.setattr(vectors, "CUTS", cuts)
+        assert sorted(map(tuple, vectors.greedy_match(df).collect())) == want
