@@ -184,6 +184,11 @@ def factual(rows: DataFrame) -> DataFrame:
     return settled(rows.withColumn("factual", F.filter("summary_ents", lambda e: en.supported_by(e, F.col("document_ents")))))
 
 
+def _first_good(drawn: Column, good) -> Column:
+    """The first drawn word that passes; later ones are not tested."""
+    return F.aggregate(drawn, F.lit(None).cast("string"), lambda found, w: F.when(found.isNotNull(), found).when(good(w), w))
+
+
 def _try_key(r: Column, t) -> Column:
     return F.concat_ws("/", r.cast("string"), t.cast("string"))
 
@@ -199,7 +204,7 @@ def intrinsic_negatives(rows: DataFrame, n: int = 1) -> DataFrame:
     def word(e: Column, r: Column) -> Column:
         p = pool(e)
         drawn = F.transform(tries, lambda t: F.get(p, (_draw("word", F.col("doc_id"), r, t) % F.size(p)).cast("int")))
-        return F.get(F.filter(drawn, lambda w: _differs(w, e)), F.lit(0))
+        return _first_good(drawn, lambda w: _differs(w, e))
 
     return _written(rows, F.transform("chosen", word))
 
@@ -242,7 +247,7 @@ def extrinsic_negatives(rows: DataFrame, n: int = 1, pool: DataFrame | None = No
         drawn = F.transform(mine, lambda d: F.coalesce(
             F.try_element_at("far", _try_key(d["r"], d["t"])), F.get(F.try_element_at("near", d["category"]), d["idx"].cast("int"))))
         good = lambda w: _differs(w, e) & ~F.exists("avoid", lambda a: F.contains(w, a) | F.contains(a, w))
-        return F.get(F.filter(drawn, good), F.lit(0))
+        return _first_good(drawn, good)
 
     return _written(rows, F.transform("chosen", word))
 

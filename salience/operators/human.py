@@ -63,7 +63,7 @@ def slot_rates(rows: DataFrame) -> DataFrame:
 def annotator_pairs(votes: DataFrame) -> DataFrame:
     """``dimension, first, second, x, y, n``: how often two annotators gave which votes to the same item.
 
-    An item's ballot is one vote per panel member. Equal ballots are counted first and pairs are formed once per
+    An item's ballot is one vote per panel member, so its length is the size of the panel, not of the data. Equal ballots are counted first and pairs are formed once per
     distinct ballot, so the work grows with the number of different ballots rather than with the items.
     """
     ballots = votes.groupBy("item", "dimension").agg(F.array_sort(F.collect_list(F.struct("annotator", "vote"))).alias("ballot"))

@@ -37,6 +37,8 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     if not root:
         root = spark.conf.get("spark.salience.scratch", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors reach")
         root = tempfile.mkdtemp(prefix="salience-")
         spark.conf.set("spark.salience.scratch", root)
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"

@@ -208,7 +208,7 @@ def test_packet_and_key(spark, tmp_path):
     (tmp_path / "p.txt").write_text("Instructions\n\n" + item(1, "x") + item(12, "y z"))
     rows = {r["item"]: r for r in packets.read_packets(spark, str(tmp_path / "p.txt")).collect()}
     assert rows[1]["document"] == "long\ntext 1" and rows[12]["candidate_a"] == "y z" and rows[12]["candidate_b"] == "bee"
-    (tmp_path / "k.txt").write_text("key\n    1      1  cnn         7162  rouge         pmi\n   12      1  cnn         71  pmi         pmi\nend\n")
+    (tmp_path / "k.txt").write_text("key\n    1      4  news          88  b             a\n   12      4  news          97  a             a\nend\n")
     key = packets.read_answer_key(spark, str(tmp_path / "k.txt"))
     assert key.count() == 2
     with pytest.raises(checks.DataError):
@@ -219,7 +219,7 @@ def test_reports(spark, tmp_path):
     text = ("Paired t-test statistic for <x> dataset for 'r1' metric between both models: 2.2\n"
             "Paired t-test p-value for <x> dataset for 'r1' metric between both models: 0.027\n--> The first model (P) mean is HIGHER than the second model (R) for <x> dataset.\n"
             "Paired t-test p-value for <x> dataset for 'r2' metric between both models: 1.5e-07\n--> The first model (P) mean is LOWER than the second model (R) for <y> dataset.\n")
-    (tmp_path / "t-test - 13M dataset-3M pt-100K.txt").write_text(text)
+    (tmp_path / "results-3M pt-final.txt").write_text(text)
     got = sorted((r["metric"], r["checkpoint"], r["p_raw"], r["direction"], r["mismatch"]) for r in reports.read_reports(spark, str(tmp_path)).collect())
     assert got == [("r1", "3M", 0.027, "HIGHER", False), ("r2", "3M", 1.5e-07, None, False)]
 
