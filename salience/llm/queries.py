@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from salience.llm import mixing, packing, pii
+from salience.llm import counts, mixing, packing, pii, quality
 from salience.plans.registry import table
 
 QUERIES = {}
@@ -39,6 +39,19 @@ def op1_pii(spark: SparkSession, sf: str) -> DataFrame:
         F.array_join(F.transform("spans", place), ",").alias("spans"))
 
 
+@query("op3_token_counts")
+def op3_token_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return counts.token_counts(table(spark, sf, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query("op5_quality")
+def op5_quality(spark: SparkSession, sf: str) -> DataFrame:
+    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    model = quality.fit(docs, labels.filter(~held_out(F.col("doc_id"), 4, 2)))
+    scored = quality.score(docs, model)
+    return scored.select("doc_id", held_out(F.col("doc_id"), 4, 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 MIX_SQL = r"""
 WITH sized AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size
