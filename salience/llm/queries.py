@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from salience.llm import counts, mixing, neighbours, packing, pii, pivots, quality
+from salience.llm import counts, jaccard, mixing, neighbours, packing, pii, pivots, quality
 from salience.plans.registry import table
 
 QUERIES = {}
@@ -114,3 +114,8 @@ def op6_mixing(spark: SparkSession, sf: str) -> DataFrame:
 @query("op10_packing")
 def op10_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack(table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query("op2_jaccard")
+def op2_jaccard(spark: SparkSession, sf: str) -> DataFrame:
+    return jaccard.link(table(spark, sf, "documents"), words=4, num=85, den=100)
