@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from salience.llm import counts, jaccard, mixing, neighbours, packing, pii, pivots, quality
+from salience.llm import counts, jaccard, lines, mixing, neighbours, packing, pii, pivots, quality
 from salience.plans.registry import table
 
 QUERIES = {}
@@ -119,3 +119,14 @@ def op10_packing(spark: SparkSession, sf: str) -> DataFrame:
 @query("op2_jaccard")
 def op2_jaccard(spark: SparkSession, sf: str) -> DataFrame:
     return jaccard.link(table(spark, sf, "documents"), words=4, num=85, den=100)
+
+
+@query("op7_lines")
+def op7_lines(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    removed = lines.removed_lines(docs)
+    own = docs.select("doc_id", F.coalesce("doc_id", F.lit(lines.NULL_ID)).alias("id"), F.xxhash64("text").alias("hash"),
+                      F.when(F.length("text") > 0, F.size(F.split("text", "\n", -1))).otherwise(0).cast("long").alias("n_lines"))
+    return own.join(removed, ["id", "hash"], "left").select(
+        "doc_id", "n_lines", F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"),
+        F.coalesce(F.array_join("removed", ","), F.lit("")).alias("removed"))

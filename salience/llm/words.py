@@ -48,13 +48,14 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
+def shingled(hashes: np.ndarray, width: int) -> np.ndarray:
+    """A hash for every ``width`` consecutive words."""
+    total = np.full(max(0, len(hashes) - width + 1), width, np.uint64)
+    for i in range(width):
+        total = mixed(total + hashes[i:i + len(total)] * _ODD[i % len(_ODD)])
+    return total
+
+
 def shingles(hashes: np.ndarray, size: int) -> np.ndarray:
     """Sorted distinct hashes of ``size`` consecutive words; a shorter text is one shingle, an empty one none."""
-    n = len(hashes)
-    if n == 0:
-        return hashes
-    width = min(n, size)
-    total = np.full(n - width + 1, width, np.uint64)
-    for i in range(width):
-        total = mixed(total + hashes[i:n - width + 1 + i] * _ODD[i % len(_ODD)])
-    return np.unique(total)
+    return np.unique(shingled(hashes, min(len(hashes), size))) if len(hashes) else hashes
