@@ -1,6 +1,60 @@
-"""Placeholder until the stages exist."""
+"""From raw documents to packed training sequences: quality, line dedup, near copies, source mix, packing.
+
+Each stage is a function of (spark, docs, sf_dir); its result is written and read again as the next one's documents. All
+but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from salience.llm import jaccard, lines, mixing, packing, quality
+from salience.session import scratch_path, ship
+
+#: SQL cannot express the classifier; tests hold the stages against brute force.
 ORACLE_SQL = None
-STAGES = []
+KEEP = 0.7
+
+
+def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go."""
+    labels = spark.read.parquet(f"{sf_dir.rstrip('/')}/labels.parquet")
+    model = quality.fit(docs, labels)
+    return docs.filter(quality.score_of(docs, model, F.col("text")) >= KEEP)
+
+
+def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that repeat earlier ones go, and with them documents of which nothing else is left."""
+    return lines.dedup_lines(docs, drop_emptied=True).withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars")))
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies the document with the smallest id stays."""
+    linked = jaccard.link(docs)
+    copies = linked.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
+    return docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the source mix takes them."""
+    return mixing.mixed_documents(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents in token sequences."""
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [("quality", classify), ("line_dedup", drop_lines), ("near_copies", drop_copies), ("mixing", mix_sources), ("packing", pack)]
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    ship(spark)
+    docs = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        path = scratch_path(spark, name)
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return STAGES[-1][1](spark, docs, sf_dir)
