@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from salience.llm import counts, jaccard, lines, mixing, neighbours, packing, pii, pivots, quality
+from salience.llm import counts, jaccard, lines, mixing, neighbours, packing, pii, pivots, quality, scoring
 from salience.plans.registry import table
 
 QUERIES = {}
@@ -130,3 +130,10 @@ def op7_lines(spark: SparkSession, sf: str) -> DataFrame:
     return own.join(removed, ["id", "hash"], "left").select(
         "doc_id", "n_lines", F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"),
         F.coalesce(F.array_join("removed", ","), F.lit("")).alias("removed"))
+
+
+@query("op8_scoring")
+def op8_scoring(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    scored = scoring.score(docs, ~held_out(F.col("doc_id"), 5, 1))
+    return scored.select("doc_id", held_out(F.col("doc_id"), 5, 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
