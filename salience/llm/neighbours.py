@@ -19,6 +19,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from salience.llm.blocks import best_partners, matrix, ranked, usable
@@ -61,8 +62,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
     rows = usable(vectors, id_col, vec_col, zero=False)
     single = dict(vectors.dtypes)[vec_col] == "array<float>"
     dtype = "<f4" if single else "<f8"
-    largest = rows.agg(F.max(F.sqrt(F.aggregate("x", F.lit(0.0), lambda a, c: a + c * c)))).scalar()
-    most = rows.select(largest).first()[0]
+    most = rows.agg(F.max(F.sqrt(F.aggregate("x", F.lit(0.0), lambda a, c: a + c * c)))).first()[0]
     flat = rows.select(F.col("id").cast("long").alias("id"), "x", is_query.alias("asks"))
 
     def keyed(query: bool):
@@ -141,8 +141,6 @@ def _width(indexed: DataFrame, asking: DataFrame, cuts: list[np.ndarray], dtype:
                 names=["query", "id", "score", "gap"])
 
     best = indexed.mapInArrow(gaps, "query long, id long, score double, gap double").filter(F.col("score") > float("-inf"))
-    from pyspark.sql import Window as W
-
     order = W.partitionBy("query").orderBy(F.desc("score"), "id")
     reach = best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).agg(F.percentile("gap", aim)).first()[0]
     return float(reach or 0.0) + 1.0 / QUANTILES

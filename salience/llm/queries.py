@@ -24,7 +24,7 @@ def query(name: str, sql: str | None = None):
 
 
 def held_out(doc_id: Column, folds: int, fold: int) -> Column:
-    return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(folds)) == fold
+    return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(folds)) == fold, F.lit(False))
 
 
 @query("op1_pii")
