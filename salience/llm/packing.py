@@ -1,6 +1,6 @@
 """Packing documents into token sequences along a space-filling curve.
 
-A document's word hashes are counted in ``BUCKETS`` buckets, the unit vector of the counts is projected to ``DIMS`` fixed
+A document's byte triples are hashed into ``BUCKETS`` counts, the unit vector of the counts is projected to ``DIMS`` fixed
 directions, and the Hilbert key of the projection orders the documents: one range shuffle of the texts puts neighbours on
 the curve next to each other. Each range is then tokenized in order and cut every ``length`` tokens, so documents of one
 sequence resemble each other and only the end of a range is left over. That end is cut into powers of two, which need no
@@ -13,6 +13,7 @@ sequences as they need. Repeated rows are packed as often as they occur. An empt
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -23,51 +24,104 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from salience.llm.hilbert import directions, even, hilbert_keys
-from salience.llm.words import as_bytes, word_hashes
+from salience.llm.words import as_bytes
 from salience.session import ship
 
 BUCKETS = 256
 DIMS = 4
 BITS = 12
 LENGTH = 4096
-#: Distinct words whose ids a worker remembers.
-REMEMBERED = 300_000
+#: Distinct words of a generation whose ids a worker remembers.
+REMEMBERED = 400_000
 
 _PROJECTION = directions(BUCKETS, DIMS, 10)
 _tokens: dict[str, "_WordIds"] = {}
 
 
-class _WordIds(dict):
+#: Letters whose small form is one letter and which no normalization changes, then other printable ASCII signs but digits
+#: and the apostrophe, which may start a contraction.
+_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)\Z")
+_PROBES = ["word", "Word,", "ÉTÉ.", "mañana", "straße!!", "x|", "thhaen.***", "aß_", "Über---", "a", "öÖ%%%"]
+
+
+def _byte_signs() -> dict[int, int]:
+    """The sign that stands for each byte in byte-level vocabularies: itself if it prints, else the next one from 256 on."""
+    prints = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = [b for b in range(256) if b not in prints]
+    return {b: 256 + i for i, b in enumerate(others)}
+
+
+class _WordIds:
     """Token ids of words as little-endian bytes.
 
-    The tokenizer drops white space and no token crosses it, so a text's ids are those of its words in a row.
+    The tokenizer drops white space and no token crosses it, so a text's ids are those of its words in a row. A word of
+    plain letters with plain marks behind it goes straight to the tokenizer's model, letters and marks apart, if that
+    gives what the whole tokenizer gives for some probes; other words go through the whole tokenizer. Words not met for a
+    while are forgotten: the table has two generations of bounded size.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-
-    def __missing__(self, word: bytes) -> bytes:
-        ids = self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids
-        value = self[word] = np.asarray(ids, "<u4").tobytes()
-        return value
-
-
-def ids_of(text: bytes | None, path: str, end_id: int) -> bytes:
+        self.model = self.tokenizer.model
+        self.signs = _byte_signs()
+        self.now: dict[bytes, bytes] = {}
+        self.before: dict[bytes, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+        self.straight = all(self._straight(p) == self._whole(p) for p in _PROBES)
+
+    def _whole(self, word: str) -> bytes:
+        return np.asarray(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _part(self, part: str) -> bytes:
+        ids = self.parts.get(part)
+        if ids is None:
+            tokens = self.model.tokenize(part if part.isascii() else part.encode().decode("latin-1").translate(self.signs))
+            ids = self.parts[part] = np.array([t.id for t in tokens], "<u4").tobytes()
+        return ids
+
+    def _straight(self, word: str) -> bytes | None:
+        plain = _PLAIN.match(word)
+        if plain is None:
+            return None
+        ids = self._part(plain[1].lower())
+        return ids + self._part(plain[2]) if plain[2] else ids
+
+    def learn(self, words: set[bytes]) -> None:
+        if len(self.now) > REMEMBERED:
+            self.before, self.now = self.now, {}
+        if len(self.parts) > REMEMBERED:
+            self.parts.clear()
+        now, before = self.now, self.before
+        for word in words:
+            if word not in now:
+                ids = before.get(word)
+                if ids is None:
+                    text = word.decode("utf-8", "replace")
+                    ids = self._straight(text) if self.straight else None
+                    if ids is None:
+                        ids = self._whole(text)
+                now[word] = ids
+
+
+def ids_of(texts: list[bytes | None], path: str, end_id: int) -> list[bytes]:
+    """The token ids of each text with ``end_id`` behind them."""
     table = _tokens.get(path)
     if table is None:
         table = _tokens[path] = _WordIds(path)
-    if len(table) > REMEMBERED:
-        table.clear()
-    return b"".join(map(table.__getitem__, (text or b"").split())) + end_id.to_bytes(4, "little")
+    words = [(t or b"").split() for t in texts]
+    table.learn(set().union(*words))
+    end, get = end_id.to_bytes(4, "little"), table.now.__getitem__
+    return [b"".join(map(get, ws)) + end for ws in words]
 
 
 def curve_keys(texts: list[bytes | None]) -> np.ndarray:
     counts = np.zeros((len(texts), BUCKETS))
     for i, text in enumerate(texts):
-        if text:
-            counts[i] = np.bincount((word_hashes(text.lower().split()) >> np.uint64(56)).astype(np.int64), minlength=BUCKETS)
+        if text and len(text) > 2:
+            signs = np.frombuffer(text, np.uint8)
+            counts[i] = np.bincount(signs[2:] * np.uint8(101) + signs[1:-1] * np.uint8(37) + signs[:-2], minlength=BUCKETS)
     norms = np.linalg.norm(counts, axis=1, keepdims=True)
     units = counts / np.where(norms == 0, 1, norms)
     points = (units - 1 / np.sqrt(BUCKETS)) @ _PROJECTION * np.sqrt(BUCKETS)
@@ -143,8 +197,9 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, length: int = LENGTH,
             id_type = batch.schema.field("doc_id").type
             texts = batch.column("text")
             for at in range(0, len(texts), 500):
-                for doc_id, text in zip(batch.column("doc_id").slice(at, 500).to_pylist(), as_bytes(texts.slice(at, 500))):
-                    pieces.extend(cutter.add(doc_id, ids_of(text, tokenizer, end_id)))
+                ids = ids_of(as_bytes(texts.slice(at, 500)), tokenizer, end_id)
+                for doc_id, own in zip(batch.column("doc_id").slice(at, 500).to_pylist(), ids):
+                    pieces.extend(cutter.add(doc_id, own))
                     if len(pieces) > 20_000:
                         yield batch_of(pieces)
                         pieces = []
