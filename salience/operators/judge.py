@@ -17,19 +17,18 @@ Z = 1.96
 EXPECTED_OUTPUT_TOKENS = 209
 
 
-def rule_completion(reference: Column, slot_a: Column, slot_b: Column, bonus: int = 1, margin: int = 1, limit: int = 400) -> Column:
+def rule_completion(reference: Column, slot_a: Column, slot_b: Column, bonus: int = 1, margin: int = 1) -> Column:
     """A judge by rule, in the output form of a model: words shared with the reference decide.
 
-    ``bonus`` favours slot A as models do, a lead up to ``margin`` is a tie, and output stops at ``limit``
-    characters, so long feedback loses its tag.
+    ``bonus`` favours slot A as models do, and a lead up to ``margin`` is a tie. The verdict does not depend on lengths.
     """
     kinds = lambda x: F.array_distinct(tx.tokens(x))
     shared = lambda x: F.size(F.array_intersect(kinds(x), kinds(reference)))
     a, b = shared(slot_a), shared(slot_b)
     lead = a + bonus - b
     pick = F.when(lead > margin, "A").when(lead < -margin, "B").otherwise("TIE")
-    return F.left(F.concat(F.lit("Feedback: A shares "), a.cast("string"), F.lit(" words and B shares "), b.cast("string"),
-                           F.lit(". A reads: "), slot_a, F.lit(" [RESULT] "), pick), F.lit(limit))
+    return F.concat(F.lit("Feedback: A shares "), a.cast("string"), F.lit(" words and B shares "), b.cast("string"),
+                    F.lit(" with the reference. [RESULT] "), pick)
 
 
 def run_judge(prompts: DataFrame, keys: list[str], make_judge: Callable[[], Callable[[list[str]], list[str]]], batch: int = 32) -> DataFrame:

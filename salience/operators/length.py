@@ -133,7 +133,8 @@ def trend(rates: DataFrame) -> DataFrame:
         F.regr_sxx(y, x).alias("sxx"), F.regr_sxy(y, x).alias("sxy"), F.regr_syy(y, x).alias("syy"))
     rest = F.greatest(F.col("syy") - F.col("sxy") * F.col("sxy") / F.col("sxx"), F.lit(0.0))
     se = F.sqrt(rest / (F.col("n") - 2) / F.col("sxx"))
-    return s.filter("n >= 3").select("dataset", "n", r6(F.col("slope")).alias("slope"), r6(F.col("intercept")).alias("intercept"),
+    # without different steps there is no slope
+    return s.filter("n >= 3 AND sxx > 0").select("dataset", "n", r6(F.col("slope")).alias("slope"), r6(F.col("intercept")).alias("intercept"),
                                      r6(T_6 * se).alias("half_ci"), (F.abs("slope") > T_6 * se).alias("significant"))
 
 

@@ -4,30 +4,41 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from salience.functions import text as tx
+from salience.functions import documents as dc
 from salience.functions.matching import lcs_with_rest
 from salience.operators.scale import heavy_keys
-from salience.operators.sentences import corpus_counts, placed, sentence_tokens, token_counts
+from salience.operators.sentences import corpus_counts, n_tokens, sentence_words, token_lists
 
 SMOOTHING = 64.0
 HEAVY_WORDS = 100_000
-HASH_BUCKETS = 64
+HASH_BUCKETS = dc.HASH_BUCKETS
 
 
 def _ratio(top: Column, bottom: Column) -> Column:
     return F.when(bottom > 0, F.lit(2.0) * top / bottom).otherwise(F.lit(0.0))
 
 
+def _per_sentence(docs: DataFrame, name: str, scores: Column) -> DataFrame:
+    """``doc_id, n_doc, sid, n_sent`` and the sentence's element of an array computed from ``lists``; narrow."""
+    found = token_lists(docs).select(
+        "doc_id", n_tokens("lists").alias("n_doc"), F.transform("lists", lambda t: F.size(t).cast("long")).alias("n_sent"), scores.alias(name))
+    rows = found.select("doc_id", "n_doc", F.posexplode(F.arrays_zip("n_sent", name)).alias("sid", "x"))
+    return rows.select("doc_id", "n_doc", F.col("sid").cast("long").alias("sid"), "x.*")
+
+
 def rouge1(docs: DataFrame) -> DataFrame:
-    """F1 of shared words between a sentence and the others: ``2 * shared / words in the document``."""
-    return (
-        token_counts(docs)
-        .groupBy("doc_id", "sid")
-        .agg(F.sum(F.least("c", F.col("c_doc") - F.col("c"))).alias("overlap"), F.max("n_doc").alias("n_doc"))
-        .select("doc_id", "sid", "overlap", "n_doc", tx.r6(_ratio(F.col("overlap"), F.col("n_doc"))).alias("score"))
-    )
+    """F1 of shared words between a sentence and the others: ``2 * shared / words in the document``; narrow."""
+    rows = _per_sentence(docs, "overlap", dc.word_overlaps("lists"))
+    return rows.select("doc_id", "sid", "overlap", "n_doc", tx.r6(_ratio(F.col("overlap"), F.col("n_doc"))).alias("score"))
+
+
+def rouge1_list(docs: DataFrame) -> DataFrame:
+    """``doc_id, sents, scores``: the same as an array in the row of the document, for choices that need no join."""
+    rows = docs.select("doc_id", tx.sentences(F.col("text")).alias("sents"), F.transform(tx.sentences(F.col("text")), tx.tokens).alias("lists"))
+    scored = rows.select("doc_id", "sents", n_tokens("lists").alias("n_doc"), dc.word_overlaps("lists").alias("overlaps"))
+    return scored.select("doc_id", "sents", F.transform("overlaps", lambda o: tx.r6(_ratio(o, F.col("n_doc")))).alias("scores"))
 
 
 def rouge2(docs: DataFrame) -> DataFrame:
@@ -36,49 +47,15 @@ def rouge2(docs: DataFrame) -> DataFrame:
     Taking a sentence out of the text removes its own pairs and the pairs at its two borders, and makes one new
     pair where the neighbours meet; only the counts of the sentence's own pairs matter for the overlap.
     """
-    lists = placed(docs).select(
-        "doc_id", F.transform(tx.sentences(F.col("text")), lambda s, i: F.struct(i.alias("sid"), tx.tokens(s).alias("toks"))).alias("all"))
-    filled = lists.select("doc_id", F.filter("all", lambda x: F.size(x["toks"]) > 0).alias("x"))
-    edged = filled.select(
-        "doc_id", "x",
-        F.transform("x", lambda s: F.element_at(s["toks"], 1)).alias("firsts"),
-        F.transform("x", lambda s: F.element_at(s["toks"], -1)).alias("lasts"),
-        F.aggregate("x", F.lit(0).cast("long"), lambda n, s: n + F.size(s["toks"])).alias("n_doc"))
-    rows = edged.select("doc_id", "n_doc", "firsts", "lasts", F.posexplode_outer("x").alias("k", "s"))
-    before, after = F.get("lasts", F.col("k") - 1), F.get("firsts", F.col("k") + 1)
-    first, last = F.get("firsts", F.col("k")), F.get("lasts", F.col("k"))
-    pair = lambda a, b: F.when(a.isNotNull() & b.isNotNull(), F.concat(a, F.lit(" "), b))
-    own = F.transform(tx.ngrams2(F.col("s.toks")), lambda g: F.struct(g.alias("g"), F.lit(True).alias("own")))
-    border = F.when(after.isNotNull(), F.array(F.struct(pair(last, after).alias("g"), F.lit(False).alias("own")))).otherwise(
-        F.array().cast("array<struct<g:string,own:boolean>>"))
-    keys = ["doc_id", "n_doc", "sid", "n_sent", "g_before", "g_after", "g_joint"]
-    grams = rows.filter("s IS NOT NULL").select(
-        "doc_id", "n_doc", F.col("s.sid").cast("long").alias("sid"), F.size("s.toks").cast("long").alias("n_sent"),
-        pair(before, first).alias("g_before"), pair(last, after).alias("g_after"), pair(before, after).alias("g_joint"),
-        F.explode_outer(F.concat(own, border)).alias("x"))
-    counts = grams.groupBy(*keys, F.col("x.g").alias("g"), F.col("x.own").alias("own")).agg(F.count("*").alias("c"))
-    total = counts.withColumn("c_doc", F.sum("c").over(W.partitionBy("doc_id", "g")))
-    one = lambda cond: F.when(cond, 1).otherwise(0)
-    rest = (F.col("c_doc") - F.col("c") - one(F.col("g") == F.col("g_before")) - one(F.col("g") == F.col("g_after"))
-            + one(F.col("g") == F.col("g_joint")))
-    scored = total.groupBy("doc_id", "n_doc", "sid", "n_sent").agg(
-        F.coalesce(F.sum(F.when(F.col("own"), F.least(F.col("c"), F.greatest(rest, F.lit(0))))), F.lit(0)).alias("overlap"))
-    n_pairs = (F.col("n_sent") - 1) + F.greatest(F.col("n_doc") - F.col("n_sent") - 1, F.lit(0))
-    return scored.select("doc_id", "sid", "overlap", tx.r6(_ratio(F.col("overlap"), n_pairs)).alias("score"))
+    rows = _per_sentence(docs, "overlap", dc.pair_overlaps("lists"))
+    n_pairs = F.greatest(F.col("n_sent") - 1, F.lit(0)) + F.greatest(F.col("n_doc") - F.col("n_sent") - 1, F.lit(0))
+    return rows.select("doc_id", "sid", "overlap", tx.r6(_ratio(F.col("overlap"), n_pairs)).alias("score"))
 
 
 def rouge_l(docs: DataFrame) -> DataFrame:
     """Longest common subsequence of a sentence and the others; one Arrow pass over whole documents."""
-    lists = placed(docs).select("doc_id", F.transform(tx.sentences(F.col("text")), tx.tokens).alias("lists"))
-    found = lists.select(
-        "doc_id", F.aggregate("lists", F.lit(0).cast("long"), lambda n, t: n + F.size(t)).alias("n_doc"),
-        F.transform("lists", lambda t: F.size(t).cast("long")).alias("sizes"), lcs_with_rest("lists").alias("lcs"))
-    return (
-        found.select("doc_id", "n_doc", F.posexplode(F.arrays_zip("sizes", "lcs")).alias("sid", "x"))
-        .filter("x.sizes > 0")
-        .select("doc_id", F.col("sid").cast("long").alias("sid"), F.col("x.lcs").alias("lcs"),
-                tx.r6(_ratio(F.col("x.lcs"), F.col("n_doc"))).alias("score"))
-    )
+    rows = _per_sentence(docs, "lcs", lcs_with_rest("lists"))
+    return rows.select("doc_id", "sid", "lcs", tx.r6(_ratio(F.col("lcs"), F.col("n_doc"))).alias("score"))
 
 
 def _word_term(total: Column, kinds: Column, mu: float) -> Column:
@@ -102,14 +79,14 @@ def overlap_and_pmi(docs: DataFrame, vocabulary: DataFrame | None = None, mu: fl
     heavy = heavy_keys(vocabulary, "c_all", HEAVY_WORDS)
     term = _word_term(total, kinds, mu)
     known = F.col("c_all").isNotNull()
+    rows = sentence_words(docs).select("doc_id", "n_doc", "sid", "n_sent", "overlap", F.explode_outer("words").alias("x"))
     near = (
-        token_counts(docs)
+        rows.select("doc_id", "n_doc", "sid", "n_sent", "overlap", "x.w", "x.c", "x.c_doc")
         .join(F.broadcast(vocabulary.filter(heavy)), "w", "left")
-        .groupBy("doc_id", "sid", "n_doc", "n_sent")
+        .groupBy("doc_id", "sid", "n_doc", "n_sent", "overlap")
         .agg(
-            F.sum(F.least("c", F.col("c_doc") - F.col("c"))).alias("overlap"),
             F.coalesce(F.sum(F.when(known, term)), F.lit(0.0)).alias("near_bits"),
-            F.collect_list(F.when(~known, F.struct("w", "c", "c_doc"))).alias("rare"))
+            F.collect_list(F.when(~known & F.col("w").isNotNull(), F.struct("w", "c", "c_doc"))).alias("rare"))
     )
     # sentences without rare words keep one row; its key spreads evenly and is no word
     off_key = F.concat(F.lit(":"), F.pmod(F.xxhash64("doc_id", "sid"), F.lit(4096)).cast("string"))
@@ -122,11 +99,11 @@ def overlap_and_pmi(docs: DataFrame, vocabulary: DataFrame | None = None, mu: fl
         .agg(F.max("n_doc").alias("n_doc"), F.max("n_sent").alias("n_sent"), F.max("overlap").alias("overlap"),
              F.max("near_bits").alias("near_bits"), F.coalesce(F.sum(term), F.lit(0.0)).alias("far_bits"))
     )
-    alone = F.col("n_doc") == F.col("n_sent")
+    alone = (F.col("n_doc") == F.col("n_sent")) | (F.col("n_sent") == 0)
     return far.select(
         "doc_id", "sid",
         tx.r6(_ratio(F.col("overlap"), F.col("n_doc"))).alias("rouge1"),
-        tx.r6(F.when(alone, F.lit(0.0)).otherwise((F.col("near_bits") + F.col("far_bits")) / F.col("n_sent"))).alias("pmi"))
+        tx.r6(F.when(alone, F.lit(0.0)).otherwise((F.col("near_bits") + F.col("far_bits")) / F.greatest(F.col("n_sent"), F.lit(1)))).alias("pmi"))
 
 
 def count_pmi(docs: DataFrame, vocabulary: DataFrame | None = None, mu: float = SMOOTHING) -> DataFrame:
@@ -158,24 +135,9 @@ def baseline_pmi(nll: DataFrame, per_token: bool = True) -> DataFrame:
 
 
 def hashed_context_similarity(docs: DataFrame, buckets: int = HASH_BUCKETS) -> DataFrame:
-    """Cosine of a sentence and its leave-one-out text under a hashed word-count encoder.
+    """Cosine of a sentence and its leave-one-out text under a hashed word-count encoder; narrow.
 
     The encoder is linear, so the encoding of the rest is the document's minus the sentence's and no
     leave-one-out text is ever written out. A single sentence scores 0.
     """
-    bucket = F.pmod(tx.hex_number(F.md5("w"), 1, 4), F.lit(buckets))
-    counts = (
-        sentence_tokens(placed(docs))
-        .select("doc_id", "sid", F.explode("toks").alias("w"))
-        .groupBy("doc_id", "sid", bucket.alias("b")).agg(F.count("*").cast("double").alias("c"))
-    )
-    both = counts.withColumn("t", F.sum("c").over(W.partitionBy("doc_id", "b")))
-    share = both.groupBy("doc_id", "sid").agg(
-        F.sum(F.col("c") * (F.col("t") - F.col("c"))).alias("dot"),
-        F.sum(F.col("c") * F.col("c")).alias("own"),
-        F.sum(F.col("t") * F.col("t") - (F.col("t") - F.col("c")) * (F.col("t") - F.col("c"))).alias("lost"))
-    whole = both.groupBy("doc_id", "b").agg(F.max("t").alias("t")).groupBy("doc_id").agg(F.sum(F.col("t") * F.col("t")).alias("all"))
-    rest = F.col("all") - F.col("lost")
-    return share.join(whole, "doc_id").select(
-        "doc_id", "sid",
-        tx.r6(F.when((rest > 0) & (F.col("own") > 0), F.col("dot") / F.sqrt(F.col("own") * rest)).otherwise(0.0)).alias("score"))
+    return _per_sentence(docs, "cosine", dc.context_cosines("lists", buckets)).select("doc_id", "sid", tx.r6(F.col("cosine")).alias("score"))

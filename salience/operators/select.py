@@ -8,7 +8,6 @@ from pyspark.sql import Window as W
 
 from salience.functions import text as tx
 from salience.operators.scale import rank_by_number, smallest_digests
-from salience.operators.sentences import placed
 
 TOP_K = 5
 
@@ -31,7 +30,7 @@ def best(scores: DataFrame) -> DataFrame:
 def candidate_lists(docs: DataFrame, scores: DataFrame, k: int = TOP_K) -> DataFrame:
     """One row per document with parallel lists of its k masked documents, summaries and scores, in text order."""
     picked = top_k(scores, k).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("sid", "score"))).alias("picks"))
-    rows = placed(docs).join(picked, "doc_id").withColumn("sents", tx.sentences(F.col("text")))
+    rows = docs.select("doc_id", "text").join(picked, "doc_id").withColumn("sents", tx.sentences(F.col("text")))
     sent = lambda p: F.get("sents", p["sid"].cast("int"))
     return rows.select(
         "doc_id",
@@ -64,7 +63,7 @@ def masked_pairs(docs: DataFrame, picks: DataFrame) -> DataFrame:
 
     Text is joined before it is split, so the splitting runs on the joined partitions.
     """
-    rows = placed(docs).join(picks, "doc_id", "left")
+    rows = docs.select("doc_id", "text").join(picks, "doc_id", "left")
     made = rows.withColumn("sents", tx.sentences(F.col("text")))
     return made.select(
         *picks.columns,
@@ -92,3 +91,11 @@ def position_slice(df: DataFrame, order: str, lo: int, hi: int) -> DataFrame:
 def first_rows(df: DataFrame, order: str, n: int) -> DataFrame:
     """The first n rows; all of them for n <= 0."""
     return df.orderBy(order).limit(n) if n > 0 else df
+
+
+def pairs_in_row(scored: DataFrame) -> DataFrame:
+    """Masked pairs from ``doc_id, sents, scores``, chosen in the row of the document; documents without sentences go."""
+    at = F.array_position("scores", F.array_max("scores")) - 1
+    rows = scored.filter(F.size("scores") > 0).select("doc_id", "sents", "scores", at.cast("long").alias("sid"))
+    return rows.select("doc_id", "sid", F.get("scores", F.col("sid").cast("int")).alias("score"),
+                       tx.masked(F.col("sents"), F.col("sid")).alias("document"), F.get("sents", F.col("sid").cast("int")).alias("summary"))

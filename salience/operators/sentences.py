@@ -1,56 +1,49 @@
 """Documents to sentences and token counts.
 
-A document is one row, so everything that belongs to it starts in one place. Text is placed by ``doc_id`` once,
-before it is taken apart; the groupings and windows that follow are keyed by ``doc_id`` first and reuse that
-placement, so no token row is ever shuffled for them.
+A document is one row, and everything that belongs to it is computed in that row; nothing here shuffles text.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
+from salience.functions import documents as dc
 from salience.functions import text as tx
 
 
-def placed(docs: DataFrame) -> DataFrame:
-    """Text spread over the session's shuffle partitions by document.
-
-    Always the same two columns, so that all operators of one query share a single exchange of the text. The number
-    is given, so that adaptive execution does not merge partitions by their bytes: taking text apart
-    costs far more time than its size suggests.
-    """
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return docs.select("doc_id", "text").repartition(n, "doc_id")
-
-
 def sentence_rows(docs: DataFrame, extra: list[str] | None = None) -> DataFrame:
     """One row per sentence with its document key; purely row-wise, no shuffle."""
     return docs.select("doc_id", *(extra or []), F.posexplode(tx.sentences(F.col("text"))).alias("sid", "sent")).withColumn(
         "sid", F.col("sid").cast("long"))
 
 
-def sentence_tokens(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_doc, sid, toks, n_sent`` for every sentence, token-less ones included."""
-    lists = docs.select(
-        "doc_id", F.transform(tx.sentences(F.col("text")), tx.tokens).alias("lists"))
-    sized = lists.select(
-        "doc_id", "lists",
-        F.aggregate("lists", F.lit(0).cast("long"), lambda n, t: n + F.size(t)).alias("n_doc"))
-    # the outer form keeps Catalyst from repeating the splitting inside an inferred size filter
-    return sized.select("doc_id", "n_doc", F.posexplode_outer("lists").alias("sid", "toks")).select(
-        "doc_id", "n_doc", F.col("sid").cast("long").alias("sid"), "toks", F.size("toks").cast("long").alias("n_sent"))
+def token_lists(docs: DataFrame) -> DataFrame:
+    """``doc_id, lists``: the tokens of each sentence."""
+    return docs.select("doc_id", F.transform(tx.sentences(F.col("text")), tx.tokens).alias("lists"))
+
+
+def n_tokens(lists: str):
+    return F.aggregate(lists, F.lit(0).cast("long"), lambda n, t: n + F.size(t))
+
+
+def sentence_words(docs: DataFrame) -> DataFrame:
+    """``doc_id, n_doc, sid, n_sent, overlap, words`` per sentence, token-less ones included; narrow.
+
+    ``words`` has the distinct words with their counts in sentence and document, ``overlap`` is what the sentence shares
+    with the others.
+    """
+    counted = token_lists(docs).select("doc_id", n_tokens("lists").alias("n_doc"), dc.word_counts("lists").alias("words"))
+    rows = counted.select("doc_id", "n_doc", F.posexplode("words").alias("sid", "words"))
+    fold = lambda f: F.aggregate("words", F.lit(0).cast("long"), lambda n, x: n + f(x))
+    return rows.select("doc_id", "n_doc", F.col("sid").cast("long").alias("sid"), fold(lambda x: x["c"]).alias("n_sent"),
+                       fold(lambda x: F.least(x["c"], x["c_doc"] - x["c"])).alias("overlap"), "words")
 
 
 def token_counts(docs: DataFrame) -> DataFrame:
-    """``doc_id, sid, w, n_sent, n_doc, c, c_doc``: counts of each word in its sentence and its document."""
-    counts = (
-        sentence_tokens(placed(docs))
-        .select("doc_id", "n_doc", "sid", "n_sent", F.explode("toks").alias("w"))
-        .groupBy("doc_id", "n_doc", "sid", "n_sent", "w").agg(F.count("*").alias("c"))
-    )
-    return counts.withColumn("c_doc", F.sum("c").over(W.partitionBy("doc_id", "w")))
+    """``doc_id, sid, w, n_sent, n_doc, c, c_doc``: counts of each word in its sentence and its document; narrow."""
+    rows = sentence_words(docs).select("doc_id", "n_doc", "sid", "n_sent", F.explode("words").alias("x"))
+    return rows.select("doc_id", "n_doc", "sid", "n_sent", "x.w", "x.c", "x.c_doc")
 
 
 def corpus_counts(docs: DataFrame) -> DataFrame:
@@ -58,5 +51,5 @@ def corpus_counts(docs: DataFrame) -> DataFrame:
 
     Joins on ``w`` add a null filter; having it here as well makes all uses in a query the same exchange.
     """
-    words = placed(docs).select(F.explode(tx.tokens(F.col("text"))).alias("w")).filter(F.col("w").isNotNull())
+    words = docs.select(F.explode(tx.tokens(F.col("text"))).alias("w")).filter(F.col("w").isNotNull())
     return words.groupBy("w").agg(F.count("*").alias("c_all"))

@@ -13,7 +13,6 @@ from pyspark.sql import types as T
 from salience.functions import text as tx
 from salience.functions.text import r6
 from salience.operators.scale import even_join, heavy_keys, settled
-from salience.operators.sentences import placed
 
 TILE = 128
 CUTS = 64
@@ -30,7 +29,8 @@ def norm(v: Column) -> Column:
 
 
 def unit(v: Column) -> Column:
-    return F.transform(v, lambda x: x / norm(v))
+    """The vector at length 1; a zero vector stays as it is."""
+    return F.transform(v, lambda x: F.coalesce(F.try_divide(x, norm(v)), F.lit(0.0)))
 
 
 def vector_sum(v: str, dims: int) -> Column:
@@ -43,7 +43,8 @@ def as_doubles(v: str) -> Column:
 
 
 def salience(vectors: DataFrame, group: str, key: str, dims: int) -> DataFrame:
-    """Cosine of each unit vector and the mean of the others in its group; 0 when it is alone.
+    """Cosine of each unit vector and the mean of the others in its group; 0 when it is alone, zero, or
+    the others cancel out.
 
     Group sums come from partial sums. They go back to the members through a join that stays even when one group
     holds most vectors.
@@ -52,11 +53,11 @@ def salience(vectors: DataFrame, group: str, key: str, dims: int) -> DataFrame:
     sums = rows.groupBy(group).agg(vector_sum("v", dims).alias("s"), F.count("*").alias("n"), F.count("*").alias("_w"))
     rest = F.zip_with("s", "v", lambda s, x: (s - x) / (F.col("n") - 1))
     both = even_join(rows, sums, [group], "_w").withColumn("rest", F.when(F.col("n") > 1, rest))
-    return both.select(group, key, r6(F.coalesce(dot(F.col("v"), F.col("rest")) / norm(F.col("rest")), F.lit(0.0))).alias("score"))
+    return both.select(group, key, r6(F.coalesce(F.try_divide(dot(F.col("v"), F.col("rest")), norm(F.col("rest"))), F.lit(0.0))).alias("score"))
 
 
 def pooled(tokens: DataFrame, key: str, dims: int) -> DataFrame:
-    """Mean of the unmasked token vectors of each text, scaled to length 1."""
+    """Mean of the unmasked token vectors of each text, scaled to length 1; zero when all are masked."""
     kept = tokens.select(key, F.col("mask").cast("double").alias("m"), as_doubles("v").alias("v"))
     sums = kept.groupBy(key).agg(
         F.array(*[F.sum(F.col("m") * F.get("v", F.lit(i))) for i in range(dims)]).alias("s"), F.sum("m").alias("n"))
@@ -68,8 +69,8 @@ def pooled(tokens: DataFrame, key: str, dims: int) -> DataFrame:
 def _tile_maxima(cand: pd.Series, ref: pd.Series) -> pd.DataFrame:
     def one(c, r):
         x, y = np.stack(list(c)), np.stack(list(r))
-        x = x / np.linalg.norm(x, axis=1, keepdims=True)
-        y = y / np.linalg.norm(y, axis=1, keepdims=True)
+        x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), SMALLEST_COUNT)
+        y = y / np.maximum(np.linalg.norm(y, axis=1, keepdims=True), SMALLEST_COUNT)
         sim = x @ y.T
         return sim.max(axis=1), sim.max(axis=0)
 
@@ -102,8 +103,10 @@ def greedy_match(tokens: DataFrame, baseline: float | None = None) -> DataFrame:
         F.zip_with("c_pos", "m.cand", lambda p, x: F.struct(F.lit("cand").alias("side"), p.alias("pos"), x.alias("x"))),
         F.zip_with("r_pos", "m.ref", lambda p, x: F.struct(F.lit("ref").alias("side"), p.alias("pos"), x.alias("x"))))).alias("b"))
     each = best.groupBy("pair_id", "b.side", "b.pos").agg(F.max("b.x").alias("x"))
-    pr = each.groupBy("pair_id").agg(
+    # a pair of which one side has no usable token matches nothing
+    found = each.groupBy("pair_id").agg(
         F.avg(F.when(F.col("side") == "cand", F.col("x"))).alias("p"), F.avg(F.when(F.col("side") == "ref", F.col("x"))).alias("r"))
+    pr = tokens.select("pair_id").distinct().join(found, "pair_id", "left").na.fill(0.0, ["p", "r"])
     f1 = F.lit(2.0) * F.col("p") * F.col("r") / (F.col("p") + F.col("r") + F.lit(EPSILON))
     scaled = (lambda x: (x - baseline) / (1.0 - baseline)) if baseline is not None else (lambda x: x)
     return pr.select("pair_id", r6(scaled(F.col("p"))).alias("precision"), r6(scaled(F.col("r"))).alias("recall"), r6(scaled(f1)).alias("f1"))
@@ -167,7 +170,7 @@ def encoded_context_similarity(docs: DataFrame, make_encoder: Callable[[], Calla
     For encoders that are no sum over words, the leave-one-out texts have to be written out, one per sentence. Sentence
     and context are encoded in one job and met again by key.
     """
-    rows = placed(docs).select("doc_id", tx.sentences(F.col("text")).alias("sents"))
+    rows = docs.select("doc_id", tx.sentences(F.col("text")).alias("sents"))
     each = settled(rows).select("doc_id", "sents", F.posexplode("sents").alias("sid", "sent")).withColumn("sid", F.col("sid").cast("long"))
     both = F.array(F.struct(F.lit("own").alias("side"), F.col("sent").alias("t")),
                    F.struct(F.lit("rest").alias("side"), tx.other_sentences(F.col("sents"), F.col("sid")).alias("t")))

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from salience.functions import text as tx
 from salience.operators import scoring, select
-from salience.operators.sentences import placed
 from salience.plans.registry import part, table
 
 SENTS = r"""list_filter(list_transform(regexp_extract_all({x}, '[^.!?]+[.!?]*'),
@@ -43,11 +42,14 @@ part("tok", f"SELECT doc_id, sid, unnest({toks_sql('sent')}) AS w FROM sent", "s
 part("cnt", "SELECT doc_id, sid, w, count(*) AS c FROM tok GROUP BY ALL", "tok")
 part("win", """SELECT *, sum(c) OVER (PARTITION BY doc_id, w)::BIGINT AS c_doc, sum(c) OVER (PARTITION BY doc_id, sid)::BIGINT AS n_sent,
   sum(c) OVER (PARTITION BY doc_id)::BIGINT AS n_doc FROM cnt""", "cnt")
-part("r1", """SELECT doc_id, sid, sum(least(c, c_doc - c))::BIGINT AS overlap, max(n_doc) AS n_doc,
-  round(2.0::DOUBLE * sum(least(c, c_doc - c)) / max(n_doc), 6) AS score FROM win GROUP BY ALL""", "win")
+part("nd", "SELECT doc_id, sum(c)::BIGINT AS n_doc FROM cnt GROUP BY doc_id", "cnt")
+part("r1", """SELECT doc_id, sid, overlap, n_doc, CASE WHEN n_doc > 0 THEN round(2.0::DOUBLE * overlap / n_doc, 6) ELSE 0.0::DOUBLE END AS score FROM (
+  SELECT s.doc_id, s.sid, coalesce(sum(least(c, c_doc - c)), 0)::BIGINT AS overlap, coalesce(any_value(nd.n_doc), 0)::BIGINT AS n_doc
+  FROM sent s LEFT JOIN nd USING (doc_id) LEFT JOIN win w ON w.doc_id = s.doc_id AND w.sid = s.sid GROUP BY s.doc_id, s.sid)""", "sent nd win")
 part("voc", "SELECT w, count(*)::BIGINT AS c_all FROM tok GROUP BY w", "tok")
 part("tot", "SELECT sum(c_all)::DOUBLE AS total, count(*)::DOUBLE AS kinds FROM voc", "voc")
-part("pmi", """SELECT doc_id, sid, round(CASE WHEN max(n_doc) = max(n_sent) THEN 0.0::DOUBLE ELSE
+part("pmi", """SELECT s.doc_id, s.sid, coalesce(p.score, 0.0::DOUBLE) AS score FROM sent s LEFT JOIN pmi0 p USING (doc_id, sid)""", "sent pmi0")
+part("pmi0", """SELECT doc_id, sid, round(CASE WHEN max(n_doc) = max(n_sent) THEN 0.0::DOUBLE ELSE
   sum(c * log2(((c_doc - c) + 64.0::DOUBLE * (c_all + 1.0::DOUBLE) / (total + kinds)) / (n_doc - n_sent + 64.0::DOUBLE)
   / ((c_all + 1.0::DOUBLE) / (total + kinds)))) / max(n_sent) END, 6) AS score
   FROM win JOIN voc USING (w) CROSS JOIN tot GROUP BY doc_id, sid""", "win voc tot")
@@ -55,7 +57,8 @@ part("seq", """SELECT doc_id, sid, w, row_number() OVER (PARTITION BY doc_id ORD
   lead(w) OVER (PARTITION BY doc_id ORDER BY sid, p) AS nw, lead(sid) OVER (PARTITION BY doc_id ORDER BY sid, p) AS ns
   FROM (SELECT doc_id, sid, unnest(toks) AS w, unnest(range(len(toks))) AS p
         FROM (SELECT doc_id, sid, """ + toks_sql("sent") + """ AS toks FROM sent))""", "sent")
-part("r2", """SELECT s.doc_id, s.sid, coalesce(sum(least(o.c, greatest(d.c - o.c - (o.g = s.gb)::INT - (o.g = s.ga)::INT + (o.g = s.gj)::INT, 0))), 0)::BIGINT AS overlap,
+part("r2", """SELECT s.doc_id, s.sid, coalesce(p.overlap, 0)::BIGINT AS overlap, coalesce(p.score, 0.0::DOUBLE) AS score FROM sent s LEFT JOIN r20 p USING (doc_id, sid)""", "sent r20")
+part("r20", """SELECT s.doc_id, s.sid, coalesce(sum(least(o.c, greatest(d.c - o.c - (o.g = s.gb)::INT - (o.g = s.ga)::INT + (o.g = s.gj)::INT, 0))), 0)::BIGINT AS overlap,
   round(CASE WHEN n - 1 + greatest(nd - n - 1, 0) > 0 THEN
     2.0::DOUBLE * coalesce(sum(least(o.c, greatest(d.c - o.c - (o.g = s.gb)::INT - (o.g = s.ga)::INT + (o.g = s.gj)::INT, 0))), 0)
     / (n - 1 + greatest(nd - n - 1, 0)) ELSE 0.0::DOUBLE END, 6) AS score
@@ -86,9 +89,7 @@ def selections(docs: DataFrame) -> DataFrame:
 def predictions(spark: SparkSession, sf: str, with_text: bool = False) -> DataFrame:
     """One row per document that has words: reference and both systems' summaries."""
     docs = documents(spark, sf)
-    # the text is shuffled once: this exchange is the one the token counts use, and the labels travel alone
-    labels = docs.select("doc_id", "lang", "source")
-    rows = placed(docs).join(selections(docs), "doc_id").join(labels, "doc_id").withColumn("sents", tx.sentences(F.col("text")))
+    rows = docs.select("doc_id", "text", "lang", "source").join(selections(docs), "doc_id").withColumn("sents", tx.sentences(F.col("text")))
     pick = lambda sid: F.get("sents", F.col(sid).cast("int"))
     return rows.select(
         "doc_id", F.col("lang").alias("dataset"), F.col("source").alias("checkpoint"),

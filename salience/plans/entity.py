@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from salience.functions import entities as en
 from salience.functions import text as tx
 from salience.operators import entities as ops
-from salience.operators.sentences import placed
 from salience.plans.derive import documents
 from salience.plans.registry import part, query
 
@@ -36,7 +35,7 @@ part("unsup", """SELECT s.* FROM sume s LEFT JOIN dknown d USING (doc_id) WHERE
 
 
 def pairs(spark, sf):
-    d = placed(documents(spark, sf)).select("doc_id", tx.sentences(F.col("text")).alias("s")).filter(F.size("s") > 0)
+    d = documents(spark, sf).select("doc_id", tx.sentences(F.col("text")).alias("s")).filter(F.size("s") > 0)
     return d.select("doc_id", F.get("s", F.lit(0)).alias("summary"), F.array_join(F.slice("s", F.lit(2), F.size("s")), " ").alias("document"))
 
 

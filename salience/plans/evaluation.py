@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from salience.functions import text as tx
 from salience.functions.verdict import p_cell
 from salience.operators import compare, corrections, evaluate, scoring, select
-from salience.operators.sentences import placed
 from salience.plans.derive import documents, masked_sql, predictions, selections, toks_sql
 from salience.plans.registry import part, query
 from salience.session import scratch_path
@@ -30,7 +29,7 @@ def _picks3(spark, sf):
     """The three selections with text split once; same partitioning for all joins."""
     docs = documents(spark, sf)
     c = select.best(scoring.rouge2(docs)).select("doc_id", F.col("sid").alias("sid_c"))
-    rows = placed(docs).join(selections(docs), "doc_id").join(c, "doc_id").withColumn("sents", tx.sentences(F.col("text")))
+    rows = docs.join(selections(docs), "doc_id").join(c, "doc_id").withColumn("sents", tx.sentences(F.col("text")))
     s = lambda k: tx.plain_quotes(F.get("sents", F.col(f"sid_{k}").cast("int"))).alias(f"s_{k}")
     return rows.select("doc_id", s("a"), s("b"), s("c"), tx.masked(F.col("sents"), F.col("sid_a")).alias("doc_a"))
 
@@ -142,7 +141,7 @@ def stemmed_scores(spark, sf):
 def line_union_scores(spark, sf):
     p = predictions(spark, sf, with_text=True)
     both = F.concat_ws("\n", "summary_a", "summary_b")
-    return p.select("doc_id", evaluate.line_union_score(both, F.array_join(F.slice("sents", 1, 5), "\n")).alias("score"))
+    return p.select("doc_id", evaluate.line_union_score(both, F.array_join("sents", "\n")).alias("score"))
 
 
 @query("decided_rows", "SELECT doc_id, metric, round(a, 6) AS a, round(b, 6) AS b FROM pair WHERE a <> 0 OR b <> 0", "pair")

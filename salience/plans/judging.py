@@ -47,8 +47,8 @@ def shared_sql(x: str) -> str:
 def said_sql(a: str, b: str, bonus: int = 1, margin: int = 1) -> str:
     sa, sb = shared_sql(a), shared_sql(b)
     lead = f"({sa} + {bonus} - {sb})"
-    return (f"left('Feedback: A shares ' || {sa} || ' words and B shares ' || {sb} || '. A reads: ' || {a} || ' [RESULT] ' || "
-            f"CASE WHEN {lead} > {margin} THEN 'A' WHEN {lead} < -{margin} THEN 'B' ELSE 'TIE' END, 400)")
+    return (f"'Feedback: A shares ' || {sa} || ' words and B shares ' || {sb} || ' with the reference. [RESULT] ' || "
+            f"CASE WHEN {lead} > {margin} THEN 'A' WHEN {lead} < -{margin} THEN 'B' ELSE 'TIE' END")
 
 
 def raw_sql(c: str) -> str:
@@ -234,7 +234,7 @@ def pending_work(spark, sf):
 def streamed_judgements(spark, sf):
     source, path, state = scratch_path(spark, "in"), scratch_path(spark, "out"), scratch_path(spark, "state")
     schema = "doc_id LONG, dataset STRING, checkpoint STRING, reference STRING, summary_a STRING, summary_b STRING"
-    predictions(spark, sf).select("doc_id", "dataset", "checkpoint", "reference", "summary_a", "summary_b").repartition(4).write.parquet(source)
+    predictions(spark, sf).select("doc_id", "dataset", "checkpoint", "reference", "summary_a", "summary_b").write.parquet(source)
     judge_arrivals(spark, source, schema, path, state, _judge, files_per_batch=2).awaitTermination()
     return spark.read.parquet(path).select("dataset", "checkpoint", "doc_id", "raw_result", "winner")
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from salience.functions import text as tx
 from salience.operators import scoring, select, vectors
 from salience.operators.scale import even_join
-from salience.operators.sentences import corpus_counts, placed, sentence_rows, token_counts
+from salience.operators.sentences import corpus_counts, sentence_rows, token_counts
 from salience.plans.derive import documents, masked_sql
 from salience.plans.registry import part, query, table
 
@@ -15,8 +15,7 @@ from salience.plans.registry import part, query, table
 @query("rouge1_pairs", f"""SELECT doc_id, sid, score, {masked_sql('sents', 'sid')} AS document, sents[sid + 1] AS summary
   FROM docs JOIN sel_a USING (doc_id)""", "docs sel_a")
 def rouge1_pairs(spark, sf):
-    docs = documents(spark, sf)
-    return select.masked_pairs(docs, select.best(scoring.rouge1(docs))).filter("sid IS NOT NULL")
+    return select.pairs_in_row(scoring.rouge1_list(documents(spark, sf)))
 
 
 @query("rouge1_scores", "SELECT doc_id, sid, overlap, n_doc, score FROM r1", "r1")
@@ -116,10 +115,10 @@ part("hb", "SELECT doc_id, sid, ('0x' || substr(md5(w), 1, 4))::BIGINT % 64 AS b
 part("hd", "SELECT doc_id, b, sum(c) AS t FROM hb GROUP BY ALL", "hb")
 
 
-@query("hashed_context_similarity", """SELECT s.doc_id, s.sid, round(CASE WHEN sum(r.x * r.x) > 0 THEN sum(coalesce(h.c, 0) * r.x) / sqrt(sum(coalesce(h.c, 0) * coalesce(h.c, 0)) * sum(r.x * r.x)) ELSE 0.0::DOUBLE END, 6) AS score
-  FROM (SELECT DISTINCT doc_id, sid FROM hb) s JOIN (SELECT k.doc_id, k.sid, d.b, d.t - coalesce(h.c, 0) AS x FROM (SELECT DISTINCT doc_id, sid FROM hb) k
+@query("hashed_context_similarity", """SELECT s.doc_id, s.sid, round(CASE WHEN sum(r.x * r.x) > 0 AND sum(coalesce(h.c, 0) * coalesce(h.c, 0)) > 0 THEN sum(coalesce(h.c, 0) * r.x) / sqrt(sum(coalesce(h.c, 0) * coalesce(h.c, 0)) * sum(r.x * r.x)) ELSE 0.0::DOUBLE END, 6) AS score
+  FROM sent s LEFT JOIN (SELECT k.doc_id, k.sid, d.b, d.t - coalesce(h.c, 0) AS x FROM sent k
   JOIN hd d USING (doc_id) LEFT JOIN hb h ON h.doc_id = k.doc_id AND h.sid = k.sid AND h.b = d.b) r ON r.doc_id = s.doc_id AND r.sid = s.sid
-  LEFT JOIN hb h ON h.doc_id = s.doc_id AND h.sid = s.sid AND h.b = r.b GROUP BY ALL""", "hb hd")
+  LEFT JOIN hb h ON h.doc_id = s.doc_id AND h.sid = s.sid AND h.b = r.b GROUP BY s.doc_id, s.sid""", "hb hd sent")
 def hashed_context_similarity(spark, sf):
     return scoring.hashed_context_similarity(documents(spark, sf))
 
@@ -174,7 +173,7 @@ def greedy_match_rescaled(spark, sf):
 
 @query("encoded_sentences")
 def encoded_sentences(spark, sf):
-    rows = sentence_rows(placed(documents(spark, sf))).select(F.concat_ws(":", "doc_id", "sid").alias("id"), "sent")
+    rows = sentence_rows(documents(spark, sf)).select(F.concat_ws(":", "doc_id", "sid").alias("id"), "sent")
     made = vectors.encode_texts(rows, "id", "sent", vectors.hashed_bag_encoder)
     return made.select("id", tx.r6(vectors.norm(F.col("v"))).alias("length"))
 

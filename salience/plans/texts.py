@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from salience.functions import text as tx
 from salience.operators import checks, select
-from salience.operators.sentences import placed, sentence_rows
+from salience.operators.sentences import sentence_rows
 from salience.plans.derive import documents, masked_sql, predictions, sents_sql, words_sql
 from salience.plans.registry import part, query, table
 from salience.schemas import DOCUMENT
@@ -139,18 +139,18 @@ def validation_report(spark, sf):
 
 @query("sentences", "SELECT doc_id, sid, sent FROM sent", "sent")
 def sentences(spark, sf):
-    return sentence_rows(placed(documents(spark, sf)))
+    return sentence_rows(documents(spark, sf))
 
 
 @query("sentence_bodies", r"""SELECT doc_id, len(list_filter(list_transform(regexp_split_to_array(text, '[.!?]'), lambda s: regexp_replace(s, '^\s+|\s+$', '', 'g')), lambda s: s <> ''))::BIGINT AS bodies,
   len(list_filter(string_split(text, '.'), lambda s: regexp_replace(s, '^\s+|\s+$', '', 'g') <> ''))::BIGINT AS stops FROM documents""")
 def sentence_bodies(spark, sf):
-    return placed(documents(spark, sf)).select(
+    return documents(spark, sf).select(
         "doc_id", F.size(tx.sentence_bodies(F.col("text"))).cast("long").alias("bodies"), tx.sentence_count(F.col("text")).alias("stops"))
 
 
 def _loo(spark, sf):
-    d = placed(documents(spark, sf)).select("doc_id", tx.sentences(F.col("text")).alias("sents"), "text")
+    d = documents(spark, sf).select("doc_id", tx.sentences(F.col("text")).alias("sents"), "text")
     return d
 
 
@@ -196,7 +196,7 @@ def plain_quotes(spark, sf):
 @query("metric_tokens", """SELECT doc_id, count(*) AS n, count(DISTINCT w) AS kinds, md5(string_agg(w, ' ' ORDER BY sid, p)) AS digest
   FROM (SELECT doc_id, sid, unnest(t) AS w, unnest(range(len(t))) AS p FROM (SELECT doc_id, sid, regexp_extract_all(lower(sent), '[a-z0-9]+') AS t FROM sent)) GROUP BY doc_id""", "sent")
 def metric_tokens(spark, sf):
-    t = placed(documents(spark, sf)).select("doc_id", tx.tokens(F.col("text")).alias("t")).filter(F.size("t") > 0)
+    t = documents(spark, sf).select("doc_id", tx.tokens(F.col("text")).alias("t")).filter(F.size("t") > 0)
     return t.select("doc_id", F.size("t").cast("long").alias("n"), F.size(F.array_distinct("t")).cast("long").alias("kinds"),
                     F.md5(F.array_join("t", " ")).alias("digest"))
 
@@ -216,7 +216,7 @@ def truncated_texts(spark, sf):
 
 @query("one_sentence_per_line", "SELECT doc_id, array_to_string(sents, chr(10)) AS lines FROM docs", "docs")
 def one_per_line(spark, sf):
-    return placed(documents(spark, sf)).select("doc_id", tx.one_per_line(F.col("text")).alias("lines"))
+    return documents(spark, sf).select("doc_id", tx.one_per_line(F.col("text")).alias("lines"))
 
 
 @query("percentages", "SELECT lang, 100.0::DOUBLE * count(*) FILTER (WHERE n_chars > 1000) / greatest(count(*), 1) AS pct FROM documents GROUP BY lang")

@@ -99,11 +99,11 @@ def vote_value(cell):
 def votes_from(cells: DataFrame) -> DataFrame:
     """``item, annotator, dimension, vote`` of the answered cells."""
     return cells.filter(F.col("cell") != "").select(
-        F.try_to_number("item", F.lit("999999999999")).cast("long").alias("item"), "annotator", "dimension", vote_value(F.col("cell")).alias("vote"))
+        F.col("item").try_cast("long").alias("item"), "annotator", "dimension", vote_value(F.col("cell")).alias("vote"))
 
 
 def vote_violations(cells: DataFrame) -> DataFrame:
-    """Cells that are no vote, and items that are no number."""
-    bad_item = ~F.regexp_like("item", F.lit(r"^\d+$"))
+    """Cells that are no vote, and items that are no number a LONG can hold."""
+    bad_item = ~F.regexp_like("item", F.lit(r"^\d+$")) | F.col("item").try_cast("long").isNull()
     bad_vote = (F.col("cell") != "") & vote_value(F.col("cell")).isNull()
     return cells.filter(bad_item | bad_vote).select("item", "annotator", "dimension", "cell", F.when(bad_item, "item").otherwise("vote").alias("problem"))

@@ -14,7 +14,10 @@ def results_so_far(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """What earlier runs stored; an empty table when there was none."""
     try:
         return spark.read.schema(schema).parquet(path)
-    except AnalysisException:
+    except AnalysisException as e:
+        # anything else, a changed schema or a denied folder, must not make finished work look open
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], schema)
 
 
