@@ -1,4 +1,8 @@
-"""Porter's suffix stripping (M. F. Porter, 1980) for metric tokens, as an Arrow UDF on token arrays."""
+"""Porter's suffix stripping (M. F. Porter, 1980) for metric tokens, as an Arrow UDF on token arrays.
+
+With the published departures that metric libraries use: a few irregular words, four-letter words in -ies and -ied keep
+their e, and a final y turns to i only after a consonant that is not the first letter.
+"""
 
 from __future__ import annotations
 
@@ -11,6 +15,11 @@ from pyspark.sql import types as T
 
 SHORTEST_STEMMED = 4
 
+# Words with a stem of their own.
+IRREGULAR = {"sky": "sky", "skies": "sky", "dying": "die", "lying": "lie", "tying": "tie", "news": "news", "inning": "inning",
+             "innings": "inning", "outing": "outing", "outings": "outing", "canning": "canning", "cannings": "canning", "howe": "howe",
+             "proceed": "proceed", "exceed": "exceed", "succeed": "succeed"}
+
 # Fixed values of the published algorithm: suffix and replacement, longest suffix first within each step.
 STEP_2 = [("ational", "ate"), ("ization", "ize"), ("iveness", "ive"), ("fulness", "ful"), ("ousness", "ous"),
           ("tional", "tion"), ("biliti", "ble"), ("entli", "ent"), ("ousli", "ous"), ("ation", "ate"),
@@ -56,13 +65,19 @@ def _swap(word: str, table, least: int) -> str:
 def stem(word: str) -> str:
     if len(word) < SHORTEST_STEMMED:
         return word
+    if word in IRREGULAR:
+        return IRREGULAR[word]
     # plurals
-    if word.endswith("sses") or word.endswith("ies"):
+    if word.endswith("ies"):
+        word = word[:-1] if len(word) == 4 else word[:-2]
+    elif word.endswith("sses"):
         word = word[:-2]
     elif word.endswith("s") and not word.endswith("ss"):
         word = word[:-1]
     # past and progressive
-    if word.endswith("eed"):
+    if word.endswith("ied"):
+        word = word[:-1] if len(word) == 4 else word[:-2]
+    elif word.endswith("eed"):
         word = word[:-1] if _measure(word[:-3]) > 0 else word
     else:
         for suffix in ("ed", "ing"):
@@ -76,7 +91,7 @@ def stem(word: str) -> str:
                     base += "e"
                 word = base
                 break
-    if word.endswith("y") and "v" in _shape(word[:-1]):
+    if word.endswith("y") and len(word) > 2 and _shape(word)[-2] == "c":
         word = word[:-1] + "i"
     word = _swap(word, STEP_2, 0)
     word = _swap(word, STEP_3, 0)

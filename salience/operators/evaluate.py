@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -21,6 +26,13 @@ GRID = ["dataset", "checkpoint", "metric"]
 POISSON_BOUNDS = [24109, 48219, 60273, 64292, 65296, 65497, 65531]
 
 
+def bootstrap_weights(key: object, replicates: int) -> np.ndarray:
+    """Weight 1, then a Poisson(1) weight for each replicate, from digests of the key with eight draws each."""
+    digests = "".join(hashlib.md5(f"boot:{key}:{k}".encode()).hexdigest() for k in range(-(-replicates // 8)))
+    draws = np.frombuffer(bytes.fromhex(digests), ">u2")[:replicates]
+    return np.concatenate([[1], np.searchsorted(POISSON_BOUNDS, draws, side="right")])
+
+
 def shared_count(a: Column, b: Column) -> Column:
     """Size of the multiset intersection of two token lists."""
     return F.aggregate(
@@ -78,12 +90,6 @@ def long_scores(paired: DataFrame) -> DataFrame:
     return paired.unpivot(["doc_id", "dataset", "checkpoint", "metric"], ["a", "b"], "system", "score")
 
 
-def pair_systems(scores: DataFrame) -> DataFrame:
-    """The two systems' scores side by side again, for score tables made elsewhere."""
-    of = lambda s: F.max(F.when(F.col("system") == s, F.col("score"))).alias(s)
-    return scores.groupBy("doc_id", "dataset", "checkpoint", "metric").agg(of("a"), of("b"))
-
-
 def better_counts(paired: DataFrame) -> DataFrame:
     return paired.groupBy("dataset", "metric").agg(
         F.count_if(F.col("a") > F.col("b")).alias("a_better"), F.count_if(F.col("a") < F.col("b")).alias("b_better"),
@@ -143,33 +149,36 @@ def result_matrix(paired: DataFrame, metrics: list[str]) -> DataFrame:
     return long_scores(paired).groupBy("dataset", "checkpoint", "system").pivot("metric", metrics).agg(tx.r6(F.avg("score")))
 
 
-def corpus_metric(scores: DataFrame, keys: list[str], replicates: int = 64) -> DataFrame:
+def corpus_metric(scores: DataFrame, keys: list[str], replicates: int = 1000) -> DataFrame:
     """Mean and bootstrap median of each metric times 100, with the mean generated length.
 
     ``scores`` holds ``keys, system, metric, doc_id, score, gen_len``. A resample gives each document a Poisson(1)
     weight drawn from a digest of its key, so a replicate is a weighted mean that needs no random state and no
-    resampled copy. Replicate -1 has weight 1 throughout and yields the plain means in the same pass; only partial sums
-    per replicate leave a task.
+    resampled copy. A batch of rows draws the weights of each of its documents once and leaves one sum per group and
+    replicate; no row is multiplied. Replicate -1 has weight 1 throughout and yields the plain means.
     """
-    def weight(u: Column) -> Column:
-        out = F.lit(len(POISSON_BOUNDS))
-        for k in reversed(range(len(POISSON_BOUNDS))):
-            out = F.when(u < POISSON_BOUNDS[k], k).otherwise(out)
-        return out
-
-    def draws(h: Column, block: Column) -> Column:
-        return F.array(*[F.struct((block * 8 + i).alias("rep"), weight(tx.hex_number(h, 1 + 4 * i, 4)).alias("w")) for i in range(8)])
-
-    whole = F.array(F.struct(F.lit(-1).alias("rep"), F.lit(1).alias("w")))
-    digests = F.transform(F.sequence(F.lit(0), F.lit(replicates // 8 - 1)), lambda k: tx.keyed_digest("boot", F.col("doc_id"), k))
-    blocks = F.flatten(F.transform(digests, draws))
-    drawn = scores.select(*keys, "system", "metric", "score", "gen_len", F.explode(F.concat(whole, blocks)).alias("d"))
-    reps = drawn.groupBy(*keys, "system", "metric", "d.rep").agg(
-        F.sum(F.col("d.w") * F.col("score")).alias("s"), F.sum("d.w").alias("n"), F.avg("gen_len").alias("len"))
+    groups = [*keys, "system", "metric"]
+
+    def partial(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            docs, place = np.unique(frame["doc_id"].to_numpy(), return_inverse=True)
+            weights = np.array([bootstrap_weights(d, replicates) for d in docs]).reshape(len(docs), replicates + 1)
+            for name, rows in frame.groupby(groups, sort=False).indices.items():
+                w = weights[place[rows]].astype(float)
+                out = pd.DataFrame({"rep": np.arange(-1, replicates), "s": w.T @ frame["score"].to_numpy()[rows], "n": w.sum(axis=0).astype(np.int64)})
+                out["len"], out["rows"] = float(frame["gen_len"].to_numpy()[rows].sum()), len(rows)
+                for column, value in zip(groups, name):
+                    out[column] = value
+                yield out
+
+    names = ", ".join(f"{c} {scores.schema[c].dataType.simpleString()}" for c in groups)
+    parts = scores.select(*groups, "doc_id", F.col("score").cast("double").alias("score"), "gen_len").mapInPandas(
+        partial, f"rep long, s double, n long, len double, rows long, {names}")
+    reps = parts.groupBy(*groups, "rep").agg(*[F.sum(c).alias(c) for c in ("s", "n", "len", "rows")])
     of_all, mean = F.col("rep") == -1, F.col("s") / F.nullif("n", F.lit(0))
-    return reps.groupBy(*keys, "system", "metric").agg(
+    return reps.groupBy(*groups).agg(
         F.round(F.max(F.when(of_all, mean)) * 100, 4).alias("mean"), F.round(F.percentile(F.when(~of_all, mean), F.lit(0.5)) * 100, 4).alias("boot_mid"),
-        F.round(F.max(F.when(of_all, F.col("len"))), 4).alias("gen_len"))
+        F.round(F.max(F.when(of_all, F.col("len") / F.col("rows"))), 4).alias("gen_len"))
 
 
 def widen(base: DataFrame, extra: DataFrame, keys: list[str], guard: str) -> DataFrame:

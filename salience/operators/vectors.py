@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from salience.functions import text as tx
+from salience.functions.documents import hash_bucket
 from salience.functions.text import r6
 from salience.operators.scale import even_join, heavy_keys, settled
 
@@ -115,13 +116,12 @@ def greedy_match(tokens: DataFrame, baseline: float | None = None) -> DataFrame:
 def hashed_bag_encoder(buckets: int = 64) -> Callable[[list[str]], np.ndarray]:
     """Default text encoder: word counts in hashed buckets, scaled to length 1."""
     import re
-    import zlib
 
     def encode(texts: list[str]) -> np.ndarray:
         out = np.zeros((len(texts), buckets))
         for i, t in enumerate(texts):
             for w in re.findall("[a-z0-9]+", t.lower()):
-                out[i, zlib.crc32(w.encode()) % buckets] += 1.0
+                out[i, hash_bucket(w, buckets)] += 1.0
         size = np.linalg.norm(out, axis=1, keepdims=True)
         return out / np.where(size == 0.0, 1.0, size)
 

@@ -102,8 +102,17 @@ part("pair", """SELECT doc_id, dataset, checkpoint, metric, max(score) FILTER (W
   FROM score GROUP BY doc_id, dataset, checkpoint, metric""", "score")
 part("tt", """SELECT dataset, checkpoint, metric, n, round(m, 6) AS mean_diff, round(CASE WHEN n > 1 AND sd > 1e-12 THEN m / (sd / sqrt(n)) END, 6) AS t FROM (
   SELECT dataset, checkpoint, metric, count(*) AS n, avg(a - b) AS m, stddev_samp(a - b) AS sd FROM pair WHERE a <> 0 OR b <> 0 GROUP BY ALL)""", "pair")
-part("tests", """SELECT dataset, checkpoint, metric, CASE WHEN t < 0 THEN 'LOWER' ELSE 'HIGHER' END AS direction, 2.0::DOUBLE / (1.0::DOUBLE + exp(1.702::DOUBLE * abs(t))) AS p_raw
-  FROM tt WHERE t IS NOT NULL""", "tt")
+# Student's two-sided p is the incomplete beta function at nu / (nu + t^2), a power series with positive terms; for small t
+# the series of the complement converges faster.
+part("tseries", """SELECT *, CASE WHEN abs(t) < 3 THEN
+    1 - exp(0.5 * ln(y) + nu / 2 * ln(1 - y) - lbeta) / 0.5 * list_sum(list_transform(range(0, 100 + (60 * (nu + t * t) / nu + 10 * t * t)::BIGINT),
+      lambda k: exp(lgamma(nu / 2 + 0.5 + k) - lgamma(nu / 2 + 0.5) - lgamma(1.5 + k) + lgamma(1.5) + k * ln(y))))
+  ELSE exp(nu / 2 * ln(1 - y) + 0.5 * ln(y) - lbeta) / (nu / 2) * list_sum(list_transform(range(0, 100 + (60 / y)::BIGINT),
+      lambda k: exp(lgamma(nu / 2 + 0.5 + k) - lgamma(nu / 2 + 0.5) - lgamma(nu / 2 + 1 + k) + lgamma(nu / 2 + 1) + k * ln(1 - y)))) END AS p FROM (
+  SELECT *, t * t / (nu + t * t) AS y, lgamma(nu / 2) + lgamma(0.5) - lgamma(nu / 2 + 0.5) AS lbeta FROM (SELECT *, (n - 1)::DOUBLE AS nu FROM tt WHERE t <> 0))""", "tt")
+part("ptests", """SELECT dataset, checkpoint, metric, n, mean_diff, t, CASE WHEN t < 0 THEN 'LOWER' WHEN t >= 0 THEN 'HIGHER' END AS direction,
+  CASE WHEN t = 0 THEN 1.0::DOUBLE ELSE s.p END AS p_raw FROM tt LEFT JOIN tseries s USING (dataset, checkpoint, metric, n, mean_diff, t)""", "tt tseries")
+part("tests", "SELECT dataset, checkpoint, metric, direction, p_raw FROM ptests WHERE t IS NOT NULL", "ptests")
 FAMILY = """SELECT *, least(1.0::DOUBLE, max((family_size - k + 1) * p_raw) OVER (PARTITION BY {f} ORDER BY k ROWS UNBOUNDED PRECEDING)) AS p_holm,
   least(1.0::DOUBLE, min(p_raw * family_size / k) OVER (PARTITION BY {f} ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS p_bh
   FROM (SELECT *, {f} AS family_name, row_number() OVER (PARTITION BY {f} ORDER BY p_raw, metric, checkpoint, dataset) AS k, count(*) OVER (PARTITION BY {f}) AS family_size FROM tests)"""
@@ -116,10 +125,9 @@ def paired(spark, sf):
 
 
 def tests(spark, sf):
-    """Tests with a closed-form p-value (logistic approximation), so that SQL can follow every step."""
-    t = evaluate.paired_t(paired(spark, sf)).filter(F.col("t").isNotNull())
-    return t.select("dataset", "metric", "checkpoint", "direction",
-                    (F.lit(2.0) / (F.lit(1.0) + F.exp(F.lit(1.702) * F.abs("t")))).alias("p_raw"))
+    """Paired t tests with Student's p-value, where t is defined."""
+    t = evaluate.with_p(evaluate.paired_t(paired(spark, sf))).filter(F.col("t").isNotNull())
+    return t.select("dataset", "metric", "checkpoint", "direction", "p_raw")
 
 
 @query("reference_join", "SELECT doc_id, dataset, checkpoint, reference, summary_a, summary_b FROM pred", "pred")
@@ -166,9 +174,9 @@ def paired_t_tests(spark, sf):
     return evaluate.paired_t(paired(spark, sf))
 
 
-@query("paired_t_p_values")
+@query("paired_t_p_values", "SELECT dataset, checkpoint, metric, n, mean_diff, t, direction, round(p_raw, 6) AS p_raw, p_raw < 0.05 AS significant FROM ptests", "ptests")
 def paired_t_p_values(spark, sf):
-    return evaluate.with_p(evaluate.paired_t(paired(spark, sf)))
+    return evaluate.with_p(evaluate.paired_t(paired(spark, sf))).withColumn("p_raw", tx.r6(F.col("p_raw")))
 
 
 @query("mean_scores", """SELECT dataset, checkpoint, system, metric, count(*) AS n, round(avg(score), 6) AS mean FROM score GROUP BY ALL""", "score")
@@ -189,7 +197,7 @@ def result_matrix(spark, sf):
       SELECT dataset, system, metric, score, k * 8 + i AS rep, CASE WHEN u < 24109 THEN 0 WHEN u < 48219 THEN 1 WHEN u < 60273 THEN 2 WHEN u < 64292 THEN 3
         WHEN u < 65296 THEN 4 WHEN u < 65497 THEN 5 WHEN u < 65531 THEN 6 ELSE 7 END AS w FROM (
         SELECT *, ('0x' || substr(h, 1 + 4 * i::INT, 4))::BIGINT AS u FROM (
-          SELECT *, md5('boot:' || doc_id || ':' || k) AS h FROM score, range(8) r(k) WHERE metric IN ('rouge1', 'rouge2')), range(8) z(i)))
+          SELECT *, md5('boot:' || doc_id || ':' || k) AS h FROM score, range(125) r(k) WHERE metric IN ('rouge1', 'rouge2')), range(8) z(i)))
     GROUP BY ALL) WHERE n > 0 GROUP BY ALL) USING (dataset, system, metric)
   JOIN (SELECT dataset, system, avg(len(regexp_extract_all(lower(summary), '[a-z0-9]+'))) AS gen_len FROM sysp GROUP BY ALL) USING (dataset, system)""", "score sysp")
 def corpus_metric(spark, sf):

@@ -61,6 +61,8 @@ def feedback_sql(c: str) -> str:
 
 
 part("slotted", """SELECT *, ('0x' || substr(md5(dataset || ':' || checkpoint || ':' || doc_id), 1, 1))::BIGINT < 8 AS a_first FROM pred""", "pred")
+SINGLE_PROMPT = prompt_sql("dataset = 'en'", "reference", "CASE WHEN a_first THEN summary_a ELSE summary_b END", "CASE WHEN a_first THEN summary_b ELSE summary_a END")
+part("single_prompts", f"SELECT doc_id, {SINGLE_PROMPT} AS prompt FROM slotted", "slotted")
 part("said", f"""SELECT *, {said_sql('sa', 'sb')} AS completion FROM (SELECT *, CASE WHEN a_first THEN summary_a ELSE summary_b END AS sa,
   CASE WHEN a_first THEN summary_b ELSE summary_a END AS sb FROM slotted)""", "slotted")
 part("judged", f"""SELECT *, CASE WHEN raw_result = 'A' THEN CASE WHEN a_first THEN 'a' ELSE 'b' END WHEN raw_result = 'B' THEN CASE WHEN a_first THEN 'b' ELSE 'a' END ELSE 'tie' END AS winner
@@ -111,7 +113,7 @@ def verdict_parse(spark, sf):
     return t.select("conv_id", "turn", vd.raw_result(c).alias("raw_result"), F.md5(vd.feedback(c)).alias("feedback"))
 
 
-@query("external_judge")
+@query("external_judge", "SELECT doc_id, CASE WHEN length(prompt) % 2 = 1 THEN 'A' ELSE 'B' END AS raw_result FROM single_prompts", "single_prompts")
 def external_judge(spark, sf):
     def make():
         def answer(prompts):
@@ -241,10 +243,14 @@ def streamed_judgements(spark, sf):
 
 # ---- length ------------------------------------------------------------------------------------------------------
 
-LEAST = 3
-part("lp", f"""SELECT dataset, checkpoint, doc_id, winner, len({words_sql('summary_a')})::BIGINT AS words_a, len({words_sql('summary_b')})::BIGINT AS words_b,
+LEAST = length.LEAST_IN_BIN
+BINS = 5
+#: Languages and sources taken together for length standardization, in few bins,
+#: so that cells reach the threshold.
+COARSE = "'all' AS dataset, 'src' || substr(checkpoint, 4)::BIGINT % 3 AS checkpoint"
+part("lp", f"""SELECT {COARSE}, doc_id, winner, len({words_sql('summary_a')})::BIGINT AS words_a, len({words_sql('summary_b')})::BIGINT AS words_b,
   (len({words_sql('summary_a')}) - len({words_sql('summary_b')}))::BIGINT AS delta FROM judged""", "judged")
-part("cuts", """SELECT DISTINCT dataset, d[1 + least(floor(n * k / 20.0)::BIGINT, n - 1)] AS cut FROM (SELECT dataset, list(delta ORDER BY delta) AS d, count(*) AS n FROM lp GROUP BY dataset), range(1, 20) r(k)""", "lp")
+part("cuts", """SELECT DISTINCT dataset, d[1 + least(floor(n * k / 5.0)::BIGINT, n - 1)] AS cut FROM (SELECT dataset, list(delta ORDER BY delta) AS d, count(*) AS n FROM lp GROUP BY dataset), range(1, 5) r(k)""", "lp")
 part("raw_bins", """SELECT dataset, k, coalesce(lo, -1000000000) AS lo, c, row_number() OVER (PARTITION BY dataset ORDER BY k) AS i FROM (
   SELECT l.dataset, (SELECT count(*) FROM cuts c WHERE c.dataset = l.dataset AND c.cut <= l.delta) AS k, (SELECT max(cut) FROM cuts c WHERE c.dataset = l.dataset AND c.cut <= l.delta) AS lo, count(*) AS c FROM lp l GROUP BY ALL)""", "cuts lp")
 part("fold", """SELECT dataset, i, lo, c, c >= 30 AS full, 0 AS made FROM raw_bins WHERE i = 1
@@ -265,7 +271,8 @@ DISPLAY = "CASE WHEN delta <= -10 THEN '10+ shorter' WHEN delta <= -5 THEN '5-9
 
 
 def length_pairs(rows):
-    return rows.select("dataset", "checkpoint", tx.word_count(F.col("summary_a")).alias("words_a"), tx.word_count(F.col("summary_b")).alias("words_b"), "winner")
+    coarse = F.concat(F.lit("src"), (F.substring("checkpoint", 4, 9).cast("long") % 3).cast("string")).alias("checkpoint")
+    return rows.select(F.lit("all").alias("dataset"), coarse, tx.word_count(F.col("summary_a")).alias("words_a"), tx.word_count(F.col("summary_b")).alias("words_b"), "winner")
 
 
 def hist(spark, sf):
@@ -283,7 +290,7 @@ def decided_pairs(spark, sf):
 
 @query("length_bins", """SELECT dataset, j, lo::BIGINT AS lo, hi::BIGINT AS hi, CASE WHEN lo = hi THEN lo::VARCHAR ELSE CASE WHEN lo = -1000000000 THEN '<=' ELSE lo::VARCHAR END || '..' || CASE WHEN hi = 1000000000 THEN '+' ELSE hi::VARCHAR END END AS label, weight::BIGINT AS weight FROM bins""", "bins", recursive=True)
 def length_bins(spark, sf):
-    return length.quantile_bins(hist(spark, sf))
+    return length.quantile_bins(hist(spark, sf), BINS)
 
 
 @query("raw_win_rates", "SELECT dataset, checkpoint, n, ties, total, round(rate, 6) AS rate, round(var, 6) AS var, round(ratio, 6) AS ratio FROM rr", "rr")
@@ -295,7 +302,7 @@ def raw_win_rates(spark, sf):
 @query("standardized_win_rates", "SELECT dataset, checkpoint, round(rate, 6) AS rate, round(var, 6) AS var FROM std", "std", recursive=True)
 def standardized_win_rates(spark, sf):
     h = hist(spark, sf)
-    s = length.standardized_rates(h, length.quantile_bins(h), LEAST)
+    s = length.standardized_rates(h, length.quantile_bins(h, BINS), LEAST)
     return s.select("dataset", "checkpoint", tx.r6(F.col("rate")).alias("rate"), tx.r6(F.col("var")).alias("var"))
 
 
@@ -312,7 +319,7 @@ def length_mix(spark, sf):
 
 def _std(spark, sf):
     h = hist(spark, sf)
-    return length.standardized_rates(h, length.quantile_bins(h), LEAST)
+    return length.standardized_rates(h, length.quantile_bins(h, BINS), LEAST)
 
 
 @query("first_to_last", """SELECT dataset, round((r2 - r1) * 100, 6) AS change, round(1.96 * sqrt(v1 + v2) * 100, 6) AS half_ci, abs((r2 - r1) * 100) > 1.96 * sqrt(v1 + v2) * 100 AS significant FROM (
@@ -331,11 +338,11 @@ def rate_trend(spark, sf):
 @query("residual_check", """SELECT dataset, count(*) AS n, round(coalesce(nullif(corr(ratio, r.rate), 'nan'::DOUBLE), 0), 6) AS raw_r, round(coalesce(nullif(corr(ratio, s.rate), 'nan'::DOUBLE), 0), 6) AS std_r FROM rr r JOIN std s USING (dataset, checkpoint) GROUP BY dataset HAVING count(*) >= 3""", "rr std", recursive=True)
 def residual_check(spark, sf):
     h = hist(spark, sf)
-    return length.residual_check(length.raw_rates(h), length.standardized_rates(h, length.quantile_bins(h), LEAST))
+    return length.residual_check(length.raw_rates(h), length.standardized_rates(h, length.quantile_bins(h, BINS), LEAST))
 
 
-@query("judge_agreement", """SELECT dataset, count(*) AS n, round(nullif(corr(r.rate, d.rate), 'nan'::DOUBLE), 6) AS r FROM (SELECT dataset, checkpoint, rate FROM rr WHERE rate IS NOT NULL) r JOIN (
-  SELECT dataset, checkpoint, avg((winner = 'a')::INT::DOUBLE) AS rate FROM dual WHERE winner <> 'tie' GROUP BY ALL) d USING (dataset, checkpoint) GROUP BY dataset HAVING count(*) >= 3""", "rr dual")
+@query("judge_agreement", f"""SELECT dataset, count(*) AS n, round(nullif(corr(r.rate, d.rate), 'nan'::DOUBLE), 6) AS r FROM (SELECT dataset, checkpoint, rate FROM rr WHERE rate IS NOT NULL) r JOIN (
+  SELECT dataset, checkpoint, avg((winner = 'a')::INT::DOUBLE) AS rate FROM (SELECT {COARSE}, winner FROM dual) WHERE winner <> 'tie' GROUP BY ALL) d USING (dataset, checkpoint) GROUP BY dataset HAVING count(*) >= 3""", "rr dual")
 def judge_agreement(spark, sf):
     known = lambda rows: length.raw_rates(length.histogram(length_pairs(rows))).filter("rate IS NOT NULL")
     return length.judge_agreement(known(single(spark, sf)), known(dual(spark, sf)))

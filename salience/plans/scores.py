@@ -115,10 +115,13 @@ part("hb", "SELECT doc_id, sid, ('0x' || substr(md5(w), 1, 4))::BIGINT % 64 AS b
 part("hd", "SELECT doc_id, b, sum(c) AS t FROM hb GROUP BY ALL", "hb")
 
 
-@query("hashed_context_similarity", """SELECT s.doc_id, s.sid, round(CASE WHEN sum(r.x * r.x) > 0 AND sum(coalesce(h.c, 0) * coalesce(h.c, 0)) > 0 THEN sum(coalesce(h.c, 0) * r.x) / sqrt(sum(coalesce(h.c, 0) * coalesce(h.c, 0)) * sum(r.x * r.x)) ELSE 0.0::DOUBLE END, 6) AS score
+HASHED = """SELECT s.doc_id, s.sid, round(CASE WHEN sum(r.x * r.x) > 0 AND sum(coalesce(h.c, 0) * coalesce(h.c, 0)) > 0 THEN sum(coalesce(h.c, 0) * r.x) / sqrt(sum(coalesce(h.c, 0) * coalesce(h.c, 0)) * sum(r.x * r.x)) ELSE 0.0::DOUBLE END, 6) AS score
   FROM sent s LEFT JOIN (SELECT k.doc_id, k.sid, d.b, d.t - coalesce(h.c, 0) AS x FROM sent k
   JOIN hd d USING (doc_id) LEFT JOIN hb h ON h.doc_id = k.doc_id AND h.sid = k.sid AND h.b = d.b) r ON r.doc_id = s.doc_id AND r.sid = s.sid
-  LEFT JOIN hb h ON h.doc_id = s.doc_id AND h.sid = s.sid AND h.b = r.b GROUP BY s.doc_id, s.sid""", "hb hd sent")
+  LEFT JOIN hb h ON h.doc_id = s.doc_id AND h.sid = s.sid AND h.b = r.b GROUP BY s.doc_id, s.sid"""
+
+
+@query("hashed_context_similarity", HASHED, "hb hd sent")
 def hashed_context_similarity(spark, sf):
     return scoring.hashed_context_similarity(documents(spark, sf))
 
@@ -171,14 +174,16 @@ def greedy_match_rescaled(spark, sf):
     return vectors.greedy_match(token_vectors(spark, sf), baseline=0.1)
 
 
-@query("encoded_sentences")
+@query("encoded_sentences", """SELECT s.doc_id || ':' || s.sid AS id, h.b::BIGINT AS dim, round(h.c / sqrt(sum(h.c * h.c) OVER (PARTITION BY s.doc_id, s.sid)), 6) AS x
+  FROM sent s JOIN hb h USING (doc_id, sid)""", "sent hb")
 def encoded_sentences(spark, sf):
     rows = sentence_rows(documents(spark, sf)).select(F.concat_ws(":", "doc_id", "sid").alias("id"), "sent")
     made = vectors.encode_texts(rows, "id", "sent", vectors.hashed_bag_encoder)
-    return made.select("id", tx.r6(vectors.norm(F.col("v"))).alias("length"))
+    parts = made.select("id", F.posexplode("v").alias("dim", "x")).filter("x <> 0")
+    return parts.select("id", F.col("dim").cast("long").alias("dim"), tx.r6(F.col("x")).alias("x"))
 
 
-@query("encoded_context_similarity")
+@query("encoded_context_similarity", HASHED, "hb hd sent")
 def encoded_context_similarity(spark, sf):
     return vectors.encoded_context_similarity(documents(spark, sf), vectors.hashed_bag_encoder)
 
