@@ -1,11 +1,12 @@
-"""Entity spans by rule, and tests on entities, as expressions on arrays in one row."""
+"""Entity spans by rule, as an Arrow UDF, and tests on entities, as expressions on arrays in one row."""
 
 from __future__ import annotations
 
+import pyarrow as pa
+import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-
-from salience.schemas import ENTITIES
+from pyspark.sql import types as T
 
 # Entity type to category; types not named here are entities.
 CATEGORIES = {
@@ -25,37 +26,52 @@ def category(ent_type: Column) -> Column:
     return F.coalesce(F.try_element_at(table, ent_type), F.lit(DEFAULT_CATEGORY))
 
 
-def span_type(text: Column) -> Column:
-    n = F.size(F.split(text, " "))
-    return (
-        F.when(F.regexp_like(text, F.lit("^[$€£]")), "MONEY").when(F.endswith(text, F.lit("%")), "PERCENT")
-        .when(F.regexp_like(text, F.lit("^(19|20)[0-9][0-9]$")), "DATE").when(F.regexp_like(text, F.lit("^[0-9]")), "CARDINAL")
-        .when(n == 1, "GPE").when(n == 2, "PERSON").otherwise("ORG")
-    )
+_SPAN = regex.compile(SPAN.replace(r"\d", "[0-9]"))
+_YEAR = regex.compile("(?:19|20)[0-9][0-9]")
+_ENTITY = pa.struct([("text", pa.string()), ("start_idx", pa.int64()), ("end_idx", pa.int64()), ("ent_type", pa.string()),
+                     ("tokens", pa.list_(pa.string())), ("i", pa.list_(pa.int64()))])
+
+
+def span_type(text: str) -> str:
+    if text[0] in "$€£":
+        return "MONEY"
+    if text.endswith("%"):
+        return "PERCENT"
+    if _YEAR.fullmatch(text):
+        return "DATE"
+    if text[0] in "0123456789":
+        return "CARDINAL"
+    return {0: "GPE", 1: "PERSON"}.get(text.count(" "), "ORG")
 
 
-def spans(text: Column, token_ids: bool = False) -> Column:
-    """Entities of a text in order, with character offsets.
+def spans(text: str | None, token_ids: bool = False) -> list[dict]:
+    """Entities of a text in order, with character offsets, in one scan.
 
-    The pieces between the matches give the offsets: each match starts where the pieces and matches before it end.
     ``token_ids`` adds the numbers of the blank-separated tokens a span covers.
     """
-    found = F.regexp_extract_all(text, F.lit(SPAN), F.lit(0))
-    between = F.split(text, SPAN)
-    both = F.zip_with(found, F.slice(between, F.lit(1), F.size(found)), lambda m, g: F.struct(m.alias("m"), g.alias("g")))
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(ENTITIES).alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        lo = acc["at"] + F.length(x["g"])
-        hi = lo + F.length(x["m"])
-        parts = F.split(x["m"], " ")
-        first = F.size(F.split(F.substring(text, F.lit(1), lo.cast("int")), " ")) - 1
-        ids = F.transform(parts, lambda _, k: (first + k).cast("long")) if token_ids else F.array().cast("array<bigint>")
-        ent = F.struct(x["m"].alias("text"), lo.alias("start_idx"), hi.alias("end_idx"), span_type(x["m"]).alias("ent_type"),
-                       parts.alias("tokens"), ids.alias("i"))
-        return F.struct(hi.alias("at"), F.concat(acc["out"], F.array(ent)).alias("out"))
-
-    return F.aggregate(both, start, step, lambda acc: acc["out"])
+    out, at, blanks = [], 0, 0
+    for m in _SPAN.finditer(text or ""):
+        parts = m[0].split(" ")
+        blanks += text.count(" ", at, m.start())
+        at = m.start()
+        out.append({"text": m[0], "start_idx": m.start(), "end_idx": m.end(), "ent_type": span_type(m[0]), "tokens": parts,
+                    "i": [blanks + k for k in range(len(parts))] if token_ids else []})
+    return out
+
+
+_TEXTS, _LONGS = T.ArrayType(T.StringType()), T.ArrayType(T.LongType())
+_ENTITIES = T.ArrayType(T.StructType([
+    T.StructField("text", T.StringType()), T.StructField("start_idx", T.LongType()), T.StructField("end_idx", T.LongType()),
+    T.StructField("ent_type", T.StringType()), T.StructField("tokens", _TEXTS), T.StructField("i", _LONGS)]))
+
+
+@F.arrow_udf(T.StructType([T.StructField("summary_ents", _ENTITIES), T.StructField("document_ents", _ENTITIES)]))
+def annotations(summary: pa.Array, document: pa.Array) -> pa.Array:
+    """Entities of both texts; the document's are looked for only when the summary has some."""
+    own = [spans(s, token_ids=True) for s in summary.to_pylist()]
+    found = [spans(d) if o else [] for o, d in zip(own, document.to_pylist())]
+    kind = pa.list_(_ENTITY)
+    return pa.StructArray.from_arrays([pa.array(own, kind), pa.array(found, kind)], names=["summary_ents", "document_ents"])
 
 
 def known_words(ents: Column) -> Column:

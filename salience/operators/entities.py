@@ -28,8 +28,8 @@ SMALL_POOL = 1000
 def annotate(pairs: DataFrame) -> DataFrame:
     """Adds ``summary_ents, document_ents``. A document is annotated only when its summary has entities."""
     flat = pairs.withColumn("summary", tx.flatten_lines(F.col("summary"))).withColumn("document", tx.flatten_lines(F.col("document")))
-    some = settled(flat.withColumn("summary_ents", en.spans(F.col("summary"), token_ids=True)))
-    return settled(some.withColumn("document_ents", F.when(F.size("summary_ents") > 0, en.spans(F.col("document"))).otherwise(F.array().cast(ENTITIES))))
+    return flat.withColumn("_a", en.annotations("summary", "document")).select(
+        *flat.columns, F.col("_a.summary_ents").alias("summary_ents"), F.col("_a.document_ents").alias("document_ents"))
 
 
 def unsupported_ids(rows: DataFrame) -> DataFrame:

@@ -51,9 +51,9 @@ def parsed(spark, sf):
   UNION ALL SELECT doc_id, 'document', k, text, lo, hi, ent_type FROM doce""", "sume doce")
 def entity_annotation(spark, sf):
     a = annotated(spark, sf)
-    side = lambda name: a.select("doc_id", F.lit(name).alias("side"), F.posexplode(f"{name}_ents").alias("k", "e"))
-    both = side("summary").unionByName(side("document"))
-    return both.select("doc_id", "side", F.col("k").cast("long").alias("k"), "e.text", "e.start_idx", "e.end_idx", "e.ent_type")
+    side = lambda name: F.transform(f"{name}_ents", lambda e, k: F.struct(F.lit(name).alias("side"), k.cast("long").alias("k"), e.alias("e")))
+    both = a.select("doc_id", F.explode(F.concat(side("summary"), side("document"))).alias("x"))
+    return both.select("doc_id", "x.side", "x.k", "x.e.text", "x.e.start_idx", "x.e.end_idx", "x.e.ent_type")
 
 
 @query("gated_annotation", """SELECT doc_id, (SELECT count(*) FROM sume s WHERE s.doc_id = f.doc_id) AS n_summary, (SELECT count(*) FROM doce d WHERE d.doc_id = f.doc_id) AS n_document FROM fine f""", "fine sume doce")
