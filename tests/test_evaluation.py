@@ -299,3 +299,43 @@ def test_failing_judge_fails_the_run(spark):
     prompts = spark.createDataFrame([(1, "p")], "k LONG, prompt STRING")
     with pytest.raises(Exception, match="no answer"):
         judge.run_judge(prompts, ["k"], make).collect()
+
+
+def test_verdict_does_not_depend_on_length(spark):
+    long = "alpha beta gamma " * 40
+    df = spark.createDataFrame([("alpha beta gamma delta", long, "zeta")], "r STRING, a STRING, b STRING")
+    got = df.select(judge.rule_completion(F.col("r"), F.col("a"), F.col("b")).alias("c")).first()["c"]
+    assert len(long) > 500 and got.endswith("[RESULT] A")
+
+
+def test_votes_keep_long_item_numbers(spark):
+    from salience.sources import packets
+    cells = spark.createDataFrame([("1234567890123456789", "x", "faithfulness", "a"), ("12345678901234567890", "x", "faithfulness", "a")],
+                                  "item STRING, annotator STRING, dimension STRING, cell STRING")
+    assert packets.votes_from(cells).first()["item"] == 1234567890123456789
+    assert [r["item"] for r in packets.vote_violations(cells).collect()] == ["12345678901234567890"]
+
+
+@pytest.mark.parametrize("n", [60, 1000])
+def test_replicates_are_exact(n):
+    w = evaluate.bootstrap_weights(7, n)
+    assert len(w) == n + 1 and w[0] == 1 and 0.7 < w[1:].mean() < 1.4
+
+
+def test_published_t_value():
+    from salience.functions.tdist import t_two_sided
+    assert float(t_two_sided([2.2078], [10_000])[0]) == pytest.approx(0.02728, abs=2e-5)
+
+
+def test_no_step_no_trend(spark):
+    rates = spark.createDataFrame([("d", 1, 0.5), ("d", 1, 0.6), ("d", 1, 0.7)], "dataset STRING, step LONG, rate DOUBLE")
+    assert length.trend(rates).count() == 0
+
+
+def test_resume_takes_only_a_missing_folder_as_empty(spark, tmp_path):
+    from pyspark.errors import AnalysisException
+    from salience.streaming.judging import results_so_far
+    assert results_so_far(spark, str(tmp_path / "none"), "a LONG").count() == 0
+    (tmp_path / "odd").mkdir()
+    with pytest.raises(Exception):
+        results_so_far(spark, f"bad://{tmp_path}/odd", "a LONG").count()

@@ -46,9 +46,8 @@ def brute(n):
     for d, text in DOCS:
         s = split(text)
         for i, x in enumerate(s):
-            if toks(x):
-                rest = toks(" ".join(y for j, y in enumerate(s) if j != i))
-                out[d, i] = round(overlap_f(grams(toks(x)), grams(rest)), 6)
+            rest = toks(" ".join(y for j, y in enumerate(s) if j != i))
+            out[d, i] = round(overlap_f(grams(toks(x)), grams(rest)), 6)
     return out
 
 
@@ -70,9 +69,8 @@ def test_rouge_l(docs):
     for d, text in DOCS:
         s = split(text)
         for i, x in enumerate(s):
-            if toks(x):
-                rest = [w for j, y in enumerate(s) if j != i for w in toks(y)]
-                want[d, i] = round(2 * naive_lcs(toks(x), rest) / (len(toks(x)) + len(rest)), 6)
+            rest = [w for j, y in enumerate(s) if j != i for w in toks(y)]
+            want[d, i] = round(2 * naive_lcs(toks(x), rest) / max(1, len(toks(x)) + len(rest)), 6)
     assert collected(scoring.rouge_l(docs)) == pytest.approx(want)
 
 
@@ -90,6 +88,7 @@ def test_count_pmi(docs, monkeypatch, heavy):
             own = collections.Counter(toks(x))
             n_s, n_d = sum(own.values()), sum(doc.values())
             if not own:
+                want[d, i] = 0.0
                 continue
             bits = 0.0
             for w, c in own.items():
@@ -233,6 +232,7 @@ def test_context_similarity_by_encoder(docs):
             own = collections.Counter(toks(x))
             rest = collections.Counter(w for j, y in enumerate(s) if j != i for w in toks(y))
             size = math.sqrt(sum(c * c for c in own.values()) * sum(c * c for c in rest.values()))
+            exact[d, i] = 0.0
             if own:
                 exact[d, i] = round(sum(c * rest[w] for w, c in own.items()) / size, 6) if size else 0.0
     assert linear == pytest.approx(exact, abs=2e-6)
@@ -250,3 +250,26 @@ def test_hot_pairs_are_cut(spark, monkeypatch):
     for cuts in (1, 3, 64):
         monkeypatch.setattr(vectors, "CUTS", cuts)
         assert sorted(map(tuple, vectors.greedy_match(df).collect())) == want
+
+
+def test_row_wise_queries_do_not_shuffle(spark):
+    import __spark_entry__ as entry
+    from tests.conftest import SMALL
+    names = ["sentences", "sentence_bodies", "other_sentences", "cut_contexts", "masked_documents", "inserted_mask", "metric_tokens", "rouge1_pairs",
+             "rouge1_scores", "rouge2_scores", "rougeL_scores", "hashed_context_similarity", "one_sentence_per_line", "encoded_sentences",
+             "entity_annotation", "gated_annotation", "unsupported_entities", "replaced_summaries", "repaired_summaries", "intrinsic_negatives"]
+    for name in names:
+        plan = entry.queries()[name](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan, name
+
+
+def test_vectors_without_a_direction(spark):
+    from salience.operators import vectors
+    rows = [("g", 1, [0.0, 0.0]), ("g", 2, [1.0, 0.0]), ("g", 3, [-1.0, 0.0]), ("h", 4, [1.0, 1.0])]
+    got = vectors.salience(spark.createDataFrame(rows, "g STRING, k LONG, v ARRAY<FLOAT>"), "g", "k", 2).collect()
+    assert {r["k"]: r["score"] for r in got} == {1: 0.0, 2: pytest.approx(-1.0), 3: pytest.approx(-1.0), 4: 0.0}
+    masked = spark.createDataFrame([("t", False, [1.0, 2.0]), ("u", True, [3.0, 4.0])], "id STRING, mask BOOLEAN, v ARRAY<FLOAT>")
+    assert {r["id"]: r["v"] for r in vectors.pooled(masked, "id", 2).collect()} == {"t": [0.0, 0.0], "u": pytest.approx([0.6, 0.8])}
+    tokens = [(1, "cand", 0, False, [1.0, 0.0]), (2, "cand", 0, False, [0.0, 0.0]), (2, "ref", 0, False, [1.0, 0.0])]
+    match = vectors.greedy_match(spark.createDataFrame(tokens, "pair_id LONG, side STRING, pos LONG, special BOOLEAN, v ARRAY<FLOAT>")).collect()
+    assert {r["pair_id"]: r["f1"] for r in match} == {1: 0.0, 2: 0.0}
