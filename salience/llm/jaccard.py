@@ -9,10 +9,11 @@ One tree over everything would prune nothing: vectors of unrelated texts of a le
 other, and all pairs of a length would be compared. So there is a tree per routing key: documents meet under the tokens
 of their rarity-ordered prefix (``prefixes``), of which linked documents share at least one. Nothing is lost by that.
 
-Groups of copies are contracted before pairs are formed. Equal sets are one node. In each key, nodes are first held
-against one leader of like size, which turns a group of near copies into a star; components of the verified stars come
-next. Only nodes whose component is not the largest of the key still meet the others there, in slices of bounded size.
-So no key emits all its pairs, and no link between different components is missed.
+Keys with the same first node are one family, so documents that share many keys meet once. Groups of copies are
+contracted before pairs are formed: equal sets are one node; nodes are held against one leader of like size, which turns
+a group of near copies into a star; then those outside the largest component of a family try their ``TRIED`` most
+promising partners. Only what is in different components after that meets as a whole, in slices of bounded size. So no
+family emits all its pairs, and no link between different components is missed.
 
 Words are runs of signs other than white space, A-Z lower-cased. Fewer words than a shingle make one shingle; null and
 empty texts have none and link with nothing. A null id has no component. Repeated ids are separate documents until the
@@ -30,30 +31,21 @@ from salience.llm.blocks import matrix
 from salience.llm.graph import components, stored
 from salience.llm.meeting import meet_by_key
 from salience.llm.prefixes import Similarity, shared_prefixes
-from salience.llm.words import as_bytes, mixed, shingles, word_hashes
+from salience.llm.words import TokenSets
 from salience.session import ship
 
-GROUPS = 64
+GROUPS = 512
 FAN = 16
+TRIED = 3
 #: Bits of the filter that keeps most other documents out of the second pass over the texts.
 FILTER_BITS = 1 << 22
 _ONE = np.uint64(1)
 
 
-def tokens_of(text: bytes | None, words: int) -> np.ndarray:
-    """Sorted distinct 63-bit shingle hashes."""
-    found = shingles(word_hashes((text or b"").lower().split()), words)
-    return np.unique((found >> _ONE).astype(np.int64))
-
-
-def digest(tokens: np.ndarray) -> tuple[int, int]:
-    """Two 64-bit numbers that tell sets apart."""
-    spread = mixed(tokens.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
-    return int(np.add.reduce(spread).astype(np.uint64).view(np.int64)), int(np.bitwise_xor.reduce(spread * np.uint64(0xD6E8FEB86659FD93)).astype(np.uint64).view(np.int64)) if len(tokens) else 0
-
-
-def count_vector(tokens: np.ndarray) -> np.ndarray:
-    return np.bincount(tokens & (GROUPS - 1), minlength=GROUPS).astype(np.int32)
+def count_vectors(sets: TokenSets) -> np.ndarray:
+    """Counts per group in a byte, a row per set; 255 stands for any larger count as well."""
+    cells = np.bincount(sets.owners() * GROUPS + (sets.tokens & (GROUPS - 1)), minlength=len(sets.row) * GROUPS)
+    return np.minimum(cells, 255).astype(np.uint8).reshape(-1, GROUPS)
 
 
 class CountTree:
@@ -72,25 +64,29 @@ class CountTree:
             starts = np.arange(0, len(least), FAN)
             self.levels.append((np.maximum.reduceat(high, starts, axis=0), np.minimum.reduceat(least, starts)))
 
-    def search(self, vectors: np.ndarray, sizes: np.ndarray, similarity: Similarity) -> tuple[np.ndarray, np.ndarray]:
-        """(probe, point) index pairs whose bound allows a link."""
+    def search(self, vectors: np.ndarray, sizes: np.ndarray, similarity: Similarity) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(probe, point, spare) where the bound allows a link; spare is the bound less the needed overlap."""
         high, least = self.levels[-1]
         probe, box = (a.ravel() for a in np.meshgrid(np.arange(len(sizes)), np.arange(len(least)), indexing="ij"))
+        spare = np.zeros(0, np.int64)
         for level in range(len(self.levels) - 1, -1, -1):
             high, least = self.levels[level]
-            fits = []
-            for at in range(0, len(probe), 20_000):
-                p, b = probe[at:at + 20_000], box[at:at + 20_000]
-                bound = np.minimum(vectors[p], high[b]).sum(axis=1)
-                fits.append(bound >= similarity.need(sizes[p], least[b]))
-            fit = np.concatenate(fits) if fits else np.zeros(0, bool)
-            probe, box = probe[fit], box[fit]
+            spares = [np.zeros(0, np.int64)]
+            for at in range(0, len(probe), 8000):
+                p, b = probe[at:at + 8000], box[at:at + 8000]
+                shared = np.minimum(vectors[p], high[b])
+                bound = shared.sum(axis=1, dtype=np.int64)
+                bound[(shared == 255).any(axis=1)] = np.iinfo(np.int32).max
+                spares.append(bound - similarity.need(sizes[p], least[b]))
+            spare = np.concatenate(spares)
+            fit = spare >= 0
+            probe, box, spare = probe[fit], box[fit], spare[fit]
             if level:
                 below = len(self.levels[level - 1][1])
                 probe = np.repeat(probe, FAN)
                 box = (box[:, None] * FAN + np.arange(FAN)).ravel()
                 probe, box = probe[box < below], box[box < below]
-        return probe, self.order[box]
+        return probe, self.order[box], spare
 
 
 def _sets(docs: DataFrame, words: int, similarity: Similarity, id_col: str, text_col: str) -> DataFrame:
@@ -100,16 +96,14 @@ def _sets(docs: DataFrame, words: int, similarity: Similarity, id_col: str, text
 
     def run(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
-                out = []
-                for text in as_bytes(part.column("text")):
-                    tokens = tokens_of(text, words)
-                    low, n_low = similarity.low_tokens(tokens)
-                    out.append((len(tokens), n_low, *digest(tokens), count_vector(tokens).tobytes(), low))
-                cols = list(zip(*out))
+            for at in range(0, batch.num_rows, 400):
+                part = batch.slice(at, 400)
+                sets = TokenSets.of_texts(part.column("text"), words)
+                n_low, low = sets.low(similarity)
+                d1, d2 = sets.digests()
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("id"), *[pa.array(c, pa.int64()) for c in cols[:4]], pa.array(cols[4], pa.binary()), pa.array(cols[5], pa.list_(pa.int64()))],
+                    [part.column("id"), pa.array(sets.sizes()), pa.array(n_low), pa.array(d1), pa.array(d2),
+                     pa.array([v.tobytes() for v in count_vectors(sets)], pa.binary()), low],
                     names=["id", "n", "n_low", "d1", "d2", "vector", "low"])
 
     made = rows.mapInArrow(run, f"id {kind}, n long, n_low long, d1 long, d2 long, vector binary, low array<bigint>")
@@ -139,11 +133,11 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, words: int, id_col: str, text
             some = np.flatnonzero((bits.value[spots >> 6] >> (spots & 63).astype(np.uint64)) & _ONE)
             for at in range(0, len(some), 500):
                 part = batch.take(pa.array(some[at:at + 500]))
-                sets = [tokens_of(t, words) for t in as_bytes(part.column("text"))]
-                digests = [digest(s) for s in sets]
+                sets = TokenSets.of_texts(part.column("text"), words)
+                d1, d2 = sets.digests()
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("id"), pa.array([d[0] for d in digests], pa.int64()), pa.array([d[1] for d in digests], pa.int64()),
-                     pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "d1", "d2", "tokens"])
+                    [part.column("id"), pa.array(d1), pa.array(d2), pa.array([sets.set(i).tobytes() for i in range(len(d1))], pa.binary())],
+                    names=["id", "d1", "d2", "tokens"])
 
     made = rows.mapInArrow(run, f"id {kind}, d1 long, d2 long, tokens binary")
     return stored(made.join(wanted, ["id", "d1", "d2"]).dropDuplicates(["node"]).select("node", "tokens"), "tokens")
@@ -175,38 +169,51 @@ def _leaders(routed: DataFrame, similarity: Similarity) -> DataFrame:
         F.col("node").alias("a"), (-F.col("best.back")).alias("b"))
 
 
-def _tree_pairs(similarity: Similarity):
-    """Pairs of rows of a key with different labels whose bound allows a link."""
+def _tree_pairs(similarity: Similarity, top: int | None):
+    """Pairs of rows of a family with different labels whose bound allows a link; of each probe all or the ``top`` best."""
 
     def meet(rows: pa.Table, probes: pa.Table) -> pa.Table:
-        left: list[np.ndarray] = [np.zeros(0, np.int64)]
-        right: list[np.ndarray] = [np.zeros(0, np.int64)]
+        pairs = [np.zeros((0, 2), np.int64)]
         if rows.num_rows and probes.num_rows:
             rows, probes = rows.sort_by("key"), probes.sort_by("key")
-            vectors, probe_vectors = matrix(rows["vector"], np.int32), matrix(probes["vector"], np.int32)
-            sizes, probe_sizes = rows["n"].to_numpy(), probes["n"].to_numpy()
-            node, probe_node = rows["node"].to_numpy(), probes["node"].to_numpy()
-            label, probe_label = rows["label"].to_numpy(), probes["label"].to_numpy()
+            vectors, probe_vectors = matrix(rows["vector"], np.uint8), matrix(probes["vector"], np.uint8)
+            r, q = ({c: t[c].to_numpy() for c in ("key", "node", "n", "label")} for t in (rows, probes))
             minor = rows["minor"].to_numpy(zero_copy_only=False)
-            keys, starts = np.unique(rows["key"].to_numpy(), return_index=True)
-            ends = np.append(starts[1:], len(node))
-            probe_key = probes["key"].to_numpy()
-            lo, hi = np.searchsorted(probe_key, keys, "left"), np.searchsorted(probe_key, keys, "right")
-            for s, e, p, q in zip(starts, ends, lo, hi):
-                if p == q:
-                    continue
-                tree = CountTree(vectors[s:e], sizes[s:e])
-                a, b = tree.search(probe_vectors[p:q], probe_sizes[p:q], similarity)
-                a, b = a + p, b + s
-                # two minor rows meet twice, as row and as probe
-                fit = (label[b] != probe_label[a]) & (~minor[b] | (probe_node[a] < node[b]))
-                left.append(probe_node[a[fit]]), right.append(node[b[fit]])
-        pairs = np.unique(np.column_stack([np.concatenate(left), np.concatenate(right)]), axis=0)
-        return pa.table([pa.array(pairs.min(axis=1) if len(pairs) else [], pa.int64()), pa.array(pairs.max(axis=1) if len(pairs) else [], pa.int64())], names=["a", "b"])
+            keys, starts = np.unique(r["key"], return_index=True)
+            ends = np.append(starts[1:], len(minor))
+            lo, hi = np.searchsorted(q["key"], keys, "left"), np.searchsorted(q["key"], keys, "right")
+            for s, e, first, last in zip(starts, ends, lo, hi):
+                tree = CountTree(vectors[s:e], r["n"][s:e]) if first < last else None
+                for p in range(first, last, 256):
+                    a, b, spare = tree.search(probe_vectors[p:min(last, p + 256)], q["n"][p:min(last, p + 256)], similarity)
+                    a, b = a + p, b + s
+                    # two minor rows meet twice, as row and as probe
+                    fit = (r["label"][b] != q["label"][a]) & (~minor[b] | (q["node"][a] < r["node"][b]) | (top is not None))
+                    a, b, spare = a[fit], b[fit], spare[fit]
+                    if top is not None:
+                        order = np.lexsort((-spare, a))
+                        a, b = a[order], b[order]
+                        rank = np.arange(len(a)) - np.searchsorted(a, a, "left")
+                        a, b = a[rank < top], b[rank < top]
+                    pairs.append(np.sort(np.column_stack([q["node"][a], r["node"][b]]), axis=1))
+        found = np.unique(np.concatenate(pairs), axis=0)
+        return pa.table([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
 
     return meet
 
 
+def _across(members: DataFrame, labels: DataFrame, vectors: DataFrame, tokens: DataFrame, similarity: Similarity, top: int | None) -> DataFrame:
+    """Verified links between members of a family with different labels, stored."""
+    labelled = stored(members.join(labels, "node", "left").select("key", "node", F.coalesce("label", F.col("node")).alias("label")), "labelled")
+    shares = labelled.groupBy("key", "label").agg(F.count("*").alias("n"))
+    major = shares.groupBy("key").agg(F.count("*").alias("labels"), F.max(F.struct("n", "label")).alias("top")).filter("labels > 1")
+    major = stored(major.select("key", F.col("top.label").alias("major")), "major")
+    mixed_rows = labelled.join(major, "key").select("key", "node", "label", (F.col("label") != F.col("major")).alias("minor"))
+    base = stored(mixed_rows.join(vectors, "node"), "base")
+    pairs = meet_by_key(base, stored(base.filter("minor"), "minor"), _tree_pairs(similarity, top), "a long, b long").distinct()
+    return stored(verified(pairs, tokens, similarity), "links")
+
+
 def link(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, n_shingles and component_id (the smallest id that links reach), one row per input row."""
     ship(docs.sparkSession)
@@ -215,8 +222,9 @@ def link(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, id_col:
     equal = ["d1", "d2", "n"]
     full = sets.filter("n > 0 AND id IS NOT NULL")
     firsts = stored(full.groupBy(*equal).agg(F.min("node").alias("node")), "firsts")
-    kept = full.select("node", "n", "n_low").join(firsts.select("node"), "node", "left_semi")
-    routed = stored(shared_prefixes(sets.filter("n > 0 AND id IS NOT NULL").select("node", "low"), kept, similarity), "routed")
+    prefixes = shared_prefixes(full, firsts, similarity)
+    families = stored(prefixes.groupBy("key").agg(F.min("node").alias("family"), F.max("node").alias("last")).filter("family < last").drop("last"), "families")
+    routed = stored(prefixes.join(families, "key").select("key", "node", "n", "family"), "routed")
 
     nodes = routed.select("node").distinct()
     wanted = sets.select("node", "id", "d1", "d2").join(nodes, "node", "left_semi")
@@ -224,19 +232,13 @@ def link(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, id_col:
     stars = stored(verified(_leaders(routed, similarity), tokens, similarity), "stars")
     labels = components(stars)
 
-    own = F.coalesce("label", F.col("node"))
-    labelled = stored(routed.join(labels, "node", "left").select("key", "node", own.alias("label")), "labelled")
-    shares = labelled.groupBy("key", "label").agg(F.count("*").alias("n"))
-    major = shares.groupBy("key").agg(F.count("*").alias("labels"), F.max(F.struct("n", "label")).alias("top")).filter("labels > 1")
-    major = stored(major.select("key", F.col("top.label").alias("major")), "major")
-    mixed_keys = labelled.join(major, "key").select("key", "node", "label", (F.col("label") != F.col("major")).alias("minor"))
-    vectors = sets.select("node", "n", "vector")
-    base = stored(mixed_keys.join(vectors, "node"), "base")
-    schema = "a long, b long"
-    pairs = meet_by_key(base, stored(base.filter("minor"), "minor"), _tree_pairs(similarity), schema).distinct()
-    more = stored(verified(pairs, tokens, similarity), "more")
-    if not more.isEmpty():
-        labels = components(stars.unionByName(more))
+    members = stored(routed.select(F.col("family").alias("key"), "node").distinct(), "members")
+    vectors, links = sets.select("node", "n", "vector"), stars
+    for top in (TRIED, None):
+        more = _across(members, labels, vectors, tokens, similarity, top)
+        if not more.isEmpty():
+            links = links.unionByName(more)
+            labels = components(links)
 
     # back to all documents: equal sets through their first node, then through the component of that node
     placed = sets.select("node", F.col("id"), *equal).join(firsts.withColumnRenamed("node", "first"), equal, "left")

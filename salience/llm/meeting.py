@@ -8,8 +8,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from salience.llm.graph import stored
+
 SLICE = 2048
-AT_ONCE = 50_000
+AT_ONCE = 10_000
 
 
 def meet_by_key(base: DataFrame, probes: DataFrame, meet: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
@@ -20,13 +22,16 @@ def meet_by_key(base: DataFrame, probes: DataFrame, meet: Callable[[pa.Table, pa
     """
     per_key = base.groupBy("key").agg(F.count("*").alias("n")).join(probes.groupBy("key").agg(F.count("*").alias("p")), "key")
     groups = max(1, base.count() // AT_ONCE)
-    large = per_key.filter((F.col("n") > SLICE) | (F.col("p") > SLICE)).select(
-        "key", F.ceil(F.col("n") / SLICE).cast("int").alias("cuts"), F.ceil(F.col("p") / SLICE).cast("int").alias("probe_cuts"))
+    large = stored(per_key.filter((F.col("n") > SLICE) | (F.col("p") > SLICE)).select(
+        "key", F.ceil(F.col("n") / SLICE).cast("int").alias("cuts"), F.ceil(F.col("p") / SLICE).cast("int").alias("probe_cuts")), "large")
+    sliced = not large.isEmpty()
     group = F.pmod(F.xxhash64("key"), F.lit(groups)).cast("int").alias("group")
     one = F.lit(1)
     cuts, probe_cuts = F.coalesce("cuts", one), F.coalesce("probe_cuts", one)
 
     def side(rows: DataFrame, own, other, own_name: str, other_name: str) -> DataFrame:
+        if not sliced:
+            return rows.select("*", group, F.lit(0).alias(own_name), F.lit(0).alias(other_name))
         dealt = rows.join(large, "key", "left")
         return dealt.select(*rows.columns, group, F.pmod(F.xxhash64("node"), own).cast("int").alias(own_name),
                             F.explode(F.sequence(F.lit(0), other - 1)).alias(other_name))

@@ -1,20 +1,26 @@
-"""Rarity-ordered prefixes of token sets, computed without counting every token.
+"""Rarity-ordered prefixes of token sets, computed without a row per token.
 
-Tokens are 63-bit hashes. The global order is: tokens below ``share`` of the hash space by how many sets hold them, then
-by hash; all other tokens behind them by hash. Two sets of sizes a and b with overlap of at least ``need(a, b)`` share a
-token among the first ``prefix(n)`` of each in any global order, so only the low tokens of a set (or as many more as its
-prefix takes) ever leave the row. A low token that one set alone has comes first in the order and joins nothing, so its
-place is all that counts; sets with enough of them are done at once. What is left is small for texts that are not copies.
+Tokens are hashes below 2**``TOKEN_BITS``. The global order is: tokens below ``share`` of the hash space by how many sets
+hold them, then by hash; all other tokens behind them by hash. Two sets of sizes a and b with overlap of at least
+``need(a, b)`` share a token among the first ``prefix(n)`` of each in any global order, so only the low tokens of a set (or
+as many more as its prefix takes) are looked at. A low token that one set alone has comes first in the order and joins
+nothing, so its place is all that counts; sets with enough of them are done at once. What is left is small for texts that
+are not copies. Counts come from packed asks of blocks of sets (``asking``).
 """
 
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from salience.llm.asking import ASKED, SHARED, packed, packed_keys, ranges, shared_keys, unpacked, unpacked_keys
 from salience.llm.graph import stored
+from salience.llm.words import TOKEN_BITS
+
+#: Tokens of a block, and of a range of hashes, as they are meant to be; both are counts, not caps.
+BLOCK_TOKENS, RANGE_TOKENS = 300_000, 500_000
 
 
 class Similarity:
@@ -23,8 +29,8 @@ class Similarity:
     def __init__(self, num: int, den: int):
         self.num, self.den = num, den
         #: low tokens have to hold a prefix and leave room for frequent ones
-        self.share = min(1.0, (den - num) / den * 5 / 3)
-        self.low = int(self.share * (1 << 63))
+        self.share = min(1.0, (den - num) / den * 5 / 4)
+        self.low = int(self.share * (1 << TOKEN_BITS))
 
     def need(self, a, b):
         """Smallest overlap of linked sets of these sizes."""
@@ -34,27 +40,77 @@ class Similarity:
         """Tokens of a set of size n that must hold one of every linked set."""
         return n - -(-self.num * n // self.den) + 1
 
-    def low_tokens(self, tokens: np.ndarray) -> tuple[np.ndarray, int]:
-        """Of sorted tokens: those that may be needed, and how many of them are low."""
-        low = int(np.searchsorted(tokens, self.low))
-        return tokens[:max(low, self.prefix(len(tokens)) if len(tokens) else 0)], low
 
+def _lists(column) -> tuple[np.ndarray, np.ndarray]:
+    """Values of a list column and the row of each."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    values = column.flatten().to_numpy()
+    return values, np.repeat(np.arange(len(column)), np.diff(column.offsets.to_numpy()))
+
+
+def _prefix_rows(similarity: Similarity, carried: list[str]):
+    """The tokens of a block's sets that stand in a prefix and that several sets have, with their places."""
+
+    def pick(sets: pa.Table, answers: pa.Table) -> pa.Table:
+        names = ["node", "n", "key", "place", *carried]
+        if not sets.num_rows or not answers.num_rows:
+            return pa.table([pa.array([], pa.int64())] * 3 + [pa.array([], pa.int32())] + [pa.array([], pa.int64())] * len(carried), names=names)
+        keys = np.concatenate([unpacked_keys(k) for k in answers["keys"].to_pylist()]).astype(np.int64)
+        totals = np.concatenate([unpacked(c) for c in answers["counts"].to_pylist()]).astype(np.int64)
+        order = np.argsort(keys)
+        keys, totals = keys[order], totals[order]
+        values, row = _lists(sets["low"])
+        at = np.minimum(np.searchsorted(keys, values), len(keys) - 1)
+        hit = keys[at] == values
+        values, row, count = values[hit], row[hit], totals[at[hit]]
+        n, n_low = sets["n"].to_numpy(), sets["n_low"].to_numpy()
+        low = values < similarity.low
+        # alone: low tokens that no other set has, which come first
+        alone = n_low - np.bincount(row[low], minlength=len(n))
+        by = np.lexsort((values, np.where(low, count, 0), ~low, row))
+        values, row, low = values[by], row[by], low[by]
+        rank = np.arange(len(row)) - np.searchsorted(row, row, "left")
+        # of the other tokens a set gave no more than its prefix takes
+        place = np.where(low, alone[row] + rank, n_low[row])
+        keep = ~low | (place < similarity.prefix(n[row]))
+        row = row[keep]
+        return pa.table([pa.array(sets["node"].to_numpy()[row]), pa.array(n[row]), pa.array(values[keep]), pa.array(place[keep].astype(np.int32)),
+                         *[pa.array(sets[c].to_numpy()[row]) for c in carried]], names=names)
 
-def shared_prefixes(sets: DataFrame, kept: DataFrame, similarity: Similarity) -> DataFrame:
-    """(node, n, key, place): tokens in the prefix of a kept set that more than one set has.
+    return pick
 
-    ``sets``, a stored table, has node and low (an array of tokens); ``kept`` has node, n and n_low and names the sets of
-    interest, one of each group of equal ones. ``place`` is the token's position in the set's order, from 0.
+
+def shared_prefixes(sets: DataFrame, kept: DataFrame, similarity: Similarity, carried: list[str] | None = None) -> DataFrame:
+    """(node, n, key, place) and the ``carried`` LONG columns of the sets, stored: tokens in the prefix of a kept set that another set has.
+
+    ``sets``, a stored table, has node, n, n_low and low (an array of tokens); ``kept`` has node and names one set of each
+    group of equal ones. ``place`` is the token's position in the set's order, from 0.
     """
-    keys = sets.select(F.explode("low").alias("key")).groupBy("key").agg(F.count("*").alias("sets")).filter("sets > 1")
-    keys = stored(keys, "keys")
-    shared = sets.select("node", F.explode("low").alias("key")).join(keys, "key").join(kept, "node")
-    is_low = F.col("key") < F.lit(similarity.low)
-    by_node = W.partitionBy("node")
-    order = by_node.orderBy(~is_low, F.when(is_low, F.col("sets")), "key")
-    prefix = F.col("n") - F.ceil(F.col("n") * similarity.num / similarity.den) + 1
-    alone = F.col("n_low") - F.count(F.when(is_low, 1)).over(by_node)
-    low_place = alone + F.row_number().over(order) - 1
-    # of the other tokens a set gave no more than its prefix takes
-    ranked = shared.withColumn("place", F.when(is_low, low_place).otherwise(F.col("n_low"))).withColumn("_prefix", prefix)
-    return ranked.filter(~is_low | (F.col("place") < F.col("_prefix"))).select("node", "n", "key", F.col("place").cast("int"))
+    size = sets.agg(F.count("*").alias("rows"), F.sum(F.greatest("n_low", F.col("n") * (1 - similarity.num / similarity.den) + 1)).alias("tokens")).first()
+    tokens = int(size["tokens"] or 0)
+    bits = max(0, (tokens // RANGE_TOKENS).bit_length())
+    # nodes are numbered row by row within a partition, so neighbours share a block
+    step = max(1, int(BLOCK_TOKENS * size["rows"] / max(1, tokens)))
+    carried = carried or []
+    in_blocks = sets.select(F.expr(f"node div {step}").alias("block"), "node", "n", "n_low", "low", *carried)
+
+    def ask(batches):
+        for batch in batches:
+            block = batch.column("block").to_numpy()
+            values, row = _lists(batch.column("low"))
+            of = block[row]
+            out = []
+            for b in np.unique(block):
+                keys, counts = np.unique(values[of == b].astype(np.uint64), return_counts=True)
+                out += [(part, int(b), packed_keys(keys[lo:hi]), packed(counts[lo:hi])) for part, lo, hi in ranges(keys, bits, TOKEN_BITS)]
+            if out:
+                part, block_of, keys, counts = zip(*out)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(part, pa.int32()), pa.array(block_of, pa.int64()), pa.array(keys, pa.binary()), pa.array(counts, pa.binary())],
+                    names=["part", "block", "keys", "counts"])
+
+    answers = in_blocks.select("block", "low").mapInArrow(ask, ASKED).groupBy("part").applyInArrow(shared_keys, SHARED)
+    rows = in_blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
+        _prefix_rows(similarity, carried), "node long, n long, key long, place int" + "".join(f", {c} long" for c in carried))
+    return stored(rows.join(kept.select("node"), "node", "left_semi"), "prefixes")

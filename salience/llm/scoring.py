@@ -26,8 +26,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from salience.llm.asking import packed, packed_keys, ranges, unpacked, unpacked_keys
 from salience.llm.graph import stored
-from salience.llm.words import as_bytes, mixed, word_hashes
+from salience.llm.words import Words, mixed
 from salience.session import ship
 
 BLOCK = 2048
@@ -40,27 +41,16 @@ _START, _END = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
-def packed(numbers: np.ndarray) -> bytes:
-    """64-bit numbers byte plane by byte plane, so that the shuffle's compression finds the empty planes."""
-    return np.ascontiguousarray(numbers.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
-
-
-def unpacked(raw: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view("<u8").ravel()
-
-
 class Block:
     """The n-grams of some texts: tokens, their contexts, and the distinct ones in the order of their hashes."""
 
-    def __init__(self, texts: list[bytes | None]):
-        parts = []
-        for text in texts:
-            parts.append(word_hashes((text or b"").lower().split()))
-            parts.append(np.array([_END]))
-        lengths = np.array([len(p) + 1 for p in parts[::2]], np.int64)
-        token = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
-        self.starts = np.cumsum(lengths) - lengths
-        self.lengths = lengths
+    def __init__(self, texts: pa.Array):
+        words = Words(texts)
+        n = np.diff(words.bounds)
+        self.lengths = n + 1
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        token = np.full(int(self.lengths.sum()), _END)
+        token[np.arange(len(words.hash)) + np.repeat(np.arange(len(n)), n)] = words.hash
         context = np.empty_like(token)
         context[1:] = token[:-1]
         context[self.starts] = _START
@@ -81,18 +71,11 @@ def _requests(parts_bits: int):
     """Rows (kind, part, block, keys, counts) of a block; a part is a range of hashes."""
 
     def ask(rows: pa.Table) -> pa.Table:
-        block = Block(as_bytes(rows["text"]))
+        block = Block(rows["text"])
         counts = block.counts(rows["train"].to_numpy(zero_copy_only=False))
         out = []
         for kind, (keys, n) in enumerate(zip((block.single, block.pairs), counts)):
-            if parts_bits:
-                edges = np.searchsorted(keys, np.arange(1, 1 << parts_bits, dtype=np.uint64) << np.uint64(64 - parts_bits))
-            else:
-                edges = np.zeros(0, np.int64)
-            for part, (lo, hi) in enumerate(zip([0, *edges], [*edges, len(keys)])):
-                if lo < hi:
-                    steps = np.diff(keys[lo:hi], prepend=np.uint64(0))
-                    out.append((kind, part, rows["block"][0].as_py(), packed(steps), packed(n[lo:hi])))
+            out += [(kind, part, rows["block"][0].as_py(), packed_keys(keys[lo:hi]), packed(n[lo:hi])) for part, lo, hi in ranges(keys, parts_bits)]
         columns = list(zip(*out))
         return pa.table([pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.int64()),
                          pa.array(columns[3], pa.binary()), pa.array(columns[4], pa.binary())], names=["kind", "part", "block", "keys", "counts"])
@@ -102,7 +85,7 @@ def _requests(parts_bits: int):
 
 def _answer(rows: pa.Table) -> pa.Table:
     """Rows (block, kind, part, totals, seen, tokens); seen and tokens, of the part, stand on one row only."""
-    asked = [np.cumsum(unpacked(k), dtype=np.uint64) for k in rows["keys"].to_pylist()]
+    asked = [unpacked_keys(k) for k in rows["keys"].to_pylist()]
     counts = np.concatenate([unpacked(c) for c in rows["counts"].to_pylist()])
     keys, place = np.unique(np.concatenate(asked), return_inverse=True)
     totals = np.bincount(place, weights=counts, minlength=len(keys)).astype(np.int64)
@@ -128,7 +111,7 @@ class _Counted:
         totals = [unpacked(t).astype(np.int64) for t in answers["totals"].to_pylist()]
         single = np.concatenate([t for t, k in zip(totals, kinds) if k == 0])
         pairs = np.concatenate([t for t, k in zip(totals, kinds) if k == 1])
-        self.block = Block(as_bytes(rows["text"]))
+        self.block = Block(rows["text"])
         if len(single) != len(self.block.single) or len(pairs) != len(self.block.pairs):
             raise RuntimeError("a block's answers do not fit its questions")
         self.train = np.repeat(rows["train"].to_numpy(zero_copy_only=False), self.block.lengths)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import __spark_entry__ as entry
+from salience.llm.words import TokenSets
 from salience.llm import counts, jaccard, lines, meeting, mixing, packing, pii, quality, scoring
 from tests.conftest import SMALL
 
@@ -152,9 +153,12 @@ def test_count_tree_loses_nothing():
 
     sets = [np.unique(rng.integers(0, 1 << 40, rng.integers(20, 60))) for _ in range(150)]
     sets += [np.unique(np.append(s[1:], rng.integers(0, 1 << 40, 1))) for s in sets]
-    vectors, sizes = np.array([jaccard.count_vector(s) for s in sets]), np.array([len(s) for s in sets])
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    flat = TokenSets(np.arange(len(sets)), np.zeros(len(sets)), owner, np.concatenate(sets))
+    vectors, sizes = jaccard.count_vectors(flat), flat.sizes()
     similarity = Similarity(80, 100)
-    a, b = jaccard.CountTree(vectors, sizes).search(vectors, sizes, similarity)
+    a, b, spare = jaccard.CountTree(vectors, sizes).search(vectors, sizes, similarity)
+    assert (spare >= 0).all()
     found = set(zip(a.tolist(), b.tolist()))
     for i, x in enumerate(sets):
         for j, y in enumerate(sets):
