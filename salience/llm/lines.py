@@ -6,9 +6,10 @@ positional filters drop pairs that cannot overlap enough, the rest is verified o
 line, in the order of document id, text hash and line number, is equal or has a Jaccard of at least num/den; whether that
 earlier line is removed itself does not matter, so the result does not depend on the order of work.
 
-Equal lines are one set with a first place; all its other places go without any pair. In every key the sets are first held
-against the earliest one of like size, in ``ROUNDS`` rounds that each drop what is settled, so a large group of near
-copies costs one comparison per line. Sets that stay open meet all earlier ones of their keys, in slices of bounded size.
+Equal lines are one set with a first place; all its other places go without any pair. A set is first held against the
+earliest one of its rarest key, so a large group of near copies costs one comparison per line. Sets that stay open meet
+the earlier ones of their keys in slices of bounded size. Besides length and position the filters use small maps of the
+sets: each token turns over one of ``MAP_BITS`` bits, so two sets differ in at least as many tokens as their maps in bits.
 
 Ids are whole numbers (null: before all others). Rows equal in id and text count as one document and get the same result.
 Null and empty texts have no lines. Blank lines stay. Only the id and the text column decide; others travel along.
@@ -21,72 +22,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from salience.llm.blocks import matrix
 from salience.llm.graph import stored
 from salience.llm.meeting import meet_by_key
 from salience.llm.prefixes import Similarity, shared_prefixes
-from salience.llm.words import as_bytes, mixed, shingled, word_hashes
+from salience.llm.words import TokenSets
 from salience.session import ship
 
 WORDS = 5
-ROUNDS = 2
-FILTER_BITS = 1 << 22
+FILTER_BITS = 1 << 24
 NULL_ID = -(1 << 63)
+#: Bits of a set's map, in which each token turns one bit over.
+MAP_BITS = 256
 _ONE = np.uint64(1)
 
 
-class LineSets:
-    """The token sets of all long enough lines of some texts, as flat arrays.
-
-    ``row`` and ``line`` tell where a set comes from; ``tokens[starts[i]:starts[i + 1]]`` are its sorted distinct tokens.
-    """
-
-    def __init__(self, texts: list[bytes | None], words: int):
-        pool: list[bytes] = []
-        row, line, count = [], [], []
-        for r, text in enumerate(texts):
-            if text:
-                for i, content in enumerate(text.lower().split(b"\n")):
-                    found = content.split()
-                    if len(found) >= words:
-                        pool += found
-                        row.append(r), line.append(i), count.append(len(found))
-        self.row, self.line = np.array(row, np.int64), np.array(line, np.int64)
-        lengths = np.array(count, np.int64)
-        owner = np.repeat(np.arange(len(lengths)), lengths)
-        if len(owner) == 0:
-            self.tokens, self.starts = np.zeros(0, np.int64), np.zeros(1, np.int64)
-            return
-        tokens = (shingled(word_hashes(pool), words) >> _ONE).astype(np.int64)
-        inside = owner[:len(tokens)] == owner[words - 1:]
-        tokens, owner = tokens[inside], owner[:len(tokens)][inside]
-        order = np.lexsort((tokens, owner))
-        tokens, owner = tokens[order], owner[order]
-        fresh = np.ones(len(tokens), bool)
-        fresh[1:] = (tokens[1:] != tokens[:-1]) | (owner[1:] != owner[:-1])
-        self.tokens, owner = tokens[fresh], owner[fresh]
-        self.starts = np.searchsorted(owner, np.arange(len(lengths) + 1))
-
-    def sizes(self) -> np.ndarray:
-        return np.diff(self.starts)
-
-    def digests(self) -> tuple[np.ndarray, np.ndarray]:
-        if not len(self.row):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        spread = mixed(self.tokens.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
-        at = self.starts[:-1]
-        return np.add.reduceat(spread, at).view(np.int64), np.bitwise_xor.reduceat(spread * np.uint64(0xD6E8FEB86659FD93), at).view(np.int64)
-
-    def low(self, similarity: Similarity) -> tuple[np.ndarray, pa.Array]:
-        """Low tokens per set, and the tokens that may be needed."""
-        sizes = self.sizes()
-        owner = np.repeat(np.arange(len(sizes)), sizes)
-        n_low = np.bincount(owner[self.tokens < similarity.low], minlength=len(sizes))
-        most = np.maximum(n_low, similarity.prefix(sizes))
-        keep = np.arange(len(self.tokens)) - self.starts[owner] < most[owner]
-        offsets = np.concatenate([[0], np.cumsum(most)]).astype(np.int32)
-        return n_low, pa.ListArray.from_arrays(pa.array(offsets), pa.array(self.tokens[keep]))
-
-
 def _documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.col(text_col).cast("string")
     return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id"), F.xxhash64(text).alias("hash"), text.alias("text"))
@@ -99,13 +49,13 @@ def _line_sets(rows: DataFrame, words: int, similarity: Similarity) -> DataFrame
         for batch in batches:
             for at in range(0, batch.num_rows, 400):
                 part = batch.slice(at, 400)
-                sets = LineSets(as_bytes(part.column("text")), words)
+                sets = TokenSets.of_lines(part.column("text"), words)
                 take = pa.array(sets.row)
                 n_low, low = sets.low(similarity)
                 d1, d2 = sets.digests()
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("id").take(take), part.column("hash").take(take), pa.array(sets.line), pa.array(sets.sizes().astype(np.int64)),
-                     pa.array(n_low.astype(np.int64)), pa.array(d1), pa.array(d2), low],
+                    [part.column("id").take(take), part.column("hash").take(take), pa.array(sets.line), pa.array(sets.sizes()),
+                     pa.array(n_low), pa.array(d1), pa.array(d2), low],
                     names=["id", "hash", "line", "n", "n_low", "d1", "d2", "low"])
 
     made = rows.mapInArrow(run, "id long, hash long, line long, n long, n_low long, d1 long, d2 long, low array<bigint>")
@@ -127,8 +77,49 @@ def _has(bits: np.ndarray, x: np.ndarray) -> np.ndarray:
     return (bits[spot >> 6] >> (spot & 63).astype(np.uint64)) & _ONE != 0
 
 
+PLACE = ["id", "hash", "line"]
+_FIRST = ["d1", "d2", "n", *PLACE, "node", "places"]
+
+
+def _earliest(rows: pa.Table) -> pa.Table:
+    """One row per set, at its earliest place, with the number of its places."""
+    c = {name: rows[name].to_numpy() for name in _FIRST}
+    order = np.lexsort(tuple(c[name] for name in reversed(_FIRST[:-1])))
+    c = {name: v[order] for name, v in c.items()}
+    new = np.ones(len(order), bool)
+    new[1:] = (c["d1"][1:] != c["d1"][:-1]) | (c["d2"][1:] != c["d2"][:-1]) | (c["n"][1:] != c["n"][:-1])
+    at = np.flatnonzero(new)
+    out = {name: pa.array(v[at]) for name, v in c.items()}
+    out["places"] = pa.array(np.add.reduceat(c["places"], at) if len(at) else at)
+    return pa.table(out)
+
+
+def _firsts(lines: DataFrame, groups: int) -> DataFrame:
+    """d1, d2, n, the earliest place with its node, and the number of places of every set, stored.
+
+    Batches keep the earliest place of each of their sets before rows are shuffled, so a common line is not hot.
+    """
+    def batchwise(batches):
+        for batch in batches:
+            if batch.num_rows:
+                yield from _earliest(pa.Table.from_batches([batch])).to_batches()
+
+    schema = ", ".join(f"{c} long" for c in _FIRST)
+    own = lines.select(*_FIRST[:-1], F.lit(1).cast("long").alias("places")).mapInArrow(batchwise, schema)
+    dealt = own.withColumn("group", F.pmod("d1", F.lit(groups)))
+    return stored(dealt.groupBy("group").applyInArrow(lambda t: _earliest(t.select(_FIRST)), schema), "firsts")
+
+
+def _maps(sets: TokenSets, chosen: np.ndarray) -> list[bytes]:
+    out = []
+    for i in chosen:
+        turns = np.bincount((sets.set(i) * 0x9E3779B1 >> 20) % MAP_BITS, minlength=MAP_BITS) & 1
+        out.append(np.packbits(turns.astype(np.uint8)).tobytes())
+    return out
+
+
 def _whole_sets(rows: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """(node, tokens) of wanted lines (node, id, hash, line, d1), from a second pass over the texts that hold them, stored."""
+    """(node, tokens, map) of wanted lines (node, id, hash, line, d1), from a second pass over the texts that hold them, stored."""
     context = rows.sparkSession.sparkContext
     texts, lines = context.broadcast(_bits(wanted.select(F.col("hash").alias("x")))), context.broadcast(_bits(wanted.select(F.col("d1").alias("x"))))
 
@@ -137,21 +128,21 @@ def _whole_sets(rows: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
             some = np.flatnonzero(_has(texts.value, batch.column("hash").to_numpy()))
             for at in range(0, len(some), 400):
                 part = batch.take(pa.array(some[at:at + 400]))
-                sets = LineSets(as_bytes(part.column("text")), words)
-                hit = np.flatnonzero(_has(lines.value, sets.digests()[0])) if len(sets.row) else np.zeros(0, np.int64)
+                sets = TokenSets.of_lines(part.column("text"), words)
+                hit = np.flatnonzero(_has(lines.value, sets.digests()[0]))
                 take = pa.array(sets.row[hit])
-                tokens = [sets.tokens[sets.starts[i]:sets.starts[i + 1]].tobytes() for i in hit]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("id").take(take), part.column("hash").take(take), pa.array(sets.line[hit]), pa.array(tokens, pa.binary())],
-                    names=["id", "hash", "line", "tokens"])
+                    [part.column("id").take(take), part.column("hash").take(take), pa.array(sets.line[hit]),
+                     pa.array([sets.set(i).tobytes() for i in hit], pa.binary()), pa.array(_maps(sets, hit), pa.binary())],
+                    names=["id", "hash", "line", "tokens", "map"])
 
-    made = rows.mapInArrow(run, "id long, hash long, line long, tokens binary")
-    return stored(made.join(wanted, ["id", "hash", "line"]).dropDuplicates(["node"]).select("node", "tokens"), "tokens")
+    made = rows.mapInArrow(run, "id long, hash long, line long, tokens binary, map binary")
+    return stored(made.join(wanted, PLACE).select("node", "tokens", "map"), "tokens")
 
 
 def _verified(pairs: DataFrame, tokens: DataFrame, similarity: Similarity) -> DataFrame:
     """(node,) of pairs (node, earlier) that are similar enough."""
-    both = pairs.join(tokens.withColumnRenamed("tokens", "x"), "node").join(
+    both = pairs.join(tokens.select("node", F.col("tokens").alias("x")), "node").join(
         tokens.select(F.col("node").alias("earlier"), F.col("tokens").alias("y")), "earlier").select("node", "x", "y")
 
     def run(batches):
@@ -166,18 +157,19 @@ def _verified(pairs: DataFrame, tokens: DataFrame, similarity: Similarity) -> Da
 
 
 def _earlier_pairs(similarity: Similarity):
-    """Pairs (node, earlier) of rows of a key that pass the order, length and positional filters."""
+    """Pairs (node, earlier) of rows of a key that pass the order, length, positional and map filters."""
 
     def meet(rows: pa.Table, probes: pa.Table) -> pa.Table:
-        node, earlier = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        pairs = [np.zeros((0, 2), np.int64)]
         if rows.num_rows and probes.num_rows:
             rows = rows.sort_by("key")
-            r, p = ({c: t[c].to_numpy() for c in t.column_names} for t in (rows, probes))
+            r, p = ({c: t[c].to_numpy() for c in ("key", "node", "n", "place", *PLACE)} for t in (rows, probes))
+            r_map, p_map = (matrix(t["map"], np.uint64) for t in (rows, probes))
             lo, hi = np.searchsorted(r["key"], p["key"], "left"), np.searchsorted(r["key"], p["key"], "right")
             at = 0
             while at < len(lo):
-                # as many probes at once as make about a million pairs
-                upto = max(at + 1, at + int(np.searchsorted(np.cumsum(hi[at:] - lo[at:]), 1_000_000)))
+                # as many probes at once as make about a hundred thousand pairs
+                upto = max(at + 1, at + int(np.searchsorted(np.cumsum(hi[at:] - lo[at:]), 100_000)))
                 width = hi[at:upto] - lo[at:upto]
                 a = np.repeat(np.arange(at, upto), width)
                 b = np.arange(width.sum()) - np.repeat(np.cumsum(width) - width, width) + np.repeat(lo[at:upto], width)
@@ -187,12 +179,15 @@ def _earlier_pairs(similarity: Similarity):
                     before = (x < y) | ((x == y) & before)
                 n, m = p["n"][a], r["n"][b]
                 need = similarity.need(n, m)
-                reach = np.minimum(n - p["place"][a], m - r["place"][b])
-                fit = before & (np.minimum(n, m) >= need) & (reach >= need)
-                node.append(p["node"][a[fit]]), earlier.append(r["node"][b[fit]])
+                fit = before & (np.minimum(n - p["place"][a], m - r["place"][b]) >= need)
+                a, b, need = a[fit], b[fit], need[fit]
+                bound = (p["n"][a] + r["n"][b] - np.bitwise_count(p_map[a] ^ r_map[b]).sum(axis=1, dtype=np.int64)) // 2
+                fit = bound >= need
+                found = np.column_stack([p["node"][a[fit]], r["node"][b[fit]]])
+                pairs.append(found)
                 at = upto
-        pairs = np.unique(np.column_stack([np.concatenate(node), np.concatenate(earlier)]), axis=0)
-        return pa.table([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["node", "earlier"])
+        found = np.unique(np.concatenate(pairs), axis=0)
+        return pa.table([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["node", "earlier"])
 
     return meet
 
@@ -204,34 +199,27 @@ def removed_lines(docs: DataFrame, words: int = WORDS, num: int = 80, den: int =
     rows = _documents(docs, id_col, text_col)
     lines = _line_sets(rows, words, similarity)
     equal = ["d1", "d2", "n"]
-    place = ["id", "hash", "line"]
-    firsts = lines.groupBy(*equal).agg(F.min(F.struct(*place, "node", "n_low")).alias("first"), F.count("*").alias("places"))
-    firsts = stored(firsts.select(*equal, "first.*", "places"), "firsts")
-    routed = shared_prefixes(lines.select("node", "low"), firsts.select("node", "n", "n_low"), similarity)
-    routed = stored(routed.join(firsts.select("node", *place), "node"), "routed")
-    wanted = firsts.join(routed.select("node").distinct(), "node", "left_semi").select("node", *place, "d1")
-    tokens = _whole_sets(rows, wanted, words)
-
-    # leaders: the earliest open set of each key and size band
-    band = F.floor(F.log("n") / F.log(F.lit(similarity.den / similarity.num))).alias("band")
-    spot = F.struct(*place, "node").alias("spot")
-    open_rows, gone = routed, None
-    for _ in range(ROUNDS):
-        candidates = open_rows.select("key", "node", band, spot)
-        lead = stored(candidates.groupBy("key", "band").agg(F.min("spot").alias("lead"), F.count("*").alias("n")).filter("n > 1").drop("n"), "leaders")
-        offers = candidates.join(lead, ["key", "band"]).filter(F.col("node") != F.col("lead.node"))
-        votes = offers.groupBy("node", F.col("lead.node").alias("earlier")).agg(F.count("*").alias("votes"))
-        best = votes.groupBy("node").agg(F.max(F.struct("votes", "earlier")).alias("best")).select("node", F.col("best.earlier").alias("earlier"))
-        settled = stored(_verified(best, tokens, similarity), "settled")
-        gone = settled if gone is None else gone.unionByName(settled)
-        open_rows = stored(open_rows.join(settled, "node", "left_anti"), "open")
-
-    pairs = meet_by_key(routed, open_rows, _earlier_pairs(similarity), "node long, earlier long").distinct()
+    firsts = _firsts(lines, max(1, lines.count() // 200_000))
+    prefixes = shared_prefixes(lines, firsts, similarity, [*PLACE, "d1"])
+    # the earliest set of a key leads it; keys of one set alone join nothing
+    spot = F.struct(*PLACE, "node").alias("spot")
+    lead = prefixes.select("key", spot).groupBy("key").agg(F.min("spot").alias("lead"), F.count("*").alias("n"))
+    lead = stored(lead.filter("n > 1").select("key", F.col("lead.node").alias("lead")), "leaders")
+    routed = stored(prefixes.join(lead, "key"), "routed")
+    tokens = _whole_sets(rows, routed.select("node", *PLACE, "d1").distinct(), words)
+
+    # first against the leader of the rarest key, then, if that is not similar, against all earlier sets of all keys
+    led = routed.filter("node <> lead")
+    gone = stored(_verified(led.groupBy("node").agg(F.min_by("lead", "place").alias("earlier")), tokens, similarity), "settled")
+    probes = stored(led.join(gone, "node", "left_anti").join(tokens.select("node", "map"), "node").drop("lead", "d1"), "probes")
+    asked = probes.select("key").distinct()
+    base = stored(routed.join(asked, "key", "left_semi").join(tokens.select("node", "map"), "node").drop("lead", "d1"), "base")
+    pairs = meet_by_key(base, probes, _earlier_pairs(similarity), "node long, earlier long").distinct()
     gone = stored(gone.unionByName(_verified(pairs, tokens, similarity)), "gone")
 
     affected = firsts.join(gone.select("node", F.lit(True).alias("gone")), "node", "left").filter("gone OR places > 1")
-    affected = stored(affected.select(*equal, "gone", F.struct(*place).alias("first")), "affected")
-    hits = lines.select(*equal, *place).join(affected, equal).filter(F.coalesce("gone", F.lit(False)) | (F.struct(*place) != F.col("first")))
+    affected = stored(affected.select(*equal, "gone", F.struct(*PLACE).alias("first")), "affected")
+    hits = lines.select(*equal, *PLACE).join(affected, equal).filter(F.coalesce("gone", F.lit(False)) | (F.struct(*PLACE) != F.col("first")))
     return hits.groupBy("id", "hash").agg(F.array_sort(F.collect_set("line")).alias("removed"))
 
 

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -49,15 +50,25 @@ def _lists(column) -> tuple[np.ndarray, np.ndarray]:
     return values, np.repeat(np.arange(len(column)), np.diff(column.offsets.to_numpy()))
 
 
+def _packed_nodes(rows: pa.Table) -> pa.Table:
+    """The nodes of a block in one row."""
+    nodes = np.sort(rows["node"].to_numpy()).astype(np.uint64)
+    return pa.table([rows["block"].slice(0, 1), pa.array([packed_keys(nodes)], pa.binary()), pa.array([None], pa.binary())], names=["block", "keys", "counts"])
+
+
 def _prefix_rows(similarity: Similarity, carried: list[str]):
     """The tokens of a block's sets that stand in a prefix and that several sets have, with their places."""
 
     def pick(sets: pa.Table, answers: pa.Table) -> pa.Table:
         names = ["node", "n", "key", "place", *carried]
-        if not sets.num_rows or not answers.num_rows:
+        told = answers.filter(pc.is_valid(answers["counts"]))
+        kept = answers.filter(pc.is_null(answers["counts"]))
+        if not sets.num_rows or not told.num_rows or not kept.num_rows:
             return pa.table([pa.array([], pa.int64())] * 3 + [pa.array([], pa.int32())] + [pa.array([], pa.int64())] * len(carried), names=names)
-        keys = np.concatenate([unpacked_keys(k) for k in answers["keys"].to_pylist()]).astype(np.int64)
-        totals = np.concatenate([unpacked(c) for c in answers["counts"].to_pylist()]).astype(np.int64)
+        nodes = np.concatenate([unpacked_keys(k) for k in kept["keys"].to_pylist()]).astype(np.int64)
+        sets = sets.filter(pa.array(np.isin(sets["node"].to_numpy(), nodes)))
+        keys = np.concatenate([unpacked_keys(k) for k in told["keys"].to_pylist()]).astype(np.int64)
+        totals = np.concatenate([unpacked(c) for c in told["counts"].to_pylist()]).astype(np.int64)
         order = np.argsort(keys)
         keys, totals = keys[order], totals[order]
         values, row = _lists(sets["low"])
@@ -111,6 +122,7 @@ def shared_prefixes(sets: DataFrame, kept: DataFrame, similarity: Similarity, ca
                     names=["part", "block", "keys", "counts"])
 
     answers = in_blocks.select("block", "low").mapInArrow(ask, ASKED).groupBy("part").applyInArrow(shared_keys, SHARED)
-    rows = in_blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
+    nodes = kept.select(F.expr(f"node div {step}").alias("block"), "node").groupBy("block").applyInArrow(_packed_nodes, SHARED)
+    rows = in_blocks.groupBy("block").cogroup(answers.unionByName(nodes).groupBy("block")).applyInArrow(
         _prefix_rows(similarity, carried), "node long, n long, key long, place int" + "".join(f", {c} long" for c in carried))
-    return stored(rows.join(kept.select("node"), "node", "left_semi"), "prefixes")
+    return stored(rows, "prefixes")
