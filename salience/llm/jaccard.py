@@ -31,7 +31,7 @@ from salience.llm.blocks import matrix
 from salience.llm.graph import components, stored
 from salience.llm.meeting import meet_by_key
 from salience.llm.prefixes import Similarity, shared_prefixes
-from salience.llm.words import TokenSets
+from salience.llm.words import TokenSets, overlap
 from salience.session import ship
 
 GROUPS = 512
@@ -153,7 +153,7 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: Similarity) -> DataF
             keep = []
             for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist()):
                 x, y = np.frombuffer(x, np.int64), np.frombuffer(y, np.int64)
-                keep.append(len(np.intersect1d(x, y, assume_unique=True)) >= similarity.need(len(x), len(y)))
+                keep.append(overlap(x, y) >= similarity.need(len(x), len(y)))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return both.mapInArrow(run, "a long, b long")

@@ -26,24 +26,33 @@ from salience.llm.blocks import matrix
 from salience.llm.graph import stored
 from salience.llm.meeting import meet_by_key
 from salience.llm.prefixes import Similarity, shared_prefixes
-from salience.llm.words import TokenSets
+from salience.llm.words import TokenSets, column_bytes, overlap
 from salience.session import ship
 
 WORDS = 5
-FILTER_BITS = 1 << 24
+FILTER_BITS = 1 << 22
 NULL_ID = -(1 << 63)
 #: Bits of a set's map, in which each token turns one bit over.
 MAP_BITS = 256
 _ONE = np.uint64(1)
 
 
+def line_counts(column: pa.Array) -> np.ndarray:
+    """Lines of each text; null and empty texts have none."""
+    raw, offsets = column_bytes(column)
+    return np.where(np.diff(offsets) > 0, np.diff(np.searchsorted(np.flatnonzero(raw == 10), offsets)) + 1, 0)
+
+
 def _documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.col(text_col).cast("string")
     return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id"), F.xxhash64(text).alias("hash"), text.alias("text"))
 
 
 def _line_sets(rows: DataFrame, words: int, similarity: Similarity) -> DataFrame:
-    """node, id, hash, line, n, n_low, d1, d2, low of every long enough line, stored."""
+    """node, id, hash, line, n, n_low, d1, d2, low of every long enough line, stored.
+
+    A row with line -1 stands for each document; its n is the number of lines.
+    """
 
     def run(batches):
         for batch in batches:
@@ -53,6 +62,10 @@ def _line_sets(rows: DataFrame, words: int, similarity: Similarity) -> DataFrame
                 take = pa.array(sets.row)
                 n_low, low = sets.low(similarity)
                 d1, d2 = sets.digests()
+                none = np.zeros(part.num_rows, np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("id"), part.column("hash"), pa.array(none - 1), pa.array(line_counts(part.column("text"))), pa.array(none), pa.array(none),
+                     pa.array(none), pa.array([[]] * part.num_rows, pa.list_(pa.int64()))], names=["id", "hash", "line", "n", "n_low", "d1", "d2", "low"])
                 yield pa.RecordBatch.from_arrays(
                     [part.column("id").take(take), part.column("hash").take(take), pa.array(sets.line), pa.array(sets.sizes()),
                      pa.array(n_low), pa.array(d1), pa.array(d2), low],
@@ -111,11 +124,13 @@ def _firsts(lines: DataFrame, groups: int) -> DataFrame:
 
 
 def _maps(sets: TokenSets, chosen: np.ndarray) -> list[bytes]:
-    out = []
-    for i in chosen:
-        turns = np.bincount((sets.set(i) * 0x9E3779B1 >> 20) % MAP_BITS, minlength=MAP_BITS) & 1
-        out.append(np.packbits(turns.astype(np.uint8)).tobytes())
-    return out
+    number = np.full(len(sets.row), -1)
+    number[chosen] = np.arange(len(chosen))
+    of = number[sets.owners()]
+    tokens, of = sets.tokens[of >= 0], of[of >= 0]
+    cells = of * MAP_BITS + (tokens * 0x9E3779B1 >> 20) % MAP_BITS
+    turns = (np.bincount(cells, minlength=len(chosen) * MAP_BITS) & 1).astype(np.uint8).reshape(-1, MAP_BITS)
+    return [row.tobytes() for row in np.packbits(turns, axis=1)]
 
 
 def _whole_sets(rows: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
@@ -150,7 +165,7 @@ def _verified(pairs: DataFrame, tokens: DataFrame, similarity: Similarity) -> Da
             keep = []
             for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist()):
                 x, y = np.frombuffer(x, np.int64), np.frombuffer(y, np.int64)
-                keep.append(len(np.intersect1d(x, y, assume_unique=True)) >= similarity.need(len(x), len(y)))
+                keep.append(overlap(x, y) >= similarity.need(len(x), len(y)))
             yield batch.select(["node"]).filter(pa.array(keep, pa.bool_()))
 
     return both.mapInArrow(run, "node long").distinct()
@@ -192,12 +207,16 @@ def _earlier_pairs(similarity: Similarity):
     return meet
 
 
-def removed_lines(docs: DataFrame, words: int = WORDS, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, hash, removed): line numbers from 0 in order, for the documents that lose lines; hash is xxhash64 of the text."""
+def line_report(docs: DataFrame, words: int = WORDS, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, hash, n_lines, removed) of every document; removed are line numbers from 0 in order, hash is xxhash64 of the text.
+
+    A null id is ``NULL_ID`` here.
+    """
     ship(docs.sparkSession)
     similarity = Similarity(num, den)
     rows = _documents(docs, id_col, text_col)
-    lines = _line_sets(rows, words, similarity)
+    table = _line_sets(rows, words, similarity)
+    lines = table.filter("line >= 0")
     equal = ["d1", "d2", "n"]
     firsts = _firsts(lines, max(1, lines.count() // 200_000))
     prefixes = shared_prefixes(lines, firsts, similarity, [*PLACE, "d1"])
@@ -220,7 +239,15 @@ def removed_lines(docs: DataFrame, words: int = WORDS, num: int = 80, den: int =
     affected = firsts.join(gone.select("node", F.lit(True).alias("gone")), "node", "left").filter("gone OR places > 1")
     affected = stored(affected.select(*equal, "gone", F.struct(*PLACE).alias("first")), "affected")
     hits = lines.select(*equal, *PLACE).join(affected, equal).filter(F.coalesce("gone", F.lit(False)) | (F.struct(*PLACE) != F.col("first")))
-    return hits.groupBy("id", "hash").agg(F.array_sort(F.collect_set("line")).alias("removed"))
+    removed = hits.groupBy("id", "hash").agg(F.array_sort(F.collect_set("line")).alias("removed"))
+    own = table.filter("line = -1").select("id", "hash", F.col("n").alias("n_lines"))
+    return own.join(removed, ["id", "hash"], "left").withColumn("removed", F.coalesce("removed", F.array().cast("array<bigint>")))
+
+
+def removed_lines(docs: DataFrame, words: int = WORDS, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, hash, removed) of the documents that lose lines, once each."""
+    report = line_report(docs, words, num, den, id_col, text_col).filter(F.size("removed") > 0)
+    return report.select("id", "hash", "removed").dropDuplicates(["id", "hash"])
 
 
 def dedup_lines(docs: DataFrame, words: int = WORDS, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text",

@@ -123,13 +123,10 @@ def op2_jaccard(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("op7_lines")
 def op7_lines(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents")
-    removed = lines.removed_lines(docs)
-    own = docs.select("doc_id", F.coalesce("doc_id", F.lit(lines.NULL_ID)).alias("id"), F.xxhash64("text").alias("hash"),
-                      F.when(F.length("text") > 0, F.length("text") - F.length(F.replace("text", F.lit("\n"))) + 1).otherwise(0).cast("long").alias("n_lines"))
-    return own.join(removed, ["id", "hash"], "left").select(
-        "doc_id", "n_lines", F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"),
-        F.coalesce(F.array_join("removed", ","), F.lit("")).alias("removed"))
+    report = lines.line_report(table(spark, sf, "documents"))
+    return report.select(
+        F.nullif("id", F.lit(lines.NULL_ID)).alias("doc_id"), "n_lines", F.size("removed").cast("long").alias("n_removed"),
+        F.array_join("removed", ",").alias("removed"))
 
 
 @query("op8_scoring")

@@ -104,6 +104,15 @@ def shingled(hashes: np.ndarray, width: int) -> np.ndarray:
     return total
 
 
+def overlap(x: np.ndarray, y: np.ndarray) -> int:
+    """Common elements of two sorted arrays without repeats."""
+    if len(x) > len(y):
+        x, y = y, x
+    if not len(x):
+        return 0
+    return int(np.count_nonzero(y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x))
+
+
 class TokenSets:
     """Distinct shingles of units of texts, as flat arrays.
 
