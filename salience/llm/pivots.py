@@ -4,7 +4,7 @@ Vectors get one more component that makes all norms equal, so a larger product w
 Each vector is keyed by its nearest of ``PIVOTS`` pivots, drawn by a hash of the id, and its distance to it; approximate
 quantiles of the distances cut a pivot's vectors into ``RINGS`` annuli. By the triangle inequality no vector of an annulus
 is nearer to a query than the gap between the query's own distance to the pivot and the annulus. A query takes the annuli
-in the order of these gaps, in rounds of growing size; after each round its k-th best product bounds what an annulus must
+in the order of these gaps, in two rounds; after the first its k-th best product bounds what an annulus must
 offer, and it stops when none is left that can. A last part of the bound is a slack for rounding, so ties are never lost.
 
 Null, non-finite and odd-length vectors take no part; zero ones do. Ties go to the smaller id. Repeated ids count once.
@@ -21,10 +21,10 @@ from pyspark.sql import functions as F
 from salience.llm.blocks import best_partners, matrix, ranked, usable
 from salience.session import scratch_path, ship
 
-PIVOTS = 64
-RINGS = 16
+PIVOTS = 16
+RINGS = 8
 #: Annuli a query has taken after each round.
-ROUNDS = (2, 32, PIVOTS * RINGS)
+ROUNDS = (2, PIVOTS * RINGS)
 
 
 def lifted(x: np.ndarray, most: float) -> np.ndarray:
