@@ -12,8 +12,8 @@ blocks and answers each block in the order it asked. So an n-gram travels once p
 table is broadcast, and frequent n-grams are added up before they are shuffled. Memory per task is bounded by a block and
 by a range, whose number grows with the corpus. N-grams are told apart by 64-bit hashes.
 
-The weights are learned on the training documents of every ``EM_BLOCKS``-th block, a share of the input. From blocks only
-histograms of the ratio of both estimates per bucket are gathered, a fixed number of rows.
+The weights are learned on all training documents. From blocks only histograms of the ratio of both estimates per bucket
+are gathered, a fixed number of rows.
 
 Null and empty texts are the end token alone. Repeated rows and ids are scored, and learned from, as often as they occur.
 With nothing to learn from, every token is unknown and no context counts. Other columns are not read.
@@ -32,7 +32,6 @@ from salience.llm.words import Words, mixed
 from salience.session import ship
 
 BLOCK = 2048
-EM_BLOCKS = 20
 BUCKETS = 48
 #: Bins of the base-10 logarithm of the ratio of both estimates; bin 0 holds ratio 0.
 BIN, LEAST_RATIO, BINS = 0.02, -8.0, 900
@@ -164,8 +163,7 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
         cell, n = np.unique(_bucket(context) * BINS + bins, return_counts=True)
         return pa.table([pa.array(cell), pa.array(n)], names=["cell", "n"])
 
-    some = F.pmod(F.col("block"), F.lit(EM_BLOCKS)) == 0
-    gathered = rows.filter(some).groupBy("block").cogroup(answers.filter(some).groupBy("block")).applyInArrow(histogram, "cell long, n long")
+    gathered = rows.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(histogram, "cell long, n long")
     table = np.zeros(BUCKETS * BINS, np.int64)
     for r in gathered.groupBy("cell").agg(F.sum("n").alias("n")).collect():
         table[r["cell"]] = r["n"]

@@ -344,6 +344,15 @@ def test_scoring(spark, copies):
         assert math.isclose(r["base_score"], sum(map(math.log10, base)), rel_tol=1e-9) and math.isclose(r["score"], sum(map(math.log10, score)), rel_tol=1e-9)
 
 
+def test_scoring_learns_weights_from_every_block(spark, copies, monkeypatch):
+    """Scores do not depend on how documents are dealt into blocks; one block is held against brute force above."""
+    docs = table(spark, [r for r in copies if r[0] != 306])
+    score = lambda: {r["doc_id"]: r["score"] for r in scoring.score(docs, F.col("doc_id") % 5 != 1).collect()}
+    one = score()
+    monkeypatch.setattr(scoring, "BLOCK", 4)
+    assert score() == pytest.approx(one, rel=1e-9)
+
+
 def test_scoring_is_a_distribution(spark):
     """After any context the probabilities of all known tokens and of the unknown one add up to 1."""
     text = "a b a c a b b end"
