@@ -1,7 +1,7 @@
 """Near-duplicate lines of documents, found by an exact set-similarity join; later ones are removed.
 
-A line's tokens are its distinct shingles of ``words`` words, A-Z lower-cased; lines with fewer words are left alone, since
-they agree by chance. Tokens are ordered by rarity; similar lines share one in their prefixes (``prefixes``). Length and
+A line's tokens are its distinct shingles of ``words`` words, A-Z lower-cased. With ``short``, a line of fewer words has its
+whole sequence as its one token, so it goes if an earlier line has the same words; without, such lines are left alone. Tokens are ordered by rarity; similar lines share one in their prefixes (``prefixes``). Length and
 positional filters drop pairs that cannot overlap enough, the rest is verified on whole sets. A line goes if any earlier
 line, in the order of document id, text hash and line number, is equal or has a Jaccard of at least num/den; whether that
 earlier line is removed itself does not matter, so the result does not depend on the order of work.
@@ -48,8 +48,8 @@ def _documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id"), F.xxhash64(text).alias("hash"), text.alias("text"))
 
 
-def _line_sets(rows: DataFrame, words: int, similarity: Similarity) -> DataFrame:
-    """node, id, hash, line, n, n_low, d1, d2, low of every long enough line, stored.
+def _line_sets(rows: DataFrame, words: int, similarity: Similarity, short: bool) -> DataFrame:
+    """node, id, hash, line, n, n_low, d1, d2, low of every long enough line, with ``short`` of all but blank ones, stored.
 
     A row with line -1 stands for each document; its n is the number of lines.
     """
@@ -58,7 +58,7 @@ def _line_sets(rows: DataFrame, words: int, similarity: Similarity) -> DataFrame
         for batch in batches:
             for at in range(0, batch.num_rows, 400):
                 part = batch.slice(at, 400)
-                sets = TokenSets.of_lines(part.column("text"), words)
+                sets = TokenSets.of_lines(part.column("text"), words, short)
                 take = pa.array(sets.row)
                 n_low, low = sets.low(similarity)
                 d1, d2 = sets.digests()
@@ -207,19 +207,22 @@ def _earlier_pairs(similarity: Similarity):
     return meet
 
 
-def line_report(docs: DataFrame, words: int = WORDS, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def line_report(docs: DataFrame, words: int = WORDS, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text",
+                short: bool = False) -> DataFrame:
     """(id, hash, n_lines, removed) of every document; removed are line numbers from 0 in order, hash is xxhash64 of the text.
 
-    A null id is ``NULL_ID`` here.
+    A null id is ``NULL_ID`` here. ``short`` also removes repeats of lines with fewer than ``words`` words.
     """
     ship(docs.sparkSession)
     similarity = Similarity(num, den)
     rows = _documents(docs, id_col, text_col)
-    table = _line_sets(rows, words, similarity)
+    table = _line_sets(rows, words, similarity, short)
     lines = table.filter("line >= 0")
     equal = ["d1", "d2", "n"]
     firsts = _firsts(lines, max(1, lines.count() // 200_000))
-    prefixes = shared_prefixes(lines, firsts, similarity, [*PLACE, "d1"])
+    # a set of one token is similar to equal ones only, if one of two tokens is too little
+    joining = lines.filter("n > 1") if similarity.need(1, 2) > 1 else lines
+    prefixes = shared_prefixes(joining, firsts, similarity, [*PLACE, "d1"])
     # the earliest set of a key leads it; keys of one set alone join nothing
     spot = F.struct(*PLACE, "node").alias("spot")
     lead = prefixes.select("key", spot).groupBy("key").agg(F.min("spot").alias("lead"), F.count("*").alias("n"))

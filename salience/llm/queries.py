@@ -123,7 +123,7 @@ def op2_jaccard(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("op7_lines")
 def op7_lines(spark: SparkSession, sf: str) -> DataFrame:
-    report = lines.line_report(table(spark, sf, "documents"))
+    report = lines.line_report(table(spark, sf, "documents"), short=True)
     return report.select(
         F.nullif("id", F.lit(lines.NULL_ID)).alias("doc_id"), "n_lines", F.size("removed").cast("long").alias("n_removed"),
         F.array_join("removed", ",").alias("removed"))

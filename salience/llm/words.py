@@ -96,11 +96,11 @@ class Words:
             lo = hi
 
 
-def shingled(hashes: np.ndarray, width: int) -> np.ndarray:
-    """A hash for every ``width`` consecutive words."""
-    total = np.full(max(0, len(hashes) - width + 1), width, np.uint64)
+def shingled(hashes: np.ndarray, width: int, first: np.ndarray | None = None) -> np.ndarray:
+    """A hash for every ``width`` consecutive words, or for those that begin at ``first``; the width is part of it."""
+    total = np.full(max(0, len(hashes) - width + 1) if first is None else len(first), width, np.uint64)
     for i in range(width):
-        total = mixed(total + hashes[i:i + len(total)] * _ODD[i % len(_ODD)])
+        total = mixed(total + (hashes[i:i + len(total)] if first is None else hashes[first + i]) * _ODD[i % len(_ODD)])
     return total
 
 
@@ -139,8 +139,8 @@ class TokenSets:
         self.starts = np.searchsorted(np.concatenate(owners), np.arange(len(row) + 1))
 
     @classmethod
-    def of_lines(cls, column: pa.Array, size: int) -> "TokenSets":
-        """Sets of the lines with at least ``size`` words."""
+    def of_lines(cls, column: pa.Array, size: int, short: bool = False) -> "TokenSets":
+        """Sets of the lines with at least ``size`` words; with ``short``, of all but blank lines, fewer words being one token."""
         words = Words(column)
         breaks = np.flatnonzero(words.raw == 10)
         of_row = np.repeat(np.arange(len(words.offsets) - 1), np.diff(words.bounds))
@@ -153,13 +153,22 @@ class TokenSets:
         lengths = np.diff(np.append(at, len(unit)))
         row = of_row[at]
         line = before[at] - np.searchsorted(breaks, words.offsets[row])
-        long = lengths >= size
-        number = np.cumsum(long) - 1
-        owner = np.repeat(np.where(long, number, -1), lengths)
+        kept = (lengths >= size) | short
+        number = np.cumsum(kept) - 1
+        owner = np.repeat(np.where(kept, number, -1), lengths)
         tokens = (shingled(words.hash, size) >> _SHIFT).astype(np.int64)
         head, tail = owner[:len(tokens)], owner[size - 1:][:len(tokens)]
         inside = (head == tail) & (head >= 0)
-        return cls(row[long], line[long], head[inside], tokens[inside])
+        owner, tokens = head[inside], tokens[inside]
+        if short:
+            few = np.flatnonzero(lengths < size)
+            whole = np.zeros(len(few), np.int64)
+            for n in range(1, size):
+                some = lengths[few] == n
+                whole[some] = (shingled(words.hash, n, at[few[some]]) >> _SHIFT).astype(np.int64)
+            spot = np.searchsorted(owner, few)
+            owner, tokens = np.insert(owner, spot, few), np.insert(tokens, spot, whole)
+        return cls(row[kept], line[kept], owner, tokens)
 
     @classmethod
     def of_texts(cls, column: pa.Array, size: int) -> "TokenSets":

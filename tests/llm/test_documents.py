@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -200,6 +201,36 @@ def test_lines(spark, copies, monkeypatch, cut):
     assert lines.removed_lines(table(spark, [])).count() == 0
 
 
+def test_line_query_removes_repeated_short_lines(spark):
+    """Lines of one to four words go when an earlier line has the same words; the others as before."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text", F.xxhash64("text").alias("h")).collect()
+    want, seen = collections.defaultdict(set), set()
+    for d, h, i in ((d, h, i) for (d, h), gone in line_brute([(r["doc_id"], r["text"], None) for r in docs], [r["h"] for r in docs]).items() for i in gone):
+        want[d].add(i)
+    repeated = 0
+    for r in sorted(docs, key=lambda r: (r["doc_id"], r["h"])):
+        for i, content in enumerate((r["text"] or "").encode().lower().split(b"\n")):
+            w = tuple(content.split())
+            if 0 < len(w) < 5:
+                if w in seen:
+                    want[r["doc_id"]].add(i)
+                    repeated += 1
+                seen.add(w)
+    got = {r["doc_id"]: r["removed"] for r in entry.queries()["op7_lines"](spark, SMALL).collect()}
+    assert repeated > 50 and got == {r["doc_id"]: ",".join(map(str, sorted(want[r["doc_id"]]))) for r in docs}
+
+
+@pytest.mark.parametrize("size", [1, 2, 5])
+def test_short_lines_are_one_token(size):
+    column = pa.array(["a b\n\na  B\nx a b c d e", None, "", "a\na b", "b a\na b c d e f\na b c d\n \na b c d e f"])
+    sets = TokenSets.of_lines(column, size, True)
+    assert list(zip(sets.row.tolist(), sets.line.tolist())) == [(0, 0), (0, 2), (0, 3), (3, 0), (3, 1), (4, 0), (4, 1), (4, 2), (4, 4)]
+    lengths = [2, 2, 6, 1, 2, 2, 6, 4, 6]
+    assert sets.sizes().tolist() == [max(1, n - size + 1) for n in lengths]
+    digest = sets.digests()[0].tolist()
+    assert len({digest[0], digest[1], digest[4]}) == 1 and (digest[5] != digest[0] or size == 1) and digest[6] == digest[8]
+
+
 # token counts
 
 def best_count(word, vocabulary):
