@@ -86,6 +86,21 @@ def _emails(text: str) -> Iterator[tuple[int, int]]:
         at = text.find("@", max(at + 1, done))
 
 
+def _ibans(text: str) -> Iterator[tuple[int, int]]:
+    """Account numbers; a match that takes words behind the number is cut at its blanks until the check holds."""
+    m = _IBAN.search(text)
+    while m:
+        start, end = m.span()
+        while end > start:
+            code = text[start:end].replace(" ", "")
+            if 15 <= len(code) <= 34 and mod97(code):
+                yield start, end
+                break
+            end = text.rfind(" ", start, end)
+        # a number may begin inside what was rejected
+        m = _IBAN.search(text, max(end, start + 4))
+
+
 def _small(part: str) -> bool:
     part = part.lstrip("0")
     return len(part) < 3 or (len(part) == 3 and part <= "255")
@@ -112,10 +127,7 @@ def proposals(text: str) -> Iterator[tuple[str, int, int]]:
         for m in _PHONE.finditer(text):
             if 8 <= len(_NOT_DIGIT.sub("", m[0])) <= 15:
                 yield "phone", m.start(), m.end()
-    for m in _IBAN.finditer(text):
-        code = m[0].replace(" ", "")
-        if 15 <= len(code) <= 34 and mod97(code):
-            yield "iban", m.start(), m.end()
+    yield from (("iban", *span) for span in _ibans(text))
     yield from (("short_card", *span) for span in short)
     for m in _LOCAL_PHONE.finditer(text):
         yield "local_phone", m.start(), m.end()

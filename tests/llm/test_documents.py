@@ -93,6 +93,18 @@ def test_pii_method_adds_spans():
     assert pii.find("mail a@b.cc")[0]["score"] > pii.find("so   a@b.cc")[0]["score"]
 
 
+def test_pii_account_numbers_before_words():
+    ibans = lambda t: [t[s["start"]:s["end"]] for s in pii.find(t) if s["kind"] == "iban"]
+    numbers = ["BE68 5390 0754 7034", "ES9121000418450200051332", "AT61 1904 3002 3457 3201", "DE89 3704 0044 0532 0130 00", "NO93 8601 1117 947"]
+    for number in numbers:
+        for behind in ("", " EUR 100", " BIC ABCDEF", " PAYMENT", " 100 200", " INTERNATIONAL TRANSFER", ", x", " Paid"):
+            assert ibans(f"to {number}{behind}") == [number], behind
+    assert ibans(" ".join(numbers)) == numbers
+    assert ibans("AB12 CDEF GHIJ BE68 5390 0754 7034") == ["BE68 5390 0754 7034"]
+    assert ibans("BE69 5390 0754 7034 EUR 100") == []
+    assert ibans("AB12 " * 50_000) == []
+
+
 def test_pii_rows_and_long_runs(spark):
     rows = [(1, None, "a"), (2, "", "a"), (3, "x@y.zz", None), (3, "x@y.zz", None), (None, "é x@y.zz", "b"), (4, "a" * 300_000 + "1" * 300_000 + "+(" * 50_000, "c")]
     got = sorted(((r["doc_id"], [(s["kind"], s["start"], s["end"]) for s in r["spans"]]) for r in pii.find_pii(table(spark, rows)).collect()), key=str)
