@@ -8,7 +8,8 @@ query is compared with all vectors within ``width`` of its place on any curve, a
 
 The width is measured, not guessed: for at most ``TRIED`` queries the true neighbours among all vectors are found, and
 the width is what reaches ``AIM`` of them on at least one curve. Clustered vectors get narrow windows; for vectors without
-structure in many dimensions no curve helps, and windows grow until they do.
+structure in many dimensions no curve helps, and windows grow until they do. Queries whose windows hold fewer than ``k``
+others, though there are more, are compared with all vectors.
 
 Null, zero, non-finite and odd-length vectors take no part. Equal vectors share a place and tie by id. Repeated ids of
 one vector count once with their best product. No vectors, no rows.
@@ -23,6 +24,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from salience.llm.blocks import best_partners, matrix, ranked, usable
+from salience.llm.graph import stored
 from salience.llm.hilbert import directions, even, hilbert_keys
 from salience.session import ship
 
@@ -113,7 +115,16 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
 
     data = indexed.mapInArrow(to_cells, "id long, cell int, pos double, v binary")
     visits = asking.mapInArrow(to_visits, "query long, cell int, lo double, hi double, v binary")
-    return ranked(best_partners(data, visits, CURVES * cells, k, dtype, whole=False), k)
+    near = stored(ranked(best_partners(data, visits, CURVES * cells, k, dtype, whole=False), k), "near")
+    others = min(k, rows.select("id").distinct().limit(k + 1).count() - 1)
+    full = near.groupBy("query").count().filter(F.col("count") >= others)
+    short = stored(asking.join(full.select(F.col("query").alias("id")), "id", "left_anti").select(F.col("id").alias("query"), "v"), "short")
+    if others < 1 or short.isEmpty():
+        return near
+    everywhere = indexed.select("id", F.lit(0).alias("cell"), F.lit(0.0).alias("pos"), "v")
+    anywhere = short.select("query", F.lit(0).alias("cell"), F.lit(0.0).alias("lo"), F.lit(0.0).alias("hi"), "v")
+    rest = ranked(best_partners(everywhere, anywhere, 1, k, dtype, whole=False), k)
+    return near.join(short.select("query").distinct(), "query", "left_anti").unionByName(rest)
 
 
 def _width(indexed: DataFrame, asking: DataFrame, cuts: list[np.ndarray], dtype: str, k: int, aim: float) -> float:

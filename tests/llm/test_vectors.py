@@ -73,6 +73,16 @@ def test_neighbours(spark, vectors, monkeypatch):
     assert neighbours.nearest(frame(spark, []), F.col("id") % 20 == 0).count() == 0
 
 
+def test_neighbours_of_few_candidates_are_all(spark):
+    rng = np.random.default_rng(11)
+    few = [(20 * i, rng.standard_normal(12).astype(np.float32).tolist(), 0) for i in range(12)]
+    got, want = grouped(neighbours.nearest(frame(spark, few), F.col("id") % 20 == 0).collect()), best(few, 20)
+    assert {q: [i for i, _ in found] for q, found in got.items()} == {q: [i for i, _ in found] for q, found in want.items()}
+    copies = [(i, few[0][1], 0) for i in range(1500)] + [(20_000 + 20 * i, v, 0) for i, (_, v, _) in enumerate(few[1:4])]
+    got, want = grouped(neighbours.nearest(frame(spark, copies), F.col("id") % 20 == 0).collect()), best(copies, 20)
+    assert got.keys() == want.keys() and all(len(found) == 20 for found in got.values())
+
+
 def test_neighbours_recall_on_table(spark):
     rows = [tuple(r) for r in spark.read.parquet(f"{SMALL}/embeddings.parquet").collect()]
     x = np.array([r[1] for r in rows], np.float64)
