@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from salience.llm import counts, jaccard, lines, mixing, neighbours, packing, pii, pivots, quality, scoring
+from salience.llm import counts, decontamination, jaccard, lines, mixing, neighbours, packing, pii, pivots, quality, scoring
 from salience.plans.registry import table
 
 QUERIES = {}
@@ -134,3 +134,38 @@ def op8_scoring(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
     scored = scoring.score(docs, ~held_out(F.col("doc_id"), 5, 1))
     return scored.select("doc_id", held_out(F.col("doc_id"), 5, 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+CONTAMINATION_SQL = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+tests AS (
+  SELECT item_id, w, least(len(w), 10) AS m FROM (
+    SELECT item_id, regexp_extract_all(translate(coalesce(text, ''),
+      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark)
+  WHERE len(w) > 0),
+windows AS (
+  SELECT DISTINCT item_id, m, array_to_string(w[p:p + m - 1], ' ') AS win
+  FROM (SELECT *, unnest(range(1, len(w) - m + 2)) AS p FROM tests)),
+places AS (
+  SELECT r, m, p, array_to_string(w[p:p + m - 1], ' ') AS win
+  FROM (SELECT r, w, m, unnest(range(1, len(w) - m + 2)) AS p FROM docs JOIN (SELECT DISTINCT m FROM tests) ON len(w) >= m)),
+found AS (SELECT r, p, m, item_id FROM places JOIN windows USING (m, win)),
+words AS (SELECT r, count(DISTINCT x)::BIGINT AS n_hit FROM (SELECT DISTINCT r, unnest(range(p, p + m)) AS x FROM found) GROUP BY r),
+items AS (
+  SELECT r, count(*)::BIGINT AS n_items, string_agg(item, ',' ORDER BY item) AS ids
+  FROM (SELECT DISTINCT r, coalesce(item_id::VARCHAR, '') AS item FROM found) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs LEFT JOIN words USING (r) LEFT JOIN items USING (r)
+"""
+
+
+@query("op13_decontamination", CONTAMINATION_SQL)
+def op13_decontamination(spark: SparkSession, sf: str) -> DataFrame:
+    found = decontamination.search(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["first"])
+    return found.select(
+        "doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
