@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from salience.llm import counts, decontamination, jaccard, lines, mixing, neighbours, packing, pii, pivots, quality, scoring
+from salience.llm import counts, decontamination, jaccard, lines, mixing, neighbours, packing, pii, pivots, quality, repair, scoring
 from salience.plans.registry import table
 
 QUERIES = {}
@@ -23,6 +23,14 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+def crc32_sql(x: str) -> str:
+    """The unsigned crc32 of a text of ASCII signs."""
+    signs = f"list_transform(range(1, length({x}) + 1), lambda i: ascii({x}[i])::BIGINT)"
+    bit = "lambda v, b: xor(v >> 1, CASE WHEN v & 1 = 1 THEN 3988292384::BIGINT ELSE 0::BIGINT END)"
+    return (f"xor(list_reduce(list_prepend(4294967295::BIGINT, {signs}), lambda a, s: "
+            f"list_reduce(list_prepend(xor(a, s), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), {bit})), 4294967295::BIGINT)")
+
+
 def held_out(doc_id: Column, folds: int, fold: int) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(folds)) == fold, F.lit(False))
 
@@ -169,3 +177,61 @@ def op13_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     return found.select(
         "doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
+
+
+REPAIR_SQL = r"""
+WITH RECURSIVE rows AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {crc} % 20 AS how FROM (
+    SELECT *, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k FROM conversations)),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN how = 4 THEN 'user' ELSE role END AS role,
+    CASE how WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    unnest(range(CASE how WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy
+  FROM rows),
+placed AS (
+  SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text), copy) AS i,
+    rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS body FROM damaged),
+judged AS (
+  SELECT *, CASE WHEN body = '' THEN 'blank' WHEN seen > 1 THEN 'duplicate' WHEN right(body, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+    lag(role) OVER (PARTITION BY conv_id ORDER BY i) AS before
+  FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) AS seen FROM placed)),
+filling AS (
+  SELECT * FROM (VALUES ('E', 'E', 0, '', []::VARCHAR[]), ('E', 'U', 3, 'I', ['user:']), ('E', 'A', 6, 'II', ['user:', 'assistant:']),
+    ('S', 'S', 0, '', []), ('S', 'U', 3, 'I', ['user:']), ('S', 'A', 6, 'II', ['user:', 'assistant:']),
+    ('U', 'U', 0, '', []), ('U', 'A', 3, 'I', ['assistant:']), ('A', 'A', 0, '', []), ('A', 'U', 3, 'I', ['user:'])) t(q, r, cost, letters, lines)),
+paths AS (
+  SELECT conv_id, 0::BIGINT AS i, 'E' AS q, {{'cost': 0::BIGINT, 'audit': '', 'lines': []::VARCHAR[]}} AS best
+  FROM (SELECT DISTINCT conv_id FROM conversations)
+  UNION ALL
+  SELECT conv_id, i, q, min({{'cost': cost, 'audit': audit, 'lines': lines}}) AS best FROM (
+    SELECT p.conv_id, p.i + 1 AS i, e.q, p.best.cost + f.cost + e.cost AS cost, p.best.audit || f.letters || e.letter AS audit,
+      p.best.lines || f.lines || e.lines AS lines
+    FROM paths p JOIN filling f ON f.q = p.q JOIN judged j ON j.conv_id = p.conv_id AND j.i = p.i + 1,
+      LATERAL (
+        SELECT f.r AS q, 4 AS cost, 'D' AS letter, []::VARCHAR[] AS lines
+        UNION ALL
+        SELECT CASE left(j.role, 1) WHEN 's' THEN 'S' WHEN 'u' THEN 'U' ELSE 'A' END, CASE j.fault WHEN 'truncated' THEN 3 ELSE 0 END, 'K', [j.role || ':' || j.text]
+        WHERE j.fault IN ('', 'truncated') AND f.r || left(j.role, 1) IN ('Es', 'Eu', 'Su', 'Au', 'Ua')
+        UNION ALL
+        SELECT CASE f.r WHEN 'U' THEN 'A' ELSE 'U' END, CASE j.fault WHEN 'truncated' THEN 6 ELSE 3 END, 'R', [CASE f.r WHEN 'U' THEN 'assistant:' ELSE 'user:' END || j.text]
+        WHERE j.fault IN ('', 'truncated')) e)
+  GROUP BY conv_id, i, q),
+ends AS (
+  SELECT conv_id, min({{'cost': p.best.cost + f.cost, 'audit': p.best.audit || f.letters, 'lines': p.best.lines || f.lines}}) AS best
+  FROM paths p JOIN filling f USING (q)
+  WHERE f.r IN ('E', 'A') AND p.i = (SELECT count(*) FROM judged j WHERE j.conv_id = p.conv_id) GROUP BY conv_id),
+counts AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps,
+    count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+    count(*) FILTER (i > 1 AND left(before, 1) || left(role, 1) NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM judged GROUP BY conv_id)
+SELECT conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+  coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, best.cost::BIGINT AS cost, best.audit AS audit,
+  sha256(array_to_string(best.lines, chr(10))) AS repaired_sha256
+FROM ends LEFT JOIN counts USING (conv_id)
+""".format(crc=crc32_sql("k"))
+
+
+@query("op12_repair", REPAIR_SQL)
+def op12_repair(spark: SparkSession, sf: str) -> DataFrame:
+    return repair.digests(repair.damage(table(spark, sf, "conversations")))
