@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from salience.llm import counts, decontamination, jaccard, lines, mixing, neighbours, packing, pii, pivots, quality, repair, scoring
+from salience.llm import counts, decontamination, jaccard, lines, mixing, neighbours, packing, pii, pivots, quality, repair, scoring, trie
 from salience.plans.registry import table
 
 QUERIES = {}
@@ -235,3 +235,39 @@ FROM ends LEFT JOIN counts USING (conv_id)
 @query("op12_repair", REPAIR_SQL)
 def op12_repair(spark: SparkSession, sf: str) -> DataFrame:
     return repair.digests(repair.damage(table(spark, sf, "conversations")))
+
+
+TRIE_SQL = r"""
+WITH ids AS (SELECT DISTINCT conv_id, conv_id::VARCHAR AS k FROM conversations WHERE conv_id IS NOT NULL),
+skips AS (SELECT conv_id, ({crc} % 6)::BIGINT AS h FROM ids),
+turns AS (
+  SELECT conv_id, list({{'role': role, 'text': text}} ORDER BY turn NULLS FIRST, role, md5(text)) AS x
+  FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL) GROUP BY conv_id),
+rebuilt AS (
+  SELECT o.conv_id, coalesce(b.x[1:h], []) || o.x[h + 1:] AS x
+  FROM turns o JOIN skips USING (conv_id) LEFT JOIN turns b ON b.conv_id = o.conv_id - o.conv_id % 100),
+keyed AS (SELECT conv_id, x, list_transform(x, lambda t: md5(t.role || chr(31) || md5(t.text))) AS d FROM rebuilt),
+members AS (
+  SELECT conv_id, depth, md5(array_to_string(d[1:depth], ',')) AS node, CASE WHEN depth > 0 THEN md5(array_to_string(d[1:depth - 1], ',')) END AS parent,
+    CASE WHEN depth > 0 THEN length(x[depth].text) ELSE 0 END AS chars, depth = len(x) AS ends
+  FROM (SELECT *, unnest(range(0, len(x) + 1)) AS depth FROM keyed)),
+nodes AS (
+  SELECT node, any_value(depth) AS depth, any_value(parent) AS parent, any_value(chars) AS chars, min(conv_id) AS conv_id, count(*) AS n_convs,
+    sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256
+  FROM members GROUP BY node),
+children AS (SELECT parent AS node, count(*) AS n_children FROM nodes WHERE parent IS NOT NULL GROUP BY parent),
+lineage AS (
+  SELECT a.node, n.node AS below FROM nodes n JOIN members m ON m.conv_id = n.conv_id AND m.depth = n.depth
+  JOIN members a ON a.conv_id = m.conv_id AND a.depth <= m.depth),
+sums AS (
+  SELECT l.node, count(*) FILTER (c.node IS NULL) AS n_leaves, sum((n.n_convs - 1) * n.chars)::BIGINT AS saved_tokens
+  FROM lineage l JOIN nodes n ON n.node = l.below LEFT JOIN children c ON c.node = l.below GROUP BY l.node)
+SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(n_children, 0)::BIGINT AS n_children, n_leaves, saved_tokens, n.ends_sha256
+FROM nodes n JOIN sums USING (node) LEFT JOIN children USING (node) LEFT JOIN nodes p ON p.node = n.parent
+""".format(crc=crc32_sql("k"))
+
+
+@query("op11_trie", TRIE_SQL)
+def op11_trie(spark: SparkSession, sf: str) -> DataFrame:
+    nodes = trie.prefix_trie(table(spark, sf, "conversations"))
+    return nodes.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", F.col("saved").alias("saved_tokens"), "ends_sha256")
