@@ -1,23 +1,32 @@
 """Scores of each sentence of a document, from the token lists of its sentences; Arrow UDFs, one row in, one row out.
 
-Everything that a sentence is compared with is in the row of its document, so none of this shuffles. A sentence without
-tokens scores 0.
+Everything that a sentence is compared with is in the row of its document, so none of this shuffles. A batch is counted as
+flat arrays: tokens are numbered once, and a count is one sort over (sentence, token) or (document, token) numbers. A
+sentence without tokens scores 0.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections import Counter
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 HASH_BUCKETS = 64
-LONGS = T.ArrayType(T.LongType())
-COUNTS = T.ArrayType(T.ArrayType(T.StructType([T.StructField("w", T.StringType()), T.StructField("c", T.LongType()), T.StructField("c_doc", T.LongType())])))
+_LONGS = T.ArrayType(T.LongType())
+
+
+def _scores(kind: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField("n_doc", T.LongType()), T.StructField("n_sent", _LONGS), T.StructField("scores", T.ArrayType(kind))])
+
+
+LCS = _scores(T.LongType())
+#: One element per distinct word of a sentence, and one without a word for a sentence that has none.
+WORD = T.StructType([T.StructField("w", T.StringType()), *[T.StructField(c, T.LongType()) for c in ("n_doc", "sid", "n_sent", "overlap", "c", "c_doc")]])
 
 
 @lru_cache(maxsize=200_000)
@@ -25,81 +34,122 @@ def hash_bucket(word: str, buckets: int) -> int:
     return int(hashlib.md5(word.encode()).hexdigest()[:4], 16) % buckets
 
 
-def shared_words(lists: list[list[str]]) -> list[int]:
-    """Per sentence the multiset overlap of its words with those of the other sentences."""
-    own = [Counter(t) for t in lists]
-    total: Counter = Counter()
-    for c in own:
-        total.update(c)
-    return [sum(min(n, total[w] - n) for w, n in c.items()) for c in own]
+class Tokens:
+    """The tokens of a column of sentence lists as numbers, with the sentence and document of each."""
 
+    def __init__(self, column: pa.Array):
+        column = column.fill_null([]) if column.null_count else column
+        sents = column.flatten()
+        sents = sents.fill_null([]) if sents.null_count else sents
+        coded = sents.flatten().dictionary_encode()
+        self.code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        self.words = coded.dictionary
+        self.n_sent = sents.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        lengths = column.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        #: first sentence of each document, with the end behind
+        self.first = np.concatenate([[0], np.cumsum(lengths)])
+        self.doc = np.repeat(np.arange(len(lengths)), lengths)
+        self.sent_of = np.repeat(np.arange(len(self.n_sent)), self.n_sent)
+        self.n_doc = np.bincount(self.doc, weights=self.n_sent, minlength=len(lengths)).astype(np.int64)
 
-def shared_pairs(lists: list[list[str]]) -> list[int]:
-    """The same for pairs of neighbouring words, where taking a sentence out breaks the pairs at its borders and joins its
-    neighbours."""
-    filled = [i for i, t in enumerate(lists) if t]
-    out = [0] * len(lists)
-    flat = [w for i in filled for w in lists[i]]
-    total = Counter(zip(flat, flat[1:]))
-    for k, i in enumerate(filled):
-        t = lists[i]
-        before = lists[filled[k - 1]][-1] if k else None
-        after = lists[filled[k + 1]][0] if k + 1 < len(filled) else None
-        lost = Counter()
-        if before is not None:
-            lost[before, t[0]] += 1
-        if after is not None:
-            lost[t[-1], after] += 1
-        if before is not None and after is not None:
-            lost[before, after] -= 1
-        out[i] = sum(min(n, max(0, total[g] - n - lost[g])) for g, n in Counter(zip(t, t[1:])).items())
-    return out
-
-
-def hashed_cosines(lists: list[list[str]], buckets: int) -> list[float]:
-    """Cosine of the hashed word counts of a sentence and of the other sentences."""
-    own = [Counter(hash_bucket(w, buckets) for w in t) for t in lists]
-    total: Counter = Counter()
-    for c in own:
-        total.update(c)
-    whole = sum(t * t for t in total.values())
-    out = []
-    for c in own:
-        dot = sum(n * (total[b] - n) for b, n in c.items())
-        size = sum(n * n for n in c.values())
-        rest = whole - sum(total[b] ** 2 - (total[b] - n) ** 2 for b, n in c.items())
-        out.append(dot / (size * rest) ** 0.5 if size and rest > 0 else 0.0)
-    return out
+    def counted(self, code: np.ndarray, sent: np.ndarray, kinds: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Sentence, number, count in the sentence and count in the document of every distinct pair, by sentence."""
+        key, c = np.unique(sent * kinds + code, return_counts=True)
+        sent, code = key // kinds, key % kinds
+        _, place = np.unique(self.doc[sent] * kinds + code, return_inverse=True)
+        return sent, code, c, np.bincount(place, weights=c).astype(np.int64)[place]
 
+    def lists(self, values: np.ndarray) -> pa.Array:
+        """One value per sentence as a list per document."""
+        return pa.ListArray.from_arrays(pa.array(self.first.astype(np.int32)), pa.array(values))
 
-def _each(column: pa.Array, of, kind: pa.DataType) -> pa.Array:
-    return pa.array([None if lists is None else of(lists) for lists in column.to_pylist()], kind)
+    def scored(self, values: np.ndarray) -> pa.Array:
+        return pa.StructArray.from_arrays([pa.array(self.n_doc), self.lists(self.n_sent), self.lists(values)], ["n_doc", "n_sent", "scores"])
 
+    def per_sentence(self, sent: np.ndarray, values: np.ndarray) -> np.ndarray:
+        return np.bincount(sent, weights=values, minlength=len(self.n_sent))
 
-@F.arrow_udf(LONGS)
-def _words(column: pa.Array) -> pa.Array:
-    return _each(column, shared_words, pa.list_(pa.int64()))
 
-
-@F.arrow_udf(LONGS)
-def _pairs(column: pa.Array) -> pa.Array:
-    return _each(column, shared_pairs, pa.list_(pa.int64()))
+def shared_words(t: Tokens) -> np.ndarray:
+    """Per sentence the multiset overlap of its words with those of the other sentences."""
+    sent, _, c, c_doc = t.counted(t.code, t.sent_of, max(1, len(t.words)))
+    return t.per_sentence(sent, np.minimum(c, c_doc - c)).astype(np.int64)
 
 
-_COUNT = pa.struct([("w", pa.string()), ("c", pa.int64()), ("c_doc", pa.int64())])
+def shared_pairs(t: Tokens) -> np.ndarray:
+    """The same for pairs of neighbouring words, where taking a sentence out breaks the pairs at its borders and joins its
+    neighbours."""
+    n = max(1, len(t.words))
+    doc = t.doc[t.sent_of]
+    near = doc[1:] == doc[:-1]
+    pair = (t.code[:-1] * n + t.code[1:])[near]
+    sent, follows = t.sent_of[:-1][near], t.sent_of[1:][near]
+    kinds, pair = np.unique(pair, return_inverse=True)
+    total_key, total = np.unique(doc[:-1][near] * max(1, len(kinds)) + pair, return_counts=True)
+    inside = sent == follows
+    key, c = np.unique(sent[inside] * max(1, len(kinds)) + pair[inside], return_counts=True)
+    own, code = key // max(1, len(kinds)), key % max(1, len(kinds))
+    lost = np.zeros(len(own), np.int64)
+    # pairs at the borders of each sentence that has tokens, and the pair its removal makes; -1 where there is none
+    ends = np.cumsum(t.n_sent)
+    filled = np.flatnonzero(t.n_sent)
+    head, tail = t.code[(ends - t.n_sent)[filled]], t.code[ends[filled] - 1]
+    same = t.doc[filled[1:]] == t.doc[filled[:-1]]
+    none = np.full(1, -1)
+    before = np.concatenate([none, np.where(same, tail[:-1], -1)]) if len(filled) else np.zeros(0, np.int64)
+    after = np.concatenate([np.where(same, head[1:], -1), none]) if len(filled) else np.zeros(0, np.int64)
+    at = np.searchsorted(filled, own)
+    for a, b, by in ((before, head, 1), (tail, after, 1), (before, after, -1)):
+        border = np.where((a >= 0) & (b >= 0), a * n + b, -1)
+        lost += by * (border[at] == kinds[code]) if len(own) else 0
+    if not len(own):
+        return np.zeros(len(t.n_sent), np.int64)
+    whole = total[np.searchsorted(total_key, t.doc[own] * len(kinds) + code)]
+    return t.per_sentence(own, np.minimum(c, np.maximum(0, whole - c - lost))).astype(np.int64)
+
+
+def hashed_cosines(t: Tokens, buckets: int) -> np.ndarray:
+    """Cosine of the hashed word counts of a sentence and of the other sentences."""
+    bucket = np.array([hash_bucket(w, buckets) for w in t.words.to_pylist()] or [0], np.int64)
+    sent, code, c, total = t.counted(bucket[t.code] if len(t.code) else t.code, t.sent_of, buckets)
+    _, place = np.unique(t.doc[sent] * buckets + code, return_index=True)
+    whole = np.bincount(t.doc[sent[place]], weights=total[place].astype(float) ** 2, minlength=len(t.n_doc))
+    c, total = c.astype(float), total.astype(float)
+    dot, size = t.per_sentence(sent, c * (total - c)), t.per_sentence(sent, c * c)
+    rest = (whole[t.doc] if len(t.doc) else np.zeros(0)) - t.per_sentence(sent, total ** 2 - (total - c) ** 2)
+    some = (size > 0) & (rest > 0)
+    return np.divide(dot, np.sqrt(np.where(some, size * rest, 1.0)), out=np.zeros(len(dot)), where=some)
+
+
+@F.arrow_udf(_scores(T.LongType()))
+def _words(column: pa.Array) -> pa.Array:
+    t = Tokens(column)
+    return t.scored(shared_words(t))
 
 
-def _counted(lists: list[list[str]]) -> list[list[dict]]:
-    total = Counter(w for t in lists for w in t)
-    return [[{"w": w, "c": n, "c_doc": total[w]} for w, n in Counter(t).items()] for t in lists]
+@F.arrow_udf(_scores(T.LongType()))
+def _pairs(column: pa.Array) -> pa.Array:
+    t = Tokens(column)
+    return t.scored(shared_pairs(t))
 
 
-@F.arrow_udf(COUNTS)
+@F.arrow_udf(T.ArrayType(WORD))
 def _counts(column: pa.Array) -> pa.Array:
-    return _each(column, _counted, pa.list_(pa.list_(_COUNT)))
+    t = Tokens(column)
+    sent, code, c, c_doc = t.counted(t.code, t.sent_of, max(1, len(t.words)))
+    overlap = t.per_sentence(sent, np.minimum(c, c_doc - c)).astype(np.int64)
+    blank = np.flatnonzero(t.n_sent == 0)
+    at = np.searchsorted(sent, blank)
+    sent, code, c, c_doc = (np.insert(x, at, y) for x, y in ((sent, blank), (code, -1), (c, 0), (c_doc, 0)))
+    words = t.words.take(pa.array(code, mask=code < 0))
+    doc = t.doc[sent] if len(sent) else sent
+    numbers = [t.n_doc[doc], sent - t.first[doc], t.n_sent[sent], overlap[sent], c, c_doc] if len(sent) else [np.zeros(0, np.int64)] * 6
+    rows = pa.StructArray.from_arrays([words, *[pa.array(x.astype(np.int64)) for x in numbers]], [f.name for f in WORD])
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(sent, t.first).astype(np.int32)), rows)
 
 
 def word_overlaps(lists: Column | str) -> Column:
+    """Struct of the document's tokens ``n_doc`` and, per sentence, ``n_sent`` and ``scores``."""
     return _words(lists)
 
 
@@ -108,13 +158,14 @@ def pair_overlaps(lists: Column | str) -> Column:
 
 
 def word_counts(lists: Column | str) -> Column:
-    """Per sentence its distinct words with their counts in the sentence and in the document."""
+    """The distinct words of each sentence, with their counts in sentence and document, as one flat list of ``WORD``."""
     return _counts(lists)
 
 
 def context_cosines(lists: Column | str, buckets: int = HASH_BUCKETS) -> Column:
-    @F.arrow_udf(T.ArrayType(T.DoubleType()))
+    @F.arrow_udf(_scores(T.DoubleType()))
     def cosines(column: pa.Array) -> pa.Array:
-        return _each(column, lambda lists: hashed_cosines(lists, buckets), pa.list_(pa.float64()))
+        t = Tokens(column)
+        return t.scored(hashed_cosines(t, buckets))
 
     return cosines(lists)

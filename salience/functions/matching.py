@@ -1,106 +1,139 @@
-"""Longest common subsequences as Arrow UDFs; they read whole rows and need no shuffle."""
+"""Longest common subsequences as Arrow UDFs; they read whole rows and need no shuffle.
+
+A row of the dynamic program over ``a`` is one integer: a bit is 0 where the length of the subsequence grows. Taking in a
+token of ``b`` is an addition and a subtraction, so a pair costs len(a) * len(b) / 64 machine steps.
+"""
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterable, Sequence
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from salience.functions.documents import LCS, Tokens
 
-def lcs_length(a, b) -> int:
-    """Length of the longest common subsequence, with the shorter side kept as bits of one integer."""
-    if len(a) > len(b):
-        a, b = b, a
-    where: dict[str, int] = {}
+#: Rows between two that are kept for the way back; those in between are computed again.
+STRIDE = 64
+
+
+def positions(a: Sequence) -> dict:
+    """For each token the bits of its places in ``a``."""
+    where: dict = {}
     for i, t in enumerate(a):
         where[t] = where.get(t, 0) | (1 << i)
-    full = (1 << len(a)) - 1
-    row = full
+    return where
+
+
+def _rows(where: dict, full: int, row: int, b: Iterable) -> Iterable[int]:
     for t in b:
         hit = where.get(t)
         if hit:
             keep = row & hit
             row = ((row + keep) | (row - keep)) & full
+        yield row
+
+
+def lcs_length(a: Sequence, b: Sequence) -> int:
+    """Length of the longest common subsequence."""
+    if len(a) > len(b):
+        a, b = b, a
+    full = row = (1 << len(a)) - 1
+    for row in _rows(positions(a), full, row, b):
+        pass
     return len(a) - row.bit_count()
 
 
-def _covered(ref, cand) -> set[int]:
-    """Positions of ``ref`` on one longest common subsequence with ``cand``.
+def covered(where: dict, n: int, b: Sequence) -> int:
+    """Bits of the places of a text of ``n`` tokens on one longest common subsequence with ``b``.
 
-    Reference tokens the candidate lacks are left out of the table; the walk back would step over them anyway.
+    The way back goes from the ends: equal tokens are taken, otherwise it steps back in ``b`` if the length grows at this
+    place of the text, and in the text if not. Every ``STRIDE``-th row is kept and the rows of one stride at a time are
+    made again.
     """
-    number = {t: k for k, t in enumerate(dict.fromkeys(cand))}
-    kept = [i for i, t in enumerate(ref) if t in number]
-    codes = np.array([number[t] for t in cand], dtype=np.int32)
-    best = np.zeros((len(kept) + 1, len(cand) + 1), dtype=np.int32)
-    for k, i in enumerate(kept):
-        step = best[k, :-1] + (codes == number[ref[i]])
-        best[k + 1, 1:] = np.maximum.accumulate(np.maximum(best[k, 1:], step))
-    out = set()
-    k, j = len(kept), len(cand)
-    while k and j:
-        if ref[kept[k - 1]] == cand[j - 1]:
-            k, j = k - 1, j - 1
-            out.add(kept[k])
-        elif best[k, j - 1] > best[k - 1, j]:
-            j -= 1
+    full = (1 << n) - 1
+    kept = [full]
+    for j, row in enumerate(_rows(where, full, full, b), 1):
+        if j % STRIDE == 0:
+            kept.append(row)
+    out, i, j, base, rows = 0, n, len(b), -1, []
+    while i and j:
+        if base != (j - 1) // STRIDE:
+            base = (j - 1) // STRIDE
+            rows = list(_rows(where, full, kept[base], b[base * STRIDE:(base + 1) * STRIDE]))
+        bit = 1 << (i - 1)
+        if where.get(b[j - 1], 0) & bit:
+            out, i, j = out | bit, i - 1, j - 1
         else:
-            k -= 1
+            grows = ~rows[j - 1 - base * STRIDE] & (bit | (bit - 1))
+            # nothing happens on the way down to the highest place where the length grows or the token stands
+            here = where.get(b[j - 1], 0) & (bit - 1)
+            top = max(grows.bit_length(), here.bit_length())
+            if top < i:
+                i = top
+            else:
+                j -= 1
     return out
 
 
-def union_hits(ref_lines, cand_lines) -> int:
-    """Tokens of the reference lines covered by any candidate line, each token used at most as often as both have it."""
-    left: dict[str, int] = {}
-    for line in cand_lines:
-        for t in line:
-            left[t] = left.get(t, 0) + 1
-    own: dict[str, int] = {}
-    for line in ref_lines:
-        for t in line:
-            own[t] = own.get(t, 0) + 1
-    hits = 0
+def union_hits(ref_lines: Sequence[Sequence], cand_lines: Sequence[Sequence]) -> int:
+    """Tokens of the reference lines covered by any candidate line, each token used at most as often as the candidate has it.
+
+    A reference line is held only against candidate lines that share a token with it.
+    """
+    having: dict = {}
+    for k, line in enumerate(cand_lines):
+        for t in set(line):
+            having.setdefault(t, []).append(k)
+    found: Counter = Counter()
     for line in ref_lines:
-        covered = set().union(*[_covered(line, c) for c in cand_lines]) if len(cand_lines) else set()
-        for i in sorted(covered):
-            t = line[i]
-            if left.get(t, 0) > 0 and own[t] > 0:
-                hits += 1
-                left[t] -= 1
-                own[t] -= 1
-    return hits
+        where = positions(line)
+        places = 0
+        for k in sorted({k for t in where for k in having.get(t, ())}):
+            places |= covered(where, len(line), cand_lines[k])
+        for t, bits in where.items():
+            found[t] += (bits & places).bit_count()
+    left = Counter(t for line in cand_lines for t in line)
+    return sum(min(n, left[t]) for t, n in found.items())
 
 
-@F.pandas_udf(T.LongType())
-def lcs(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([lcs_length(x, y) for x, y in zip(a, b)], dtype="int64")
+def _coded(column: pa.Array) -> list[list[list[int]]]:
+    """Lists of token lists as lists of lists of numbers."""
+    t = Tokens(column)
+    code, ends = t.code.tolist(), np.concatenate([[0], np.cumsum(t.n_sent)]).tolist()
+    lines = [code[a:b] for a, b in zip(ends, ends[1:])]
+    return [lines[a:b] for a, b in zip(t.first.tolist(), t.first[1:].tolist())]
 
 
-@F.pandas_udf(T.LongType())
-def line_hits(ref: pd.Series, cand: pd.Series) -> pd.Series:
-    return pd.Series([union_hits(r, c) for r, c in zip(ref, cand)], dtype="int64")
+@F.arrow_udf(T.LongType())
+def lcs(a: pa.Array, b: pa.Array) -> pa.Array:
+    return pa.array([None if x is None or y is None else lcs_length(x, y) for x, y in zip(a.to_pylist(), b.to_pylist())], pa.int64())
 
 
-@F.pandas_udf(T.ArrayType(T.LongType()))
-def lcs_with_rest(sents: pd.Series) -> pd.Series:
+@F.arrow_udf(T.LongType())
+def line_hits(ref: pa.Array, cand: pa.Array) -> pa.Array:
+    return pa.array([union_hits(r or [], c or []) for r, c in zip(ref.to_pylist(), cand.to_pylist())], pa.int64())
+
+
+@F.arrow_udf(LCS)
+def lcs_with_rest(lists: pa.Array) -> pa.Array:
     """For the token lists of a document's sentences, the LCS of each with all the others in order.
 
     Tokens that a sentence does not contain cannot be on the subsequence, so only the positions of its own
     words are visited, taken from a word-to-positions map built once per document.
     """
-
-    def one(doc):
-        where: dict[str, list[tuple[int, int]]] = {}
+    out: list[int] = []
+    for doc in _coded(lists):
+        where: dict[int, list[tuple[int, int]]] = {}
         at = 0
         for sid, toks in enumerate(doc):
             for t in toks:
                 where.setdefault(t, []).append((at, sid))
                 at += 1
-        out = []
         for sid, toks in enumerate(doc):
             hits = sorted((p, t) for t in set(toks) for p, s in where[t] if s != sid)
             out.append(lcs_length(toks, [t for _, t in hits]) if hits else 0)
-        return out
-
-    return pd.Series([one(d) for d in sents])
+    return Tokens(lists).scored(np.array(out, np.int64))

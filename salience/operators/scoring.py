@@ -9,7 +9,7 @@ from salience.functions import text as tx
 from salience.functions import documents as dc
 from salience.functions.matching import lcs_with_rest
 from salience.operators.scale import heavy_keys
-from salience.operators.sentences import corpus_counts, n_tokens, sentence_words, token_lists
+from salience.operators.sentences import corpus_counts, sentence_words, token_lists
 
 SMOOTHING = 64.0
 HEAVY_WORDS = 100_000
@@ -20,25 +20,27 @@ def _ratio(top: Column, bottom: Column) -> Column:
     return F.when(bottom > 0, F.lit(2.0) * top / bottom).otherwise(F.lit(0.0))
 
 
-def _per_sentence(docs: DataFrame, name: str, scores: Column) -> DataFrame:
-    """``doc_id, n_doc, sid, n_sent`` and the sentence's element of an array computed from ``lists``; narrow."""
-    found = token_lists(docs).select(
-        "doc_id", n_tokens("lists").alias("n_doc"), F.transform("lists", lambda t: F.size(t).cast("long")).alias("n_sent"), scores.alias(name))
-    rows = found.select("doc_id", "n_doc", F.posexplode(F.arrays_zip("n_sent", name)).alias("sid", "x"))
-    return rows.select("doc_id", "n_doc", F.col("sid").cast("long").alias("sid"), "x.*")
+def _per_sentence(docs: DataFrame, scored) -> DataFrame:
+    """``doc_id, n_doc, sid, n_sent, value``: the elements of a struct computed from ``lists`` in one step; narrow."""
+    found = token_lists(docs).select("doc_id", scored("lists").alias("x"))
+    rows = found.select("doc_id", F.col("x.n_doc").alias("n_doc"), F.posexplode(F.arrays_zip("x.n_sent", "x.scores")).alias("sid", "s"))
+    return rows.select("doc_id", "n_doc", F.col("sid").cast("long").alias("sid"), F.col("s.n_sent").alias("n_sent"), F.col("s.scores").alias("value"))
 
 
 def rouge1(docs: DataFrame) -> DataFrame:
     """F1 of shared words between a sentence and the others: ``2 * shared / words in the document``; narrow."""
-    rows = _per_sentence(docs, "overlap", dc.word_overlaps("lists"))
+    rows = _per_sentence(docs, dc.word_overlaps).withColumnRenamed("value", "overlap")
     return rows.select("doc_id", "sid", "overlap", "n_doc", tx.r6(_ratio(F.col("overlap"), F.col("n_doc"))).alias("score"))
 
 
 def rouge1_list(docs: DataFrame) -> DataFrame:
-    """``doc_id, sents, scores``: the same as an array in the row of the document, for choices that need no join."""
-    rows = docs.select("doc_id", tx.sentences(F.col("text")).alias("sents"), F.transform(tx.sentences(F.col("text")), tx.tokens).alias("lists"))
-    scored = rows.select("doc_id", "sents", n_tokens("lists").alias("n_doc"), dc.word_overlaps("lists").alias("overlaps"))
-    return scored.select("doc_id", "sents", F.transform("overlaps", lambda o: tx.r6(_ratio(o, F.col("n_doc")))).alias("scores"))
+    """``doc_id, sents, scores``: the same as an array in the row of the document, for choices that need no join.
+
+    Documents without sentences go here, before anything is scored: a filter on the scores would carry the scoring along.
+    """
+    rows = docs.select("doc_id", tx.sentences(F.col("text")).alias("sents")).filter(F.size("sents") > 0)
+    scored = rows.select("doc_id", "sents", dc.word_overlaps(F.transform("sents", tx.tokens)).alias("x"))
+    return scored.select("doc_id", "sents", F.transform("x.scores", lambda o: tx.r6(_ratio(o, F.col("x.n_doc")))).alias("scores"))
 
 
 def rouge2(docs: DataFrame) -> DataFrame:
@@ -47,14 +49,14 @@ def rouge2(docs: DataFrame) -> DataFrame:
     Taking a sentence out of the text removes its own pairs and the pairs at its two borders, and makes one new
     pair where the neighbours meet; only the counts of the sentence's own pairs matter for the overlap.
     """
-    rows = _per_sentence(docs, "overlap", dc.pair_overlaps("lists"))
+    rows = _per_sentence(docs, dc.pair_overlaps).withColumnRenamed("value", "overlap")
     n_pairs = F.greatest(F.col("n_sent") - 1, F.lit(0)) + F.greatest(F.col("n_doc") - F.col("n_sent") - 1, F.lit(0))
     return rows.select("doc_id", "sid", "overlap", tx.r6(_ratio(F.col("overlap"), n_pairs)).alias("score"))
 
 
 def rouge_l(docs: DataFrame) -> DataFrame:
     """Longest common subsequence of a sentence and the others; one Arrow pass over whole documents."""
-    rows = _per_sentence(docs, "lcs", lcs_with_rest("lists"))
+    rows = _per_sentence(docs, lcs_with_rest).withColumnRenamed("value", "lcs")
     return rows.select("doc_id", "sid", "lcs", tx.r6(_ratio(F.col("lcs"), F.col("n_doc"))).alias("score"))
 
 
@@ -79,10 +81,8 @@ def overlap_and_pmi(docs: DataFrame, vocabulary: DataFrame | None = None, mu: fl
     heavy = heavy_keys(vocabulary, "c_all", HEAVY_WORDS)
     term = _word_term(total, kinds, mu)
     known = F.col("c_all").isNotNull()
-    rows = sentence_words(docs).select("doc_id", "n_doc", "sid", "n_sent", "overlap", F.explode_outer("words").alias("x"))
     near = (
-        rows.select("doc_id", "n_doc", "sid", "n_sent", "overlap", "x.w", "x.c", "x.c_doc")
-        .join(F.broadcast(vocabulary.filter(heavy)), "w", "left")
+        sentence_words(docs).join(F.broadcast(vocabulary.filter(heavy)), "w", "left")
         .groupBy("doc_id", "sid", "n_doc", "n_sent", "overlap")
         .agg(
             F.coalesce(F.sum(F.when(known, term)), F.lit(0.0)).alias("near_bits"),
@@ -140,4 +140,5 @@ def hashed_context_similarity(docs: DataFrame, buckets: int = HASH_BUCKETS) -> D
     The encoder is linear, so the encoding of the rest is the document's minus the sentence's and no
     leave-one-out text is ever written out. A single sentence scores 0.
     """
-    return _per_sentence(docs, "cosine", dc.context_cosines("lists", buckets)).select("doc_id", "sid", tx.r6(F.col("cosine")).alias("score"))
+    rows = _per_sentence(docs, lambda lists: dc.context_cosines(lists, buckets))
+    return rows.select("doc_id", "sid", tx.r6(F.col("value")).alias("score"))

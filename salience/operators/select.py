@@ -94,8 +94,8 @@ def first_rows(df: DataFrame, order: str, n: int) -> DataFrame:
 
 
 def pairs_in_row(scored: DataFrame) -> DataFrame:
-    """Masked pairs from ``doc_id, sents, scores``, chosen in the row of the document; documents without sentences go."""
-    at = F.array_position("scores", F.array_max("scores")) - 1
-    rows = scored.filter(F.size("scores") > 0).select("doc_id", "sents", "scores", at.cast("long").alias("sid"))
-    return rows.select("doc_id", "sid", F.get("scores", F.col("sid").cast("int")).alias("score"),
-                       tx.masked(F.col("sents"), F.col("sid")).alias("document"), F.get("sents", F.col("sid").cast("int")).alias("summary"))
+    """Masked pairs from ``doc_id, sents, scores``, lists of one length and not empty; chosen in the row of the document."""
+    at = (F.array_position("scores", F.array_max("scores")) - 1).cast("int")
+    rows = scored.select("doc_id", "sents", "scores", at.alias("at"))
+    return rows.select("doc_id", F.col("at").cast("long").alias("sid"), F.get("scores", "at").alias("score"),
+                       tx.masked(F.col("sents"), F.col("at")).alias("document"), F.get("sents", "at").alias("summary"))

@@ -23,27 +23,18 @@ def token_lists(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.transform(tx.sentences(F.col("text")), tx.tokens).alias("lists"))
 
 
-def n_tokens(lists: str):
-    return F.aggregate(lists, F.lit(0).cast("long"), lambda n, t: n + F.size(t))
-
-
 def sentence_words(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_doc, sid, n_sent, overlap, words`` per sentence, token-less ones included; narrow.
+    """``doc_id, n_doc, sid, n_sent, overlap, w, c, c_doc`` per distinct word of a sentence; narrow.
 
-    ``words`` has the distinct words with their counts in sentence and document, ``overlap`` is what the sentence shares
-    with the others.
+    A sentence without tokens has one row without a word. ``overlap`` is what the sentence shares with the others.
     """
-    counted = token_lists(docs).select("doc_id", n_tokens("lists").alias("n_doc"), dc.word_counts("lists").alias("words"))
-    rows = counted.select("doc_id", "n_doc", F.posexplode("words").alias("sid", "words"))
-    fold = lambda f: F.aggregate("words", F.lit(0).cast("long"), lambda n, x: n + f(x))
-    return rows.select("doc_id", "n_doc", F.col("sid").cast("long").alias("sid"), fold(lambda x: x["c"]).alias("n_sent"),
-                       fold(lambda x: F.least(x["c"], x["c_doc"] - x["c"])).alias("overlap"), "words")
+    counted = token_lists(docs).select("doc_id", F.explode(dc.word_counts("lists")).alias("x"))
+    return counted.select("doc_id", *[F.col(f"x.{c}").alias(c) for c in ("n_doc", "sid", "n_sent", "overlap", "w", "c", "c_doc")])
 
 
 def token_counts(docs: DataFrame) -> DataFrame:
     """``doc_id, sid, w, n_sent, n_doc, c, c_doc``: counts of each word in its sentence and its document; narrow."""
-    rows = sentence_words(docs).select("doc_id", "n_doc", "sid", "n_sent", F.explode("words").alias("x"))
-    return rows.select("doc_id", "n_doc", "sid", "n_sent", "x.w", "x.c", "x.c_doc")
+    return sentence_words(docs).filter("w IS NOT NULL").drop("overlap")
 
 
 def corpus_counts(docs: DataFrame) -> DataFrame:

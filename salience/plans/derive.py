@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from salience.functions import text as tx
 from salience.operators import scoring, select
-from salience.plans.registry import part, table
+from salience.plans.registry import part, spread, table
 
 SENTS = r"""list_filter(list_transform(regexp_extract_all({x}, '[^.!?]+[.!?]*'),
   lambda s: trim(regexp_replace(s, '\s+', ' ', 'g'))), lambda s: s <> '')"""
@@ -77,7 +77,7 @@ part("pred", f"""SELECT d.doc_id, lang AS dataset, source AS checkpoint, text, s
 
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents")
+    return spread(table(spark, sf, "documents"))
 
 
 def selections(docs: DataFrame) -> DataFrame:

@@ -48,3 +48,12 @@ def query(name: str, sql: str | None = None, needs: str = "", recursive: bool =
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf.rstrip('/')}/{name}.parquet")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """The rows dealt over all cores when the scan has fewer parts than there are cores, as with few large row groups.
+
+    Work on rows then runs in as many tasks; a scan of many parts is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -2,6 +2,8 @@ import collections
 import math
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from salience.functions import text as tx
@@ -252,9 +254,13 @@ def test_hot_pairs_are_cut(spark, monkeypatch):
         assert sorted(map(tuple, vectors.greedy_match(df).collect())) == want
 
 
-def test_row_wise_queries_do_not_shuffle(spark):
+def test_row_wise_queries_do_not_shuffle(spark, monkeypatch):
     import __spark_entry__ as entry
+    from salience.plans import derive
     from tests.conftest import SMALL
+    # but for dealing out a scan that has fewer parts than there are cores
+    assert derive.documents(spark, SMALL).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    monkeypatch.setattr(derive, "spread", lambda df: df)
     names = ["sentences", "sentence_bodies", "other_sentences", "cut_contexts", "masked_documents", "inserted_mask", "metric_tokens", "rouge1_pairs",
              "rouge1_scores", "rouge2_scores", "rougeL_scores", "hashed_context_similarity", "one_sentence_per_line", "encoded_sentences",
              "entity_annotation", "gated_annotation", "unsupported_entities", "replaced_summaries", "repaired_summaries", "intrinsic_negatives"]
@@ -273,3 +279,67 @@ def test_vectors_without_a_direction(spark):
     tokens = [(1, "cand", 0, False, [1.0, 0.0]), (2, "cand", 0, False, [0.0, 0.0]), (2, "ref", 0, False, [1.0, 0.0])]
     match = vectors.greedy_match(spark.createDataFrame(tokens, "pair_id LONG, side STRING, pos LONG, special BOOLEAN, v ARRAY<FLOAT>")).collect()
     assert {r["pair_id"]: r["f1"] for r in match} == {1: 0.0, 2: 0.0}
+
+
+def test_pairs_in_one_evaluation(spark, small):
+    """Scores are computed once per document, and no filter carries the splitting or the scoring along."""
+    from salience.operators import scoring, select
+    from salience.plans.registry import table
+
+    plan = select.pairs_in_row(scoring.rouge1_list(table(spark, small, "documents")))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+    assert all("[a-z0-9]+" not in line for line in plan.splitlines() if line.lstrip(" +-:").startswith("Filter"))
+
+
+@given(st.lists(st.lists(st.lists(st.sampled_from("abc"), max_size=6), max_size=5), max_size=4), st.integers(1, 4))
+@settings(max_examples=200, deadline=None)
+def test_counts_of_a_batch(docs, buckets):
+    """Flat counts of many documents at once equal counts of one sentence after the other."""
+    from collections import Counter
+
+    import pyarrow as pa
+
+    from salience.functions import documents as dc
+
+    t = dc.Tokens(pa.array(docs, pa.list_(pa.list_(pa.string()))))
+    words, pairs, cosines = [], [], []
+    for doc in docs:
+        for i, own in enumerate(doc):
+            rest = [w for k, s in enumerate(doc) if k != i for w in s]
+            left, near = Counter(rest), Counter(zip(rest, rest[1:]))
+            words.append(sum(min(n, left[w]) for w, n in Counter(own).items()))
+            pairs.append(sum(min(n, near[g]) for g, n in Counter(zip(own, own[1:])).items()))
+            x, y = (Counter(dc.hash_bucket(w, buckets) for w in s) for s in (own, rest))
+            size = sum(n * n for n in x.values()) * sum(n * n for n in y.values())
+            cosines.append(sum(n * y[b] for b, n in x.items()) / size ** 0.5 if size else 0.0)
+    assert dc.shared_words(t).tolist() == words
+    assert dc.shared_pairs(t).tolist() == pairs
+    assert dc.hashed_cosines(t, buckets).tolist() == pytest.approx(cosines)
+
+
+@given(st.lists(st.sampled_from("abcd"), max_size=14), st.lists(st.sampled_from("abcde"), max_size=14), st.integers(1, 4))
+@settings(max_examples=300, deadline=None)
+def test_way_back_through_bit_rows(text, other, stride):
+    """Places on a longest common subsequence, as the walk through the whole table finds them."""
+    from salience.functions import matching
+
+    best = [[0] * (len(other) + 1) for _ in range(len(text) + 1)]
+    for i, x in enumerate(text):
+        for j, y in enumerate(other):
+            best[i + 1][j + 1] = best[i][j] + 1 if x == y else max(best[i][j + 1], best[i + 1][j])
+    want, i, j = set(), len(text), len(other)
+    while i and j:
+        if text[i - 1] == other[j - 1]:
+            i, j = i - 1, j - 1
+            want.add(i)
+        elif best[i][j - 1] > best[i - 1][j]:
+            j -= 1
+        else:
+            i -= 1
+    kept, matching.STRIDE = matching.STRIDE, stride
+    try:
+        bits = matching.covered(matching.positions(text), len(text), other)
+    finally:
+        matching.STRIDE = kept
+    assert {i for i in range(len(text)) if bits >> i & 1} == want
+    assert matching.lcs_length(text, other) == best[-1][-1]
