@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,3 +24,13 @@ def pieces(batch: pa.RecordBatch, column: str = "text", most: int = BYTES, rows:
         end = min(max(end, at + 1), at + rows, batch.num_rows)
         yield batch.slice(at, end - at)
         at = end
+
+
+def tidy() -> None:
+    """Gives memory that earlier work of a reused Python worker has freed back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass

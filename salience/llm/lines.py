@@ -247,16 +247,17 @@ def line_report(docs: DataFrame, words: int = WORDS, num: int = 80, den: int = 1
     return own.join(removed, ["id", "hash"], "left").withColumn("removed", F.coalesce("removed", F.array().cast("array<bigint>")))
 
 
-def removed_lines(docs: DataFrame, words: int = WORDS, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def removed_lines(docs: DataFrame, words: int = WORDS, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text",
+                  short: bool = False) -> DataFrame:
     """(id, hash, removed) of the documents that lose lines, once each."""
-    report = line_report(docs, words, num, den, id_col, text_col).filter(F.size("removed") > 0)
+    report = line_report(docs, words, num, den, id_col, text_col, short).filter(F.size("removed") > 0)
     return report.select("id", "hash", "removed").dropDuplicates(["id", "hash"])
 
 
 def dedup_lines(docs: DataFrame, words: int = WORDS, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text",
-                drop_emptied: bool = False) -> DataFrame:
+                drop_emptied: bool = False, short: bool = False) -> DataFrame:
     """The documents with the text that is left; with ``drop_emptied`` those that lose all their words are left out."""
-    removed = removed_lines(docs, words, num, den, id_col, text_col).select(
+    removed = removed_lines(docs, words, num, den, id_col, text_col, short).select(
         F.col("id").alias("_lines_id"), F.col("hash").alias("_lines_hash"), F.col("removed").alias("_lines_removed"))
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID))
     text = F.col(text_col)

@@ -23,6 +23,8 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from salience.llm.batches import pieces as slices
+from salience.llm.batches import tidy
 from salience.llm.hilbert import directions, even, hilbert_keys
 from salience.llm.words import as_bytes
 from salience.session import ship
@@ -31,7 +33,7 @@ BUCKETS = 256
 DIMS = 4
 BITS = 12
 LENGTH = 4096
-#: Distinct words of a generation whose ids a worker remembers.
+#: Distinct words, and distinct parts of words, whose ids a worker remembers.
 REMEMBERED = 400_000
 
 _PROJECTION = directions(BUCKETS, DIMS, 10)
@@ -56,8 +58,8 @@ class _WordIds:
 
     The tokenizer drops white space and no token crosses it, so a text's ids are those of its words in a row. A word of
     plain letters with plain marks behind it goes straight to the tokenizer's model, letters and marks apart, if that
-    gives what the whole tokenizer gives for some probes; other words go through the whole tokenizer. Words not met for a
-    while are forgotten: the table has two generations of bounded size.
+    gives what the whole tokenizer gives for some probes; other words go through the whole tokenizer. A full table of words or
+    parts starts anew, and both are dropped when a task ends.
     """
 
     def __init__(self, path: str):
@@ -67,7 +69,6 @@ class _WordIds:
         self.model = self.tokenizer.model
         self.signs = _byte_signs()
         self.now: dict[bytes, bytes] = {}
-        self.before: dict[bytes, bytes] = {}
         self.parts: dict[str, bytes] = {}
         self.straight = all(self._straight(p) == self._whole(p) for p in _PROBES)
 
@@ -90,19 +91,18 @@ class _WordIds:
 
     def learn(self, words: set[bytes]) -> None:
         if len(self.now) > REMEMBERED:
-            self.before, self.now = self.now, {}
+            self.now = {}
         if len(self.parts) > REMEMBERED:
-            self.parts.clear()
-        now, before = self.now, self.before
+            self.parts = {}
+        now = self.now
         for word in words:
             if word not in now:
-                ids = before.get(word)
-                if ids is None:
-                    text = word.decode("utf-8", "replace")
-                    ids = self._straight(text) if self.straight else None
-                    if ids is None:
-                        ids = self._whole(text)
-                now[word] = ids
+                text = word.decode("utf-8", "replace")
+                ids = self._straight(text) if self.straight else None
+                now[word] = self._whole(text) if ids is None else ids
+
+    def forget(self) -> None:
+        self.now, self.parts = {}, {}
 
 
 def ids_of(texts: list[bytes | None], path: str, end_id: int) -> list[bytes]:
@@ -193,12 +193,12 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, length: int = LENGTH,
             return pa.RecordBatch.from_arrays([pa.array(columns[0], id_type), *[pa.array(c, pa.int64()) for c in columns[1:]]], names=names)
 
         pieces: list[tuple] = []
+        tidy()
         for batch in batches:
             id_type = batch.schema.field("doc_id").type
-            texts = batch.column("text")
-            for at in range(0, len(texts), 500):
-                ids = ids_of(as_bytes(texts.slice(at, 500)), tokenizer, end_id)
-                for doc_id, own in zip(batch.column("doc_id").slice(at, 500).to_pylist(), ids):
+            for part in slices(batch, most=1 << 21, rows=500):
+                ids = ids_of(as_bytes(part.column("text")), tokenizer, end_id)
+                for doc_id, own in zip(part.column("doc_id").to_pylist(), ids):
                     pieces.extend(cutter.add(doc_id, own))
                     if len(pieces) > 20_000:
                         yield batch_of(pieces)
@@ -206,6 +206,9 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, length: int = LENGTH,
         pieces.extend(cutter.end())
         if pieces:
             yield batch_of(pieces)
+        if tokenizer in _tokens:
+            _tokens[tokenizer].forget()
+        tidy()
 
     return along.mapInArrow(
         cut, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")

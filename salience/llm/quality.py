@@ -14,6 +14,7 @@ each of them. Columns other than the id and the text are not read.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -22,6 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from salience.llm.batches import tidy
 from salience.llm.words import as_bytes
 from salience.session import ship
 
@@ -31,7 +33,8 @@ LATENT = 64
 LABELLED = 4096
 NEAREST = 25
 BLOCK = 512
-REMEMBERED = 300_000
+#: Bytes of the words a worker remembers, with what an entry of its table takes.
+REMEMBERED, ENTRY = 32 << 20, 160
 
 _SHAPE = [(re.compile(rb"[A-Z]+"), b"X"), (re.compile(rb"(?:[a-z]|[\x80-\xff])+"), b"x"), (re.compile(rb"[0-9]+"), b"9"),
           (re.compile(rb"([^Xx9])\1+"), rb"\1\1")]
@@ -46,9 +49,16 @@ class Model(NamedTuple):
 
 
 class _Terms(dict):
-    """The two term places of a word, as one number."""
+    """The two term places of a word, as one number. ``size`` are the bytes of the words."""
+
+    size = 0
+
+    def clear(self) -> None:
+        super().clear()
+        self.size = 0
 
     def __missing__(self, word: bytes) -> int:
+        self.size += len(word) + ENTRY
         shape = word
         for pattern, sign in _SHAPE:
             shape = pattern.sub(sign, shape)
@@ -65,7 +75,7 @@ def term_vector(text: bytes | None) -> np.ndarray:
     words = (text or b"").split()
     if not words:
         return out
-    if len(_terms) > REMEMBERED:
+    if _terms.size > REMEMBERED:
         _terms.clear()
     codes = np.fromiter(map(_terms.__getitem__, words), np.int64, len(words))
     out[:WORDS] = np.sqrt(np.bincount(codes & 0xFFFF, minlength=WORDS))
@@ -111,6 +121,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                 rows = [term_vector(t) for t in as_bytes(part.column("text"))]
                 yield pa.RecordBatch.from_arrays(
                     [part.column("id"), part.column("label"), pa.array([r.tobytes() for r in rows], pa.binary())], names=["id", "label", "v"])
+        _terms.clear()
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = texts.mapInArrow(vectors, f"id {kind}, label double, v binary").orderBy(draw, "label", F.xxhash64("v")).limit(labelled).collect()
@@ -146,10 +157,13 @@ def score_of(docs: DataFrame, model: Model, text: Column) -> Column:
     shared = docs.sparkSession.sparkContext.broadcast(tuple(model))
 
     @F.arrow_udf("double")
-    def of(column: pa.Array) -> pa.Array:
+    def of(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         known = Model(*shared.value)
-        parts = [votes(known, np.array([term_vector(t) for t in as_bytes(column.slice(at, BLOCK))], np.float32).reshape(-1, TERMS))
-                 for at in range(0, len(column), BLOCK)]
-        return pa.array(np.concatenate(parts) if parts else np.zeros(0), pa.float64())
+        for column in columns:
+            parts = [votes(known, np.array([term_vector(t) for t in as_bytes(column.slice(at, BLOCK))], np.float32).reshape(-1, TERMS))
+                     for at in range(0, len(column), BLOCK)]
+            yield pa.array(np.concatenate(parts) if parts else np.zeros(0), pa.float64())
+        _terms.clear()
+        tidy()
 
     return of(text.cast("string"))

@@ -182,7 +182,7 @@ def test_count_tree_loses_nothing():
 
 # lines
 
-def line_brute(rows, hashes):
+def line_brute(rows, hashes, short=False):
     seen, out = [], collections.defaultdict(list)
     for d, h, t in sorted({(d, h, t) for (d, t, _), h in zip(rows, hashes) if t}):
         for i, content in enumerate(t.encode().lower().split(b"\n")):
@@ -192,6 +192,10 @@ def line_brute(rows, hashes):
                 if any(100 * len(s & o) >= 80 * len(s | o) for o in seen):
                     out[d, h].append(i)
                 seen.append(s)
+            elif short and w:
+                if frozenset([tuple(w)]) in seen:
+                    out[d, h].append(i)
+                seen.append(frozenset([tuple(w)]))
     return dict(out)
 
 

@@ -41,7 +41,7 @@ def test_quality_keeps_good_ones(spark, outputs):
 def test_lines_and_copies(outputs):
     rows = [(d, t, None) for d, t in texts(outputs[1])]
     hashes = {r["doc_id"]: r["h"] for r in outputs[1].select("doc_id", F.xxhash64("text").alias("h")).collect()}
-    gone = line_brute(rows, [hashes[d] for d, _, _ in rows])
+    gone = line_brute(rows, [hashes[d] for d, _, _ in rows], short=True)
     want = []
     for d, t, _ in rows:
         left = "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone.get((d, hashes[d]), []))
@@ -63,3 +63,37 @@ def test_mix_and_packing(outputs):
     total, ids = check_pieces(outputs[5].collect(), {d: t for d, t, _ in rows})
     times = collections.Counter(r["doc_id"] for r in outputs[4].collect())
     assert total == {d: len(ids[d]) * n for d, n in times.items()}
+
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+LONG = " ".join(f"w{i}" for i in range(60))
+OTHER = " ".join(f"v{i}" for i in range(60))
+ROWS = [(1, LONG, "en", "a", 1), (2, LONG, "en", "a", 1), (2, OTHER, "en", "a", 1), (3, OTHER + " more", "en", None, 1), (3, OTHER + " more", "en", None, 1),
+        (None, LONG + " end", None, "b", None), (None, "unlike any other row", None, "b", None), (None, "unlike any other row", None, "b", None),
+        (4, None, "en", "a", None), (5, "", "en", "a", 0), (6, " \n\t", "en", "a", 3), (7, "one", "en", "a", 3), (8, "one\none\ntwo words\n" + LONG, "en", "a", 9)]
+
+
+def test_copies_row_by_row(spark, tmp_path):
+    """One row of each group stays, whatever the ids; rows without words stay."""
+    spark.createDataFrame(ROWS, SCHEMA).withColumn("_extra", F.lit(1)).write.parquet(f"{tmp_path}/rows")
+    docs = spark.read.parquet(f"{tmp_path}/rows")
+    kept = corpus_pipeline.drop_copies(spark, docs, SMALL)
+    assert kept.columns == docs.columns
+    got = sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=repr)
+    want = [(1, LONG), (2, OTHER), (None, "unlike any other row"), (4, None), (5, ""), (6, " \n\t"), (7, "one")]
+    assert got == sorted(want, key=repr)
+
+
+def test_stages_on_odd_rows(spark, tmp_path):
+    """Every stage takes nulls, empty texts, repeated rows and empty tables."""
+    for name, rows in (("odd", ROWS), ("none", [])):
+        spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/{name}")
+        docs = spark.read.parquet(f"{tmp_path}/{name}")
+        for stage_name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, SMALL)
+            got = out.collect()
+            assert bool(got) == bool(rows), stage_name
+            assert stage_name == "packing" or out.columns == docs.columns
+    left = corpus_pipeline.drop_lines(spark, spark.read.parquet(f"{tmp_path}/odd"), SMALL)
+    texts_left = {r["doc_id"]: r["text"] for r in left.filter("doc_id > 3").collect()}
+    assert texts_left == {4: None, 5: "", 6: " \n\t", 7: "one", 8: "two words"}
