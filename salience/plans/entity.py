@@ -110,14 +110,73 @@ def replaced_summaries(spark, sf):
     return ops.corrected(parsed(spark, sf), "replace").select("doc_id", "summary")
 
 
-@query("repaired_summaries")
+def repair_parts(mode: str, replaces: bool) -> None:
+    """Removal as a recursion over the entities' tokens, one a step, from lists of links and relations of the rule-made tree.
+
+    Below a word are the links that follow it without a gap; above a link is the word before it.
+    """
+    new = """SELECT s.*, (u.k IS NOT NULL) AS open, arg_min(d.text, d.k) AS new FROM sume s LEFT JOIN unsup u USING (doc_id, k)
+      LEFT JOIN doce d ON d.doc_id = u.doc_id AND list_has_all(u.tokens, d.tokens) GROUP BY ALL""" if replaces else \
+        "SELECT s.*, (u.k IS NOT NULL) AS open, NULL::VARCHAR AS new FROM sume s LEFT JOIN unsup u USING (doc_id, k)"
+    part(f"ent_{mode}", f"""SELECT *, open AND new IS NULL AS loose, coalesce(sum(change) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS shift FROM (
+      SELECT x.* EXCLUDE (doc_id, tokens), x.doc_id, len(x.tokens) AS n, coalesce(length(new) - (hi - lo), 0) AS change,
+        lo - length(replace(left(f.summary, lo), ' ', '')) AS i0 FROM ({new.replace("SELECT s.*,", "SELECT s.doc_id, s.k, s.text, s.lo, s.hi, s.tokens,")}) x JOIN fine f USING (doc_id))""", "sume unsup doce fine")
+    part(f"text_{mode}", f"""SELECT f.doc_id, coalesce(r.summary, f.summary) AS summary FROM fine f LEFT JOIN (
+      SELECT doc_id, string_agg(gap || piece, '' ORDER BY k) || substr(any_value(whole), max(hi) + 1) AS summary FROM (
+        SELECT e.doc_id, e.k, e.hi, f.summary AS whole, substr(f.summary, coalesce(lag(e.hi) OVER w, 0) + 1, e.lo - coalesce(lag(e.hi) OVER w, 0)) AS gap, coalesce(e.new, e.text) AS piece
+        FROM ent_{mode} e JOIN fine f USING (doc_id) WINDOW w AS (PARTITION BY e.doc_id ORDER BY e.k)) GROUP BY doc_id) r USING (doc_id)""", f"ent_{mode} fine")
+    part(f"word_{mode}", f"""SELECT t.doc_id, t.i, t.w, t.link, t.at + coalesce((SELECT sum(change) FROM ent_{mode} e WHERE e.doc_id = t.doc_id AND e.new IS NOT NULL AND e.i0 + e.n - 1 < t.i), 0)::BIGINT AS idx, t.size,
+      CASE WHEN EXISTS (SELECT 1 FROM ent_{mode} e WHERE e.doc_id = t.doc_id AND e.new IS NOT NULL AND t.i BETWEEN e.i0 AND e.i0 + e.n - 1) THEN 'fixed' ELSE t.dep END AS dep FROM ruled t""", f"ent_{mode} ruled")
+    part(f"tree_{mode}", f"SELECT doc_id, count(*) AS n, list(dep ORDER BY i) AS deps, list(link ORDER BY i) AS links FROM word_{mode} GROUP BY doc_id", f"word_{mode}")
+    part(f"aims_{mode}", f"""SELECT doc_id, list(t ORDER BY k DESC, t) AS ts FROM (SELECT doc_id, k, unnest(range(i0, i0 + n)) AS t FROM ent_{mode} WHERE loose) GROUP BY doc_id""", f"ent_{mode}")
+    part(f"steps_{mode}", f"""SELECT doc_id, 0::BIGINT AS step, []::BIGINT[] AS gone FROM aims_{mode}
+      UNION ALL SELECT doc_id, step + 1, CASE WHEN deps[t + 1] IN ('pobj', 'prep') AND len(list_filter(range(t + 1, below), lambda j: deps[j + 1] <> 'fixed' AND NOT list_contains(own, j))) = 0
+        THEN own || range(above + 1, t) ELSE own END FROM (
+        SELECT *, gone || [t] || list_filter(CASE WHEN t = 0 THEN list_filter(range(1, n), lambda j: NOT links[j + 1] OR j = 1)
+            WHEN t + 1 < n AND links[t + 2] THEN [t + 1] ELSE [] END, lambda j: deps[j + 1] NOT IN ('compound', 'relcl', 'fixed')) AS own,
+          coalesce(list_min(list_filter(range(t + 1, n), lambda j: NOT links[j + 1])), n) AS below,
+          coalesce(list_max(list_filter(range(0, t), lambda j: deps[j + 1] NOT IN ('pobj', 'prep'))), -1) AS above
+        FROM (SELECT s.*, a.ts[step + 1] AS t, r.n, r.deps, r.links FROM steps_{mode} s JOIN aims_{mode} a USING (doc_id) JOIN tree_{mode} r USING (doc_id) WHERE step < len(a.ts)))""", f"aims_{mode} tree_{mode}")
+    part(f"gone_{mode}", f"SELECT doc_id, arg_max(gone, step) AS gone FROM steps_{mode} GROUP BY doc_id", f"steps_{mode}")
+    part(f"cut_{mode}", f"""SELECT w.*, list_contains(coalesce(g.gone, []), w.i) AS cut,
+      coalesce(sum(CASE WHEN list_contains(coalesce(g.gone, []), w.i) THEN w.size ELSE 0 END) OVER (PARTITION BY w.doc_id ORDER BY w.i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS lost
+      FROM word_{mode} w LEFT JOIN gone_{mode} g USING (doc_id)""", f"word_{mode} gone_{mode}")
+    part(f"left_{mode}", f"""SELECT t.doc_id, t.summary AS before, array_to_string(list_transform(range(0, length(t.summary)), lambda p:
+        CASE WHEN len(list_filter(coalesce(c.cuts, []), lambda x: p >= x.lo AND p < x.hi)) > 0 THEN '' ELSE t.summary[p + 1] END), '') AS summary
+      FROM text_{mode} t LEFT JOIN (SELECT doc_id, list({{'lo': idx, 'hi': idx + size}}) AS cuts FROM cut_{mode} WHERE cut GROUP BY doc_id) c USING (doc_id)""", f"text_{mode} cut_{mode}")
+    part(f"ents_{mode}", f"""SELECT e.doc_id, string_agg(coalesce(e.new, e.text) || ':' || (e.lo + e.shift - c.lost) || ':' || (e.hi + e.shift + e.change - c.lost), ',' ORDER BY e.k) AS ents
+      FROM ent_{mode} e JOIN cut_{mode} c ON c.doc_id = e.doc_id AND c.i = e.i0
+      WHERE NOT e.loose AND NOT EXISTS (SELECT 1 FROM cut_{mode} x WHERE x.doc_id = e.doc_id AND x.cut AND x.i BETWEEN e.i0 AND e.i0 + e.n - 1) GROUP BY e.doc_id""", f"ent_{mode} cut_{mode}")
+    part(f"toks_{mode}", f"SELECT doc_id, string_agg(i || ':' || (idx - lost) || ':' || dep, ',' ORDER BY i) AS tokens FROM cut_{mode} WHERE NOT cut GROUP BY doc_id", f"cut_{mode}")
+
+
+part("ruled", r"""SELECT *, CASE WHEN i = 0 THEN 'ROOT' WHEN prep THEN 'prep' WHEN link THEN 'pobj' WHEN regexp_matches(w, '^\p{Lu}') THEN 'compound' ELSE 'dobj' END AS dep FROM (
+  SELECT *, i > 0 AND (prep OR coalesce(lag(prep) OVER (PARTITION BY doc_id ORDER BY i), false)) AS link,
+    (sum(size) OVER (PARTITION BY doc_id ORDER BY i) - size)::BIGINT AS at FROM (
+    SELECT doc_id, i, w, i > 0 AND regexp_matches(w, '^\p{Ll}{1,3}$') AS prep, length(w) + (i < n - 1)::INT AS size FROM (
+      SELECT doc_id, unnest(string_split(summary, ' ')) AS w, unnest(range(len(string_split(summary, ' ')))) AS i, len(string_split(summary, ' ')) AS n FROM fine)))""", "fine")
+repair_parts("all", True)
+repair_parts("remove", False)
+REPAIRED = """SELECT doc_id, {text} AS summary, (l.summary <> l.before)::INT::BIGINT AS corrected, coalesce(e.ents, '') AS ents, coalesce(t.tokens, '') AS tokens
+  FROM left_{mode} l LEFT JOIN ents_{mode} e USING (doc_id) LEFT JOIN toks_{mode} t USING (doc_id)"""
+
+
+def shown(rows):
+    """Repaired rows with the offsets of entities and tokens that are left."""
+    ents = F.transform("summary_ents", lambda e: F.concat_ws(":", e["text"], e["start_idx"], e["end_idx"]))
+    tokens = F.transform("summary_tokens", lambda t: F.concat_ws(":", t["i"], t["idx"], t["dep"]))
+    return rows.select("doc_id", "summary", "corrected", F.array_join(ents, ",").alias("ents"), F.array_join(tokens, ",").alias("tokens"))
+
+
+@query("repaired_summaries", REPAIRED.format(mode="all", text="upper(left(l.summary, 1)) || substr(l.summary, 2)").replace("(l.summary <> l.before)", "(upper(left(l.summary, 1)) || substr(l.summary, 2) <> l.before)"),
+       "left_all ents_all toks_all", recursive=True)
 def repaired_summaries(spark, sf):
-    return ops.corrected(parsed(spark, sf), "all").select("doc_id", "summary", "corrected", F.size("summary_ents").alias("n_ents"))
+    return shown(ops.corrected(parsed(spark, sf), "all"))
 
 
-@query("reduced_summaries")
+@query("reduced_summaries", REPAIRED.format(mode="remove", text="l.summary"), "left_remove ents_remove toks_remove", recursive=True)
 def reduced_summaries(spark, sf):
-    return ops.corrected(parsed(spark, sf), "remove", lowercase=True).select("doc_id", "summary", "corrected")
+    return shown(ops.corrected(parsed(spark, sf), "remove", lowercase=True))
 
 
 DRAW = "('0x' || substr(md5({k}), 1, 8))::BIGINT"

@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from salience.functions import text as tx
 from salience.functions.verdict import p_cell
-from salience.operators import compare, corrections, evaluate, scoring, select
-from salience.plans.derive import documents, masked_sql, predictions, selections, toks_sql
-from salience.plans.registry import part, query
+from salience.operators import checks, compare, corrections, evaluate, scoring, select
+from salience.plans.derive import documents, masked_sql, predictions, selections, toks_sql, words_sql
+from salience.plans.registry import part, query, table
 from salience.session import scratch_path
 from salience.sources.reports import read_reports, write_report
 
@@ -51,6 +51,59 @@ def three_selectors(spark, sf):
     return compare.three_way(_picks3(spark, sf))
 
 
+SOURCE = lambda k: PLAIN(f"replace({masked_sql('sents', f'{k}.sid')}, '<mask>', sents[{k}.sid + 1])")
+part("sources3", f"""SELECT d.doc_id, {SOURCE("a")} AS o_a, {SOURCE("b")} AS o_b, {SOURCE("c")} AS o_c
+  FROM docs d JOIN sel_a a USING (doc_id) JOIN sel_b b USING (doc_id) JOIN sel_c c USING (doc_id)""", "docs sel_a sel_b sel_c")
+
+
+def stored_selections(spark, sf, names):
+    """Pairs of each selector as tables of their own; the first also has a pair for each page, the second one for each test."""
+    docs = documents(spark, sf)
+    picks = {"a": lambda: scoring.rouge1(docs), "b": lambda: scoring.count_pmi(docs), "c": lambda: scoring.rouge2(docs)}
+    foreign = {"a": ("pages", "page_id", 1_000_000_000, "url"), "b": ("benchmark", "item_id", 2_000_000_000, "text")}
+    out = []
+    for name in names:
+        pairs = select.masked_pairs(docs, select.best(picks[name]())).select("doc_id", "document", "summary")
+        if name in foreign:
+            source, key, first, text = foreign[name]
+            pairs = pairs.unionByName(table(spark, sf, source).select((F.lit(first) + F.col(key)).alias("doc_id"), F.lit("<mask>").alias("document"), F.col(text).alias("summary")))
+        path = scratch_path(spark, f"pairs_{name}")
+        pairs.write.parquet(path)
+        out.append(spark.read.parquet(path))
+        checks.need_columns(out[-1], ["doc_id", "document", "summary"], f"selection {name}")
+        checks.raise_on(checks.row_checks(out[-1], {"no_summary": F.col("summary").isNull(), "no_mask": ~F.contains("document", F.lit("<mask>"))}))
+    return out
+
+
+@query("compared_selections", """SELECT doc_id, CASE WHEN s_a = s_b THEN 'same' WHEN length(s_a) = length(s_b) AND left(s_a, 20) = left(s_b, 20) THEN 'almost' ELSE 'different' END AS class,
+  o_a <> o_b AS misaligned FROM picks3 JOIN sources3 USING (doc_id)""", "picks3 sources3")
+def compared_selections(spark, sf):
+    return compare.compare_two(*stored_selections(spark, sf, "ab"))
+
+
+@query("compared_three_selections", "SELECT c.*, o_a <> o_b OR o_a <> o_c AS misaligned FROM class3 c JOIN sources3 USING (doc_id)", "class3 sources3")
+def compared_three_selections(spark, sf):
+    return compare.compare_three(*stored_selections(spark, sf, "abc"))
+
+
+part("seldiff", """SELECT doc_id, 'changed' AS side FROM pred WHERE summary_a <> summary_b OR sid_a <> sid_b
+  UNION ALL SELECT 1000000000 + page_id, 'first' FROM pages UNION ALL SELECT 2000000000 + item_id, 'second' FROM benchmark""", "pred")
+
+
+@query("selection_difference", "SELECT * FROM seldiff", "seldiff")
+def selection_difference(spark, sf):
+    a, b = stored_selections(spark, sf, "ab")
+    return checks.table_difference(a, b, ["doc_id"], ["document", "summary"])
+
+
+@query("selection_checks", """SELECT 'rows:b' AS check, abs((SELECT count(*) FROM pages) - (SELECT count(*) FROM benchmark))::BIGINT AS n
+  UNION ALL SELECT 'same_pairs', count(*)::BIGINT FROM seldiff UNION ALL SELECT 'same_again', 0::BIGINT""", "seldiff")
+def selection_checks(spark, sf):
+    a, b = stored_selections(spark, sf, "ab")
+    equal = lambda x, y, name: checks.keyed_equal(x, y, ["doc_id"], ["document", "summary"], name)
+    return checks.same_size({"a": a, "b": b}).unionByName(equal(a, b, "same_pairs")).unionByName(equal(a, a.repartition(3), "same_again"))
+
+
 @query("selector_agreement", " UNION ALL ".join(
     f"SELECT '{n}' AS item, count(*) FILTER (WHERE {c}) AS n, round(100.0::DOUBLE * count(*) FILTER (WHERE {c}) / greatest(count(*), 1), 6) AS pct FROM class3"
     for n, c in [("all_same", "class = 'all_same'"), ("all_differ", "class = 'all_differ'"), ("c_differs", "class = 'c_differs'"),
@@ -208,14 +261,17 @@ def corpus_metric(spark, sf):
     return evaluate.corpus_metric(chosen.select("dataset", "metric", "doc_id", each.alias("x")).select("dataset", "metric", "doc_id", "x.*"), ["dataset"])
 
 
-@query("widened_results", """SELECT p.doc_id, p.dataset, p.checkpoint, p.summary_a, round(s.score, 6) AS f1, s.score IS NOT NULL AS guard_ok FROM pred p
-  LEFT JOIN (SELECT doc_id, score FROM score WHERE system = 'a' AND metric = 'rouge1' AND score > 0.1) s USING (doc_id)""", "pred score")
+@query("widened_results", f"""SELECT p.doc_id, p.dataset, p.checkpoint, p.summary_a, round(s.score, 6) AS f1,
+  array_to_string(({words_sql('p.reference')})[1:64], ' ') = p.reference AS guard_ok FROM pred p
+  LEFT JOIN (SELECT doc_id, score FROM score WHERE system = 'a' AND metric = 'rouge1') s USING (doc_id)""", "pred score")
 def widened_results(spark, sf):
+    """Scores stored by one run with the first 64 words of the reference, added to the results of another run."""
     p = predictions(spark, sf)
+    path = scratch_path(spark, "scores")
+    kept = evaluate.paired_scores(p, keep=[tx.first_words(F.col("reference"), 64).alias("reference")])
+    kept.filter(F.col("metric") == "rouge1").select("doc_id", tx.r6(F.col("a")).alias("f1"), "reference").write.parquet(path)
     base = p.select("doc_id", "dataset", "checkpoint", "summary_a", "reference")
-    s = evaluate.paired_scores(p).filter((F.col("metric") == "rouge1") & (F.col("a") > 0.1)).select("doc_id", tx.r6(F.col("a")).alias("f1"))
-    extra = s.join(p.select("doc_id", "reference"), "doc_id")
-    return evaluate.widen(base, extra, ["doc_id"], "reference").drop("reference")
+    return evaluate.widen(base, spark.read.parquet(path), ["doc_id"], "reference").drop("reference")
 
 
 CORR = "SELECT dataset, metric, checkpoint, direction, family_name, family_size, round(p_raw, 6) AS p_raw, round(p_holm, 6) AS p_holm, round(p_bh, 6) AS p_bh FROM "

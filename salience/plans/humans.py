@@ -23,11 +23,16 @@ part("akey", """SELECT doc_id AS item, doc_id // 50 AS grp, lang AS dataset, doc
 part("major", """SELECT item, dimension, n, CASE WHEN 2 * a > n THEN 'A' WHEN 2 * b > n THEN 'B' WHEN 2 * t > n THEN 'tie' END AS vote FROM (
   SELECT item, dimension, count(*) AS n, count(*) FILTER (WHERE vote = 'A') AS a, count(*) FILTER (WHERE vote = 'B') AS b, count(*) FILTER (WHERE vote = 'tie') AS t FROM votes GROUP BY ALL)""", "votes")
 part("hv", f"""SELECT item, dimension, {raw_sql('c')} AS raw_result FROM (
-  SELECT k.item, 'faithfulness' AS dimension, {said_sql('sa', 'sb', 1, 0)} AS c FROM (SELECT *, CASE WHEN system_a = 'a' THEN summary_a ELSE summary_b END AS sa, CASE WHEN system_a = 'a' THEN summary_b ELSE summary_a END AS sb FROM akey JOIN pred ON item = doc_id) k WHERE item % 7 <> 0
+  SELECT k.item, 'faithfulness' AS dimension, {said_sql('sa', 'sb', 1, 0)} AS c FROM (SELECT *, CASE WHEN system_a = 'a' THEN summary_a ELSE summary_b END AS sa, CASE WHEN system_a = 'a' THEN summary_b ELSE summary_a END AS sb FROM akey JOIN pred ON item = doc_id) k
   UNION ALL SELECT k.item, 'informativeness', {said_sql('sa', 'sb', 0, 2)} FROM (SELECT *, CASE WHEN system_a = 'a' THEN summary_a ELSE summary_b END AS sa, CASE WHEN system_a = 'a' THEN summary_b ELSE summary_a END AS sb FROM akey JOIN pred ON item = doc_id) k)""", "akey pred")
+# Items that were voted on but have no verdict: one for each page. Items that only the answer key has: one for each test.
+part("pagekey", """SELECT 1000000000 + page_id AS item, 0::BIGINT AS grp, 'pages' AS dataset, page_id AS row, 'a' AS system_a, 'b' AS system_b FROM pages""")
+part("testkey", """SELECT 2000000000 + item_id AS item, 0::BIGINT AS grp, 'tests' AS dataset, item_id AS row, 'a' AS system_a, 'a' AS system_b FROM benchmark""")
+part("allkey", "SELECT * FROM akey UNION ALL SELECT * FROM pagekey", "akey pagekey")
+part("allmajor", """SELECT * FROM major UNION ALL SELECT item, dimension, 3, 'A' FROM pagekey, (VALUES ('faithfulness'), ('informativeness')) d(dimension)""", "major pagekey")
 part("hj", """SELECT m.item, m.dimension, k.dataset, m.vote AS human_slot, v.raw_result AS judge_slot, CASE m.vote WHEN 'A' THEN system_a WHEN 'B' THEN system_b WHEN 'tie' THEN 'tie' END AS human,
   CASE v.raw_result WHEN 'A' THEN system_a WHEN 'B' THEN system_b ELSE CASE WHEN v.raw_result IS NOT NULL THEN 'tie' END END AS judge
-  FROM major m JOIN akey k USING (item) LEFT JOIN hv v ON v.item = m.item AND v.dimension = m.dimension""", "major akey hv")
+  FROM allmajor m JOIN allkey k USING (item) LEFT JOIN hv v ON v.item = m.item AND v.dimension = m.dimension""", "allmajor allkey hv")
 
 
 def cells(spark, sf):
@@ -60,14 +65,28 @@ def slotted(spark, sf):
 def verdicts(spark, sf):
     rows = slotted(spark, sf)
     said = lambda bonus, margin: vd.raw_result(judge.rule_completion(F.col("reference"), F.col("sa"), F.col("sb"), bonus, margin))
-    both = F.filter(F.array(
+    both = F.array(
         F.struct(F.lit("faithfulness").alias("dimension"), said(1, 0).alias("raw_result")),
-        F.struct(F.lit("informativeness").alias("dimension"), said(0, 2).alias("raw_result"))), lambda x: (x["dimension"] != "faithfulness") | (F.col("item") % 7 != 0))
+        F.struct(F.lit("informativeness").alias("dimension"), said(0, 2).alias("raw_result")))
     return rows.select("item", F.explode(both).alias("x")).select("item", "x.*")
 
 
+def foreign_key(spark, sf, name, key, first, system_b):
+    """Key rows for items that belong to another table."""
+    return table(spark, sf, name).select((F.lit(first) + F.col(key)).alias("item"), F.lit(0).cast("long").alias("grp"), F.lit(name if name == "pages" else "tests").alias("dataset"),
+                                         F.col(key).alias("row"), F.lit("a").alias("system_a"), F.lit(system_b).alias("system_b"))
+
+
+def page_key(spark, sf):
+    return foreign_key(spark, sf, "pages", "page_id", 1_000_000_000, "b")
+
+
 def compared(spark, sf):
-    return human.with_judge(human.majority(votes(spark, sf)), answer_key(spark, sf), verdicts(spark, sf))
+    """Majorities and verdicts; the items of pages were voted on but never judged."""
+    more = page_key(spark, sf).select("item", F.explode(F.array(*[F.lit(a) for a in ANNOTATORS])).alias("annotator"))
+    more = more.select("item", "annotator", F.explode(F.array(*[F.lit(d) for d in packets.DIMENSIONS])).alias("dimension"), F.lit("A").alias("vote"))
+    major = human.majority(votes(spark, sf).unionByName(more))
+    return human.with_judge(major, answer_key(spark, sf).unionByName(page_key(spark, sf)), verdicts(spark, sf))
 
 
 @query("vote_table_round_trip", "SELECT item, annotator, dimension, vote FROM votes", "votes")
@@ -101,16 +120,21 @@ def packet_round_trip(spark, sf):
     return rows.select("item", "dataset", "system_a", "system_b", F.md5("document").alias("document"), "reference", "candidate_a", "candidate_b")
 
 
-@query("packet_key_check", "SELECT item, item % 5 <> 0 AS in_packet, item % 3 <> 0 AS in_key, false AS same_system FROM akey WHERE item % 5 <> 0 OR item % 3 <> 0", "akey")
-def packet_key_check(spark, sf):
+def _packet_and_key(spark, sf):
+    """All items; those of pages are in the packet only, those of tests in the key only."""
     k = answer_key(spark, sf)
-    return packets.packet_with_key(k.filter("item % 5 <> 0"), k.filter("item % 3 <> 0"))
+    return k.unionByName(page_key(spark, sf)), k.unionByName(foreign_key(spark, sf, "benchmark", "item_id", 2_000_000_000, "a"))
+
+
+@query("packet_key_check", """SELECT item, true AS in_packet, true AS in_key, false AS same_system FROM akey UNION ALL SELECT item, true, false, false FROM pagekey
+  UNION ALL SELECT item, false, true, true FROM testkey""", "akey pagekey testkey")
+def packet_key_check(spark, sf):
+    return packets.packet_with_key(*_packet_and_key(spark, sf))
 
 
-@query("key_difference", "SELECT item, CASE WHEN item % 5 <> 0 THEN 'first' ELSE 'second' END AS side FROM akey WHERE (item % 5 <> 0) <> (item % 3 <> 0)", "akey")
+@query("key_difference", "SELECT item, 'first' AS side FROM pagekey UNION ALL SELECT item, 'second' FROM testkey", "pagekey testkey")
 def key_difference(spark, sf):
-    k = answer_key(spark, sf)
-    return human.key_difference(k.filter("item % 5 <> 0"), k.filter("item % 3 <> 0"), "item")
+    return human.key_difference(*_packet_and_key(spark, sf), "item")
 
 
 @query("majority_votes", "SELECT * FROM major", "major")
@@ -173,10 +197,15 @@ def dimension_summary(spark, sf):
     return human.dimension_summary(compared(spark, sf))
 
 
-@query("source_prompts", "SELECT item, length(document) + length(reference) + length(sa) + length(sb) AS shown FROM (SELECT k.item, p.text AS document, p.reference, p.summary_a AS sa, p.summary_b AS sb FROM akey k JOIN pred p ON item = doc_id)", "akey pred")
+PROMPT = " || ".join(f"'{x}'" if i % 2 == 0 else x for i, x in enumerate(
+    y for piece, value in zip(vd.TASK_WITH_SOURCE.split("%s"), ["criterion", "document", "reference", "sa", "sb", ""]) for y in (piece, value) if y))
+
+
+@query("source_prompts", f"""SELECT item, dimension, md5({PROMPT}) AS prompt FROM (SELECT k.item, p.text AS document, p.reference,
+    CASE WHEN system_a = 'a' THEN summary_a ELSE summary_b END AS sa, CASE WHEN system_a = 'a' THEN summary_b ELSE summary_a END AS sb FROM akey k JOIN pred p ON item = doc_id),
+  (VALUES {", ".join(f"('{k}', '{v}')" for k, v in vd.CRITERIA.items())}) c(dimension, criterion)""", "akey pred")
 def source_prompts(spark, sf):
-    s = slotted(spark, sf)
-    prompt = vd.source_prompt(F.lit("faithfulness"), F.col("text"), F.col("reference"), F.col("sa"), F.col("sb"))
-    empty = F.lit("")
-    frame = vd.source_prompt(F.lit("faithfulness"), empty, empty, empty, empty)
-    return s.select("item", (F.length(prompt) - F.length(frame)).cast("long").alias("shown"))
+    """The whole prompt of every dimension, as a digest."""
+    s = slotted(spark, sf).select("item", "text", "reference", "sa", "sb", F.explode(F.array(*[F.lit(k) for k in vd.CRITERIA])).alias("dimension"))
+    prompt = vd.source_prompt(F.col("dimension"), F.col("text"), F.col("reference"), F.col("sa"), F.col("sb"))
+    return s.select("item", "dimension", F.md5(prompt.cast("binary")).alias("prompt"))

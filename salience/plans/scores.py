@@ -138,11 +138,13 @@ def vector_salience(spark, sf):
     return vectors.salience(v, "label", "vec_id", DIMS)
 
 
-@query("others_sums", """SELECT label::BIGINT AS label, vec_id, round(sum(embedding[1]::DOUBLE) OVER (PARTITION BY label) - embedding[1]::DOUBLE, 6) AS rest FROM embeddings""")
+@query("others_sums", """SELECT label::BIGINT AS label, vec_id, i::BIGINT AS dim, round(sum(x) OVER (PARTITION BY label, i) - x, 6) AS rest FROM (
+  SELECT label, vec_id, unnest(embedding)::DOUBLE AS x, unnest(range(64)) AS i FROM embeddings)""")
 def others_sums(spark, sf):
-    e = table(spark, sf, "embeddings").select(F.col("label").cast("long").alias("label"), "vec_id", F.get("embedding", F.lit(0)).cast("double").alias("x"))
-    sums = e.groupBy("label").agg(F.sum("x").alias("s"), F.count("*").alias("_w"))
-    return even_join(e, sums, ["label"], "_w").select("label", "vec_id", tx.r6(F.col("s") - F.col("x")).alias("rest"))
+    e = table(spark, sf, "embeddings").select(F.col("label").cast("long").alias("label"), "vec_id", vectors.as_doubles("embedding").alias("v"))
+    sums = e.groupBy("label").agg(vectors.vector_sum("v", DIMS).alias("s"), F.count("*").alias("_w"))
+    rest = F.zip_with("s", "v", lambda s, x: tx.r6(s - x))
+    return even_join(e, sums, ["label"], "_w").select("label", "vec_id", F.posexplode(rest).alias("dim", "rest")).withColumn("dim", F.col("dim").cast("long"))
 
 
 @query("pooled_vectors", """SELECT id, i::BIGINT AS dim, round(m / sqrt(sum(m * m) OVER (PARTITION BY id)), 6) AS x FROM (

@@ -21,10 +21,9 @@ def split_name(doc_id):
     return F.when(d < "d", "train").when(d < "f", "validation").otherwise("test")
 
 
-@query("scan_corpus", "SELECT doc_id, text FROM documents WHERE lang = 'en'")
+@query("scan_corpus", "SELECT doc_id, lang, text FROM documents")
 def scan_corpus(spark, sf):
-    docs = src.read_corpus(spark, f"{sf}/documents.parquet", DOCUMENT)
-    return docs.filter(F.col("lang") == "en").select("doc_id", "text")
+    return src.read_corpus(spark, f"{sf}/documents.parquet", DOCUMENT).select("doc_id", "lang", "text")
 
 
 @query("scan_dataset", "SELECT source, count(*) AS n, sum(n_chars)::BIGINT AS chars FROM documents GROUP BY source")
