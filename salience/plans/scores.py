@@ -33,7 +33,11 @@ def count_pmi_scores(spark, sf):
     return scoring.count_pmi(documents(spark, sf))
 
 
-@query("rougeL_scores")
+@query("rougeL_scores", """SELECT s.doc_id, s.sid, coalesce(l.lcs, 0)::BIGINT AS lcs, CASE WHEN coalesce(n_doc, 0) > 0 THEN round(2.0::DOUBLE * coalesce(l.lcs, 0) / n_doc, 6) ELSE 0.0::DOUBLE END AS score
+  FROM sent s LEFT JOIN nd USING (doc_id) LEFT JOIN (
+    SELECT doc_id, sid, len(list_reduce(list_prepend([]::BIGINT[], places), lambda a, x:
+      a[1:len(list_filter(a, lambda t: t < x[1]))] || x || a[len(list_filter(a, lambda t: t < x[1])) + 2:])) AS lcs FROM (
+      SELECT x.doc_id, x.sid, list([x.p::BIGINT] ORDER BY y.g, x.p DESC) AS places FROM seq x JOIN seq y ON y.doc_id = x.doc_id AND y.w = x.w AND y.sid <> x.sid GROUP BY ALL)) l USING (doc_id, sid)""", "sent nd seq")
 def rouge_l_scores(spark, sf):
     return scoring.rouge_l(documents(spark, sf))
 

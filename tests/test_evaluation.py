@@ -250,7 +250,7 @@ def test_checks(spark):
     with pytest.raises(checks.DataError):
         checks.raise_on(v)
     other = spark.createDataFrame([(1, "b"), (3, "c")], "k LONG, t STRING")
-    assert checks.keyed_equal(df, other, ["k"], "t", "same").first()["n"] == 3
+    assert checks.keyed_equal(df, other, ["k"], ["t"], "same").first()["n"] == 3
     assert checks.same_size({"a": df, "b": other.limit(1)}).first()["n"] == 1
     assert checks.chosen(["1", "2M", "1M"], ["1M", "2M"], {"1": "1M"}) == ["1M", "2M"]
     with pytest.raises(checks.DataError):
@@ -339,3 +339,55 @@ def test_resume_takes_only_a_missing_folder_as_empty(spark, tmp_path):
     (tmp_path / "odd").mkdir()
     with pytest.raises(Exception):
         results_so_far(spark, f"bad://{tmp_path}/odd", "a LONG").count()
+
+
+def test_line_union_query_against_tables(spark, small):
+    """The registered query on all documents, against walks through whole tables of subsequence lengths."""
+    import collections
+    import re
+
+    from salience.plans.derive import predictions
+    from salience.plans.evaluation import line_union_scores
+
+    def places(ref, cand):
+        best = [[0] * (len(cand) + 1) for _ in range(len(ref) + 1)]
+        for i, x in enumerate(ref):
+            for j, y in enumerate(cand):
+                best[i + 1][j + 1] = best[i][j] + 1 if x == y else max(best[i][j + 1], best[i + 1][j])
+        out, i, j = set(), len(ref), len(cand)
+        while i and j:
+            if ref[i - 1] == cand[j - 1]:
+                i, j = i - 1, j - 1
+                out.add(i)
+            elif best[i][j - 1] > best[i - 1][j]:
+                j -= 1
+            else:
+                i -= 1
+        return out
+
+    toks = lambda t: re.findall("[a-z0-9]+", t.lower())
+    want = {}
+    for r in predictions(spark, small, with_text=True).collect():
+        ref, cand = [toks(s) for s in r["sents"]], [toks(r["summary_a"]), toks(r["summary_b"])]
+        found, left = collections.Counter(), collections.Counter(w for line in cand for w in line)
+        for line in ref:
+            found.update(line[i] for i in set().union(*[places(line, c) if set(line) & set(c) else set() for c in cand]))
+        n = sum(map(len, ref)) + sum(map(len, cand))
+        want[r["doc_id"]] = round(2 * sum(min(k, left[w]) for w, k in found.items()) / n, 6) if n else 0.0
+    got = {r["doc_id"]: r["score"] for r in line_union_scores(spark, small).collect()}
+    assert got.keys() == want.keys()
+    assert all(abs(got[d] - want[d]) < 2e-6 for d in want)
+
+
+def test_difference_of_stored_tables(spark):
+    """Only buckets that differ are opened; nulls equal nulls, and the order of rows does not matter."""
+    a = spark.createDataFrame([(i, f"t{i}" if i % 7 else None, i * 2) for i in range(500)] + [(None, "n", 1)], "k long, t string, v long")
+    b = a.filter("k IS NULL OR k <> 3").withColumn("t", F.when(F.col("k").isin(5, 14), "x").otherwise(F.col("t"))).unionByName(
+        spark.createDataFrame([(900, None, 1)], "k long, t string, v long")).repartition(5)
+    want = {(3, "first"), (5, "changed"), (14, "changed"), (900, "second")}
+    for buckets in (1, 16, 4096):
+        assert {tuple(r) for r in checks.table_difference(a, b, ["k"], ["t", "v"], buckets).collect()} == want
+        assert checks.table_difference(a, a.repartition(3), ["k"], ["t", "v"], buckets).count() == 0
+    assert checks.table_difference(a, a.limit(0), ["k"], ["t"]).filter("side = 'first'").count() == 501
+    with pytest.raises(checks.DataError):
+        checks.raise_on(checks.keyed_equal(a, b, ["k"], ["t", "v"], "same"))
