@@ -5,9 +5,10 @@ Inside a source the documents stand in order of size, their expected copies are
 added, and a document is taken once for each whole number that its stretch of the running sum crosses. Since neighbours
 in that order are of like size, the words taken stay within about one document of the target.
 
-No task sees a whole source: counts per (source, size, slice) give every slice its first rank. A (source, size) with over
-``SLICE`` rows and over 1/``MOST`` of all rows is cut into slices of at most about that share, so no slice is hot; at most
-``MOST`` such keys exist, which bounds what is broadcast.
+The order is by size and then id at any scale, but no task sees a whole source: counts per (source, size, slice) give every
+slice its first rank. A (source, size) with over ``SLICE`` rows and over 1/``MOST`` of all rows is cut at approximate quantiles of
+the id into ``CUTS`` + 1 slices, which stand in the order of the ids, so no slice is hot and ranks are the same wherever the
+cuts fall. At most ``MOST`` such keys exist, which bounds what is broadcast.
 
 Null text has size 0; a null source is a source of its own and the last in order. In a source without words every
 document is taken once, which adds nothing. Equal rows are interchangeable. An empty table gives an empty result.
@@ -19,10 +20,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from salience.llm.graph import stored
+
 WEIGHTS = (5, 2, 1)
 CAP = 3
 SLICE = 50_000
-MOST = 4096
+MOST = 1024
+CUTS = 255
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -73,15 +77,20 @@ def mix(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, see
     """
     key = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))
     keyed = rows.withColumn("_mix_key", key)
-    counts = keyed.groupBy("_mix_key", "source", "size").agg(F.count("*").alias("n"))
+    counts = stored(keyed.groupBy("_mix_key", "source", "size").agg(F.count("*").alias("n")), "counts")
     plan = targets(counts.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("source_size")), weights, cap).select(
         key.alias("_mix_key"), "source_size", "target", "copies", offset(F.col("source"), seed).alias("_mix_offset"))
     total = counts.select(F.sum("n")).scalar()
-    hot = counts.filter((F.col("n") > SLICE) & (F.col("n") * MOST > total)).select(
-        "_mix_key", "size", F.ceil(F.col("n") * MOST / total).cast("int").alias("_mix_slices"))
-    number = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.col("_mix_slices")).cast("int")
-    dealt = keyed.join(F.broadcast(hot), ["_mix_key", "size"], "left").withColumn(
-        "_mix_slice", F.coalesce(number, F.lit(0))).drop("_mix_slices")
+    hot = counts.filter((F.col("n") > SLICE) & (F.col("n") * MOST > total)).select("_mix_key", "size")
+    if hot.isEmpty():
+        dealt = keyed.withColumn("_mix_slice", F.lit(0))
+    else:
+        shares = [i / (CUTS + 1) for i in range(1, CUTS + 1)]
+        cuts = keyed.select("_mix_key", "size", "doc_id").join(F.broadcast(hot), ["_mix_key", "size"], "left_semi").groupBy("_mix_key", "size").agg(
+            F.percentile_approx("doc_id", shares, 10 * (CUTS + 1)).alias("_mix_cuts"))
+        below = F.size(F.filter("_mix_cuts", lambda c: c < F.col("doc_id")))
+        dealt = keyed.join(F.broadcast(stored(cuts, "cuts")), ["_mix_key", "size"], "left").withColumn(
+            "_mix_slice", F.when(F.col("_mix_cuts").isNull() | F.col("doc_id").isNull(), 0).otherwise(below)).drop("_mix_cuts")
     at = ["_mix_key", "size", "_mix_slice"]
     before = W.partitionBy("_mix_key").orderBy("size", "_mix_slice").rowsBetween(W.unboundedPreceding, -1)
     firsts = dealt.groupBy(*at).agg(F.count("*").alias("n")).withColumn("_mix_before", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")

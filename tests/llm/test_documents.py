@@ -349,6 +349,11 @@ def test_mixing(spark, copies, monkeypatch, most, cut):
     for s, n in taken.items():
         largest = max(len((t or "").split()) for _, t, x in rows if x == s)
         assert abs(n - target[s]) <= 2 * largest + 1
+    # the same documents are taken however the groups are cut
+    monkeypatch.setattr(mixing, "SLICE", 1 << 40)
+    uncut = mixing.mix(mixing.sized(docs)).collect()
+    assert sorted(map(repr, uncut)) == sorted(map(repr, got))
+    monkeypatch.setattr(mixing, "SLICE", cut)
     whole = mixing.mixed_documents(docs)
     assert whole.columns == docs.columns and whole.count() == sum(r["times"] for r in got)
     assert mixing.mix(mixing.sized(table(spark, []))).count() == 0
