@@ -33,6 +33,8 @@ BUCKETS = 256
 DIMS = 4
 BITS = 12
 LENGTH = 4096
+#: Texts worked on at once.
+ROWS = 500
 #: Distinct words, and distinct parts of words, whose ids a worker remembers.
 REMEMBERED = 400_000
 
@@ -130,8 +132,11 @@ def curve_keys(texts: list[bytes | None]) -> np.ndarray:
 
 def curve_key(text: Column) -> Column:
     @F.arrow_udf("long")
-    def key(column: pa.Array) -> pa.Array:
-        return pa.array(curve_keys(as_bytes(column)), pa.int64())
+    def key(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        tidy()
+        for column in columns:
+            parts = [curve_keys(as_bytes(column.slice(at, ROWS))) for at in range(0, len(column), ROWS)]
+            yield pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64), pa.int64())
 
     return key(text)
 
@@ -196,7 +201,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, length: int = LENGTH,
         tidy()
         for batch in batches:
             id_type = batch.schema.field("doc_id").type
-            for part in slices(batch, most=1 << 21, rows=500):
+            for part in slices(batch, most=1 << 21, rows=ROWS):
                 ids = ids_of(as_bytes(part.column("text")), tokenizer, end_id)
                 for doc_id, own in zip(part.column("doc_id").to_pylist(), ids):
                     pieces.extend(cutter.add(doc_id, own))
