@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from salience.functions import entities as en
 from salience.functions import text as tx
-from salience.operators.scale import rank_by_digest, settled
+from salience.operators.scale import even_join, rank_by_digest, settled, written
 from salience.schemas import ENTITIES, TOKENS
 
 MODES = ("all", "replace", "remove")
@@ -209,16 +209,60 @@ def intrinsic_negatives(rows: DataFrame, n: int = 1) -> DataFrame:
     return _written(rows, F.transform("chosen", word))
 
 
+def _pieces(word: Column, lengths: Column) -> Column:
+    """The distinct parts of a word that have one of these lengths."""
+    of = lambda n: F.when(n <= F.length(word), F.transform(
+        F.sequence(F.lit(1), F.length(word) - n + 1), lambda at: F.substr(word, at, n))).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.flatten(F.transform(lengths, of)))
+
+
+def replaceable(entities: DataFrame, words: DataFrame, sizes: DataFrame) -> DataFrame:
+    """The kinds of entities (``category, tokens``) for which the pool has a word that contains none of the tokens.
+
+    Words are indexed by those of their parts that are tokens; so a token's words are counted by one join on equality. A
+    kind fits if its tokens' counts add up to less than the pool. Only kinds of several tokens whose counts add up to
+    more have their words gathered without repeats.
+    """
+    kinds = written(entities.select("category", F.array_sort(F.array_distinct("tokens")).alias("tokens")).distinct(), "kinds")
+    tokens = kinds.select("category", F.explode("tokens").alias("token")).distinct()
+    lengths = tokens.select(F.collect_set(F.length("token"))).scalar()
+    pieces = settled(words.withColumn("lengths", lengths)).select("category", "word", F.explode(_pieces(F.col("word"), F.col("lengths"))).alias("token"))
+    index = pieces.join(tokens, ["category", "token"])
+    index = written(index, "index")
+    counts = index.groupBy("category", "token").agg(F.count("*").alias("n"))
+    each = kinds.select("category", "tokens", F.explode("tokens").alias("token"))
+    sums = each.join(counts, ["category", "token"], "left").groupBy("category", "tokens").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+    sums = written(sums.join(F.broadcast(sizes.withColumnRenamed("n", "size")), "category"), "sums")
+    crowded = sums.filter((F.col("n") >= F.col("size")) & (F.size("tokens") > 1)).select("category", "tokens", "size")
+    rest = crowded.select("*", F.explode("tokens").alias("token")).join(index, ["category", "token"]).groupBy("category", "tokens", "size").agg(
+        F.countDistinct("word").alias("n")).filter("n < size")
+    return sums.filter("n < size").select("category", "tokens").unionByName(rest.select("category", "tokens"))
+
+
+def with_eligible(rows: DataFrame, words: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Adds ``eligible``: factual entities that some pool word could replace."""
+    facts = rows.select("doc_id", F.posexplode("factual").alias("k", "e")).select(
+        "doc_id", "k", en.category(F.col("e.ent_type")).alias("category"), F.array_sort(F.array_distinct("e.tokens")).alias("tokens"))
+    facts = written(facts, "facts")
+    fit = replaceable(facts, words, sizes)
+    weights = facts.groupBy("category", "tokens").agg(F.count("*").alias("_w"))
+    good = even_join(facts, written(fit.join(weights, ["category", "tokens"]), "fit"), ["category", "tokens"], "_w")
+    good = good.groupBy("doc_id").agg(F.collect_set("k").alias("_good"))
+    return rows.join(good, "doc_id").withColumn("eligible", F.filter("factual", lambda e, i: F.array_contains("_good", i))).drop("_good")
+
+
 def extrinsic_negatives(rows: DataFrame, n: int = 1, pool: DataFrame | None = None) -> DataFrame:
     """Negatives whose new word comes from the corpus and shares nothing with the document's entities.
 
-    An entity may be chosen when its category has words and some category name holds none of its tokens. Draws from
+    An entity may be chosen when some word of its category's pool contains none of its tokens, the rule that intrinsic
+    negatives use too. Entities are written once, without the documents. Draws from
     small pools read a word list of bounded size. Draws from large pools are joined on (category, rank): each rank of
     a pool of over 1000 words gets under a thousandth of its draws, so no key is hot. Only the draws travel; the
     document's word lists stay where they are.
     """
-    words = dictionary(rows) if pool is None else pool
-    sizes = words.groupBy("category").agg(F.count("*").alias("n"))
+    rows = written(rows.select("doc_id", "summary", "summary_ents", "document_ents"), "entities")
+    words = written(dictionary(rows) if pool is None else pool, "pool")
+    sizes = written(words.groupBy("category").agg(F.count("*").alias("n")), "sizes")
     size_map = sizes.select(F.map_from_entries(F.collect_list(F.struct("category", "n")))).scalar()
     small = words.join(F.broadcast(sizes.filter(F.col("n") <= SMALL_POOL).select("category")), "category", "left_semi").groupBy("category").agg(
         F.transform(F.array_sort(F.collect_list(F.struct(F.md5("word").alias("h"), "word"))), lambda x: x["word"]).alias("w"))
@@ -226,9 +270,7 @@ def extrinsic_negatives(rows: DataFrame, n: int = 1, pool: DataFrame | None = No
     large = words.join(F.broadcast(sizes.filter(F.col("n") > SMALL_POOL).select("category")), "category", "left_semi")
     ranked = rank_by_digest(large.withColumn("h", F.md5("word")), ["category"], "h", "idx", ["word"]).select("category", "idx", "word")
 
-    rows = settled(factual(rows).withColumn("sizes", size_map))
-    named = lambda e: F.exists(F.map_keys("sizes"), lambda k: _differs(k, e))
-    rows = rows.withColumn("eligible", F.filter("factual", lambda e: F.map_contains_key("sizes", en.category(e["ent_type"])) & named(e)))
+    rows = settled(with_eligible(written(factual(rows), "factual"), words, sizes).withColumn("sizes", size_map))
     rows = _choices(rows, n).withColumn("avoid", F.array_distinct(F.flatten(F.transform("document_ents", lambda d: d["tokens"]))))
     tries = F.sequence(F.lit(0), F.lit(TRIES - 1))
     draws = F.flatten(F.transform("chosen", lambda e, r: F.transform(tries, lambda t: F.struct(

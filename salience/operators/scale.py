@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from salience.functions.text import hex_number
+from salience.session import scratch_path
 
 BUCKET_DIGITS = 3
 BUCKETS = 16 ** BUCKET_DIGITS
@@ -22,6 +23,13 @@ def settled(df: DataFrame) -> DataFrame:
     return df.select(F.explode_outer(F.array(F.struct(*df.columns))).alias("_row")).select("_row.*")
 
 
+def written(df: DataFrame, label: str) -> DataFrame:
+    """The rows as a table in the session's scratch folder, for what several steps read: computed once, safe against lost executors."""
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def heavy_keys(per_key: DataFrame, weight: str, most: int) -> Column:
     """True for keys that hold more than ``1/most`` of the summed weight.
 

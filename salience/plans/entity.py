@@ -210,7 +210,7 @@ def intrinsic_negatives(spark, sf):
 part("epool", "SELECT category, w, row_number() OVER (PARTITION BY category ORDER BY md5(w), w) - 1 AS idx FROM (SELECT DISTINCT category, unnest(tokens) AS w FROM docc)", "docc")
 part("esize", "SELECT category, count(*) AS n FROM epool GROUP BY category", "epool")
 part("avoid", "SELECT doc_id, list(DISTINCT w) AS avoid FROM (SELECT doc_id, unnest(tokens) AS w FROM doce) GROUP BY doc_id", "doce")
-part("eelig", f"""SELECT f.doc_id, list(f ORDER BY f.k) AS es FROM fact f JOIN esize s USING (category) WHERE EXISTS (SELECT 1 FROM esize z WHERE {no_token('f.tokens', 'z.category')}) GROUP BY f.doc_id""", "fact esize")
+part("eelig", f"""SELECT f.doc_id, list(f ORDER BY f.k) AS es FROM fact f WHERE EXISTS (SELECT 1 FROM epool z WHERE z.category = f.category AND {no_token('f.tokens', 'z.w')}) GROUP BY f.doc_id""", "fact epool")
 part("eword", f"""SELECT doc_id, r, e, arg_min(w, t) FILTER (WHERE {no_token('e.tokens', 'w')} AND len(list_filter(avoid, lambda a: contains(w, a) OR contains(a, w))) = 0) AS word FROM (
   SELECT c.doc_id, c.r, c.e, t, q.w, a.avoid FROM (SELECT doc_id, r, es[1 + {draw("'ent:' || doc_id || ':' || r")} % len(es)] AS e FROM eelig, range(2) z(r)) c
   CROSS JOIN range(10) y(t) JOIN esize s ON s.category = c.e.category JOIN epool q ON q.category = s.category AND q.idx = {draw("'word:' || c.doc_id || ':' || r || ':' || t")} % s.n

@@ -124,3 +124,14 @@ def test_extrinsic_negatives(spark, monkeypatch, small):
 def test_categories(spark):
     got = spark.createDataFrame([("MONEY",), ("TIME",), ("LAW",), ("ORG",)], "t STRING").select(en.category(F.col("t")).alias("c")).collect()
     assert [r["c"] for r in got] == ["number", "date", "entity", "entity"]
+
+
+def test_replaceable_kinds(spark):
+    """Kinds that some pool word could replace, against a scan of the pool for each."""
+    pool = {"entity": ["Paris", "Parish", "Mars", "a", "Arsenal", "marsh"], "date": ["2001", "1999"]}
+    kinds = [("entity", ["a"]), ("entity", ["Par", "ars"]), ("entity", ["a", "A", "M"]), ("entity", ["Rome"]), ("entity", ["Rome", "Rome"]), ("date", ["9", "2"]),
+             ("date", ["0", "1"]), ("date", ["2001"]), ("number", ["1"]), ("entity", ["a", "rs"]), ("entity", ["s", "P"])]
+    words = spark.createDataFrame([(c, w) for c, ws in pool.items() for w in ws], "category string, word string")
+    sizes = words.groupBy("category").count().withColumnRenamed("count", "n")
+    got = {(r["category"], tuple(r["tokens"])) for r in ops.replaceable(spark.createDataFrame(kinds, "category string, tokens array<string>"), words, sizes).collect()}
+    assert got == {(c, tuple(sorted(set(t)))) for c, t in kinds if any(all(x not in w for x in t) for w in pool.get(c, []))}
