@@ -9,7 +9,8 @@ from __future__ import annotations
 import re
 from functools import lru_cache
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -110,6 +111,21 @@ def stem(word: str) -> str:
     return word
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def stemmed(toks: pd.Series) -> pd.Series:
-    return pd.Series([[stem(t) for t in row] for row in toks])
+def stems_of(tokens: pa.Array) -> pa.Array:
+    """Tokens, or lists of tokens of any depth, as stems; the distinct tokens of the batch are stemmed once each."""
+    if pa.types.is_list(tokens.type):
+        sizes = tokens.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        ends = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+        return pa.ListArray.from_arrays(ends, stems_of(tokens.flatten()), mask=tokens.is_null() if tokens.null_count else None)
+    coded = tokens.dictionary_encode()
+    return pa.array([stem(w) for w in coded.dictionary.to_pylist()], pa.string()).take(coded.indices)
+
+
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def stemmed(tokens: pa.Array) -> pa.Array:
+    return stems_of(tokens)
+
+
+@F.arrow_udf(T.ArrayType(T.ArrayType(T.StringType())))
+def stemmed_lines(lines: pa.Array) -> pa.Array:
+    return stems_of(lines)

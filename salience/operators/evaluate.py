@@ -13,13 +13,15 @@ from pyspark.sql import Window as W
 
 from salience.functions import text as tx
 from salience.functions.matching import lcs, line_hits
-from salience.functions.stemming import stemmed
+from salience.functions.stemming import stemmed, stemmed_lines
 from salience.functions.tdist import t_p_value
 from salience.operators.scale import settled
 
 ALPHA = 0.05
 DOMINANT = 4
 OVERLAP_METRICS = ["rouge1", "rouge2", "precision1", "recall1", "precision2", "recall2"]
+SUMMARY_METRICS = [*OVERLAP_METRICS, "rougeL", "rougeLsum"]
+HEADLINE_METRICS = ["rouge1", "rouge2", "rougeL", "rougeLsum"]
 GRID = ["dataset", "checkpoint", "metric"]
 
 # Poisson(1) weights by 16-bit draw; a draw below the k-th bound has weight k.
@@ -77,6 +79,29 @@ def subsequence_scores(preds: DataFrame, use_stems: bool = True) -> DataFrame:
     return rows.select("doc_id", "dataset", "checkpoint", F.lit("rougeL").alias("metric"), f("a").alias("a"), f("b").alias("b"))
 
 
+def summary_scores(preds: DataFrame, use_stems: bool = True, keep: list[Column] | None = None) -> DataFrame:
+    """``doc_id, dataset, checkpoint, metric, a, b`` for all of SUMMARY_METRICS, computed in the row of the pair.
+
+    rougeL takes a text as one token list; rougeLsum takes it sentence by sentence and unites, for each sentence of the
+    reference, its common subsequences with all sentences of the summary. The tokens of a batch are stemmed once.
+    """
+    lines = lambda c: F.transform(tx.sentences(F.coalesce(F.col(c), F.lit(""))), tx.tokens)
+    of = lambda c: stemmed_lines(lines(c)) if use_stems else lines(c)
+    rows = preds.select("doc_id", "dataset", "checkpoint", *(keep or []), of("reference").alias("r"), of("summary_a").alias("a"), of("summary_b").alias("b"))
+    names = rows.columns[:-3]
+    flat = settled(rows).select(*names, "r", "a", "b", *[F.flatten(c).alias(f"t{c}") for c in "rab"])
+    flat = settled(flat.select(*names, "tr", "ta", "tb", *[lcs(f"t{c}", "tr").alias(f"l{c}") for c in "ab"], *[line_hits("r", c).alias(f"u{c}") for c in "ab"]))
+
+    def scores(c: str) -> Column:
+        cand, ref = F.col(f"t{c}"), F.col("tr")
+        f1 = lambda hits: _share(F.lit(2.0) * F.col(hits), F.size(cand) + F.size(ref))
+        return F.struct(*overlap_scores(cand, ref, 1), *overlap_scores(cand, ref, 2), f1(f"l{c}").alias("rougeL"), f1(f"u{c}").alias("rougeLsum")).alias(c)
+
+    scored = settled(flat.select(*names, scores("a"), scores("b")))
+    each = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(f"a.{m}").alias("a"), F.col(f"b.{m}").alias("b")) for m in SUMMARY_METRICS]))
+    return scored.select(*names, each.alias("x")).select(*names, "x.*")
+
+
 def line_union_score(cand_text: Column, ref_text: Column) -> Column:
     """F1 of the union of line-wise common subsequences of two texts with one sentence per line."""
     lines = lambda t: F.transform(F.split(t, "\n"), tx.tokens)

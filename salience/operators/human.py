@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from salience.functions.moments import kappa, tau_b
@@ -13,6 +14,9 @@ from salience.functions.verdict import winner_by_key
 VOTE_LEVELS = ["A", "B", "tie"]
 WINNER_LEVELS = ["b", "tie", "a"]
 
+#: Votes of an item that stand in one row.
+BLOCK = 64
+
 
 def majority(votes: DataFrame) -> DataFrame:
     """The vote more than half of an item's annotators gave, else NULL. Only counts are kept, never lists of votes."""
@@ -60,19 +64,27 @@ def slot_rates(rows: DataFrame) -> DataFrame:
     return both.groupBy("dimension").agg(F.count("*").alias("n"), rate("human_slot").alias("human_a"), rate("judge_slot").alias("judge_a"))
 
 
-def annotator_pairs(votes: DataFrame) -> DataFrame:
+def annotator_pairs(votes: DataFrame, block: int = BLOCK) -> DataFrame:
     """``dimension, first, second, x, y, n``: how often two annotators gave which votes to the same item.
 
-    An item's ballot is one vote per panel member, so its length is the size of the panel, not of the data. Equal ballots are counted first and pairs are formed once per
-    distinct ballot, so the work grows with the number of different ballots rather than with the items.
+    An item's votes, in the order of the annotators, are cut into blocks, and each two blocks of an item meet in a row of
+    their own, so a row stays small however many annotators an item has. Equal pairs of blocks are counted before their
+    votes are paired; small panels are one block, so the work grows with the number of different ballots rather than with
+    the items.
     """
-    ballots = votes.groupBy("item", "dimension").agg(F.array_sort(F.collect_list(F.struct("annotator", "vote"))).alias("ballot"))
-    kinds = ballots.groupBy("dimension", "ballot").agg(F.count("*").alias("n"))
-    pairs = F.flatten(F.transform("ballot", lambda p, i: F.transform(
-        F.slice(F.col("ballot"), i + 2, F.size("ballot")), lambda q: F.struct(
-            p["annotator"].alias("first"), q["annotator"].alias("second"), p["vote"].alias("x"), q["vote"].alias("y")))))
-    return kinds.filter(F.size("ballot") > 1).select("dimension", "n", F.explode(pairs).alias("p")).groupBy(
-        "dimension", "p.first", "p.second", "p.x", "p.y").agg(F.sum("n").alias("n"))
+    place = F.row_number().over(W.partitionBy("item", "dimension").orderBy("annotator", "vote"))
+    placed = votes.select("item", "dimension", "annotator", "vote", F.floor((place - 1) / block).alias("block"))
+    blocks = placed.groupBy("item", "dimension", "block").agg(F.array_sort(F.collect_list(F.struct("annotator", "vote"))).alias("ballot"))
+    p, q = blocks.alias("p"), blocks.alias("q")
+    same = lambda c: F.col(f"p.{c}").eqNullSafe(F.col(f"q.{c}"))
+    met = p.join(q, same("item") & same("dimension") & (F.col("p.block") <= F.col("q.block"))).select(
+        "p.dimension", F.col("p.ballot").alias("p"), F.col("q.ballot").alias("q"), (F.col("p.block") == F.col("q.block")).alias("own"))
+    kinds = met.filter(~F.col("own") | (F.size("p") > 1)).groupBy("dimension", "p", "q", "own").agg(F.count("*").alias("n"))
+    pairs = F.flatten(F.transform("p", lambda a, i: F.transform(
+        F.slice("q", F.when(F.col("own"), i + 2).otherwise(1), F.size("q")), lambda b: F.struct(
+            a["annotator"].alias("first"), b["annotator"].alias("second"), a["vote"].alias("x"), b["vote"].alias("y")))))
+    return kinds.select("dimension", "n", F.explode(pairs).alias("v")).groupBy(
+        "dimension", "v.first", "v.second", "v.x", "v.y").agg(F.sum("n").alias("n"))
 
 
 def panel_agreement(votes: DataFrame) -> DataFrame:

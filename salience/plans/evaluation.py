@@ -9,6 +9,7 @@ from salience.functions.verdict import p_cell
 from salience.operators import checks, compare, corrections, evaluate, scoring, select
 from salience.plans.derive import documents, masked_sql, predictions, selections, toks_sql, words_sql
 from salience.plans.registry import part, query, table
+from salience.plans.stems import stems_sql
 from salience.session import scratch_path
 from salience.sources.reports import read_reports, write_report
 
@@ -153,6 +154,30 @@ part("score", """SELECT p.doc_id, dataset, checkpoint, p.system, m.metric, m.sco
   UNION ALL SELECT doc_id, system, 'recall' || n, CASE WHEN nr > 0 THEN hits::DOUBLE / nr ELSE 0.0::DOUBLE END FROM prf) m USING (doc_id, system)""", "sysp prf")
 part("pair", """SELECT doc_id, dataset, checkpoint, metric, max(score) FILTER (WHERE system = 'a') AS a, max(score) FILTER (WHERE system = 'b') AS b
   FROM score GROUP BY doc_id, dataset, checkpoint, metric""", "score")
+part("stems", stems_sql("SELECT DISTINCT unnest(t) AS w FROM tl"), "tl")
+part("stp", """SELECT doc_id, system, side, p, st FROM (SELECT doc_id, system, side, unnest(t) AS w, unnest(range(len(t))) AS p FROM tl) JOIN stems USING (w)""", "tl stems")
+part("stbag", """SELECT doc_id, system, side, 1 AS n, st AS g FROM stp UNION ALL SELECT doc_id, system, side, 2, st || ' ' || nx FROM (
+  SELECT *, lead(st) OVER (PARTITION BY doc_id, system, side ORDER BY p) AS nx FROM stp) WHERE nx IS NOT NULL""", "stp")
+part("sthits", """SELECT x.doc_id, x.system, 'n' || x.n AS kind, sum(least(x.c, y.c))::BIGINT AS hits FROM
+  (SELECT doc_id, system, n, g, count(*) AS c FROM stbag WHERE side = 'cand' GROUP BY ALL) x JOIN
+  (SELECT doc_id, system, n, g, count(*) AS c FROM stbag WHERE side = 'ref' GROUP BY ALL) y USING (doc_id, system, n, g) GROUP BY ALL
+  UNION ALL SELECT doc_id, system, 'L', len(list_reduce(list_prepend([]::BIGINT[], places), lambda a, x:
+    a[1:len(list_filter(a, lambda t: t < x[1]))] || x || a[len(list_filter(a, lambda t: t < x[1])) + 2:])) FROM (
+    SELECT x.doc_id, x.system, list([x.p::BIGINT] ORDER BY y.p, x.p DESC) AS places FROM stp x ANTI JOIN stsame USING (doc_id, system) JOIN stp y
+    ON y.doc_id = x.doc_id AND y.system = x.system AND y.st = x.st AND x.side = 'cand' AND y.side = 'ref' GROUP BY ALL)
+  UNION ALL SELECT doc_id, system, 'L', n FROM stsame""", "stbag stp stsame")
+# a text is its own longest common subsequence
+part("stsame", """SELECT x.doc_id, x.system, len(x.t) AS n FROM tl x JOIN tl y USING (doc_id, system, t) WHERE x.side = 'cand' AND y.side = 'ref'""", "tl")
+# summary and reference are one sentence each, so the union over sentences is one common subsequence
+part("stscore", """SELECT p.doc_id, dataset, checkpoint, p.system, m.metric, CASE m.over WHEN 'f' THEN
+    CASE WHEN nc + nr > 0 THEN 2.0::DOUBLE * coalesce(hits, 0) / (nc + nr) ELSE 0.0::DOUBLE END
+    WHEN 'p' THEN CASE WHEN nc > 0 THEN coalesce(hits, 0)::DOUBLE / nc ELSE 0.0::DOUBLE END
+    ELSE CASE WHEN nr > 0 THEN coalesce(hits, 0)::DOUBLE / nr ELSE 0.0::DOUBLE END END AS score
+  FROM sysp p CROSS JOIN (VALUES ('rouge1', 1, 'n1', 'f'), ('precision1', 1, 'n1', 'p'), ('recall1', 1, 'n1', 'r'), ('rouge2', 2, 'n2', 'f'),
+    ('precision2', 2, 'n2', 'p'), ('recall2', 2, 'n2', 'r'), ('rougeL', 1, 'L', 'f'), ('rougeLsum', 1, 'L', 'f')) m(metric, n, kind, over)
+  JOIN (SELECT c.doc_id, c.system, c.n, c.size AS nc, r.size AS nr FROM sizes c JOIN sizes r USING (doc_id, system, n) WHERE c.side = 'cand' AND r.side = 'ref') z
+    ON z.doc_id = p.doc_id AND z.system = p.system AND z.n = m.n
+  LEFT JOIN sthits h ON h.doc_id = p.doc_id AND h.system = p.system AND h.kind = m.kind""", "sysp sizes sthits")
 part("tt", """SELECT dataset, checkpoint, metric, n, round(m, 6) AS mean_diff, round(CASE WHEN n > 1 AND sd > 1e-12 THEN m / (sd / sqrt(n)) END, 6) AS t FROM (
   SELECT dataset, checkpoint, metric, count(*) AS n, avg(a - b) AS m, stddev_samp(a - b) AS sd FROM pair WHERE a <> 0 OR b <> 0 GROUP BY ALL)""", "pair")
 # Student's two-sided p is the incomplete beta function at nu / (nu + t^2), a power series with positive terms; for small t
@@ -193,7 +218,13 @@ def metric_scores(spark, sf):
     return evaluate.long_scores(paired(spark, sf)).withColumn("score", tx.r6(F.col("score")))
 
 
-@query("stemmed_subsequence_scores")
+@query("stemmed_metric_scores", "SELECT doc_id, dataset, checkpoint, system, metric, round(score, 6) AS score FROM stscore", "stscore")
+def stemmed_metric_scores(spark, sf):
+    return evaluate.long_scores(evaluate.summary_scores(predictions(spark, sf))).withColumn("score", tx.r6(F.col("score")))
+
+
+@query("stemmed_subsequence_scores", """SELECT doc_id, dataset, checkpoint, metric, round(max(score) FILTER (WHERE system = 'a'), 6) AS a,
+  round(max(score) FILTER (WHERE system = 'b'), 6) AS b FROM stscore WHERE metric = 'rougeL' GROUP BY ALL""", "stscore")
 def stemmed_scores(spark, sf):
     return evaluate.subsequence_scores(predictions(spark, sf))
 
@@ -237,26 +268,26 @@ def mean_scores(spark, sf):
     return evaluate.mean_scores(paired(spark, sf))
 
 
-@query("result_matrix", """SELECT dataset, checkpoint, system, round(avg(score) FILTER (WHERE metric = 'rouge1'), 6) AS rouge1,
-  round(avg(score) FILTER (WHERE metric = 'rouge2'), 6) AS rouge2, round(avg(score) FILTER (WHERE metric = 'recall1'), 6) AS recall1 FROM score GROUP BY ALL""", "score")
+@query("result_matrix", "SELECT dataset, checkpoint, system, " + ", ".join(
+    f"round(avg(score) FILTER (WHERE metric = '{m}'), 6) AS {m}" for m in evaluate.SUMMARY_METRICS) + " FROM stscore GROUP BY ALL", "stscore")
 def result_matrix(spark, sf):
-    return evaluate.result_matrix(paired(spark, sf), ["rouge1", "rouge2", "recall1"])
+    return evaluate.result_matrix(evaluate.summary_scores(predictions(spark, sf)), evaluate.SUMMARY_METRICS)
 
 
 @query("corpus_metric", """SELECT dataset, system, metric, round(mean * 100, 4) AS mean, round(mid * 100, 4) AS boot_mid, round(gen_len, 4) AS gen_len FROM
-  (SELECT dataset, system, metric, avg(score) AS mean FROM score WHERE metric IN ('rouge1', 'rouge2') GROUP BY ALL)
+  (SELECT dataset, system, metric, avg(score) AS mean FROM stscore WHERE metric LIKE 'rouge%' GROUP BY ALL)
   JOIN (SELECT dataset, system, metric, quantile_cont(s / n, 0.5) AS mid FROM (
     SELECT dataset, system, metric, rep, sum(w * score) AS s, sum(w) AS n FROM (
       SELECT dataset, system, metric, score, k * 8 + i AS rep, CASE WHEN u < 24109 THEN 0 WHEN u < 48219 THEN 1 WHEN u < 60273 THEN 2 WHEN u < 64292 THEN 3
         WHEN u < 65296 THEN 4 WHEN u < 65497 THEN 5 WHEN u < 65531 THEN 6 ELSE 7 END AS w FROM (
         SELECT *, ('0x' || substr(h, 1 + 4 * i::INT, 4))::BIGINT AS u FROM (
-          SELECT *, md5('boot:' || doc_id || ':' || k) AS h FROM score, range(125) r(k) WHERE metric IN ('rouge1', 'rouge2')), range(8) z(i)))
+          SELECT *, md5('boot:' || doc_id || ':' || k) AS h FROM stscore, range(125) r(k) WHERE metric LIKE 'rouge%'), range(8) z(i)))
     GROUP BY ALL) WHERE n > 0 GROUP BY ALL) USING (dataset, system, metric)
-  JOIN (SELECT dataset, system, avg(len(regexp_extract_all(lower(summary), '[a-z0-9]+'))) AS gen_len FROM sysp GROUP BY ALL) USING (dataset, system)""", "score sysp")
+  JOIN (SELECT dataset, system, avg(len(regexp_extract_all(lower(summary), '[a-z0-9]+'))) AS gen_len FROM sysp GROUP BY ALL) USING (dataset, system)""", "stscore sysp")
 def corpus_metric(spark, sf):
     p = predictions(spark, sf)
     size = lambda c: F.size(tx.tokens(F.col(c)))
-    chosen = evaluate.paired_scores(p, keep=[size("summary_a").alias("len_a"), size("summary_b").alias("len_b")]).filter(F.col("metric").isin("rouge1", "rouge2"))
+    chosen = evaluate.summary_scores(p, keep=[size("summary_a").alias("len_a"), size("summary_b").alias("len_b")]).filter(F.col("metric").isin(evaluate.HEADLINE_METRICS))
     each = F.explode(F.array(*[F.struct(F.lit(s).alias("system"), F.col(s).alias("score"), F.col(f"len_{s}").alias("gen_len")) for s in "ab"]))
     return evaluate.corpus_metric(chosen.select("dataset", "metric", "doc_id", each.alias("x")).select("dataset", "metric", "doc_id", "x.*"), ["dataset"])
 

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from salience.operators.checks import DataError
+from salience.sources.tables import read_records
 
 # Fixed values of the packet and key layout.
-ITEM_HEAD = r"(?m)^ITEM (\d+)\n-{80}\n"
+NEXT_ITEM = "\nITEM "
+ITEM_HEAD = r"(\d+)\n-{80}\n"
 FIELDS = [
     ("document", "SOURCE DOCUMENT:", "REFERENCE SUMMARY:"),
     ("reference", "REFERENCE SUMMARY:", "CANDIDATE A:"),
@@ -22,27 +25,42 @@ ONLY_ANNOTATOR = "annotator_1"
 
 
 def read_packets(spark: SparkSession, path: str) -> DataFrame:
-    """``item, document, reference, candidate_a, candidate_b``; a field that cannot be found is NULL."""
-    texts = spark.read.text(path, wholetext=True)
-    numbers = F.regexp_extract_all("value", F.lit(ITEM_HEAD), F.lit(1))
-    bodies = F.slice(F.split("value", ITEM_HEAD), F.lit(2), F.size(numbers))
-    items = texts.select(F.explode(F.arrays_zip(numbers.alias("item"), bodies.alias("body"))).alias("x")).select(
-        F.col("x.item").cast("long").alias("item"), F.col("x.body").alias("body"))
-
-    def field(label: str, following: str):
+    """``item, document, reference, candidate_a, candidate_b``; a field that cannot be found is an error.
+
+    Files are cut where a line starts with ``ITEM``, so a file of any size is read in splits. A piece without a number and
+    a rule is no item but text of the one before it, which may have started in an earlier split; text before the first
+    item of a file is left out.
+    """
+    rows = read_records(spark, path, NEXT_ITEM)
+    inside = W.partitionBy("file", "split").orderBy("at")
+    first = (F.col("split") == 0) & (F.row_number().over(inside) == 1)
+    number = F.when(first, F.regexp_extract("value", "^ITEM " + ITEM_HEAD, 1)).otherwise(F.regexp_extract("value", "^" + ITEM_HEAD, 1))
+    rows = rows.withColumn("number", F.nullif(number, F.lit("")))
+    rows = rows.withColumn("owner", F.last(F.when(F.col("number").isNotNull(), F.col("at")), ignorenulls=True).over(inside))
+    earlier = W.partitionBy("file").orderBy("split").rowsBetween(W.unboundedPreceding, -1)
+    # owners are not in order across splits, so the last one of a split is that of its last record
+    ends = rows.groupBy("file", "split").agg(F.max_by("owner", "at").alias("end"))
+    carried = ends.select("file", "split", F.last("end", ignorenulls=True).over(earlier).alias("carried"))
+    owned = rows.join(carried, ["file", "split"]).withColumn("owner", F.coalesce("owner", "carried")).filter(F.col("owner").isNotNull())
+    whole = owned.groupBy("owner").agg(F.max("number").cast("long").alias("item"), F.array_sort(F.collect_list(F.struct("split", "at", "value"))).alias("pieces"))
+    text = F.array_join(F.transform("pieces", lambda x: x["value"]), NEXT_ITEM)
+    items = whole.select("item", F.regexp_replace(text, "^(?:ITEM )?" + ITEM_HEAD, "").alias("body"))
+
+    def field(name: str, label: str, following: str):
         pattern = rf"(?sm)^{label}\n(.*?)\n\n{following}"
-        return F.when(F.regexp_like("body", F.lit(pattern)), F.regexp_extract("body", pattern, 1))
+        missing = F.raise_error(F.concat(F.lit("item "), F.col("item").cast("string"), F.lit(f" has no {name}")))
+        return F.when(F.regexp_like("body", F.lit(pattern)), F.regexp_extract("body", pattern, 1)).otherwise(missing).alias(name)
 
-    return items.select("item", *[field(a, b).alias(name) for name, a, b in FIELDS])
+    return items.select("item", *[field(*f) for f in FIELDS])
 
 
 def write_packets(items: DataFrame, path: str, per_file: int = 50) -> None:
-    """Packets of a fixed number of items each, the form annotators get."""
+    """Packets in the order of their items, the form annotators get; a file is a packet of at most ``per_file`` items."""
     body = F.concat(
         F.lit("ITEM "), F.col("item").cast("string"), F.lit("\n" + "-" * 80 + "\nSOURCE DOCUMENT:\n"), "document", F.lit("\n\nREFERENCE SUMMARY:\n"), "reference",
         F.lit("\n\nCANDIDATE A:\n"), "candidate_a", F.lit("\n\nCANDIDATE B:\n"), "candidate_b", F.lit("\n\nYOUR CHOICE: [ ]\n"))
-    packets = items.groupBy(F.floor(F.col("item") / per_file).alias("packet")).agg(F.array_sort(F.collect_list(F.struct("item", body.alias("body")))).alias("b"))
-    packets.select("packet", F.array_join(F.transform("b", lambda x: x["body"]), "\n").alias("value")).write.partitionBy("packet").text(path)
+    ordered = items.repartitionByRange("item").sortWithinPartitions("item")
+    ordered.select(body.alias("value")).write.option("maxRecordsPerFile", per_file).text(path)
 
 
 def read_answer_key(spark: SparkSession, path: str) -> DataFrame:

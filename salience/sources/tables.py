@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from salience.functions.text import strip
 from salience.operators.checks import DataError
 
 # Source columns of the known fine-tuning sets.
@@ -79,17 +81,34 @@ def write_lines(df: DataFrame, path: str, key: str, column: str, mode: str = "er
     df.repartitionByRange(key).sortWithinPartitions(key).select(text).write.mode(mode).text(path)
 
 
+def read_records(spark: SparkSession, path: str, separator: str | None = None) -> DataFrame:
+    """``file, split, at, value``: the records of text files, lines unless a separator is given.
+
+    Files are read in splits. ``at`` is unique, and rises by one from record to record of a split.
+    """
+    reader = spark.read if separator is None else spark.read.option("lineSep", separator)
+    return reader.text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"),
+        F.monotonically_increasing_id().alias("at"), "value")
+
+
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """``line, value`` with zero-based line numbers over the files in name order.
 
-    Numbering needs the order of the splits, which only the file reader of the RDD interface keeps.
+    A line's number is its place in its split after the lines of all splits before, which are prefix sums over a table of
+    one row per split. The text itself is not ordered or regrouped for it.
     """
-    return spark.sparkContext.textFile(path).zipWithIndex().map(lambda p: (p[1], p[0].strip())).toDF("line LONG, value STRING")
+    rows = read_records(spark, path)
+    splits = rows.groupBy("file", "split").agg(F.count("*").alias("n"), F.min("at").alias("first"))
+    before = F.coalesce(F.sum("n").over(W.orderBy("file", "split").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    shifts = splits.select("file", "split", (before - F.col("first")).alias("shift"))
+    return rows.join(shifts, ["file", "split"]).select((F.col("at") + F.col("shift")).alias("line"), strip(F.col("value")).alias("value"))
 
 
 def align_lines(rows: DataFrame, lines: DataFrame, index: str, column: str) -> DataFrame:
-    """Rows with the line of the same number; a count mismatch is an error."""
-    a, b = rows.count(), lines.count()
-    if a != b:
-        raise DataError(f"{a} rows but {b} lines")
-    return rows.join(lines.select(F.col("line").alias(index), F.col("value").alias(column)), index)
+    """Rows with the line of the same number, in one pass; a row without a line or a line without a row is an error."""
+    a = rows.withColumn("_row", F.lit(True))
+    b = lines.select(F.col("line").alias(index), F.col("value").alias("_line"), F.lit(True).alias("_has"))
+    lone = F.when(F.col("_row").isNull(), F.lit("no row for line ")).when(F.col("_has").isNull(), F.lit("no line for row "))
+    value = F.when(lone.isNotNull(), F.raise_error(F.concat(lone, F.col(index).cast("string")))).otherwise(F.col("_line"))
+    return a.join(b, index, "full_outer").select(index, *[c for c in rows.columns if c != index], value.alias(column))

@@ -239,8 +239,78 @@ def test_lines_keep_their_order(spark, tmp_path):
     src.write_lines(df, str(tmp_path / "l"), "k", "t")
     got = {r["line"]: r["value"] for r in src.read_lines(spark, str(tmp_path / "l")).collect()}
     assert got == {i: f"line {i}" for i in range(500)}
-    with pytest.raises(checks.DataError):
-        src.align_lines(spark.range(3).withColumnRenamed("id", "idx"), src.read_lines(spark, str(tmp_path / "l")), "idx", "p")
+    with pytest.raises(Exception, match="no row for line"):
+        src.align_lines(spark.range(3).withColumnRenamed("id", "idx"), src.read_lines(spark, str(tmp_path / "l")), "idx", "p").collect()
+    with pytest.raises(Exception, match="no line for row"):
+        src.align_lines(spark.range(501).withColumnRenamed("id", "idx"), src.read_lines(spark, str(tmp_path / "l")), "idx", "p").collect()
+
+
+def in_small_splits(spark, size):
+    spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    spark.conf.set("spark.sql.files.openCostInBytes", 1)
+
+
+@pytest.fixture
+def small_splits(spark):
+    yield lambda size: in_small_splits(spark, size)
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_lines_of_one_file_are_numbered_across_splits(spark, tmp_path, small_splits):
+    (tmp_path / "a.txt").write_text("\n".join(f"a{i}" + "x" * (i % 50) for i in range(300)) + "\n")
+    (tmp_path / "b.txt").write_text("b0\n\nb2\n")
+    small_splits(700)
+    rows = src.read_records(spark, str(tmp_path))
+    assert rows.select("file", "split").distinct().count() > 5
+    got = {r["line"]: r["value"] for r in src.read_lines(spark, str(tmp_path)).collect()}
+    assert got == dict(enumerate([f"a{i}" + "x" * (i % 50) for i in range(300)] + ["b0", "", "b2"]))
+
+
+def test_packets_of_one_file_across_splits(spark, tmp_path, small_splits):
+    rule = "-" * 80
+    body = {n: "text\n" * (n % 40) + ("ITEM of a list\nITEM 5\nno rule\n" * 30 if n % 7 == 0 else "") + f"end {n}" for n in range(1, 90)}
+    items = [f"ITEM {n}\n{rule}\nSOURCE DOCUMENT:\n{body[n]}\n\nREFERENCE SUMMARY:\nr{n}\n\nCANDIDATE A:\na\n\nCANDIDATE B:\nb\n\nYOUR CHOICE: [ ]\n" for n in body]
+    (tmp_path / "p.txt").write_text("Read this.\nITEM by item\n\n" + "\n".join(items))
+    small_splits(500)
+    assert src.read_records(spark, str(tmp_path / "p.txt"), packets.NEXT_ITEM).select("split").distinct().count() > 20
+    rows = packets.read_packets(spark, str(tmp_path / "p.txt")).collect()
+    assert {r["item"]: (r["document"], r["reference"], r["candidate_b"]) for r in rows} == {n: (body[n], f"r{n}", "b") for n in body} and len(rows) == 89
+    (tmp_path / "q.txt").write_text(items[0] + "\n" + items[1].replace("CANDIDATE A:", "CANDIDATE X:"))
+    with pytest.raises(Exception, match="item 2 has no"):
+        packets.read_packets(spark, str(tmp_path / "q.txt")).collect()
+
+
+def test_packets_written_hold_few_items(spark, tmp_path):
+    items = spark.range(230).select(F.col("id").alias("item"), *[F.concat(F.lit(c), F.col("id").cast("string")).alias(c) for c in ("document", "reference", "candidate_a", "candidate_b")])
+    packets.write_packets(items.repartition(3), str(tmp_path / "p"))
+    files = sorted((tmp_path / "p").glob("part-*"))
+    counts = [f.read_text().count("YOUR CHOICE") for f in files]
+    assert sum(counts) == 230 and max(counts) <= 50 and not list((tmp_path / "p").glob("*="))
+    assert sorted(packets.read_packets(spark, str(tmp_path / "p")).collect()) == sorted(items.collect())
+
+
+def test_pairs_of_a_large_panel(spark):
+    votes = [(i, "d", f"w{k:03d}", "A" if (k * 7 + i) % 3 else "B") for i in range(3) for k in range(40 + 30 * i)] + [(9, "d", "w000", "tie")]
+    want = Counter()
+    for i in range(3):
+        ballot = [(a, v) for item, _, a, v in votes if item == i]
+        want.update((a, b, x, y) for k, (a, x) in enumerate(ballot) for b, y in ballot[k + 1:])
+    df = spark.createDataFrame(votes, "item LONG, dimension STRING, annotator STRING, vote STRING")
+    for block in (8, 64):
+        got = {(r["first"], r["second"], r["x"], r["y"]): r["n"] for r in human.annotator_pairs(df, block).collect()}
+        assert got == want
+
+
+def test_summary_scores(spark):
+    df = spark.createDataFrame([
+        (1, "d", "c", "The dogs were running. A cat sat.", "A cat sat. Dog run.", "running cats"), (2, "d", "c", "", "a", ""), (3, "d", "c", None, "b", "")], preds(spark).schema)
+    got = {(r["doc_id"], r["metric"]): (r["a"], r["b"]) for r in evaluate.summary_scores(df).collect()}
+    # dog, run, a, cat, sat are common; in one list at most three of them are in order, sentence by sentence all five
+    assert got[1, "rouge1"][0] == pytest.approx(10 / 12) and got[1, "rougeL"][0] == pytest.approx(6 / 12) and got[1, "rougeLsum"][0] == pytest.approx(10 / 12)
+    assert got[1, "rougeL"][1] == pytest.approx(4 / 9) and got[2, "rougeLsum"] == (0.0, 0.0) == got[3, "rouge1"]
+    plain = {r["metric"]: r["b"] for r in evaluate.summary_scores(df, use_stems=False).filter("doc_id = 1").collect()}
+    assert plain["rouge1"] == pytest.approx(2 / 9)
 
 
 def test_checks(spark):
