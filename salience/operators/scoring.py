@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from salience.functions import text as tx
 from salience.functions import documents as dc
 from salience.functions.matching import lcs_with_rest
-from salience.operators.scale import heavy_keys
-from salience.operators.sentences import corpus_counts, sentence_words, token_lists
+from salience.operators.scale import heavy_keys, written
+from salience.operators.sentences import corpus_counts, token_lists
 
 SMOOTHING = 64.0
 HEAVY_WORDS = 100_000
@@ -72,32 +73,28 @@ def overlap_and_pmi(docs: DataFrame, vocabulary: DataFrame | None = None, mu: fl
 
     PMI is the mean over the sentence's words of log2 P(word given the rest) / P(word), both from counts:
     the rest is smoothed towards the corpus. Words that hold over 1/100000 of the corpus, at most 100000 of them,
-    are looked up in a broadcast without moving a row. What is left of a sentence, its rare words, travels as
-    one short list; only those words are joined by a shuffle, and none of them is frequent.
+    are sent to all tasks and counted in the row of the document. What is left of a sentence, its rare words, travels as
+    rows; only those words are joined by a shuffle, and none of them is frequent.
     """
-    vocabulary = corpus_counts(docs) if vocabulary is None else vocabulary
+    vocabulary = written(corpus_counts(docs), "vocabulary") if vocabulary is None else vocabulary
     total = vocabulary.select(F.sum("c_all")).scalar()
     kinds = vocabulary.select(F.count("*")).scalar()
     heavy = heavy_keys(vocabulary, "c_all", HEAVY_WORDS)
     term = _word_term(total, kinds, mu)
-    known = F.col("c_all").isNotNull()
-    near = (
-        sentence_words(docs).join(F.broadcast(vocabulary.filter(heavy)), "w", "left")
-        .groupBy("doc_id", "sid", "n_doc", "n_sent", "overlap")
-        .agg(
-            F.coalesce(F.sum(F.when(known, term)), F.lit(0.0)).alias("near_bits"),
-            F.collect_list(F.when(~known & F.col("w").isNotNull(), F.struct("w", "c", "c_doc"))).alias("rare"))
-    )
-    # sentences without rare words keep one row; its key spreads evenly and is no word
+    known, size = frequent(vocabulary, heavy)
+    near = token_lists(docs).select("doc_id", F.explode(dc.sentence_bits("lists", known, size, mu)).alias("x")).select("doc_id", "x.*")
+    # a sentence's own numbers are on its first row; sentences without rare words keep one, whose key spreads evenly and is no word
     off_key = F.concat(F.lit(":"), F.pmod(F.xxhash64("doc_id", "sid"), F.lit(4096)).cast("string"))
+    own = ["doc_id", "sid", "n_doc", "n_sent", "overlap"]
     far = (
-        near.select("doc_id", "sid", "n_doc", "n_sent", "overlap", "near_bits", F.explode_outer("rare").alias("r"))
-        .select("doc_id", "sid", "n_doc", "n_sent", "overlap", "near_bits",
+        near.select(*own, "near_bits", F.posexplode_outer("rare").alias("k", "r"))
+        .select(*own, F.when(F.coalesce("k", F.lit(0)) == 0, F.col("near_bits")).otherwise(0.0).alias("near_bits"),
                 F.coalesce("r.w", off_key).alias("w"), F.col("r.c").alias("c"), F.col("r.c_doc").alias("c_doc"))
         .join(vocabulary.filter(~heavy), "w", "left")
+        .groupBy(*own).agg(F.sum("near_bits").alias("near_bits"), F.sum(term).alias("far_bits"))
         .groupBy("doc_id", "sid")
         .agg(F.max("n_doc").alias("n_doc"), F.max("n_sent").alias("n_sent"), F.max("overlap").alias("overlap"),
-             F.max("near_bits").alias("near_bits"), F.coalesce(F.sum(term), F.lit(0.0)).alias("far_bits"))
+             F.max("near_bits").alias("near_bits"), F.coalesce(F.sum("far_bits"), F.lit(0.0)).alias("far_bits"))
     )
     alone = (F.col("n_doc") == F.col("n_sent")) | (F.col("n_sent") == 0)
     return far.select(
@@ -106,6 +103,14 @@ def overlap_and_pmi(docs: DataFrame, vocabulary: DataFrame | None = None, mu: fl
         tx.r6(F.when(alone, F.lit(0.0)).otherwise((F.col("near_bits") + F.col("far_bits")) / F.greatest(F.col("n_sent"), F.lit(1)))).alias("pmi"))
 
 
+def frequent(vocabulary: DataFrame, heavy: Column) -> tuple[Broadcast, float]:
+    """The heavy words, at most 100000, with their counts as a broadcast for tasks in Python, and the corpus in tokens and kinds."""
+    found = vocabulary.filter(heavy & F.col("w").isNotNull()).toArrow()
+    tokens, kinds = vocabulary.agg(F.coalesce(F.sum("c_all"), F.lit(0)), F.count("*")).first()
+    table = (found["w"].combine_chunks().cast("string"), found["c_all"].to_numpy().astype(float))
+    return vocabulary.sparkSession.sparkContext.broadcast(table), float(tokens + kinds)
+
+
 def count_pmi(docs: DataFrame, vocabulary: DataFrame | None = None, mu: float = SMOOTHING) -> DataFrame:
     return overlap_and_pmi(docs, vocabulary, mu).select("doc_id", "sid", F.col("pmi").alias("score"))
 
