@@ -14,10 +14,12 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from salience.functions.documents import LCS, Tokens
+from salience.functions.documents import LCS, Tokens, by_tokens, ranges
 
 #: Rows between two that are kept for the way back; those in between are computed again.
 STRIDE = 64
+#: Places of words that are held at once.
+CUT_HITS = 1 << 21
 
 
 def positions(a: Sequence) -> dict:
@@ -100,14 +102,6 @@ def union_hits(ref_lines: Sequence[Sequence], cand_lines: Sequence[Sequence]) ->
     return sum(min(n, left[t]) for t, n in found.items())
 
 
-def _coded(column: pa.Array) -> list[list[list[int]]]:
-    """Lists of token lists as lists of lists of numbers."""
-    t = Tokens(column)
-    code, ends = t.code.tolist(), np.concatenate([[0], np.cumsum(t.n_sent)]).tolist()
-    lines = [code[a:b] for a, b in zip(ends, ends[1:])]
-    return [lines[a:b] for a, b in zip(t.first.tolist(), t.first[1:].tolist())]
-
-
 @F.arrow_udf(T.LongType())
 def lcs(a: pa.Array, b: pa.Array) -> pa.Array:
     return pa.array([None if x is None or y is None else lcs_length(x, y) for x, y in zip(a.to_pylist(), b.to_pylist())], pa.int64())
@@ -118,22 +112,81 @@ def line_hits(ref: pa.Array, cand: pa.Array) -> pa.Array:
     return pa.array([union_hits(r or [], c or []) for r, c in zip(ref.to_pylist(), cand.to_pylist())], pa.int64())
 
 
-@F.arrow_udf(LCS)
-def lcs_with_rest(lists: pa.Array) -> pa.Array:
-    """For the token lists of a document's sentences, the LCS of each with all the others in order.
+def _rest_by_bits(t: Tokens) -> np.ndarray:
+    """For each sentence of at most 64 tokens the LCS with the other sentences of its document in order, 0 for longer ones.
+
+    Only the places of a sentence's own words are visited. The k-th places of all sentences are taken in at once: a row of
+    the dynamic program is one 64-bit number, whose carry out of the sentence is dropped.
+    """
+    out = np.zeros(len(t.n_sent), np.int64)
+    kinds = max(1, len(t.words))
+    word = t.doc[t.sent_of] * kinds + t.code if len(t.code) else t.code
+    key, first = np.unique(t.sent_of * kinds + t.code, return_index=True)
+    # the bits of a word's places in its sentence
+    starts = np.cumsum(t.n_sent) - t.n_sent
+    short = t.n_sent[t.sent_of] <= 64
+    at = np.searchsorted(key, (t.sent_of * kinds + t.code)[short])
+    masks = np.zeros(len(key), np.uint64)
+    np.bitwise_or.at(masks, at, np.uint64(1) << (np.arange(len(t.code)) - starts[t.sent_of])[short].astype(np.uint64))
+    own = t.sent_of[first]
+    keep = masks > 0
+    own, masks, word_of = own[keep], masks[keep], word[first][keep]
+    _, kind, many = np.unique(word, return_inverse=True, return_counts=True)
+    hits = np.bincount(own, weights=many[kind[first][keep]], minlength=len(t.n_sent))
+    ends = starts + t.n_sent
+    # some sentences at a time, so that what is held stays bounded
+    for a, b in ranges(np.concatenate([[0], np.cumsum(hits)]), CUT_HITS):
+        i, j = np.searchsorted(own, [a, b])
+        by_word = np.argsort(word_of[i:j], kind="stable")
+        lo, hi = starts[t.first[t.doc[a]]], ends[t.first[t.doc[b - 1] + 1] - 1]
+        begin, end = (np.searchsorted(word_of[i:j][by_word], word[lo:hi], side) for side in ("left", "right"))
+        n = end - begin
+        place = np.repeat(np.arange(lo, hi), n)
+        pair = i + by_word[np.arange(len(place)) - np.repeat(np.cumsum(n) - n - begin, n)]
+        pair = pair[t.sent_of[place] != own[pair]]
+        sent = own[pair] - a
+        # places are in order already
+        hit = masks[pair[np.argsort(sent.astype(np.uint16) if b - a < 1 << 16 else sent, kind="stable")]]
+        many_hits = np.bincount(sent, minlength=b - a)
+        begin = np.cumsum(many_hits) - many_hits
+        has = np.argsort(-many_hits, kind="stable")[:np.count_nonzero(many_hits)]
+        begin, most = begin[has], many_hits[has]
+        rows = np.full(len(has), ~np.uint64(0))
+        for k, m in enumerate(len(has) - np.searchsorted(most[::-1], np.arange(1, most[0] + 1)) if len(has) else []):
+            row = rows[:m]
+            both = row & hit[begin[:m] + k]
+            rows[:m] = (row + both) | (row - both)
+        n = t.n_sent[has + a].astype(np.uint64)
+        inside = np.where(n == 64, ~np.uint64(0), (np.uint64(1) << (n % np.uint64(64))) - np.uint64(1))
+        out[has + a] = np.bitwise_count(~rows & inside)
+    return out
+
+
+def rest_lengths(t: Tokens) -> np.ndarray:
+    """For the sentences of documents, the LCS of each with all the others of its document in order.
 
     Tokens that a sentence does not contain cannot be on the subsequence, so only the positions of its own
-    words are visited, taken from a word-to-positions map built once per document.
+    words are visited. Sentences of over 64 tokens are held in numbers of any length, one at a time.
     """
-    out: list[int] = []
-    for doc in _coded(lists):
-        where: dict[int, list[tuple[int, int]]] = {}
-        at = 0
-        for sid, toks in enumerate(doc):
-            for t in toks:
-                where.setdefault(t, []).append((at, sid))
-                at += 1
-        for sid, toks in enumerate(doc):
-            hits = sorted((p, t) for t in set(toks) for p, s in where[t] if s != sid)
-            out.append(lcs_length(toks, [t for _, t in hits]) if hits else 0)
-    return Tokens(lists).scored(np.array(out, np.int64))
+    out = _rest_by_bits(t)
+    code = t.code.tolist() if (t.n_sent > 64).any() else []
+    ends = np.concatenate([[0], np.cumsum(t.n_sent)])
+    where: dict[int, list[int]] = {}
+    of = -1
+    for s in np.flatnonzero(t.n_sent > 64).tolist():
+        if of != t.doc[s]:
+            of, where = t.doc[s], {}
+            for p in range(ends[t.first[of]], ends[t.first[of + 1]]):
+                where.setdefault(code[p], []).append(p)
+        lo, hi = int(ends[s]), int(ends[s + 1])
+        hits = sorted((p, w) for w in set(code[lo:hi]) for p in where[w] if not lo <= p < hi)
+        out[s] = lcs_length(code[lo:hi], [w for _, w in hits]) if hits else 0
+    return out
+
+
+@F.arrow_udf(LCS)
+@by_tokens
+def lcs_with_rest(lists: pa.Array) -> pa.Array:
+    """For the token lists of a document's sentences, the LCS of each with all the others in order."""
+    t = Tokens(lists)
+    return t.scored(rest_lengths(t))

@@ -44,3 +44,14 @@ def test_pmi_gathers_no_lists(spark):
     for key, (rouge, pmi) in got.items():
         assert rare[key] == (rouge, pmi)
         assert none[key] == (rouge, pytest.approx(pmi, abs=2e-6))
+
+
+def test_rest_lengths_in_blocks(monkeypatch):
+    r = random.Random(3)
+    docs = [[[f"w{r.randrange(r.choice([3, 30]))}" for _ in range(r.choice([0, 1, 7, 63, 64, 65, 130]))] for _ in range(r.randrange(7))] for _ in range(60)]
+    column = pa.array(docs, pa.list_(pa.list_(pa.string())))
+    want = [mt.lcs_length(s, [t for j, x in enumerate(doc) if j != i for t in x]) for doc in docs for i, s in enumerate(doc)]
+    for hits in (1, 200, 1 << 21):
+        monkeypatch.setattr(mt, "CUT_HITS", hits)
+        assert np.concatenate([mt.rest_lengths(dc.Tokens(p)) for p in dc.token_cuts(column, 500)]).tolist() == want
+    assert mt.rest_lengths(dc.Tokens(pa.array([[[]], []], pa.list_(pa.list_(pa.string()))))).tolist() == [0]
