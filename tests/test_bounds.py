@@ -55,3 +55,10 @@ def test_rest_lengths_in_blocks(monkeypatch):
         monkeypatch.setattr(mt, "CUT_HITS", hits)
         assert np.concatenate([mt.rest_lengths(dc.Tokens(p)) for p in dc.token_cuts(column, 500)]).tolist() == want
     assert mt.rest_lengths(dc.Tokens(pa.array([[[]], []], pa.list_(pa.list_(pa.string()))))).tolist() == [0]
+
+
+def test_span_lists():
+    texts = ["In 1999 Anna Lee paid $5.20 to Bo.", None, "", "none here", "É Bo 7%"]
+    assert en.span_lists(texts, True).to_pylist() == [en.spans(t, True) for t in texts]
+    assert en.span_lists([]).to_pylist() == []
+    assert list(en.byte_cuts(pa.array(["x" * en.CUT_BYTES, None, "y", "z" * en.CUT_BYTES]))) == [(0, 2), (2, 3), (3, 4)]
