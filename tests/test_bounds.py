@@ -62,3 +62,10 @@ def test_span_lists():
     assert en.span_lists(texts, True).to_pylist() == [en.spans(t, True) for t in texts]
     assert en.span_lists([]).to_pylist() == []
     assert list(en.byte_cuts(pa.array(["x" * en.CUT_BYTES, None, "y", "z" * en.CUT_BYTES]))) == [(0, 2), (2, 3), (3, 4)]
+
+
+def test_cut_first_searches_once(spark):
+    rows = [("x a y a", "a", "x  y a"), ("a.b*c\\E d\\Q e", "c\\E d", "a.b*\\Q e"), ("é😀b😀b", "😀b", "é😀b"), ("abc", "", "abc"), ("abc", None, "abc"), (None, "a", None), ("aXa", "aXa", "")]
+    cut = spark.createDataFrame(rows, "t STRING, s STRING, want STRING").select(tx.cut_first(F.col("t"), F.col("s")).alias("got"), "want")
+    assert "instr(" not in plan(cut)
+    assert all(r.got == r.want for r in cut.collect())
