@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,6 +18,8 @@ from salience.operators.scale import even_join, heavy_keys, settled
 
 TILE = 128
 CUTS = 64
+#: Calls of a model whose vectors are sent back at once.
+CALLS = 32
 EPSILON = 1e-8
 SMALLEST_COUNT = 1e-9
 
@@ -117,11 +120,12 @@ def hashed_bag_encoder(buckets: int = 64) -> Callable[[list[str]], np.ndarray]:
     """Default text encoder: word counts in hashed buckets, scaled to length 1."""
     import re
 
+    words = re.compile("[a-z0-9]+").findall
+
     def encode(texts: list[str]) -> np.ndarray:
-        out = np.zeros((len(texts), buckets))
-        for i, t in enumerate(texts):
-            for w in re.findall("[a-z0-9]+", t.lower()):
-                out[i, hash_bucket(w, buckets)] += 1.0
+        found = [words(t.lower()) for t in texts]
+        place = np.repeat(np.arange(len(texts)) * buckets, [len(x) for x in found]) + np.array([hash_bucket(w, buckets) for x in found for w in x], np.int64)
+        out = np.bincount(place, minlength=len(texts) * buckets).reshape(-1, buckets).astype(float)
         size = np.linalg.norm(out, axis=1, keepdims=True)
         return out / np.where(size == 0.0, 1.0, size)
 
@@ -135,16 +139,21 @@ def encode_texts(texts: DataFrame, key: str, column: str, make_encoder: Callable
     by length inside each partition; a batch then holds texts of similar length and padding stays small.
     """
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = None
-        for frame in frames:
+        for table in tables:
             model = model or make_encoder()
-            for lo in range(0, len(frame), batch):
-                part = frame.iloc[lo:lo + batch]
-                yield pd.DataFrame({key: part[key].to_numpy(), "v": list(model(part[column].tolist()))})
+            # some calls' vectors go back together
+            for at in range(0, table.num_rows, batch * CALLS):
+                some = table.slice(at, batch * CALLS)
+                texts = some.column(column).to_pylist()
+                made = [np.asarray(model(texts[lo:lo + batch]), np.float64) for lo in range(0, len(texts), batch)]
+                ends = np.cumsum([0, *(len(v) for x in made for v in x)]).astype(np.int32)
+                flat = np.concatenate([np.ravel(x) for x in made])
+                yield pa.RecordBatch.from_arrays([some.column(key), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], [key, "v"])
 
     rows = texts.select(key, F.coalesce(column, F.lit("")).alias(column)).sortWithinPartitions(F.length(column))
-    return rows.mapInPandas(run, T.StructType([texts.schema[key], T.StructField("v", T.ArrayType(T.DoubleType()))]))
+    return rows.mapInArrow(run, T.StructType([texts.schema[key], T.StructField("v", T.ArrayType(T.DoubleType()))]))
 
 
 def distinct_contexts(rows: DataFrame, column: str) -> DataFrame:

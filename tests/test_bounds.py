@@ -69,3 +69,11 @@ def test_cut_first_searches_once(spark):
     cut = spark.createDataFrame(rows, "t STRING, s STRING, want STRING").select(tx.cut_first(F.col("t"), F.col("s")).alias("got"), "want")
     assert "instr(" not in plan(cut)
     assert all(r.got == r.want for r in cut.collect())
+
+
+def test_vectors_go_back_as_arrow(spark):
+    rows = spark.createDataFrame([(i, "a b " * (i % 5)) for i in range(50)] + [(50, None)], "id LONG, t STRING").repartition(1)
+    coded = vectors.encode_texts(rows, "id", "t", lambda: vectors.hashed_bag_encoder(8), batch=3)
+    assert "MapInArrow" in plan(coded)
+    got = {r.id: r.v for r in coded.collect()}
+    assert len(got) == 51 and got[0] == got[50] == [0.0] * 8 and got[1] == got[46]
