@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from salience.functions import text as tx
 from salience.operators import scoring, select, vectors
-from salience.operators.scale import even_join
+from salience.operators.scale import even_join, written
 from salience.operators.sentences import corpus_counts, sentence_rows, token_counts
 from salience.plans.derive import documents, masked_sql
 from salience.plans.registry import part, query, table
@@ -89,7 +89,7 @@ part("nll", """SELECT doc_id, sid, kind, CASE kind WHEN 'cond' THEN -ln(c_doc::D
 def token_nll(spark, sf):
     """Per-token likelihoods of count models: the document's words, the corpus's words, and a flat model."""
     docs = documents(spark, sf)
-    vocabulary = corpus_counts(docs)
+    vocabulary = written(corpus_counts(docs), "vocabulary")
     total, kinds = vocabulary.select(F.sum("c_all")).scalar(), vocabulary.select(F.count("*")).scalar()
     rows = even_join(token_counts(docs), vocabulary.withColumn("_w", F.col("c_all")), ["w"], "_w", 100_000)
     kind = lambda name, x: F.struct(F.lit(name).alias("kind"), x.alias("nll"))

@@ -77,3 +77,8 @@ def test_vectors_go_back_as_arrow(spark):
     assert "MapInArrow" in plan(coded)
     got = {r.id: r.v for r in coded.collect()}
     assert len(got) == 51 and got[0] == got[50] == [0.0] * 8 and got[1] == got[46]
+
+
+def test_token_likelihoods_count_the_corpus_once(spark, small):
+    from salience.plans.scores import token_nll
+    assert any("/vocabulary-" in f for f in token_nll(spark, small).inputFiles())
