@@ -69,35 +69,34 @@ def _word_term(total: Column, kinds: Column, mu: float) -> Column:
 
 
 def overlap_and_pmi(docs: DataFrame, vocabulary: DataFrame | None = None, mu: float = SMOOTHING) -> DataFrame:
-    """``doc_id, sid, rouge1, pmi`` from one pass over the token counts.
+    """``doc_id, sid, rouge1, pmi`` from one pass over the token counts; partitioned by ``doc_id``.
 
     PMI is the mean over the sentence's words of log2 P(word given the rest) / P(word), both from counts:
     the rest is smoothed towards the corpus. Words that hold over 1/100000 of the corpus, at most 100000 of them,
-    are sent to all tasks and counted in the row of the document. What is left of a sentence, its rare words, travels as
-    rows; only those words are joined by a shuffle, and none of them is frequent.
+    are sent to all tasks and counted in the row of the document, and so are words that one sentence has alone, whose corpus
+    counts cancel out. The rare words that sentences of a document share travel as rows; only those are joined by a shuffle, and
+    none of them is frequent. Sentences go to a scratch table, which both the join and the sums read.
     """
-    vocabulary = written(corpus_counts(docs), "vocabulary") if vocabulary is None else vocabulary
+    whole = vocabulary is None
+    vocabulary = written(corpus_counts(docs), "vocabulary") if whole else vocabulary
     total = vocabulary.select(F.sum("c_all")).scalar()
     kinds = vocabulary.select(F.count("*")).scalar()
     heavy = heavy_keys(vocabulary, "c_all", HEAVY_WORDS)
-    term = _word_term(total, kinds, mu)
     known, size = frequent(vocabulary, heavy)
-    near = token_lists(docs).select("doc_id", F.explode(dc.sentence_bits("lists", known, size, mu)).alias("x")).select("doc_id", "x.*")
-    # a sentence's own numbers are on its first row; sentences without rare words keep one, whose key spreads evenly and is no word
-    off_key = F.concat(F.lit(":"), F.pmod(F.xxhash64("doc_id", "sid"), F.lit(4096)).cast("string"))
+    found = token_lists(docs).select("doc_id", F.explode(dc.sentence_bits("lists", known, size, mu, whole)).alias("x"))
+    sents = written(found.select("doc_id", "x.*"), "sentences")
     own = ["doc_id", "sid", "n_doc", "n_sent", "overlap"]
-    far = (
-        near.select(*own, "near_bits", F.posexplode_outer("rare").alias("k", "r"))
-        .select(*own, F.when(F.coalesce("k", F.lit(0)) == 0, F.col("near_bits")).otherwise(0.0).alias("near_bits"),
-                F.coalesce("r.w", off_key).alias("w"), F.col("r.c").alias("c"), F.col("r.c_doc").alias("c_doc"))
-        .join(vocabulary.filter(~heavy), "w", "left")
-        .groupBy(*own).agg(F.sum("near_bits").alias("near_bits"), F.sum(term).alias("far_bits"))
+    words = sents.filter(F.size("rare") > 0).select(*own, F.explode("rare").alias("r")).select(*own, "r.*")
+    shared = words.join(vocabulary.filter(~heavy), "w").select(*own, F.lit(0.0).alias("near_bits"), _word_term(total, kinds, mu).alias("far_bits"))
+    sums = (
+        sents.select(*own, "near_bits", "far_bits").unionByName(shared).repartition("doc_id")
+        .groupBy(*own).agg(F.sum("near_bits").alias("near_bits"), F.sum("far_bits").alias("far_bits"))
         .groupBy("doc_id", "sid")
         .agg(F.max("n_doc").alias("n_doc"), F.max("n_sent").alias("n_sent"), F.max("overlap").alias("overlap"),
-             F.max("near_bits").alias("near_bits"), F.coalesce(F.sum("far_bits"), F.lit(0.0)).alias("far_bits"))
+             F.max("near_bits").alias("near_bits"), F.sum("far_bits").alias("far_bits"))
     )
     alone = (F.col("n_doc") == F.col("n_sent")) | (F.col("n_sent") == 0)
-    return far.select(
+    return sums.select(
         "doc_id", "sid",
         tx.r6(_ratio(F.col("overlap"), F.col("n_doc"))).alias("rouge1"),
         tx.r6(F.when(alone, F.lit(0.0)).otherwise((F.col("near_bits") + F.col("far_bits")) / F.greatest(F.col("n_sent"), F.lit(1)))).alias("pmi"))

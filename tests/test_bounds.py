@@ -46,6 +46,34 @@ def test_pmi_gathers_no_lists(spark):
         assert none[key] == (rouge, pytest.approx(pmi, abs=2e-6))
 
 
+def test_pmi_lists_only_words_that_sentences_share():
+    t = dc.Tokens(pa.array([[["x", "a", "a"], ["x", "b"], []], [["b", "c", "c"]], None], pa.list_(pa.list_(pa.string()))))
+    bits = lambda known, whole, mu=64.0: dc.known_bits(t, pa.array(known, pa.string()), np.full(len(known), 2.0), 9.0, mu, whole).to_pylist()
+    listed = lambda found: [[[(w["w"], w["c"], w["c_doc"]) for w in s["rare"]] for s in doc] for doc in found]
+    found = bits([], True)
+    assert listed(found) == [[[("x", 1, 2)], [("x", 1, 2)], []], [[]], []]
+    assert [s["far_bits"] for s in found[0]] == pytest.approx([2 * np.log2(64 / 66), np.log2(64 / 67), 0.0])
+    # the same bits as with the word's count in the corpus, whatever that is
+    p0 = 3.0 / 9.0
+    assert found[0][1]["far_bits"] == pytest.approx(np.log2(64 * p0 / (3 + 64) / p0))
+    assert bits(["a", "b"], False)[0][0]["near_bits"] == pytest.approx(found[0][0]["far_bits"])
+    # a vocabulary from elsewhere may lack a word, so all are looked up; without smoothing lone words have no bits
+    assert [sorted(w for w, _, _ in s) for doc in listed(bits([], False)) for s in doc] == [["a", "x"], ["b", "x"], [], ["b", "c"]]
+    assert {s["far_bits"] for doc in bits([], False) + bits([], True, 0.0) for s in doc} == {0.0}
+
+
+def test_pmi_sentences_meet_no_words(spark):
+    docs = spark.createDataFrame([(1, "the cat sat. the dog. ... rare words here"), (2, "the cat. rare words"), (2, "the cat. rare words")], "doc_id LONG, text STRING")
+    text = plan(scoring.overlap_and_pmi(docs))
+    assert "hashpartitioning(doc_id" in text or "RepartitionByExpression [doc_id" in text
+    assert "xxhash64" not in text and "ArrowEvalPython" not in text  # no made-up keys for sentences; scored once, into a table
+    got = {(r.doc_id, r.sid): r.pmi for r in scoring.overlap_and_pmi(docs).collect()}
+    # a vocabulary without some words: those add nothing
+    some = scoring.corpus_counts(docs).filter("w <> 'rare'")
+    less = {(r.doc_id, r.sid): r.pmi for r in scoring.overlap_and_pmi(docs, some).collect()}
+    assert set(less) == set(got) and got[1, 3] != less[1, 3]
+
+
 def test_rest_lengths_in_blocks(monkeypatch):
     r = random.Random(3)
     docs = [[[f"w{r.randrange(r.choice([3, 30]))}" for _ in range(r.choice([0, 1, 7, 63, 64, 65, 130]))] for _ in range(r.randrange(7))] for _ in range(60)]
