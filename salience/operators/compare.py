@@ -13,13 +13,13 @@ LENGTH_EDGES = [1, 11, 21, 31, 41, 51, 71, 1000]
 
 
 def _plain(pairs: DataFrame, name: str) -> DataFrame:
-    return pairs.select(
-        "doc_id", tx.plain_quotes(F.col("summary")).alias(f"s_{name}"),
-        tx.plain_quotes(tx.unmask(F.col("document"), F.col("summary"))).alias(f"source_{name}"))
+    """Summaries and the restored source texts, which are only compared: their SHA-256 travels instead of the text."""
+    source = tx.plain_quotes(tx.unmask(F.col("document"), F.col("summary")))
+    return pairs.select("doc_id", tx.plain_quotes(F.col("summary")).alias(f"s_{name}"), F.sha2(source, 256).alias(f"source_{name}"))
 
 
 def two_way(rows: DataFrame) -> DataFrame:
-    """Class of rows holding ``s_a, s_b`` and the restored ``source_a, source_b``, quotes already unified."""
+    """Class of rows holding ``s_a, s_b`` and the restored ``source_a, source_b`` or their digests, quotes already unified."""
     same = F.col("s_a") == F.col("s_b")
     return rows.select(
         "doc_id",

@@ -11,7 +11,7 @@ from salience.functions import documents as dc
 from salience.functions import entities as en
 from salience.functions import matching as mt
 from salience.functions import text as tx
-from salience.operators import scoring, vectors
+from salience.operators import compare, scoring, vectors
 
 LISTS = pa.array([[["a", "b"], [], ["a"]], None, [["c"] * 5], [], [["b", "a"], ["a"]]], pa.list_(pa.list_(pa.string())))
 
@@ -74,6 +74,16 @@ def test_pmi_sentences_meet_no_words(spark):
     assert set(less) == set(got) and got[1, 3] != less[1, 3]
 
 
+def test_restored_texts_are_compared_by_digest(spark):
+    make = lambda *rows: spark.createDataFrame(list(rows), "doc_id LONG, document STRING, summary STRING")
+    a = make((1, "x " * 500 + "<mask>", "s."), (2, "<mask> b.", "a."), (3, None, "a."), (4, "<mask>", "“q”"))
+    b = make((1, "x " * 500 + "<mask>", "s."), (2, "<mask> c.", "a."), (3, "<mask>", "a."), (4, "<mask>", '"q"'))
+    assert max(len(r.source_a or "") for r in compare._plain(a, "a").collect()) == 64
+    assert {r.doc_id: (r["class"], r.misaligned) for r in compare.compare_two(a, b).collect()} == {
+        1: ("same", False), 2: ("same", True), 3: ("same", None), 4: ("same", False)}
+    assert {r.doc_id: r.misaligned for r in compare.compare_three(a, a, b).collect()} == {1: False, 2: True, 3: None, 4: False}
+
+
 def test_rest_lengths_in_blocks(monkeypatch):
     r = random.Random(3)
     docs = [[[f"w{r.randrange(r.choice([3, 30]))}" for _ in range(r.choice([0, 1, 7, 63, 64, 65, 130]))] for _ in range(r.randrange(7))] for _ in range(60)]
