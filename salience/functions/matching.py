@@ -7,15 +7,20 @@ token of ``b`` is an addition and a subtraction, so a pair costs len(a) * len(b)
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Iterator, Sequence
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from salience.functions.documents import LCS, Tokens, by_tokens, ranges
+from salience.functions.documents import CUT_TOKENS, LCS, Tokens, by_tokens, ranges
+from salience.functions.stemming import stems_of
 
+#: The tokens of a reference and two summaries, and per summary its common subsequence with the reference and the hits of their lines.
+HITS = T.StructType([*[T.StructField(c, T.ArrayType(T.StringType())) for c in ("tr", "ta", "tb")], *[T.StructField(c, T.LongType()) for c in ("la", "lb", "ua", "ub")]])
 #: Rows between two that are kept for the way back; those in between are computed again.
 STRIDE = 64
 #: Places of words that are held at once.
@@ -112,6 +117,37 @@ def line_hits(ref: pa.Array, cand: pa.Array) -> pa.Array:
     return pa.array([union_hits(r or [], c or []) for r, c in zip(ref.to_pylist(), cand.to_pylist())], pa.int64())
 
 
+def hits_of(ref: pa.Array, a: pa.Array, b: pa.Array, stem: bool) -> pa.Array:
+    """``HITS`` of lists of token lists."""
+    lines = [[row or [] for row in (stems_of(x) if stem else x).to_pylist()] for x in (ref, a, b)]
+    r, a, b = flat = [[list(chain.from_iterable(row)) for row in x] for x in lines]
+    found = [*([lcs_length(x, y) for x, y in zip(c, r)] for c in (a, b)), *([union_hits(x, y) for x, y in zip(lines[0], c)] for c in lines[1:])]
+    return pa.StructArray.from_arrays([*[pa.array(x, pa.list_(pa.string())) for x in flat], *[pa.array(x, pa.int64()) for x in found]], [f.name for f in HITS])
+
+
+def _tokens_in_rows(lines: pa.Array) -> np.ndarray:
+    lines = lines.fill_null([]) if lines.null_count else lines
+    return np.diff(lines.values.offsets.to_numpy()[lines.offsets.to_numpy()])
+
+
+def hits_in_cuts(columns: tuple[pa.Array, ...], stem: bool, most: int = CUT_TOKENS) -> Iterator[pa.Array]:
+    """The same for slices of rows that hold a bounded number of tokens."""
+    sizes = sum(_tokens_in_rows(x) for x in columns)
+    for lo, hi in ranges(np.concatenate([[0], np.cumsum(sizes)]), most):
+        yield hits_of(*[x.slice(lo, hi - lo) for x in columns], stem)
+
+
+def summary_hits(ref: Column, a: Column, b: Column, stem: bool) -> Column:
+    """``HITS`` of a row's lines; they are stemmed and compared in one step, so a task keeps one Python worker for both."""
+
+    @F.arrow_udf(HITS)
+    def hits(columns: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for part in columns:
+            yield from hits_in_cuts(part, stem)
+
+    return hits(ref, a, b)
+
+
 def _rest_by_bits(t: Tokens) -> np.ndarray:
     """For each sentence of at most 64 tokens the LCS with the other sentences of its document in order, 0 for longer ones.
 

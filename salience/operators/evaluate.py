@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from salience.functions import text as tx
-from salience.functions.matching import lcs, line_hits
-from salience.functions.stemming import stemmed, stemmed_lines
+from salience.functions.matching import lcs, line_hits, summary_hits
+from salience.functions.stemming import stemmed
 from salience.functions.tdist import t_p_value
 from salience.operators.scale import settled
 
@@ -83,14 +83,12 @@ def summary_scores(preds: DataFrame, use_stems: bool = True, keep: list[Column]
     """``doc_id, dataset, checkpoint, metric, a, b`` for all of SUMMARY_METRICS, computed in the row of the pair.
 
     rougeL takes a text as one token list; rougeLsum takes it sentence by sentence and unites, for each sentence of the
-    reference, its common subsequences with all sentences of the summary. The tokens of a batch are stemmed once.
+    reference, its common subsequences with all sentences of the summary. The tokens of a slice are stemmed once.
     """
     lines = lambda c: F.transform(tx.sentences(F.coalesce(F.col(c), F.lit(""))), tx.tokens)
-    of = lambda c: stemmed_lines(lines(c)) if use_stems else lines(c)
-    rows = preds.select("doc_id", "dataset", "checkpoint", *(keep or []), of("reference").alias("r"), of("summary_a").alias("a"), of("summary_b").alias("b"))
+    rows = preds.select("doc_id", "dataset", "checkpoint", *(keep or []), lines("reference").alias("r"), lines("summary_a").alias("a"), lines("summary_b").alias("b"))
     names = rows.columns[:-3]
-    flat = settled(rows).select(*names, "r", "a", "b", *[F.flatten(c).alias(f"t{c}") for c in "rab"])
-    flat = settled(flat.select(*names, "tr", "ta", "tb", *[lcs(f"t{c}", "tr").alias(f"l{c}") for c in "ab"], *[line_hits("r", c).alias(f"u{c}") for c in "ab"]))
+    flat = settled(rows.select(*names, summary_hits(F.col("r"), F.col("a"), F.col("b"), use_stems).alias("h"))).select(*names, "h.*")
 
     def scores(c: str) -> Column:
         cand, ref = F.col(f"t{c}"), F.col("tr")

@@ -11,7 +11,7 @@ from salience.functions import documents as dc
 from salience.functions import entities as en
 from salience.functions import matching as mt
 from salience.functions import text as tx
-from salience.operators import compare, scoring, vectors
+from salience.operators import compare, evaluate, scoring, vectors
 
 LISTS = pa.array([[["a", "b"], [], ["a"]], None, [["c"] * 5], [], [["b", "a"], ["a"]]], pa.list_(pa.list_(pa.string())))
 
@@ -95,6 +95,22 @@ def test_rest_lengths_in_blocks(monkeypatch):
     assert mt.rest_lengths(dc.Tokens(pa.array([[[]], []], pa.list_(pa.list_(pa.string()))))).tolist() == [0]
 
 
+def test_summaries_are_stemmed_and_compared_in_one_step(spark):
+    rows = [(1, "The cats sat. They ran.", "A cat sits. The cat ran!", "Cats"), (2, None, "x", ""), (3, "walking dogs", "dogs walked", "walks. dog.")]
+    df = spark.createDataFrame([(i, "en", "src0", *x) for i, *x in rows], "doc_id LONG, dataset STRING, checkpoint STRING, reference STRING, summary_a STRING, summary_b STRING")
+    scores = evaluate.summary_scores(df)
+    assert scores._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    got = {(r.doc_id, r.metric): (r.a, r.b) for r in scores.collect()}
+    assert got[3, "rougeL"] == (0.5, 1.0) and got[3, "rougeLsum"] == (0.5, 1.0) and got[3, "rouge1"] == (1.0, 1.0) and got[2, "rougeL"] == (0.0, 0.0)
+    lines = [pa.array(x, pa.list_(pa.list_(pa.string()))) for x in (
+        [[["a", "cats"], ["b"]], None, [], [["c"] * 4]], [[["cat"]], [["d"]], [], [["c"], ["c", "e"]]], [[[], ["b", "a"]], [], [["x"]], None])]
+    whole = mt.hits_of(*lines, True).to_pylist()
+    assert [(h["la"], h["lb"], h["ua"], h["ub"]) for h in whole] == [(1, 1, 1, 2), (0, 0, 0, 0), (0, 0, 0, 0), (2, 0, 2, 0)]
+    parts = list(mt.hits_in_cuts(lines, True, 5))
+    assert len(parts) > 1 and pa.concat_arrays(parts).to_pylist() == whole
+    assert pa.concat_arrays(list(mt.hits_in_cuts([x.slice(1, 3) for x in lines], True, 5))).to_pylist() == whole[1:]
+
+
 def test_span_lists():
     texts = ["In 1999 Anna Lee paid $5.20 to Bo.", None, "", "none here", "É Bo 7%"]
     assert en.span_lists(texts, True).to_pylist() == [en.spans(t, True) for t in texts]
