@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from salience.functions import text as tx
 from salience.functions import documents as dc
 from salience.functions.matching import lcs_with_rest
-from salience.operators.scale import heavy_keys, written
+from salience.operators.scale import heavy_keys, in_few_files, written
 from salience.operators.sentences import corpus_counts, token_lists
 
 SMOOTHING = 64.0
@@ -75,16 +75,17 @@ def overlap_and_pmi(docs: DataFrame, vocabulary: DataFrame | None = None, mu: fl
     the rest is smoothed towards the corpus. Words that hold over 1/100000 of the corpus, at most 100000 of them,
     are sent to all tasks and counted in the row of the document, and so are words that one sentence has alone, whose corpus
     counts cancel out. The rare words that sentences of a document share travel as rows; only those are joined by a shuffle, and
-    none of them is frequent. Sentences go to a scratch table, which both the join and the sums read.
+    none of them is frequent. Sentences go to a scratch table, which both the join and the sums read. Tasks that split and score texts
+    write no files: what they found is shuffled first and written by few tasks.
     """
     whole = vocabulary is None
-    vocabulary = written(corpus_counts(docs), "vocabulary") if whole else vocabulary
+    vocabulary = written(in_few_files(corpus_counts(docs)), "vocabulary") if whole else vocabulary
     total = vocabulary.select(F.sum("c_all")).scalar()
     kinds = vocabulary.select(F.count("*")).scalar()
     heavy = heavy_keys(vocabulary, "c_all", HEAVY_WORDS)
     known, size = frequent(vocabulary, heavy)
     found = token_lists(docs).select("doc_id", F.explode(dc.sentence_bits("lists", known, size, mu, whole)).alias("x"))
-    sents = written(found.select("doc_id", "x.*"), "sentences")
+    sents = written(in_few_files(found.select("doc_id", "x.*").repartition("doc_id")), "sentences")
     own = ["doc_id", "sid", "n_doc", "n_sent", "overlap"]
     words = sents.filter(F.size("rare") > 0).select(*own, F.explode("rare").alias("r")).select(*own, "r.*")
     shared = words.join(vocabulary.filter(~heavy), "w").select(*own, F.lit(0.0).alias("near_bits"), _word_term(total, kinds, mu).alias("far_bits"))

@@ -136,3 +136,27 @@ def test_vectors_go_back_as_arrow(spark):
 def test_token_likelihoods_count_the_corpus_once(spark, small):
     from salience.plans.scores import token_nll
     assert any("/vocabulary-" in f for f in token_nll(spark, small).inputFiles())
+
+
+def test_scoring_writes_few_files(spark, monkeypatch):
+    stored, write = {}, scoring.written
+
+    def note(df, label):
+        stored[label] = write(df, label)
+        return stored[label]
+
+    monkeypatch.setattr(scoring, "written", note)
+    old = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    for k, v in zip(old, ("40", "false", "-1")):
+        spark.conf.set(k, v)
+    try:
+        texts = [(i % 50 if i % 7 else None, " ".join(f"w{(i * j) % 997} w{j}." for j in range(1, 30))) for i in range(200)]
+        docs = spark.createDataFrame(texts, "doc_id LONG, text STRING").repartition(60)
+        monkeypatch.setattr(scoring, "HEAVY_WORDS", 200)
+        got = sorted(map(str, scoring.count_pmi(docs).collect()))
+        assert {label: len(df.inputFiles()) for label, df in stored.items()} == {"vocabulary": 8, "sentences": 8}
+        assert stored["sentences"].count() == 200 * 29
+        assert got == sorted(map(str, scoring.count_pmi(docs, scoring.corpus_counts(docs)).collect()))
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
