@@ -160,3 +160,14 @@ def test_scoring_writes_few_files(spark, monkeypatch):
     finally:
         for k, v in old.items():
             spark.conf.set(k, v)
+
+
+@pytest.mark.parametrize("name", ["call_prices", "external_judge"])
+def test_short_rows_of_long_texts_are_gathered(spark, tmp_path, name):
+    from salience.plans.catalog import QUERIES
+
+    rows = [(i, f"The cat {i} sat. A dog ran. The cat ran {i}!", "en" if i % 2 else "de", f"src{i % 3}") for i in range(30)] + [(5, None, None, None), (None, "One. Two.", "fr", "src1")]
+    spark.createDataFrame(rows, "doc_id LONG, text STRING, lang STRING, source STRING").write.parquet(f"{tmp_path}/documents.parquet")
+    found = QUERIES[name](spark, str(tmp_path))
+    assert "REBALANCE_PARTITIONS_BY_NONE" in plan(found)
+    assert found.count() == 31 and found.select("doc_id").distinct().count() == 30  # the words of document 5, in both of its rows
