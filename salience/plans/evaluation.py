@@ -58,16 +58,19 @@ part("sources3", f"""SELECT d.doc_id, {SOURCE("a")} AS o_a, {SOURCE("b")} AS o_b
 
 
 def stored_selections(spark, sf, names):
-    """Pairs of each selector as tables of their own; the first also has a pair for each page, the second one for each test."""
+    """Pairs of each selector as tables of their own; the first also has a pair for each page, the second one for each test.
+
+    A document without a sentence, or without an id, is in no selection; a page or test without text has an empty summary.
+    """
     docs = documents(spark, sf)
     picks = {"a": lambda: scoring.rouge1(docs), "b": lambda: scoring.count_pmi(docs), "c": lambda: scoring.rouge2(docs)}
     foreign = {"a": ("pages", "page_id", 1_000_000_000, "url"), "b": ("benchmark", "item_id", 2_000_000_000, "text")}
     out = []
     for name in names:
-        pairs = select.masked_pairs(docs, select.best(picks[name]())).select("doc_id", "document", "summary")
+        pairs = select.masked_pairs(docs, select.best(picks[name]())).filter("sid IS NOT NULL").select("doc_id", "document", "summary")
         if name in foreign:
             source, key, first, text = foreign[name]
-            pairs = pairs.unionByName(table(spark, sf, source).select((F.lit(first) + F.col(key)).alias("doc_id"), F.lit("<mask>").alias("document"), F.col(text).alias("summary")))
+            pairs = pairs.unionByName(table(spark, sf, source).select((F.lit(first) + F.col(key)).alias("doc_id"), F.lit("<mask>").alias("document"), F.coalesce(text, F.lit("")).alias("summary")))
         path = scratch_path(spark, f"pairs_{name}")
         pairs.write.parquet(path)
         out.append(spark.read.parquet(path))

@@ -461,3 +461,23 @@ def test_difference_of_stored_tables(spark):
     assert checks.table_difference(a, a.limit(0), ["k"], ["t"]).filter("side = 'first'").count() == 501
     with pytest.raises(checks.DataError):
         checks.raise_on(checks.keyed_equal(a, b, ["k"], ["t", "v"], "same"))
+
+
+def test_stored_selections_of_tables_with_nulls(spark, tmp_path):
+    from salience.plans.catalog import QUERIES
+
+    text = "The cat sat. A dog ran by. The cat ran off with a dog!"
+    docs = [(1, text), (2, None), (3, ""), (4, "...!?"), (5, "One sentence"), (None, text), (6, text)]
+    tables = {"documents": ([(i, t, "en", "src0") for i, t in docs], "doc_id LONG, text STRING, lang STRING, source STRING"),
+              "pages": ([(0, "http://a"), (1, None)], "page_id LONG, url STRING"), "benchmark": ([(0, "item"), (1, None), (2, "")], "item_id LONG, text STRING")}
+    for name, (rows, schema) in tables.items():
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    run = lambda name: QUERIES[name](spark, str(tmp_path)).collect()
+    # documents without a sentence or an id are in no selection, pages and tests are in theirs whatever their text
+    for name in ("compared_selections", "compared_three_selections"):
+        found = {r.doc_id: r.misaligned for r in run(name)}
+        assert found == {1: False, 5: False, 6: False}
+    sides = {r.doc_id: r.side for r in run("selection_difference")}
+    foreign = {1_000_000_000: "first", 1_000_000_001: "first", **{2_000_000_000 + i: "second" for i in range(3)}}
+    assert {k: v for k, v in sides.items() if v != "changed"} == foreign and set(sides) - set(foreign) <= {1, 6}
+    assert {r.check: r.n for r in run("selection_checks")} == {"rows:b": 1, "same_pairs": len(sides), "same_again": 0}
