@@ -14,12 +14,17 @@ from pyspark.sql import types as T
 from salience.functions import text as tx
 from salience.functions.documents import hash_bucket
 from salience.functions.text import r6
-from salience.operators.scale import even_join, heavy_keys, settled
+from salience.operators.scale import dealt, even_join, heavy_keys
 
 TILE = 128
 CUTS = 64
 #: Calls of a model whose vectors are sent back at once.
 CALLS = 32
+#: Characters of leave-one-out texts that are written out at once, one text at least.
+CONTEXT_CHARS = 1 << 22
+#: Bytes of a word as 1 and all others as 0, and the others.
+WORD_BYTES = bytes(chr(b) in "abcdefghijklmnopqrstuvwxyz0123456789" for b in range(256))
+OTHER_BYTES = bytes(b for b in range(256) if not WORD_BYTES[b])
 EPSILON = 1e-8
 SMALLEST_COUNT = 1e-9
 
@@ -117,15 +122,21 @@ def greedy_match(tokens: DataFrame, baseline: float | None = None) -> DataFrame:
 
 
 def hashed_bag_encoder(buckets: int = 64) -> Callable[[list[str]], np.ndarray]:
-    """Default text encoder: word counts in hashed buckets, scaled to length 1."""
-    import re
+    """Default text encoder: word counts in hashed buckets, scaled to length 1.
 
-    words = re.compile("[a-z0-9]+").findall
+    The words of a call are cut out of its bytes at once, and each distinct word is hashed once a call.
+    """
 
     def encode(texts: list[str]) -> np.ndarray:
-        found = [words(t.lower()) for t in texts]
-        place = np.repeat(np.arange(len(texts)) * buckets, [len(x) for x in found]) + np.array([hash_bucket(w, buckets) for x in found for w in x], np.int64)
-        out = np.bincount(place, minlength=len(texts) * buckets).reshape(-1, buckets).astype(float)
+        coded = [t.lower().encode() for t in texts]
+        raw = b" ".join([b"", *coded, b""])
+        inside = np.frombuffer(raw.translate(WORD_BYTES), bool)
+        first, behind = (np.flatnonzero(x) + 1 for x in (~inside[:-1] & inside[1:], inside[:-1] & ~inside[1:]))
+        offsets = np.concatenate([[0], np.cumsum(behind - first)])
+        words = pa.LargeStringArray.from_buffers(len(first), pa.py_buffer(offsets), pa.py_buffer(raw.translate(None, OTHER_BYTES))).dictionary_encode()
+        bucket = np.array([hash_bucket(w, buckets) for w in words.dictionary.to_pylist()], np.int64)
+        of = np.searchsorted(np.cumsum([len(x) + 1 for x in coded]), first, "left")
+        out = np.bincount(of * buckets + bucket[words.indices.to_numpy()], minlength=len(texts) * buckets).reshape(-1, buckets).astype(float)
         size = np.linalg.norm(out, axis=1, keepdims=True)
         return out / np.where(size == 0.0, 1.0, size)
 
@@ -173,21 +184,59 @@ def score_once(rows: DataFrame, column: str, score: Callable[[DataFrame], DataFr
     return even_join(rows.withColumn("context_hash", F.sha2(F.col(column), 256)), results, ["context_hash"], "copies")
 
 
+def contexts(sents: list[str]) -> Iterator[str]:
+    """The leave-one-out texts of a document: all its sentences but one, joined by a blank."""
+    text, at = " ".join(sents), 0
+    for s in sents:
+        end = at + len(s)
+        yield text[:at] + text[end + 1:] if end < len(text) else text[:max(at - 1, 0)]
+        at = end + 1
+
+
+def in_batches(model: Callable, texts: list[str], batch: int) -> np.ndarray:
+    """Vectors of the texts in their order; a call takes texts of similar length."""
+    order = sorted(range(len(texts)), key=lambda i: len(texts[i]))
+    made = np.concatenate([np.asarray(model([texts[i] for i in order[lo:lo + batch]]), np.float64) for lo in range(0, len(order), batch)])
+    out = np.empty_like(made)
+    out[order] = made
+    return out
+
+
 def encoded_context_similarity(docs: DataFrame, make_encoder: Callable[[], Callable], batch: int = 64) -> DataFrame:
     """Cosine of each sentence and its leave-one-out text under any text encoder; a single sentence scores 0.
 
-    For encoders that are no sum over words, the leave-one-out texts have to be written out, one per sentence. Sentence
-    and context are encoded in one job and met again by key.
+    For encoders that are no sum over words, the leave-one-out texts have to be written out, one per sentence. A task writes
+    them from the row of their document, some at a time, encodes them with their sentences and keeps the cosine alone, so neither
+    these texts nor vectors are shuffled, sorted or spilled. Rows of one id and number are one sentence.
     """
-    rows = docs.select("doc_id", tx.sentences(F.col("text")).alias("sents"))
-    each = settled(rows).select("doc_id", "sents", F.posexplode("sents").alias("sid", "sent")).withColumn("sid", F.col("sid").cast("long"))
-    both = F.array(F.struct(F.lit("own").alias("side"), F.col("sent").alias("t")),
-                   F.struct(F.lit("rest").alias("side"), tx.other_sentences(F.col("sents"), F.col("sid")).alias("t")))
-    texts = each.select("doc_id", "sid", F.explode(both).alias("x")).select(
-        F.concat_ws(":", "doc_id", "sid", "x.side").alias("key"), "x.t")
-    part = F.split("key", ":")
-    coded = encode_texts(texts, "key", "t", make_encoder, batch).select(
-        part[0].cast("long").alias("doc_id"), part[1].cast("long").alias("sid"), part[2].alias("side"), "v")
-    of = lambda s: F.max(F.when(F.col("side") == s, F.col("v")))
-    met = coded.groupBy("doc_id", "sid").agg(of("own").alias("a"), of("rest").alias("b"))
-    return met.select("doc_id", "sid", r6(F.coalesce(F.try_divide(dot(F.col("a"), F.col("b")), norm(F.col("a")) * norm(F.col("b"))), F.lit(0.0))).alias("score"))
+
+    def scored(model: Callable, own: list[str], rest: list[str]) -> np.ndarray:
+        x, y = np.split(in_batches(model, own + rest, batch), 2)
+        size = np.sqrt((x * x).sum(axis=1)) * np.sqrt((y * y).sum(axis=1))
+        return np.divide((x * y).sum(axis=1), size, out=np.zeros(len(size)), where=size != 0)
+
+    def run(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = None
+
+        def sent_back(held: list[tuple]) -> pa.RecordBatch:
+            ids, sids, own, rest = zip(*held)
+            return pa.RecordBatch.from_arrays([pa.array(ids, kind), pa.array(sids, pa.int64()), pa.array(scored(model, [*own], [*rest]))], ["doc_id", "sid", "score"])
+
+        for table in tables:
+            model = model or make_encoder()
+            kind = table.schema.field("doc_id").type
+            held, chars = [], 0
+            for i, doc in enumerate(table.column("doc_id")):
+                sents = table.column("sents")[i].as_py() or []
+                for sid, (own, rest) in enumerate(zip(sents, contexts(sents))):
+                    if held and (chars + len(rest) > CONTEXT_CHARS or len(held) == batch * CALLS):
+                        yield sent_back(held)
+                        held, chars = [], 0
+                    held.append((doc.as_py(), sid, own, rest))
+                    chars += len(rest)
+            if held:
+                yield sent_back(held)
+
+    rows = dealt(docs.select("doc_id", "text")).select("doc_id", tx.sentences(F.col("text")).alias("sents"))
+    found = rows.mapInArrow(run, T.StructType([docs.schema["doc_id"], T.StructField("sid", T.LongType()), T.StructField("score", T.DoubleType())]))
+    return found.groupBy("doc_id", "sid").agg(r6(F.max("score")).alias("score"))

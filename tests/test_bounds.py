@@ -1,6 +1,7 @@
 """Work on batches is cut by tokens or bytes; long steps take the cheap way."""
 
 import random
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -133,6 +134,34 @@ def test_vectors_go_back_as_arrow(spark):
     assert len(got) == 51 and got[0] == got[50] == [0.0] * 8 and got[1] == got[46]
 
 
+def test_contexts_are_not_shuffled(spark, monkeypatch):
+    texts = {1: "A cat. A dog! A cat. ...", 2: "Alone", 3: None, 4: "", 5: "Été x. b, a a? " * 40, None: "One two. Two one."}
+    docs = spark.createDataFrame([*texts.items(), (1, texts[1])], "doc_id LONG, text STRING")
+    wanted = {(r.doc_id, r.sid): r.score for r in scoring.hashed_context_similarity(docs, 8).collect()}
+    for chars, calls in ((1 << 22, 32), (30, 32), (1 << 22, 1)):
+        monkeypatch.setattr(vectors, "CONTEXT_CHARS", chars)
+        monkeypatch.setattr(vectors, "CALLS", calls)
+        found = vectors.encoded_context_similarity(docs, lambda: vectors.hashed_bag_encoder(8), batch=3)
+        # no sort of texts, and what is shuffled are the given texts and short rows
+        text = found._jdf.queryExecution().executedPlan().toString()
+        assert "Generate" not in text and "array_join" not in text and "split(" not in text
+        got = {(r.doc_id, r.sid): r.score for r in found.collect()}
+        assert got == pytest.approx(wanted, abs=2e-6) and found.count() == len(got)
+    sents = ["a", "b c", "a"]
+    assert [*vectors.contexts(sents)] == ["b c a", "a a", "a b c"] and [*vectors.contexts(["a"])] == [""] and [*vectors.contexts([])] == []
+
+
+def test_default_encoder_counts_words_of_a_call(spark):
+    texts = ["", "...", "a B a", "\u0130stanbul K9 \u00e9a9b \u212a", "x" * 100, "b a"]
+    for buckets in (1, 7, 64):
+        made = vectors.hashed_bag_encoder(buckets)(texts)
+        for t, v in zip(texts, made):
+            count = np.zeros(buckets)
+            for w in re.findall("[a-z0-9]+", t.lower()):
+                count[dc.hash_bucket(w, buckets)] += 1
+            assert v == pytest.approx(count / (np.linalg.norm(count) or 1.0))
+
+
 def test_token_likelihoods_count_the_corpus_once(spark, small):
     from salience.plans.scores import token_nll
     assert any("/vocabulary-" in f for f in token_nll(spark, small).inputFiles())
