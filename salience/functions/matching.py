@@ -12,6 +12,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,6 +22,8 @@ from salience.functions.stemming import stems_of
 
 #: The tokens of a reference and two summaries, and per summary its common subsequence with the reference and the hits of their lines.
 HITS = T.StructType([*[T.StructField(c, T.ArrayType(T.StringType())) for c in ("tr", "ta", "tb")], *[T.StructField(c, T.LongType()) for c in ("la", "lb", "ua", "ub")]])
+#: The tokens of a reference and two summaries, and how many words and word pairs each summary shares with the reference.
+SHARED = T.StructType([T.StructField(c, T.LongType()) for c in ("nr", "na", "nb", "a1", "b1", "a2", "b2")])
 #: Rows between two that are kept for the way back; those in between are computed again.
 STRIDE = 64
 #: Places of words that are held at once.
@@ -148,6 +151,48 @@ def summary_hits(ref: Column, a: Column, b: Column, stem: bool) -> Column:
     return hits(ref, a, b)
 
 
+def _in_both(row: np.ndarray, kind: np.ndarray, side: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """Per row the size of the multiset intersection of what side 0 holds with that of side 1 and of side 2."""
+    kinds = int(kind.max()) + 1 if len(kind) else 1
+    keys, counts = zip(*[np.unique(row[side == s] * kinds + kind[side == s], return_counts=True) for s in range(3)])
+
+    def met(s: int) -> np.ndarray:
+        both, i, j = np.intersect1d(keys[0], keys[s], assume_unique=True, return_indices=True)
+        return np.bincount(both // kinds, weights=np.minimum(counts[0][i], counts[s][j]), minlength=rows).astype(np.int64)
+
+    return met(1), met(2)
+
+
+def shared_of(ref: pa.Array, a: pa.Array, b: pa.Array) -> pa.Array:
+    """``SHARED`` of token lists. Sizes of null lists are null, and so are the words shared with them; they have no word pairs."""
+    lists = [x.fill_null([]) if x.null_count else x for x in (ref, a, b)]
+    sizes = [x.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64) for x in lists]
+    row = np.concatenate([np.repeat(np.arange(len(n)), n) for n in sizes])
+    side = np.repeat(np.arange(3), [n.sum() for n in sizes])
+    coded = pa.concat_arrays([x.flatten().cast(pa.string()) for x in lists]).dictionary_encode()
+    code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    near = (row[1:] == row[:-1]) & (side[1:] == side[:-1])
+    _, pair = np.unique((code[:-1] * max(1, len(coded.dictionary)) + code[1:])[near], return_inverse=True)
+    words, pairs = _in_both(row, code, side, len(ref)), _in_both(row[:-1][near], pair, side[:-1][near], len(ref))
+    gone = [x.is_null().to_numpy(zero_copy_only=False) for x in (ref, a, b)]
+    columns = [*zip(sizes, gone), *[(x, gone[0] | g) for x, g in zip(words, gone[1:])], *[(x, None) for x in pairs]]
+    return pa.StructArray.from_arrays([pa.array(x, pa.int64(), mask=g) for x, g in columns], [f.name for f in SHARED])
+
+
+def shared_in_cuts(columns: tuple[pa.Array, ...], most: int = CUT_TOKENS) -> Iterator[pa.Array]:
+    """The same for slices of rows that hold a bounded number of tokens."""
+    sizes = sum(pc.fill_null(x.value_lengths(), 0).to_numpy(zero_copy_only=False).astype(np.int64) for x in columns)
+    for lo, hi in ranges(np.concatenate([[0], np.cumsum(sizes)]), most):
+        yield shared_of(*[x.slice(lo, hi - lo) for x in columns])
+
+
+@F.arrow_udf(SHARED)
+def shared_tokens(columns: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    """``SHARED`` of a reference and two summaries, given as token lists; linear in their tokens but for a sort."""
+    for part in columns:
+        yield from shared_in_cuts(part)
+
+
 def _rest_by_bits(t: Tokens) -> np.ndarray:
     """For each sentence of at most 64 tokens the LCS with the other sentences of its document in order, 0 for longer ones.
 

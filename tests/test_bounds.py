@@ -2,6 +2,7 @@
 
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -112,6 +113,35 @@ def test_summaries_are_stemmed_and_compared_in_one_step(spark):
     assert pa.concat_arrays(list(mt.hits_in_cuts([x.slice(1, 3) for x in lines], True, 5))).to_pylist() == whole[1:]
 
 
+def test_shared_words_are_counted_for_many_rows_at_once(spark):
+    r = random.Random(5)
+    lists = [[None if r.random() < 0.1 else [r.choice("abcde") for _ in range(r.randrange(8))] for _ in range(70)] for _ in range(3)]
+    lists[0][3], lists[1][3], lists[2][3] = ["a", "b"] * 40, ["b", "a", "a"] * 30, ["b"]
+    columns = [pa.array(x, pa.list_(pa.string())) for x in lists]
+    pairs = lambda x: Counter(zip(x, x[1:]))
+    want = []
+    for ref, *both in zip(*lists):
+        met = [[None if c is None or ref is None else sum((Counter(c) & Counter(ref)).values()), sum((pairs(c or []) & pairs(ref or [])).values())] for c in both]
+        want.append([None if x is None else len(x) for x in (ref, *both)] + [m[n] for n in (0, 1) for m in met])
+    assert [[*x.values()] for x in mt.shared_of(*columns).to_pylist()] == want
+    parts = [*mt.shared_in_cuts(columns, 20)]
+    assert len(parts) > 5 and [[*x.values()] for p in parts for x in p.to_pylist()] == want
+    assert [[*x.values()] for x in pa.concat_arrays([*mt.shared_in_cuts([x.slice(2, 9) for x in columns], 20)]).to_pylist()] == want[2:11]
+    assert mt.shared_of(*[x.slice(0, 0) for x in columns]).to_pylist() == []
+
+
+def test_long_sentences_are_not_searched_word_by_word(spark):
+    words = lambda k: " ".join(f"w{i * k % 20011}" for i in range(20000))
+    rows = [(i, "en", "s", words(1), words(3), words(7)) for i in range(4)]
+    df = spark.createDataFrame(rows, "doc_id LONG, dataset STRING, checkpoint STRING, reference STRING, summary_a STRING, summary_b STRING")
+    scores = evaluate.paired_scores(df)
+    text = scores._jdf.queryExecution().executedPlan().toString()
+    assert "array_intersect" not in text and text.count("ArrowEvalPython") == 1 and "Exchange" not in text
+    a, b, c = ({*words(k).split()} for k in (1, 3, 7))
+    got = {(r.doc_id, r.metric): (r.a, r.b) for r in scores.collect()}
+    assert len(got) == 24 and got[2, "precision1"] == (len(a & b) / 20000, len(a & c) / 20000) and got[2, "recall2"][0] == 0.0
+
+
 def test_span_lists():
     texts = ["In 1999 Anna Lee paid $5.20 to Bo.", None, "", "none here", "É Bo 7%"]
     assert en.span_lists(texts, True).to_pylist() == [en.spans(t, True) for t in texts]
